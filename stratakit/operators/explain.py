@@ -21,22 +21,39 @@ R9 = 9
 MISSING = "<missing>"
 
 
-def _pair_overlaps(per_level: DataFrame, feature: str, classes=(0, 1, 2),
-                   names=CLASS_NAMES) -> DataFrame:
-    """From per-level class counts ``__c{k}`` -> 3 pair overlap rows."""
-    whole = Window.partitionBy()
-    sh = per_level.select(*[
-        F.when(F.sum(f"__c{k}").over(whole) > 0, F.col(f"__c{k}") / F.sum(f"__c{k}").over(whole))
+def _pair_overlaps(per_level: DataFrame, classes=(0, 1, 2), names=CLASS_NAMES) -> DataFrame:
+    """From per-(feature, level) class counts ``__c{k}`` -> 3 pair-overlap
+    rows per feature.  Shares are taken within each feature (a window over
+    that feature's levels / bins, which are few)."""
+    by_f = Window.partitionBy("feature")
+    sh = per_level.select("feature", *[
+        F.when(F.sum(f"__c{k}").over(by_f) > 0, F.col(f"__c{k}") / F.sum(f"__c{k}").over(by_f))
          .otherwise(F.lit(0.0)).alias(f"__s{k}") for k in range(len(classes))])
-    agg = sh.agg(*[F.sum(F.least(F.col(f"__s{a}"), F.col(f"__s{b}"))).alias(f"__o{a}{b}")
-                   for a, b in CLASS_PAIRS])
+    agg = sh.groupBy("feature").agg(
+        *[F.sum(F.least(F.col(f"__s{a}"), F.col(f"__s{b}"))).alias(f"__o{a}{b}")
+          for a, b in CLASS_PAIRS])
     return agg.select(F.inline(F.array(*[
-        F.struct(F.lit(feature).alias("feature"), F.lit(names[a]).alias("class_a"),
+        F.struct(F.col("feature"), F.lit(names[a]).alias("class_a"),
                  F.lit(names[b]).alias("class_b"),
                  F.round(F.coalesce(F.col(f"__o{a}{b}"), F.lit(0.0)), R9).alias("overlap"))
         for a, b in CLASS_PAIRS])))
 
 
+def overlaps_long(df: DataFrame, levels: dict[str, Column], label: str = "label",
+                  classes=(0, 1, 2)) -> DataFrame:
+    """Overlaps for many features in one pass: unpivot the per-feature level
+    keys (a category, or a bin index) and aggregate once."""
+    names = list(levels)
+    c = F.col(label)
+    long = df.select(c, *[levels[n].cast("string").alias(f"__f{i}") for i, n in enumerate(names)]) \
+        .unpivot([label], [f"__f{i}" for i in range(len(names))], "__k", "level") \
+        .where(F.col("level").isNotNull())
+    key = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(f"__f{i}"), F.lit(n))])
+    g = long.groupBy(F.element_at(key, F.col("__k")).alias("feature"), "level").agg(
+        *[F.count_if(c == k).alias(f"__c{i}") for i, k in enumerate(classes)])
+    return _pair_overlaps(g, classes)
+
+
 # --- G1 ---------------------------------------------------------------------
 
 def overlap_categorical(df: DataFrame, feature: str, label: str = "label",
@@ -44,10 +61,7 @@ def overlap_categorical(df: DataFrame, feature: str, label: str = "label",
     """Probability-mass intersection of level distributions per class pair;
     null is its own level ``<missing>``; a class without rows has zero mass."""
     lvl = F.coalesce(F.col(feature).cast("string"), F.lit(MISSING))
-    c = F.col(label)
-    g = df.groupBy(lvl.alias("level")).agg(
-        *[F.count_if(c == k).alias(f"__c{i}") for i, k in enumerate(classes)])
-    return _pair_overlaps(g, feature, classes)
+    return overlaps_long(df, {feature: lvl}, label, classes)
 
 
 # --- G2 ---------------------------------------------------------------------
@@ -57,11 +71,7 @@ def overlap_numeric(df: DataFrame, feature: str, label: str = "label", classes=(
     """Same intersection over ``bins`` common equal-width bins of the finite
     values (edges compared exactly, last bin closed; constant -> 1 bin)."""
     edges = histogram_edges(df, feature, bins)
-    b = bin_index(feature, edges)
-    c = F.col(label)
-    g = (df.select(b.alias("bin"), c).where(F.col("bin").isNotNull()).groupBy("bin")
-           .agg(*[F.count_if(c == k).alias(f"__c{i}") for i, k in enumerate(classes)]))
-    return _pair_overlaps(g, feature, classes)
+    return overlaps_long(df, {feature: bin_index(feature, edges)}, label, classes)
 
 
 # --- G3 ---------------------------------------------------------------------
@@ -84,16 +94,21 @@ def dist_kind(df: DataFrame, features: list[str], labelled: set[str] | frozenset
 
 
 def overlaps_by_kind(df: DataFrame, features: list[str], label: str = "label",
-                     labelled: frozenset = frozenset()) -> DataFrame:
-    """G1 or G2 per feature according to G3; union of 3 rows per feature."""
+                     labelled: frozenset = frozenset(), bins: int = 20) -> DataFrame:
+    """G1 or G2 per feature according to G3, all features in one pass.
+
+    Two small driver round trips (kinds; min/max of the numeric features),
+    then one aggregate over the unpivoted (feature, level-or-bin) keys."""
     kinds = {r["feature"]: r["kind"] for r in dist_kind(df, features, labelled).collect()}
-    out = None
+    levels: dict[str, Column] = {}
     for f in features:
-        o = (overlap_categorical(df, f, label) if kinds.get(f, "categorical") == "categorical"
-             else overlap_numeric(df, f, label))
-        o = o.withColumn("kind", F.lit(kinds.get(f, "categorical")))
-        out = o if out is None else out.unionByName(o)
-    return out
+        if kinds.get(f, "categorical") == "categorical":
+            levels[f] = F.coalesce(F.col(f).cast("string"), F.lit(MISSING))
+        else:
+            levels[f] = bin_index(f, histogram_edges(df, f, bins))
+    out = overlaps_long(df, levels, label)
+    kind = F.create_map(*[x for f in features for x in (F.lit(f), F.lit(kinds.get(f, "categorical")))])
+    return out.withColumn("kind", F.element_at(kind, F.col("feature")))
 
 
 # --- G4 (linear models) -----------------------------------------------------
@@ -236,3 +251,74 @@ def fixed_coefficients(n_features: int, classes: int = 3) -> list[list[float]]:
     ``((37 j + 11 k) mod 17 - 8) / 10``."""
     return [[(((j * 37 + k * 11) % 17) - 8) / 10 for j in range(n_features)]
             for k in range(classes)]
+
+
+# --- G4 for fitted pipelines --------------------------------------------------
+
+def feature_table_from_model(model, categorical: list[str], numeric: list[str]) -> DataFrame:
+    """Feature table of a fitted preprocessing pipeline (vector order)."""
+    from pyspark.ml.feature import StringIndexerModel
+
+    sim = next(s for s in model.stages if isinstance(s, StringIndexerModel))
+    rows = []
+    for c, labels in zip(categorical, sim.labelsArray):
+        rows += [(f"{c}_{v}", c, v) for v in labels]
+    rows += [(c, c, None) for c in numeric]
+    data = [(f, s, lv, i) for i, (f, s, lv) in enumerate(rows)]
+    from pyspark.sql import SparkSession
+
+    return SparkSession.getActiveSession().createDataFrame(data, "feature string, source string, level string, position int")
+
+
+def design_from_model(model, df: DataFrame, row_id: str, features_col: str = "features"
+                      ) -> DataFrame:
+    """``(row_id, position, x)`` from the fitted preprocessing stages (all
+    but the last stage) - the dense design in long form."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    pre = PipelineModel(stages=model.stages[:-1])
+    vec = pre.transform(df).select(row_id, vector_to_array(F.col(features_col)).alias("__x"))
+    return vec.select(row_id, F.posexplode("__x").alias("position", "x"))
+
+
+def permutation_importance(model, df: DataFrame, sources: list[str], row_id: str,
+                           label: str = "label", groups: dict[str, list[str]] | None = None,
+                           seed: int = 42) -> DataFrame:
+    """Macro-F1 drop per source column when its values are replaced by a
+    deterministic derangement (row of rank r takes the values of rank r+1,
+    ranks from the md5 order key - partition independent).
+
+    One shuffle join to pair each row with its partner, then all variants
+    (base + one per source / group) are scored by a single ``transform``
+    and evaluated by one grouped metrics job."""
+    from ..functions.expressions import argmax3
+    from .evaluate import class_metrics
+    from .learn import PROB_COLS, with_probs
+    from .sampling import exact_rank, group_counts
+
+    groups = dict(groups or {})
+    variants = {s: [s] for s in sources}
+    variants.update(groups)
+    cols = sorted({c for cs in variants.values() for c in cs})
+    n = group_counts(df, None)[None]
+    ranked = exact_rank(df, row_id, None, seed, "__r", {None: n})
+    partner = ranked.select(F.pmod(F.col("__r"), F.lit(n)).alias("__pr"),
+                            *[F.col(c).alias(f"__p_{c}") for c in cols])
+    paired = ranked.join(partner, F.col("__r") - 1 == F.col("__pr")).drop("__r", "__pr")
+    base_cols = [c for c in paired.columns if not c.startswith("__p_")]
+    parts = [paired.select(F.lit("<none>").alias("__variant"), *base_cols)]
+    for name, cs in variants.items():
+        parts.append(paired.select(F.lit(name).alias("__variant"), *[
+            (F.col(f"__p_{c}").alias(c) if c in cs else F.col(c)) for c in base_cols]))
+    allv = parts[0]
+    for p in parts[1:]:
+        allv = allv.unionByName(p)
+    scored = with_probs(model.transform(allv)).withColumn("__pred", argmax3(*PROB_COLS))
+    m = class_metrics(scored, label, "__pred", ["__variant"]).select("__variant", "macro_f1")
+    base = m.where(F.col("__variant") == "<none>").select(F.col("macro_f1").alias("__base"))
+    out = m.where(F.col("__variant") != "<none>").join(F.broadcast(base), how="cross")
+    r = Window.orderBy(F.desc("drop"), "feature")
+    return out.select(F.col("__variant").alias("feature"), F.round("macro_f1", R9).alias("macro_f1"),
+                      F.round(F.col("__base") - F.col("macro_f1"), R9).alias("drop")) \
+        .withColumn("rank", F.row_number().over(r))
