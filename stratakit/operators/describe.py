@@ -239,15 +239,17 @@ def association_matrix(df: DataFrame, features: list[str]) -> DataFrame:
 # --- C12 / C13 --------------------------------------------------------------
 
 def midranks(df: DataFrame, column: str, out: str | None = None,
-             broadcast_limit: int = 2_000_000) -> DataFrame:
+             broadcast_limit: int = 2_000_000, weight: str | None = None) -> DataFrame:
     """Average (tie-shared) ranks of ``column`` as a new column.
 
     Value counts -> running sum over the *distinct values* -> join back.
     The lookup is broadcast only when its checked size is under
     ``broadcast_limit`` distinct values; otherwise it is a shuffle join.
+    ``weight`` names a row-multiplicity column (compacted input).
     """
     out = out or f"{column}__rank"
-    vc = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
+    w = F.col(weight) if weight else F.lit(1)
+    vc = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum(w).alias("__n"))
     cum = F.sum("__n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
     lut = vc.select(column, (cum - (F.col("__n") - 1) / 2.0).alias(out))
     n_distinct = vc.count()
@@ -255,21 +257,66 @@ def midranks(df: DataFrame, column: str, out: str | None = None,
     return df.join(lut, column, "left")
 
 
-def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
+def weighted_corr(df: DataFrame, pairs: list[tuple[str, str]], weight: str) -> DataFrame:
+    """Pearson correlation of column pairs over rows with multiplicities,
+    centred in two small passes (means, then centred cross products)."""
+    w = F.col(weight)
+    cols = sorted({c for p in pairs for c in p})
+    means = df.agg(F.sum(w).alias("__n"), *[F.sum(w * F.col(c)).alias(f"__s_{c}") for c in cols]).first()
+    n = float(means["__n"])
+    mu = {c: means[f"__s_{c}"] / n for c in cols}
+    d = {c: F.col(c) - F.lit(mu[c]) for c in cols}
+    aggs = []
+    for a, b in pairs:
+        aggs += [F.sum(w * d[a] * d[b]).alias(f"{a}|{b}|ab"),
+                 F.sum(w * d[a] * d[a]).alias(f"{a}|{b}|aa"),
+                 F.sum(w * d[b] * d[b]).alias(f"{a}|{b}|bb")]
+    row = df.agg(*aggs)
+    return row.select(*[
+        (F.col(f"`{a}|{b}|ab`") / F.sqrt(F.col(f"`{a}|{b}|aa`") * F.col(f"`{a}|{b}|bb`")))
+        .alias(f"{a}|{b}") for a, b in pairs])
+
+
+def rank_table(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
+    """``(column, value, rank)``: midranks of every column from one unpivot
+    and one aggregate; the running sums run over distinct values only."""
+    w = F.col(weight) if weight else F.lit(1)
+    long = df.select(w.alias("__w"), *columns).unpivot(["__w"], columns, "column", "value") \
+        .where(F.col("value").isNotNull())
+    vc = long.groupBy("column", "value").agg(F.sum("__w").alias("__n"))
+    cum = F.sum("__n").over(Window.partitionBy("column").orderBy("value")
+                            .rowsBetween(Window.unboundedPreceding, 0))
+    return vc.select("column", "value", (cum - (F.col("__n") - 1) / 2.0).alias("rank"))
+
+
+def spearman(df: DataFrame, columns: list[str], compact_limit: int = 5_000_000,
+             broadcast_limit: int = 2_000_000) -> DataFrame:
     """Spearman (average-rank Pearson) for all column pairs, long form.
 
     Complete cases over ``columns`` first (equals pandas' pairwise rule when
-    there are no nulls).  The ranks come from per-column value counts, so
-    the only row-sized work is the final single ``corr`` aggregate.
+    there are no nulls).  Plan: compact to distinct value combinations with
+    a multiplicity (one aggregate; coded columns shrink millions of rows to
+    a few thousand), midranks of all columns from one rank table, and a
+    weighted, centred correlation.  When compaction does not shrink the data
+    (continuous columns) ranks are joined to the rows instead; the rank table
+    is broadcast only under a checked size.
     """
     base = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    ranked = base
+    pairs = list(combinations(columns, 2))
+    compact = base.groupBy(*columns).agg(F.count(F.lit(1)).alias("__w")).cache()
+    use_compact = compact.count() <= compact_limit
+    rows = compact if use_compact else base.withColumn("__w", F.lit(1))
+    if not use_compact:
+        compact.unpersist()
+    lut = rank_table(compact if use_compact else base, columns, "__w" if use_compact else None)
+    if lut.count() <= broadcast_limit:
+        lut = F.broadcast(lut)
+    ranked = rows
     for c in columns:
-        ranked = midranks(ranked, c, f"__r_{c}")
-    aggs = [F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}|{b}")
-            for a, b in combinations(columns, 2)]
-    row = ranked.agg(*aggs)
-    return _pairs_long(row, columns, "spearman")
+        ranked = ranked.join(lut.where(F.col("column") == c).select(
+            F.col("value").alias(c), F.col("rank").alias(f"__r_{c}")), c, "left")
+    rk = ranked.select("__w", *[F.col(f"__r_{c}").alias(c) for c in columns])
+    return _pairs_long(weighted_corr(rk, pairs, "__w"), columns, "spearman")
 
 
 def pearson(df: DataFrame, columns: list[str]) -> DataFrame:

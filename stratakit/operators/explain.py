@@ -76,6 +76,36 @@ def overlap_numeric(df: DataFrame, feature: str, label: str = "label", classes=(
 
 # --- G3 ---------------------------------------------------------------------
 
+def profile_features(df: DataFrame, features: list[str]) -> dict[str, dict]:
+    """Per feature: distinct non-null levels and min/max of the finite
+    numeric values - one unpivot + two small aggregates, collected (one row
+    per feature)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    numeric = {c for c in features if isinstance(types[c], T.NumericType)}
+    cols = []
+    for c in features:
+        num = F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
+        cols.append(F.struct(F.col(c).cast("string").alias("s"), num.alias("x")).alias(c))
+    long = df.select(*cols).unpivot([], features, "feature", "v") \
+        .select("feature", F.col("v.s").alias("s"), F.col("v.x").alias("x")) \
+        .where(F.col("s").isNotNull())
+    finite = F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != F.lit(math.inf))
+    per_level = long.groupBy("feature", "s").agg(
+        F.min(F.when(finite, F.col("x"))).alias("lo"), F.max(F.when(finite, F.col("x"))).alias("hi"))
+    rows = per_level.groupBy("feature").agg(F.count(F.lit(1)).alias("levels"), F.min("lo").alias("lo"),
+                                            F.max("hi").alias("hi")).collect()
+    out = {c: {"levels": 0, "lo": None, "hi": None, "numeric": c in numeric} for c in features}
+    for r in rows:
+        out[r["feature"]].update(levels=r["levels"], lo=r["lo"], hi=r["hi"])
+    return out
+
+
+def _kind(p: dict, name: str, labelled, max_levels: int) -> str:
+    if name in labelled or not p["numeric"] or p["levels"] <= max_levels:
+        return "categorical"
+    return "numeric"
+
+
 def dist_kind(df: DataFrame, features: list[str], labelled: set[str] | frozenset = frozenset(),
               max_levels: int = 12) -> DataFrame:
     """categorical if the feature has a label map, is not numeric, or has
@@ -93,21 +123,35 @@ def dist_kind(df: DataFrame, features: list[str], labelled: set[str] | frozenset
     return d.select("feature", F.col("levels").cast("bigint").alias("levels"), kind.alias("kind"))
 
 
+def _edges(lo: float, hi: float, bins: int) -> list[float]:
+    if lo == hi:
+        return [lo - 0.5, hi + 0.5]
+    step = (hi - lo) / bins
+    e = [i * step + lo for i in range(bins + 1)]
+    e[-1] = hi
+    return e
+
+
 def overlaps_by_kind(df: DataFrame, features: list[str], label: str = "label",
-                     labelled: frozenset = frozenset(), bins: int = 20) -> DataFrame:
+                     labelled: frozenset = frozenset(), bins: int = 20,
+                     max_levels: int = 12) -> DataFrame:
     """G1 or G2 per feature according to G3, all features in one pass.
 
-    Two small driver round trips (kinds; min/max of the numeric features),
-    then one aggregate over the unpivoted (feature, level-or-bin) keys."""
-    kinds = {r["feature"]: r["kind"] for r in dist_kind(df, features, labelled).collect()}
+    One profiling aggregate (levels, min, max of every feature) decides the
+    kind and the numeric bin edges; then one aggregate over the unpivoted
+    (feature, level-or-bin) keys gives every overlap."""
+    prof = profile_features(df, features)
+    kinds = {f: _kind(prof[f], f, labelled, max_levels) for f in features}
     levels: dict[str, Column] = {}
     for f in features:
-        if kinds.get(f, "categorical") == "categorical":
+        if kinds[f] == "categorical":
             levels[f] = F.coalesce(F.col(f).cast("string"), F.lit(MISSING))
         else:
-            levels[f] = bin_index(f, histogram_edges(df, f, bins))
+            if prof[f]["lo"] is None:
+                raise ValueError("numeric overlap requires at least one finite value")
+            levels[f] = bin_index(f, _edges(float(prof[f]["lo"]), float(prof[f]["hi"]), bins))
     out = overlaps_long(df, levels, label)
-    kind = F.create_map(*[x for f in features for x in (F.lit(f), F.lit(kinds.get(f, "categorical")))])
+    kind = F.create_map(*[x for f in features for x in (F.lit(f), F.lit(kinds[f]))])
     return out.withColumn("kind", F.element_at(kind, F.col("feature")))
 
 
@@ -210,12 +254,14 @@ def top_feature_overlap(by_source: DataFrame, data: DataFrame, label: str = "lab
     computed on ``data`` (``Hour_of_Day`` is rebuilt from sin/cos)."""
     from ..functions.expressions import hour_from_cyclical
 
-    names = [r["source_feature"] for r in
-             by_source.where(F.col("rank") <= top).orderBy("rank").collect()]
+    ranks = {r["source_feature"]: r["rank"] for r in
+             by_source.where(F.col("rank") <= top).select("source_feature", "rank").collect()}
+    names = sorted(ranks, key=ranks.get)
     if HOUR_SOURCE in names and HOUR_SOURCE not in data.columns:
         data = data.withColumn(HOUR_SOURCE, hour_from_cyclical("hour_sin", "hour_cos"))
-    ov = overlaps_by_kind(data, names, label, labelled)
-    return ov.join(by_source.select(F.col("source_feature").alias("feature"), "rank"), "feature")
+    ov = overlaps_by_kind(data.select(label, *names), names, label, labelled)
+    rank = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(int(ranks[n])))])
+    return ov.withColumn("rank", F.element_at(rank, F.col("feature")).cast("int"))
 
 
 # --- feature table (category discovery) -------------------------------------

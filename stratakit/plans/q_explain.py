@@ -8,8 +8,6 @@ aggregation, top-k, overlaps - has a value oracle without a fitted model.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from ..operators import explain as G
@@ -27,7 +25,8 @@ NAMES = ("Fatal", "Serious", "Slight")
 
 
 def _sample(spark, d):
-    return fixed_sample(I.model_frame(spark, d), "row_index", 2000)
+    # 2000 rows, reused by several small actions: kept in memory once
+    return fixed_sample(I.model_frame(spark, d), "row_index", 2000).cache()
 
 
 def _attr(spark, d):
