@@ -129,10 +129,12 @@ def split_quotas(counts: dict, test_size: float = 0.2) -> dict:
 
 
 def stratified_split(df: DataFrame, label: str, row_id: str, test_size: float = 0.2,
-                     seed: int = RANDOM_STATE, out: str = "is_test") -> DataFrame:
+                     seed: int = RANDOM_STATE, out: str = "is_test",
+                     target_rows: int = TARGET_BUCKET_ROWS) -> DataFrame:
     """Tag rows with ``is_test``; exact per-class test counts."""
     counts = group_counts(df, label)
-    return rank_at_most(df, row_id, label, split_quotas(counts, test_size), seed, out, counts)
+    return rank_at_most(df, row_id, label, split_quotas(counts, test_size), seed, out, counts,
+                        target_rows)
 
 
 def train_test(df: DataFrame, label: str, row_id: str, test_size: float = 0.2,
@@ -145,7 +147,8 @@ def train_test(df: DataFrame, label: str, row_id: str, test_size: float = 0.2,
 # --- D2 ---------------------------------------------------------------------
 
 def stratified_kfold(df: DataFrame, label: str, row_id: str, k: int = 5,
-                     seed: int = RANDOM_STATE, out: str = "fold") -> DataFrame:
+                     seed: int = RANDOM_STATE, out: str = "fold",
+                     target_rows: int = TARGET_BUCKET_ROWS) -> DataFrame:
     """``fold`` in 0..k-1; per-class and total fold sizes differ by <= 1."""
     if k < 2:
         raise ValueError("k must be at least 2")
@@ -154,7 +157,7 @@ def stratified_kfold(df: DataFrame, label: str, row_id: str, k: int = 5,
     for c in sorted(counts):
         offset[c] = acc
         acc += counts[c]
-    ranked = exact_rank(df, row_id, label, seed, "__rank", counts)
+    ranked = exact_rank(df, row_id, label, seed, "__rank", counts, target_rows)
     omap = F.create_map(*[x for c, v in offset.items() for x in (F.lit(c), F.lit(v))])
     fold = F.pmod(F.element_at(omap, F.col(label)) + F.col("__rank") - 1, F.lit(k)).cast("int")
     return ranked.withColumn(out, fold).drop("__rank")
