@@ -233,24 +233,35 @@ def select_candidate(summary: DataFrame, rule: str = "alpha", order_col: str | N
 
 # --- F10 / F11 / F12 --------------------------------------------------------
 
-def pr_curve(df: DataFrame, y: str, score: str, positive: int = 0, buckets: int = 4096
-             ) -> DataFrame:
+def pr_curve(df: DataFrame, y: str, score: str, positive: int = 0,
+             target_rows: int = 1 << 20, max_buckets: int = 4096) -> DataFrame:
     """Precision/recall of ``score`` for class ``positive`` at every distinct
     score (descending thresholds), plus the end point (precision 1, recall 0).
 
-    Cumulative sums run over *distinct scores*, split into ``buckets`` score
-    ranges: per-bucket totals -> offsets over <= buckets+1 rows (broadcast,
-    bounded by construction) -> running sums inside each bucket.  No task
-    sees more than one bucket of distinct scores.
+    Cumulative sums run over *distinct scores*, never rows (a score shared by
+    many rows is one entry).  The distinct scores are split into quantile
+    buckets of about ``target_rows`` each (approximate quantiles of the
+    distinct scores, JVM-side binary search by ``Bucketizer``): per-bucket
+    totals -> offsets over at most ``max_buckets`` rows (broadcast, bounded
+    by construction) -> running sums inside each bucket.
     """
+    from pyspark.ml.feature import Bucketizer
+
     s = F.col(score).cast("double")
     pos = F.col(y) == positive
     g = (df.where(s.isNotNull() & ~F.isnan(s))
            .groupBy(s.alias("threshold"))
            .agg(F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg")))
-    bkt = F.least(F.greatest(F.floor(F.col("threshold") * buckets), F.lit(-1)),
-                  F.lit(buckets)).cast("int")
-    g = g.withColumn("__b", bkt)
+    n_distinct = g.count()
+    n_buckets = max(1, min(max_buckets, -(-n_distinct // target_rows)))
+    if n_buckets > 1:
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        cuts = sorted(set(g.approxQuantile("threshold", probs, 1.0 / (4 * n_buckets))))
+        splits = [-float("inf")] + cuts + [float("inf")]
+        g = Bucketizer(splits=splits, inputCol="threshold", outputCol="__bd").transform(g) \
+            .withColumn("__b", F.col("__bd").cast("int")).drop("__bd")
+    else:
+        g = g.withColumn("__b", F.lit(0))
     bt = g.groupBy("__b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     above = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
