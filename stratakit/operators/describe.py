@@ -209,29 +209,73 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
                       F.coalesce("cramers_v", F.lit(0.0)).alias("cramers_v"))
 
 
-def association_matrix(df: DataFrame, features: list[str]) -> DataFrame:
+def feature_levels(df: DataFrame, features: list[str]) -> dict[str, list[str]]:
+    """Distinct non-null levels (as strings) per feature: one unpivot and a
+    partial+final aggregate; the result (a few dozen values per categorical
+    feature) is collected."""
+    rows = (df.select(*[F.col(f).cast("string").alias(f) for f in features])
+            .unpivot([], features, "feature", "level").where(F.col("level").isNotNull())
+            .distinct().collect())
+    out: dict[str, list[str]] = {f: [] for f in features}
+    for r in rows:
+        out[r["feature"]].append(r["level"])
+    return {f: sorted(v) for f, v in out.items()}
+
+
+def association_matrix(df: DataFrame, features: list[str], max_cells: int = 4096
+                       ) -> DataFrame:
     """Cramer's V for every feature pair, long form, symmetric, diagonal 1.
 
-    Plan: compact first (one aggregate to distinct feature combinations with
-    a count), then expand every compacted row into its pairs and aggregate
-    the contingency cells.  The pair expansion multiplies *combinations*, not
-    rows, so it stays small at any input size.
+    Plan: compact first - one aggregate to distinct feature combinations
+    with a multiplicity (at scale the combinations saturate while rows keep
+    growing).  The levels of each feature come from the compacted table.
+    Then every compacted row is repeated once per feature ``a`` (an Expand
+    of ``len(features)``, not of the 91 pairs) and one hash aggregate keyed
+    by (a, level of a) sums, for every other feature ``b`` and level ``j``,
+    the weight of rows with ``b == j``: all contingency tables in one pass of
+    conditional counters.  With more than ``max_cells`` levels in total the
+    counter list would be too wide, and the pair cells are grouped by key.
     """
-    compact = df.groupBy(*[F.col(f).cast("string").alias(f) for f in features]).agg(
-        F.count(F.lit(1)).alias("__w"))
+    spark = df.sparkSession
     pairs = list(combinations(features, 2))
-    arr = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                             F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
-    cells = (compact.select("__w", F.inline(arr))
-             .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-             .groupBy("feature_a", "feature_b", "x", "y").agg(F.sum("__w").alias("nij")))
-    v = _cramers_from_cells(cells, ["feature_a", "feature_b"])
-    dom = _lit_table(df.sparkSession, [(a, b) for a, b in pairs], ["feature_a", "feature_b"])
-    upper = dom.join(F.broadcast(v), ["feature_a", "feature_b"], "left").select(
-        "feature_a", "feature_b", F.coalesce("cramers_v", F.lit(0.0)).alias("cramers_v"))
+    idx = {f: i for i, f in enumerate(features)}
+    compact = df.groupBy(*[F.col(f).cast("string").alias(f) for f in features]).agg(
+        F.count(F.lit(1)).alias("__w")).cache()
+    levels = feature_levels(compact, features)
+    # the compacted table is small in bytes, so AQE folds it into few
+    # partitions; an explicit count spreads it before it is multiplied
+    spread = compact.repartition(spark.sparkContext.defaultParallelism)
+    if sum(len(v) for v in levels.values()) <= max_cells:
+        slots = [(f, lv) for f in features for lv in levels[f]]
+        rep = spread.select("__w", *features, F.inline(F.array(*[
+            F.struct(F.lit(i).alias("__fa"), F.col(f).alias("__x")) for i, f in enumerate(features)])))
+        zero = F.lit(0).cast("long")
+        g = rep.where(F.col("__x").isNotNull()).groupBy("__fa", "__x").agg(*[
+            F.sum(F.when(F.col(f) == F.lit(lv), F.col("__w")).otherwise(zero)).alias(f"__c{k}")
+            for k, (f, lv) in enumerate(slots)])
+        cells = g.select("__fa", "__x", F.inline(F.array(*[
+            F.struct(F.lit(idx[f]).alias("__fb"), F.lit(lv).alias("y"), F.col(f"__c{k}").alias("nij"))
+            for k, (f, lv) in enumerate(slots)])))
+        cells = cells.where((F.col("__fb") > F.col("__fa")) & (F.col("nij") > 0)).select(
+            (F.col("__fa") * len(features) + F.col("__fb")).alias("pair"),
+            F.col("__x").alias("x"), "y", "nij")
+        v = _cramers_from_cells(cells, ["pair"])
+        names = _lit_table(spark, [(idx[a] * len(features) + idx[b], a, b) for a, b in pairs],
+                           ["pair", "feature_a", "feature_b"])
+        v = names.join(F.broadcast(v), "pair", "left").drop("pair")
+    else:
+        arr = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                                 F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
+        cells = (spread.select("__w", F.inline(arr))
+                 .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+                 .groupBy("feature_a", "feature_b", "x", "y").agg(F.sum("__w").alias("nij")))
+        v = _cramers_from_cells(cells, ["feature_a", "feature_b"])
+        dom = _lit_table(spark, [(a, b) for a, b in pairs], ["feature_a", "feature_b"])
+        v = dom.join(F.broadcast(v), ["feature_a", "feature_b"], "left")
+    upper = v.select("feature_a", "feature_b", F.coalesce("cramers_v", F.lit(0.0)).alias("cramers_v"))
     lower = upper.select(F.col("feature_b").alias("feature_a"),
                          F.col("feature_a").alias("feature_b"), "cramers_v")
-    diag = _lit_table(df.sparkSession, [(f, f, 1.0) for f in features],
+    diag = _lit_table(spark, [(f, f, 1.0) for f in features],
                       ["feature_a", "feature_b", "cramers_v"])
     return upper.unionByName(lower).unionByName(diag)
 
