@@ -38,13 +38,22 @@ def argmax_predict(df: DataFrame, probs=("p0", "p1", "p2"), out: str = "pred") -
     return df.withColumn(out, argmax3(*probs))
 
 
+REGISTRY_BROADCAST_ROWS = 100_000
+
+
 def threshold_match(models: DataFrame, registry: DataFrame, artifact: str = "model_artifact"
                     ) -> DataFrame:
     """Per model, the registered threshold if (and only if) the entry is
-    ``ready``, belongs to that artifact and has a threshold; else null."""
+    ``ready``, belongs to that artifact and has a threshold; else null.
+
+    The registry (one row per artifact) is broadcast after its size is
+    checked; a larger one is a regular join."""
     ok = (F.col("r.status") == "ready") & F.col("r.threshold").isNotNull()
-    reg = registry.select(F.col(artifact).alias("__a"), "status", "threshold").alias("r")
-    j = models.alias("m").join(F.broadcast(reg), F.col(f"m.{artifact}") == F.col("r.__a"), "left")
+    reg = registry.select(F.col(artifact).alias("__a"), "status", "threshold")
+    if reg.limit(REGISTRY_BROADCAST_ROWS + 1).count() <= REGISTRY_BROADCAST_ROWS:
+        reg = F.broadcast(reg)
+    reg = reg.alias("r")
+    j = models.alias("m").join(reg, F.col(f"m.{artifact}") == F.col("r.__a"), "left")
     return j.select("m.*", F.when(ok, F.col("r.threshold")).alias("threshold"))
 
 

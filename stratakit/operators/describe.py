@@ -118,7 +118,8 @@ def composition(df: DataFrame, feature: str, order: list, class_col: str = "seve
     """
     c = F.col(class_col)
     lvl = F.col(feature).cast("string")
-    g = (df.where(lvl.isNotNull() & c.isin(*classes)).groupBy(lvl.alias("level"))
+    wanted = [str(v) for v in order]
+    g = (df.where(lvl.isin(*wanted) & c.isin(*classes)).groupBy(lvl.alias("level"))
            .agg(*[F.count_if(c == v).alias(f"__{i}") for i, v in enumerate(classes)]))
     dom = _lit_table(df.sparkSession, [(i, str(v)) for i, v in enumerate(order)],
                      ["position", "level"])
@@ -142,7 +143,7 @@ def weekday_hour_pivot(df: DataFrame, day_col: str = "day_of_week", hour_col: st
     the 7-row weekday domain is a broadcast left join.
     """
     h = F.col(hour_col)
-    g = df.where(F.col(day_col).isNotNull() & h.between(0, 23)).groupBy(
+    g = df.where(F.col(day_col).isin(*day_order) & h.between(0, 23)).groupBy(
         F.col(day_col).alias("__day")).agg(*[F.count_if(h == k).alias(f"h{k}") for k in range(24)])
     dom = _lit_table(df.sparkSession, [(i, d) for i, d in enumerate(day_order)],
                      ["position", day_col])
@@ -165,8 +166,12 @@ def temporal_counts(df: DataFrame, month_col: str = "month", season_col: str = "
             ("weekday", day_col, list(DAY_ORDER)), ("hour", hour_col, [str(h) for h in range(24)])]
     long = df.select(*[F.col(c).cast("string").alias(d) for d, c, _ in dims]).unpivot(
         [], [d for d, _, _ in dims], "dimension", "level")
-    g = long.where(F.col("level").isNotNull()).groupBy("dimension", "level").agg(
-        F.count(F.lit(1)).alias("__n"))
+    in_domain = None
+    for d, _, vals in dims:
+        cond = (F.col("dimension") == d) & F.col("level").isin(*vals)
+        in_domain = cond if in_domain is None else (in_domain | cond)
+    # only domain levels survive, so the broadcast side has at most 47 rows
+    g = long.where(in_domain).groupBy("dimension", "level").agg(F.count(F.lit(1)).alias("__n"))
     dom = _lit_table(df.sparkSession,
                      [(d, i, v) for d, _, vals in dims for i, v in enumerate(vals)],
                      ["dimension", "position", "level"])
@@ -209,13 +214,16 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
                       F.coalesce("cramers_v", F.lit(0.0)).alias("cramers_v"))
 
 
-def feature_levels(df: DataFrame, features: list[str]) -> dict[str, list[str]]:
+def feature_levels(df: DataFrame, features: list[str], max_total: int = 1_000_000
+                   ) -> dict[str, list[str]]:
     """Distinct non-null levels (as strings) per feature: one unpivot and a
     partial+final aggregate; the result (a few dozen values per categorical
     feature) is collected."""
     rows = (df.select(*[F.col(f).cast("string").alias(f) for f in features])
             .unpivot([], features, "feature", "level").where(F.col("level").isNotNull())
-            .distinct().collect())
+            .distinct().limit(max_total + 1).collect())
+    if len(rows) > max_total:
+        raise ValueError(f"more than {max_total} levels: these are not categorical features")
     out: dict[str, list[str]] = {f: [] for f in features}
     for r in rows:
         out[r["feature"]].append(r["level"])
@@ -241,11 +249,13 @@ def association_matrix(df: DataFrame, features: list[str], max_cells: int = 4096
     idx = {f: i for i, f in enumerate(features)}
     compact = df.groupBy(*[F.col(f).cast("string").alias(f) for f in features]).agg(
         F.count(F.lit(1)).alias("__w")).cache()
-    levels = feature_levels(compact, features)
+    # when combinations do not saturate (near-continuous features) the level
+    # dictionary could be large: then the pair cells are grouped by key
+    levels = feature_levels(compact, features) if compact.count() <= (1 << 24) else None
     # the compacted table is small in bytes, so AQE folds it into few
     # partitions; an explicit count spreads it before it is multiplied
     spread = compact.repartition(spark.sparkContext.defaultParallelism)
-    if sum(len(v) for v in levels.values()) <= max_cells:
+    if levels is not None and sum(len(v) for v in levels.values()) <= max_cells:
         slots = [(f, lv) for f in features for lv in levels[f]]
         rep = spread.select("__w", *features, F.inline(F.array(*[
             F.struct(F.lit(i).alias("__fa"), F.col(f).alias("__x")) for i, f in enumerate(features)])))
@@ -282,25 +292,6 @@ def association_matrix(df: DataFrame, features: list[str], max_cells: int = 4096
 
 # --- C12 / C13 --------------------------------------------------------------
 
-def midranks(df: DataFrame, column: str, out: str | None = None,
-             broadcast_limit: int = 2_000_000, weight: str | None = None) -> DataFrame:
-    """Average (tie-shared) ranks of ``column`` as a new column.
-
-    Value counts -> running sum over the *distinct values* -> join back.
-    The lookup is broadcast only when its checked size is under
-    ``broadcast_limit`` distinct values; otherwise it is a shuffle join.
-    ``weight`` names a row-multiplicity column (compacted input).
-    """
-    out = out or f"{column}__rank"
-    w = F.col(weight) if weight else F.lit(1)
-    vc = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum(w).alias("__n"))
-    cum = F.sum("__n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    lut = vc.select(column, (cum - (F.col("__n") - 1) / 2.0).alias(out))
-    n_distinct = vc.count()
-    lut = F.broadcast(lut) if n_distinct <= broadcast_limit else lut
-    return df.join(lut, column, "left")
-
-
 def weighted_corr(df: DataFrame, pairs: list[tuple[str, str]], weight: str) -> DataFrame:
     """Pearson correlation of column pairs over rows with multiplicities,
     centred in two small passes (means, then centred cross products)."""
@@ -321,16 +312,28 @@ def weighted_corr(df: DataFrame, pairs: list[tuple[str, str]], weight: str) -> D
         .alias(f"{a}|{b}") for a, b in pairs])
 
 
-def rank_table(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
-    """``(column, value, rank)``: midranks of every column from one unpivot
-    and one aggregate; the running sums run over distinct values only."""
+def rank_table(df: DataFrame, columns: list[str], weight: str | None = None,
+               target_rows: int = 1 << 20) -> DataFrame:
+    """``(column, value, rank)``: midranks of every column.
+
+    Value counts of all columns come from one unpivot + aggregate; the
+    running sums then run per column over its *distinct values* with the
+    bucketed running totals (bounded tasks even for continuous columns).
+    """
+    from .sampling import running_totals
+
     w = F.col(weight) if weight else F.lit(1)
     long = df.select(w.alias("__w"), *columns).unpivot(["__w"], columns, "column", "value") \
         .where(F.col("value").isNotNull())
     vc = long.groupBy("column", "value").agg(F.sum("__w").alias("__n"))
-    cum = F.sum("__n").over(Window.partitionBy("column").orderBy("value")
-                            .rowsBetween(Window.unboundedPreceding, 0))
-    return vc.select("column", "value", (cum - (F.col("__n") - 1) / 2.0).alias("rank"))
+    out = None
+    for c in columns:
+        one = vc.where(F.col("column") == c).select("value", "__n")
+        r = running_totals(one, "value", ["__n"], target_rows=target_rows)
+        r = r.select(F.lit(c).alias("column"), F.col("value").cast("double").alias("value"),
+                     (F.col("cum___n") - (F.col("__n") - 1) / 2.0).alias("rank"))
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 def spearman(df: DataFrame, columns: list[str], compact_limit: int = 5_000_000,
@@ -388,19 +391,17 @@ def within_class_dist(df: DataFrame, feature: str, class_col: str = "label",
     """Per class, the share of each level (all classes shown, 0 if absent).
 
     One aggregate to per-level class counts (dense by construction, no grid
-    join), then class totals over that level table, which is bounded by the
-    feature's cardinality.
+    join); the class totals are a second one-row aggregate, read as scalars.
     """
     lvl = F.col(feature).cast("string")
     c = F.col(class_col)
-    g = (df.where(c.isin(*classes) & lvl.isNotNull()).groupBy(lvl.alias("level"))
-           .agg(*[F.count_if(c == k).alias(f"__c{i}") for i, k in enumerate(classes)]))
-    whole = Window.partitionBy()
-    g = g.select("level", *[F.col(f"__c{i}") for i in range(len(classes))],
-                 *[F.sum(f"__c{i}").over(whole).alias(f"__t{i}") for i in range(len(classes))])
+    base = df.where(c.isin(*classes) & lvl.isNotNull())
+    totals = base.agg(*[F.count_if(c == k).alias(f"t{i}") for i, k in enumerate(classes)]).first()
+    g = base.groupBy(lvl.alias("level")).agg(
+        *[F.count_if(c == k).alias(f"__c{i}") for i, k in enumerate(classes)])
     long = g.select("level", F.inline(F.array(*[
         F.struct(F.lit(k).alias("class"), F.col(f"__c{i}").alias("count"),
-                 F.col(f"__t{i}").alias("total")) for i, k in enumerate(classes)])))
+                 F.lit(int(totals[f"t{i}"])).alias("total")) for i, k in enumerate(classes)])))
     return long.select(
         F.lit(feature).alias("feature"), F.col("class").cast("int").alias("class"), "level",
         F.col("count").cast("bigint").alias("count"),

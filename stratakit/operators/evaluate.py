@@ -234,53 +234,29 @@ def select_candidate(summary: DataFrame, rule: str = "alpha", order_col: str | N
 # --- F10 / F11 / F12 --------------------------------------------------------
 
 def pr_curve(df: DataFrame, y: str, score: str, positive: int = 0,
-             target_rows: int = 1 << 20, max_buckets: int = 4096) -> DataFrame:
+             target_rows: int = 1 << 20) -> DataFrame:
     """Precision/recall of ``score`` for class ``positive`` at every distinct
     score (descending thresholds), plus the end point (precision 1, recall 0).
 
     Cumulative sums run over *distinct scores*, never rows (a score shared by
-    many rows is one entry).  The distinct scores are split into quantile
-    buckets of about ``target_rows`` each (approximate quantiles of the
-    distinct scores, JVM-side binary search by ``Bucketizer``): per-bucket
-    totals -> offsets over at most ``max_buckets`` rows (broadcast, bounded
-    by construction) -> running sums inside each bucket.
+    many rows is one entry), with the bucketed running totals of
+    ``sampling.running_totals`` - no task holds more than one bucket.
     """
-    from pyspark.ml.feature import Bucketizer
+    from .sampling import running_totals
 
     s = F.col(score).cast("double")
     pos = F.col(y) == positive
     g = (df.where(s.isNotNull() & ~F.isnan(s))
            .groupBy(s.alias("threshold"))
            .agg(F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg")))
-    n_distinct = g.count()
-    n_buckets = max(1, min(max_buckets, -(-n_distinct // target_rows)))
-    if n_buckets > 1:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        cuts = sorted(set(g.approxQuantile("threshold", probs, 1.0 / (4 * n_buckets))))
-        splits = [-float("inf")] + cuts + [float("inf")]
-        g = Bucketizer(splits=splits, inputCol="threshold", outputCol="__bd").transform(g) \
-            .withColumn("__b", F.col("__bd").cast("int")).drop("__bd")
-    else:
-        g = g.withColumn("__b", F.lit(0))
-    bt = g.groupBy("__b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    above = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    off = bt.select("__b", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("op"),
-                    F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("on"),
-                    F.sum("bp").over(whole).alias("total_pos"))
-    j = g.join(F.broadcast(off), "__b")
-    run = Window.partitionBy("__b").orderBy(F.desc("threshold")).rowsBetween(
-        Window.unboundedPreceding, 0)
-    j = j.select("threshold", "pos", "neg", "total_pos",
-                 (F.col("op") + F.sum("pos").over(run)).alias("tp"),
-                 (F.col("on") + F.sum("neg").over(run)).alias("fp"))
+    j = running_totals(g, "threshold", ["pos", "neg"], descending=True, target_rows=target_rows,
+                       total_suffix="_total")
+    tp, fp, total = F.col("cum_pos"), F.col("cum_neg"), F.col("pos_total")
     pts = j.select(
-        "threshold", F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
+        "threshold", tp.cast("bigint").alias("tp"), fp.cast("bigint").alias("fp"),
         F.col("pos").cast("bigint").alias("pos"),
-        F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp")))
-         .otherwise(F.lit(0.0)).alias("precision"),
-        F.when(F.col("total_pos") > 0, F.col("tp") / F.col("total_pos")).otherwise(F.lit(1.0))
-         .alias("recall"))
+        F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0)).alias("precision"),
+        F.when(total > 0, tp / total).otherwise(F.lit(1.0)).alias("recall"))
     end = df.sparkSession.range(1).select(
         F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("bigint").alias("tp"),
         F.lit(0).cast("bigint").alias("fp"), F.lit(0).cast("bigint").alias("pos"),

@@ -19,6 +19,7 @@ from .describe import bin_index, histogram_edges
 
 R9 = 9
 MISSING = "<missing>"
+MAX_DESIGN_LEVELS = 100_000   # guard: levels are collected to build the feature table
 
 
 def _pair_overlaps(per_level: DataFrame, classes=(0, 1, 2), names=CLASS_NAMES) -> DataFrame:
@@ -276,7 +277,10 @@ def feature_table(df: DataFrame, categorical: list[str], numeric: list[str]) ->
     if categorical:
         lv = (df.select(*[F.col(c).cast("string").alias(c) for c in categorical])
               .unpivot([], categorical, "source", "level").where(F.col("level").isNotNull())
-              .distinct().collect())
+              .distinct().limit(MAX_DESIGN_LEVELS + 1).collect())
+        if len(lv) > MAX_DESIGN_LEVELS:
+            raise ValueError(f"more than {MAX_DESIGN_LEVELS} categorical levels: "
+                             "not a one-hot design")
         by_src: dict[str, list[str]] = {}
         for r in lv:
             by_src.setdefault(r["source"], []).append(r["level"])
@@ -362,8 +366,10 @@ def permutation_importance(model, df: DataFrame, sources: list[str], row_id: str
         allv = allv.unionByName(p)
     scored = with_probs(model.transform(allv)).withColumn("__pred", argmax3(*PROB_COLS))
     m = class_metrics(scored, label, "__pred", ["__variant"]).select("__variant", "macro_f1")
-    base = m.where(F.col("__variant") == "<none>").select(F.col("macro_f1").alias("__base"))
-    out = m.where(F.col("__variant") != "<none>").join(F.broadcast(base), how="cross")
+    # one row per variant: the baseline is read off the same small table
+    whole = Window.partitionBy()
+    base = F.max(F.when(F.col("__variant") == "<none>", F.col("macro_f1"))).over(whole)
+    out = m.select("*", base.alias("__base")).where(F.col("__variant") != "<none>")
     r = Window.orderBy(F.desc("drop"), "feature")
     return out.select(F.col("__variant").alias("feature"), F.round("macro_f1", R9).alias("macro_f1"),
                       F.round(F.col("__base") - F.col("macro_f1"), R9).alias("drop")) \
