@@ -352,7 +352,7 @@ def permutation_importance(model, df: DataFrame, sources: list[str], row_id: str
     variants.update(groups)
     cols = sorted({c for cs in variants.values() for c in cs})
     n = group_counts(df, None)[None]
-    ranked = exact_rank(df, row_id, None, seed, "__r", {None: n})
+    ranked = exact_rank(df, row_id, None, seed, "__r")
     partner = ranked.select(F.pmod(F.col("__r"), F.lit(n)).alias("__pr"),
                             *[F.col(c).alias(f"__p_{c}") for c in cols])
     paired = ranked.join(partner, F.col("__r") - 1 == F.col("__pr")).drop("__r", "__pr")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..presets import RANDOM_STATE
 
 TARGET_BUCKET_ROWS = 1 << 20
-BROADCAST_OFFSET_ROWS = 1 << 19
+DIGITS = 4            # 16**4 = 65,536 order-key buckets per stratum
 
 
 def order_key(row_id: str, seed: int = RANDOM_STATE) -> Column:
@@ -42,73 +42,78 @@ def group_counts(df: DataFrame, label: str | None) -> dict:
     return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
 
 
-def _digits(max_group: int, target_rows: int) -> int:
-    if max_group <= target_rows:
-        return 1
-    return max(1, min(6, math.ceil(math.log(max_group / target_rows, 16)) + 1))
-
-
-def _offsets(tagged: DataFrame, parts: list[str], n_groups: int, digits: int) -> DataFrame:
-    bc = tagged.groupBy(*parts, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    off = bc.select(*parts, "__b", "__n", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    if n_groups * 16 ** digits <= BROADCAST_OFFSET_ROWS:   # size bound known before the join
-        off = F.broadcast(off)
-    return off
-
-
-def _tag(df: DataFrame, row_id: str, label: str | None, seed: int, digits: int) -> DataFrame:
+def _tag(df: DataFrame, row_id: str, seed: int, digits: int) -> DataFrame:
     h = order_key(row_id, seed)
     return df.withColumn("__h", h).withColumn(
         "__b", F.conv(F.substring("__h", 1, digits), 16, 10).cast("bigint"))
 
 
-def exact_rank(df: DataFrame, row_id: str, label: str | None = None, seed: int = RANDOM_STATE,
-               out: str = "rank", counts: dict | None = None,
-               target_rows: int = TARGET_BUCKET_ROWS) -> DataFrame:
-    """1-based rank of every row by (md5 key, row_id) within ``label``."""
-    counts = counts or group_counts(df, label)
-    digits = _digits(max(counts.values(), default=0), target_rows)
-    parts = [label] if label else []
-    tagged = _tag(df, row_id, label, seed, digits)
-    off = _offsets(tagged, parts, len(counts), digits)
-    joined = tagged.join(off.drop("__n"), parts + ["__b"])
-    w = Window.partitionBy(*parts, "__b").orderBy("__h", row_id)
-    return joined.withColumn(out, F.col("__off") + F.row_number().over(w)).drop(
-        "__h", "__b", "__off")
+def _bucket_table(tagged: DataFrame, parts: list[str]) -> DataFrame:
+    """``(parts, __b, __n, __off, __cls)``: rows per (stratum, bucket), rows in
+    earlier buckets of the stratum, and the stratum size.  At most
+    ``strata x 16**digits`` rows, whatever the input size."""
+    bt = tagged.groupBy(*parts, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    prev = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*parts)
+    return bt.select(*parts, "__b", "__n", F.coalesce(F.sum("__n").over(prev), F.lit(0)).alias("__off"),
+                     F.sum("__n").over(whole).alias("__cls"))
+
+
+def _strata(bt: DataFrame, parts: list[str]) -> DataFrame:
+    """One row per stratum with its size ``n_c`` (from the bucket table)."""
+    return bt.select(*parts, F.col("__cls").alias("n_c")).distinct()
+
 
+def _stratum(df: DataFrame, label: str | None) -> tuple[DataFrame, list[str]]:
+    """Unstratified ranking is one constant stratum (keeps every join keyed)."""
+    if label:
+        return df, [label]
+    return df.withColumn("__all", F.lit(0)), ["__all"]
 
-def rank_at_most(df: DataFrame, row_id: str, label: str | None, quotas: dict,
-                 seed: int = RANDOM_STATE, out: str = "selected", counts: dict | None = None,
-                 target_rows: int = TARGET_BUCKET_ROWS, default_all: bool = True) -> DataFrame:
-    """Tag ``out`` = (rank within label <= quota[label]).
 
-    Labels missing from ``quotas`` are wholly selected (``default_all``) or
-    not at all.  Only buckets that straddle a quota are ranked by a window;
-    all other rows are decided from bucket offsets.
+def exact_rank(df: DataFrame, row_id: str, label: str | None = None, seed: int = RANDOM_STATE,
+               out: str = "rank", digits: int = DIGITS, with_strata: bool = False) -> DataFrame:
+    """1-based rank of every row by (md5 key, row_id) within ``label``.
+
+    The bucket table is joined back without a hint: AQE broadcasts it when
+    its measured size is small, else it is a shuffle join on (stratum,
+    bucket) - the same partitioning the window then reuses."""
+    df, parts = _stratum(df, label)
+    tagged = _tag(df, row_id, seed, digits)
+    bt = _bucket_table(tagged, parts)
+    joined = tagged.join(bt.drop("__n"), parts + ["__b"])
+    w = Window.partitionBy(*parts, "__b").orderBy("__h", row_id)
+    ranked = joined.withColumn(out, F.col("__off") + F.row_number().over(w))
+    drop = ["__h", "__b", "__off"] + ([] if with_strata else ["__cls"]) + \
+        ([] if label else ["__all"])
+    return ranked.drop(*drop)
+
+
+def rank_at_most(df: DataFrame, row_id: str, label: str | None, quota_fn,
+                 seed: int = RANDOM_STATE, out: str = "selected", digits: int = DIGITS
+                 ) -> DataFrame:
+    """Tag ``out`` = (rank within stratum <= quota of the stratum).
+
+    ``quota_fn`` adds ``__q`` to the per-stratum table ``(stratum, n_c)``
+    (row-preserving: expressions or windows over that tiny table).  It runs
+    inside the plan, from the bucket table - no driver round trip and no
+    extra pass.  Buckets wholly below or above the quota are decided from
+    their offsets; only the one straddling bucket per stratum is ranked by a
+    window.
     """
-    counts = counts or group_counts(df, label)
-    digits = _digits(max(counts.values(), default=0), target_rows)
-    parts = [label] if label else []
-    tagged = _tag(df, row_id, label, seed, digits)
-    off = _offsets(tagged, parts, len(counts), digits)
-    big = 1 << 62
-    if label is None:
-        q = F.lit(int(quotas[None]))
-    else:
-        qmap = {k: int(v) for k, v in quotas.items() if k is not None}
-        q = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in qmap.items()
-                                                      for x in (F.lit(k), F.lit(v))]),
-                                        F.col(label)) if qmap else F.lit(None).cast("bigint"),
-                       F.lit(big if default_all else 0))
-    joined = tagged.join(off, parts + ["__b"]).withColumn("__q", q)
+    df, parts = _stratum(df, label)
+    tagged = _tag(df, row_id, seed, digits)
+    bt = _bucket_table(tagged, parts)
+    quotas = quota_fn(_strata(bt, parts)).select(*parts, "__q")
+    bq = bt.join(quotas, parts, "left").withColumn("__q", F.coalesce(F.col("__q"), F.col("__cls")))
+    joined = tagged.join(bq.drop("__cls"), parts + ["__b"])
     below = F.col("__off") + F.col("__n") <= F.col("__q")     # bucket wholly selected
     above = F.col("__off") >= F.col("__q")                     # bucket wholly excluded
     decided = joined.where(below | above).withColumn(out, below)
     edge = joined.where(~(below | above))
     w = Window.partitionBy(*parts, "__b").orderBy("__h", row_id)
     ranked = edge.withColumn(out, F.col("__off") + F.row_number().over(w) <= F.col("__q"))
-    drop = ["__h", "__b", "__off", "__n", "__q"]
+    drop = ["__h", "__b", "__off", "__n", "__q"] + ([] if label else ["__all"])
     return decided.drop(*drop).unionByName(ranked.drop(*drop))
 
 
@@ -128,13 +133,26 @@ def split_quotas(counts: dict, test_size: float = 0.2) -> dict:
     return floors
 
 
+def split_quota_table(strata: DataFrame, label: str, test_size: float = 0.2) -> DataFrame:
+    """``split_quotas`` as a plan over the (tiny) per-class table: total
+    ``ceil(test_size * n)`` in double arithmetic, integer floors, the
+    remainder to the largest fractional parts, ties to the lower class."""
+    whole = Window.partitionBy()
+    t = strata.select(label, "n_c", F.sum("n_c").over(whole).alias("__nt"))
+    t = t.withColumn("__t", F.ceil(F.lit(float(test_size)) * F.col("__nt")).cast("bigint"))
+    t = t.withColumn("__fl", F.expr("(__t * n_c) div __nt")) \
+         .withColumn("__rem", F.expr("(__t * n_c) % __nt"))
+    t = t.withColumn("__extra", F.col("__t") - F.sum("__fl").over(whole)) \
+         .withColumn("__r", F.row_number().over(Window.orderBy(F.desc("__rem"), F.asc(label))))
+    return t.withColumn("__q", F.col("__fl") + (F.col("__r") <= F.col("__extra")).cast("bigint"))
+
+
 def stratified_split(df: DataFrame, label: str, row_id: str, test_size: float = 0.2,
-                     seed: int = RANDOM_STATE, out: str = "is_test",
-                     target_rows: int = TARGET_BUCKET_ROWS) -> DataFrame:
+                     seed: int = RANDOM_STATE, out: str = "is_test", digits: int = DIGITS
+                     ) -> DataFrame:
     """Tag rows with ``is_test``; exact per-class test counts."""
-    counts = group_counts(df, label)
-    return rank_at_most(df, row_id, label, split_quotas(counts, test_size), seed, out, counts,
-                        target_rows)
+    return rank_at_most(df, row_id, label, lambda st: split_quota_table(st, label, test_size),
+                        seed, out, digits)
 
 
 def train_test(df: DataFrame, label: str, row_id: str, test_size: float = 0.2,
@@ -147,31 +165,37 @@ def train_test(df: DataFrame, label: str, row_id: str, test_size: float = 0.2,
 # --- D2 ---------------------------------------------------------------------
 
 def stratified_kfold(df: DataFrame, label: str, row_id: str, k: int = 5,
-                     seed: int = RANDOM_STATE, out: str = "fold",
-                     target_rows: int = TARGET_BUCKET_ROWS) -> DataFrame:
-    """``fold`` in 0..k-1; per-class and total fold sizes differ by <= 1."""
+                     seed: int = RANDOM_STATE, out: str = "fold", digits: int = DIGITS
+                     ) -> DataFrame:
+    """``fold`` in 0..k-1; per-class and total fold sizes differ by <= 1.
+
+    ``fold = (class offset + rank - 1) mod k`` where the class offset is the
+    number of rows in lower classes (from the per-class table, in the plan).
+    """
     if k < 2:
         raise ValueError("k must be at least 2")
-    counts = group_counts(df, label)
-    offset, acc = {}, 0
-    for c in sorted(counts):
-        offset[c] = acc
-        acc += counts[c]
-    ranked = exact_rank(df, row_id, label, seed, "__rank", counts, target_rows)
-    omap = F.create_map(*[x for c, v in offset.items() for x in (F.lit(c), F.lit(v))])
-    fold = F.pmod(F.element_at(omap, F.col(label)) + F.col("__rank") - 1, F.lit(k)).cast("int")
-    return ranked.withColumn(out, fold).drop("__rank")
+    ranked = exact_rank(df, row_id, label, seed, "__rank", digits, with_strata=True)
+    strata = ranked.select(label, F.col("__cls").alias("n_c")).distinct()
+    prev = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+    offs = strata.select(label, F.coalesce(F.sum("n_c").over(prev), F.lit(0)).alias("__co"))
+    j = ranked.drop("__cls").join(F.broadcast(offs), label)   # one row per class
+    fold = F.pmod(F.col("__co") + F.col("__rank") - 1, F.lit(k)).cast("int")
+    return j.withColumn(out, fold).drop("__rank", "__co")
 
 
 # --- D3 ---------------------------------------------------------------------
 
 def undersample_caps(df: DataFrame, label: str, row_id: str, caps: dict,
-                     seed: int = RANDOM_STATE) -> DataFrame:
+                     seed: int = RANDOM_STATE, digits: int = DIGITS) -> DataFrame:
     """Keep every row of uncapped classes and ``min(n_c, cap_c)`` of capped
     ones, without replacement (exact counts, unlike ``sampleBy``)."""
-    counts = group_counts(df, label)
-    quotas = {c: min(counts.get(c, 0), int(cap)) for c, cap in caps.items()}
-    tagged = rank_at_most(df, row_id, label, quotas, seed, "__keep", counts)
+    cmap = F.create_map(*[x for c, v in caps.items() for x in (F.lit(c), F.lit(int(v)))]) \
+        if caps else None
+
+    def quota(st: DataFrame) -> DataFrame:
+        cap = F.try_element_at(cmap, F.col(label)) if cmap is not None else F.lit(None)
+        return st.withColumn("__q", F.least(F.col("n_c"), F.coalesce(cap.cast("bigint"), F.col("n_c"))))
+    tagged = rank_at_most(df, row_id, label, quota, seed, "__keep", digits)
     return tagged.where("__keep").drop("__keep")
 
 
@@ -212,9 +236,11 @@ def interp_weights(df: DataFrame, label: str, alpha: float, out: str = "weight",
 
 # --- D8 ---------------------------------------------------------------------
 
-def fixed_sample(df: DataFrame, row_id: str, n: int = 2000, seed: int = RANDOM_STATE) -> DataFrame:
+def fixed_sample(df: DataFrame, row_id: str, n: int = 2000, seed: int = RANDOM_STATE,
+                 digits: int = DIGITS) -> DataFrame:
     """``min(n, rows)`` rows chosen by the order key (not ``sample(fraction)``)."""
-    tagged = rank_at_most(df, row_id, None, {None: n}, seed, "__keep")
+    quota = lambda st: st.withColumn("__q", F.least(F.col("n_c"), F.lit(int(n))))
+    tagged = rank_at_most(df, row_id, None, quota, seed, "__keep", digits)
     return tagged.where("__keep").drop("__keep")
 
 

@@ -18,7 +18,7 @@ def _frame(spark, n=3000, parts=None):
 
 def test_exact_rank_equals_the_plain_window(spark):
     df = _frame(spark, 10_000)
-    got = S.exact_rank(df, "row_id", "label", target_rows=64)   # force many buckets
+    got = S.exact_rank(df, "row_id", "label", digits=1)   # 16 buckets: big windows
     w = Window.partitionBy("label").orderBy(S.order_key("row_id"), "row_id")
     ref = df.withColumn("ref", F.row_number().over(w))
     j = got.join(ref, ["row_id", "label"])
@@ -34,8 +34,11 @@ def test_split_is_partition_independent_and_exact(spark, parts):
     assert sorted(base) == sorted(other)
     counts = {r.label: r["count"] for r in _frame(spark).groupBy("label").count().collect()}
     quotas = S.split_quotas(counts, 0.2)
+    planned = {r.label: r["__q"] for r in S.split_quota_table(
+        spark.createDataFrame(list(counts.items()), "label int, n_c long"), "label").collect()}
+    assert planned == quotas
     assert sum(quotas.values()) == math.ceil(0.2 * 3000)
-    tagged = S.stratified_split(_frame(spark, parts=parts), "label", "row_id", target_rows=32)
+    tagged = S.stratified_split(_frame(spark, parts=parts), "label", "row_id", digits=1)
     got = {r.label: r["count"] for r in tagged.where("is_test").groupBy("label").count().collect()}
     assert got == quotas
 
@@ -48,7 +51,7 @@ def test_split_quotas_reproduce_the_published_counts():
 
 
 def test_kfold_sizes_differ_by_at_most_one(spark):
-    folds = S.stratified_kfold(_frame(spark), "label", "row_id", k=5, target_rows=64)
+    folds = S.stratified_kfold(_frame(spark), "label", "row_id", k=5, digits=2)
     per = folds.groupBy("label", "fold").count().collect()
     for lab in (0, 1, 2):
         sizes = [r["count"] for r in per if r.label == lab]
