@@ -168,3 +168,23 @@ def q_sci(spark, d):
 def q_blank(spark, d):
     c = I.table(spark, d, "conversations")
     return c.select("conv_id", "turn", X.any_blank(["text", "role"]).alias("blank"))
+
+
+_RAW_SCHEMA = ("row_index bigint, accident_index string, severity_code int, date_str string, "
+               "time_str string, day_of_week int, first_road_class int, second_road_class int, "
+               "road_type string, speed_limit int, crossing string, light string, area int, "
+               "location_e6 bigint, number_of_vehicles int, src_year int")
+
+
+@register("scan_csv", with_ctes(["collisions_raw"], "SELECT * FROM collisions_raw"))
+def q_scan_csv(spark, d):
+    """A1 + A2: the raw view written as headered CSV to the shared folder and
+    scanned back with an explicit schema and the full null-token set."""
+    from pyspark.sql import types as T
+
+    from ..sources.csv import read_raw
+    from ..sources.sinks import scratch_path, write_table
+
+    path = write_table(I.raw(spark, d), scratch_path(spark, "csv"), "csv")
+    schema = T.StructType.fromDDL(_RAW_SCHEMA)
+    return read_raw(spark, path, schema)

@@ -108,3 +108,55 @@ def q_oof(spark, d):
     n = I.model_frame(spark, d).count()
     parts = [tagged.where(F.col("fold") == f) for f in range(5)]
     return S.oof_assemble(parts, "row_index", ["p0", "p1", "p2"], n)
+
+
+# --- E1: one-hot design fitted on training rows, applied to a test sample ---
+
+_CATS = ["road_type", "light", "first_road_class", "second_road_class", "crossing", "day_of_week",
+         "area", "Season"]
+_NUMS = ["speed_limit", "hour_sin", "hour_cos", "rush_hour"]
+_TRAIN_LV = " UNION ALL ".join(
+    f"SELECT DISTINCT '{c}' AS source, {i} AS ord, CAST(\"{c}\" AS VARCHAR) AS level FROM tr"
+    for i, c in enumerate(_CATS))
+_DESIGN_SQL = f"""
+  SELECT s.row_index, f.position, CAST(CAST(u.v AS VARCHAR) = f.level AS DOUBLE) AS x
+  FROM sample s
+  JOIN ({" UNION ALL ".join(f"SELECT row_index, '{c}' AS source, CAST(\"{c}\" AS VARCHAR) AS v FROM sample" for c in _CATS)}) u
+    ON u.row_index = s.row_index
+  JOIN feats f ON f.source = u.source AND f.level IS NOT NULL
+  UNION ALL
+  SELECT u.row_index, f.position, u.x
+  FROM ({" UNION ALL ".join(f"SELECT row_index, '{c}' AS source, CAST(\"{c}\" AS DOUBLE) AS x FROM sample" for c in _NUMS)}) u
+  JOIN feats f ON f.source = u.source AND f.level IS NULL"""
+
+
+@register("one_hot_design", with_ctes(["model_frame"], _DESIGN_SQL, extra=[
+    ("quotas", QUOTAS), ("split", SPLIT),
+    ("tr", "SELECT m.* FROM model_frame m JOIN split s USING (row_index) WHERE NOT s.is_test"),
+    ("lv", f"SELECT * FROM ({_TRAIN_LV}) t WHERE level IS NOT NULL"),
+    ("feats", f"""
+      SELECT source, level, CAST(row_number() OVER (ORDER BY ord, level) - 1 AS INTEGER) AS position FROM lv
+      UNION ALL SELECT name, NULL, CAST((SELECT count(*) FROM lv) + i AS INTEGER)
+      FROM (VALUES {", ".join(f"('{c}', {i})" for i, c in enumerate(_NUMS))}) n(name, i)"""),
+    ("sample", """
+      SELECT * FROM (SELECT m.*, row_number() OVER (ORDER BY md5(concat('42:', CAST(m.row_index AS VARCHAR))),
+                                                      m.row_index) AS rk_
+                     FROM model_frame m JOIN split s USING (row_index) WHERE s.is_test) t
+      WHERE rk_ <= 2000""")]))
+def q_one_hot(spark, d):
+    """Indexer (alphabetical levels, unseen -> all-zero block) + one-hot +
+    assembler fitted on the training split, applied to 2,000 test rows; the
+    dense design in long form ``(row_index, position, x)``."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators.learn import build_preprocessor
+
+    mf = I.model_frame(spark, d)
+    tagged = S.stratified_split(mf, "label", "row_index")
+    train = tagged.where(~F.col("is_test")).drop("is_test")
+    test = tagged.where(F.col("is_test")).drop("is_test")
+    pre = Pipeline(stages=build_preprocessor(_CATS, _NUMS)).fit(train)
+    sample = S.fixed_sample(test, "row_index", 2000)
+    vec = pre.transform(sample).select("row_index", vector_to_array("features").alias("__x"))
+    return vec.select("row_index", F.posexplode("__x").alias("position", "x"))
