@@ -85,12 +85,14 @@ class _OvRParams(HasFeaturesCol, HasLabelCol, HasWeightCol, HasSeed):
                                 typeConverter=TypeConverters.toInt)
     minInfoGain = Param(Params._dummy(), "minInfoGain", "min gain", typeConverter=TypeConverters.toFloat)
     maxBins = Param(Params._dummy(), "maxBins", "histogram bins", typeConverter=TypeConverters.toInt)
+    parallelism = Param(Params._dummy(), "parallelism", "per-class fits run at once",
+                        typeConverter=TypeConverters.toInt)
 
     def _ovr_defaults(self):
         self._setDefault(featuresCol="features", labelCol="label", numClasses=3, maxIter=20,
                          maxDepth=5, stepSize=0.1, subsamplingRate=1.0,
                          featureSubsetStrategy="all", minInstancesPerNode=1, minInfoGain=0.0,
-                         maxBins=32, seed=42)
+                         maxBins=32, seed=42, parallelism=1)
 
 
 class BoostedOvR(Estimator, _OvRParams, MLReadable, MLWritable):
@@ -120,11 +122,19 @@ class BoostedOvR(Estimator, _OvRParams, MLReadable, MLWritable):
         cols = [self.getFeaturesCol(), label] + (
             [self.getWeightCol()] if self.isSet("weightCol") and self.getWeightCol() else [])
         base = dataset.select(*cols)
-        models = []
-        for c in range(self.getOrDefault("numClasses")):
+
+        def fit_one(c: int) -> GBTClassificationModel:
             lab = f"__y{c}"
-            models.append(self._gbt(lab).fit(
-                base.withColumn(lab, (F.col(label) == c).cast("double"))))
+            return self._gbt(lab).fit(base.withColumn(lab, (F.col(label) == c).cast("double")))
+
+        classes = range(self.getOrDefault("numClasses"))
+        par = self.getOrDefault("parallelism")
+        if par > 1:   # like OneVsRest.parallelism: concurrent jobs from driver threads
+            from concurrent.futures import ThreadPoolExecutor
+            with ThreadPoolExecutor(max_workers=par) as pool:
+                models = list(pool.map(fit_one, classes))
+        else:
+            models = [fit_one(c) for c in classes]
         m = BoostedOvRModel(models)
         m._set(featuresCol=self.getFeaturesCol(), numClasses=self.getOrDefault("numClasses"))
         return m

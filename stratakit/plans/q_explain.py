@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import explain as G
 from ..operators.sampling import fixed_sample
+from ..session import cut_lineage
 from . import inputs as I
 from .oracle_base import with_ctes
 from .registry import register
@@ -24,13 +25,20 @@ SOURCES = [c for c in CAT_IN] + ["speed_limit", "rush_hour"]
 NAMES = ("Fatal", "Serious", "Slight")
 
 
-def _sample(spark, d):
+def _frame(spark, d):
+    """The modelling frame, written once to the shared checkpoint folder:
+    these queries run several small actions over it."""
+    return cut_lineage(I.model_frame(spark, d))
+
+
+def _sample(spark, d, frame=None):
     # 2000 rows, reused by several small actions: kept in memory once
-    return fixed_sample(I.model_frame(spark, d), "row_index", 2000).cache()
+    return fixed_sample(frame if frame is not None else I.model_frame(spark, d),
+                        "row_index", 2000).cache()
 
 
-def _attr(spark, d):
-    s = _sample(spark, d)
+def _attr(spark, d, frame=None):
+    s = _sample(spark, d, frame)
     feats = G.feature_table(s, CAT_IN, NUM_IN)
     n = feats.count()
     design = G.one_hot_long(s, "row_index", CAT_IN, NUM_IN, feats)
@@ -177,6 +185,7 @@ _ALL_OVERLAPS = (_pairs_sql(f"({_cat_counts(SOURCES)}) c", "feature") + " UNION
   FROM ({_ALL_OVERLAPS}) o JOIN (SELECT rank, source_feature FROM ({_BY_SOURCE}) b WHERE rank <= 5) t
     ON t.source_feature = o.feature""", extra=ATTR_CTES))
 def q_top_feature_overlap(spark, d):
-    a, feats = _attr(spark, d)
+    frame = _frame(spark, d)
+    a, feats = _attr(spark, d, frame)
     by_source = G.attribution_by_source(a, feats)
-    return G.top_feature_overlap(by_source, I.model_frame(spark, d), "label", 5, LABELLED)
+    return G.top_feature_overlap(by_source, frame, "label", 5, LABELLED)

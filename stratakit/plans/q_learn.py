@@ -22,9 +22,10 @@ from .training import cross_validate, interpolated_search, search
 
 L = I.L
 CAT, NUM = L.categorical_inputs, L.numeric_inputs
-SMALL = {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.3}
+SMALL = {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.3, "parallelism": 3}
 FOREST = {"numTrees": 8, "maxDepth": 5}
-CV = dict(categorical=CAT, numeric=NUM, forbidden=list(L.forbidden), row_id="row_index")
+CV = dict(categorical=CAT, numeric=NUM, forbidden=list(L.forbidden), row_id="row_index",
+          parallel_folds=3)
 DERIVED = {"Season", "hour_sin", "hour_cos", "rush_hour"}
 RAW_INPUTS = [c for c in CAT + NUM if c not in DERIVED] + [L.date, L.time]
 

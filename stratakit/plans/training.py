@@ -63,16 +63,22 @@ def cross_validate(frame: DataFrame, *, categorical: list[str], numeric: list[st
                    balance: str = "none", alpha: float | None = None, caps: dict | None = None,
                    collect_oof: bool = False, name: str = "model", slug: str = "model",
                    progress: Callable[[str], None] | None = None, pre_stages: list = (),
-                   ordinal: bool = False, tagged: DataFrame | None = None
-                   ) -> tuple[DataFrame, DataFrame | None]:
+                   ordinal: bool = False, tagged: DataFrame | None = None,
+                   parallel_folds: int = 1) -> tuple[DataFrame, DataFrame | None]:
     """Per-fold metrics (``fold_rows`` layout + row counts) and optional OOF
-    scores (every training row exactly once, finite)."""
+    scores (every training row exactly once, finite).
+
+    ``parallel_folds`` > 1 fits that many folds at once from driver threads
+    (concurrent Spark jobs keep a large cluster busy while each fit's many
+    small stages run); results do not depend on it."""
+    from concurrent.futures import ThreadPoolExecutor
+
     if tagged is None:
         tagged = cut_lineage(stratified_kfold(frame, label, row_id, k, seed))
     sizes = {r["fold"]: r["count"] for r in tagged.groupBy("fold").count().collect()}
     n = sum(sizes.values())
-    preds = []
-    for i in range(k):
+
+    def one_fold(i: int) -> DataFrame:
         t0 = time.time()
         if progress:
             progress(f"fold {i + 1}/{k} started")
@@ -87,9 +93,15 @@ def cross_validate(frame: DataFrame, *, categorical: list[str], numeric: list[st
             model = fit_multiclass(train, categorical, numeric, forbidden, kind, wcol, params,
                                    pre_stages)
             scored = with_probs(model.transform(valid))
-        preds.append(scored.select(row_id, F.col(label).alias("y"), *PROB_COLS, "fold"))
         if progress:
             progress(f"fold {i + 1}/{k} fitted in {time.time() - t0:.1f}s")
+        return scored.select(row_id, F.col(label).alias("y"), *PROB_COLS, "fold")
+
+    if parallel_folds > 1:
+        with ThreadPoolExecutor(max_workers=min(parallel_folds, k)) as pool:
+            preds = list(pool.map(one_fold, range(k)))
+    else:
+        preds = [one_fold(i) for i in range(k)]
     allp = preds[0]
     for p in preds[1:]:
         allp = allp.unionByName(p)

@@ -77,3 +77,12 @@ def test_fold_local_fit_ignores_validation_labels(spark, frame):
     m1 = fit_multiclass(fit_rows, CAT, NUM, list(L.forbidden), "logistic", None, {"maxIter": 5})
     m2 = fit_multiclass(flipped, CAT, NUM, list(L.forbidden), "logistic", None, {"maxIter": 5})
     assert m1.stages[-1].coefficientMatrix == m2.stages[-1].coefficientMatrix
+
+
+def test_parallel_folds_give_the_same_result(spark, frame):
+    train, _ = train_test(frame, "label", "row_index")
+    kw = dict(categorical=CAT, numeric=NUM, forbidden=list(L.forbidden), row_id="row_index", k=3,
+              kind="boosted", params={**SMALL, "parallelism": 3}, balance="weighted")
+    a = {r.fold: r.macro_f1 for r in cross_validate(train, **kw)[0].collect()}
+    b = {r.fold: r.macro_f1 for r in cross_validate(train, parallel_folds=3, **kw)[0].collect()}
+    assert a == b
