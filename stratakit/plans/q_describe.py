@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import functions as F
 
 from ..operators import describe as D
-from ..operators.clean import analytical_categoricals
-from ..presets import CLASS_NAMES
 from . import inputs as I
 from .oracle_base import with_ctes
 from .registry import register

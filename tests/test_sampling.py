@@ -95,3 +95,18 @@ def test_oof_assembly_rejects_gaps_and_duplicates(spark):
     nan = spark.createDataFrame([(1, float("nan"), 0.3, 0.5)], "row_id int, p0 double, p1 double, p2 double")
     with pytest.raises(RuntimeError):
         S.oof_assemble([nan], "row_id", ["p0", "p1", "p2"], 1)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 37])
+def test_folds_caps_and_ranks_are_partition_independent(spark, parts):
+    def rows(df, cols):
+        return sorted(tuple(r) for r in df.select(*cols).collect())
+
+    base, other = _frame(spark), _frame(spark, parts=parts)
+    assert rows(S.stratified_kfold(base, "label", "row_id", 5), ["row_id", "fold"]) == \
+        rows(S.stratified_kfold(other, "label", "row_id", 5), ["row_id", "fold"])
+    caps = {1: 100, 2: 100}
+    assert rows(S.undersample_caps(base, "label", "row_id", caps), ["row_id"]) == \
+        rows(S.undersample_caps(other, "label", "row_id", caps), ["row_id"])
+    assert rows(S.exact_rank(base, "row_id", None), ["row_id", "rank"]) == \
+        rows(S.exact_rank(other, "row_id", None), ["row_id", "rank"])
