@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from itertools import combinations
 
-
 from ..operators import describe as D
 from . import inputs as I
 from .oracle_base import with_ctes

@@ -30,7 +30,7 @@ def register(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import q_clean, q_describe  # noqa: F401
-    for mod in ("q_audit", "q_sampling", "q_evaluate", "q_explain", "q_learn", "q_sources"):
+    for mod in ("q_audit", "q_sampling", "q_evaluate", "q_explain", "q_learn", "q_tables"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:
