@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..presets import CLASS_NAMES, DAY_ORDER, MONTH_ABBR, SEASON_ORDER
+from ..session import cut_lineage
 
 R9 = 9  # decimals kept for floats whose summation order differs between engines
 
@@ -236,7 +237,7 @@ def association_matrix(df: DataFrame, features: list[str], max_cells: int = 4096
 
     Plan: compact first - one aggregate to distinct feature combinations
     with a multiplicity (at scale the combinations saturate while rows keep
-    growing).  The levels of each feature come from the compacted table.
+    growing), checkpointed to the shared folder because two jobs read it.  The levels of each feature come from the compacted table.
     Then every compacted row is repeated once per feature ``a`` (an Expand
     of ``len(features)``, not of the 91 pairs) and one hash aggregate keyed
     by (a, level of a) sums, for every other feature ``b`` and level ``j``,
@@ -350,11 +351,9 @@ def spearman(df: DataFrame, columns: list[str], compact_limit: int = 5_000_000,
     """
     base = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
     pairs = list(combinations(columns, 2))
-    compact = base.groupBy(*columns).agg(F.count(F.lit(1)).alias("__w")).cache()
+    compact = cut_lineage(base.groupBy(*columns).agg(F.count(F.lit(1)).alias("__w")))
     use_compact = compact.count() <= compact_limit
     rows = compact if use_compact else base.withColumn("__w", F.lit(1))
-    if not use_compact:
-        compact.unpersist()
     lut = rank_table(compact if use_compact else base, columns, "__w" if use_compact else None)
     if lut.count() <= broadcast_limit:
         lut = F.broadcast(lut)
