@@ -65,3 +65,19 @@ def decide(scored: DataFrame, probs=("p0", "p1", "p2"), threshold_col: str = "th
         out, F.when(F.col(threshold_col).isNotNull(),
                     threshold_decision(p0, p1, p2, F.col(threshold_col)))
         .otherwise(argmax3(p0, p1, p2)))
+
+
+def score_scenarios(model, scenarios: DataFrame, registry: DataFrame, artifact: str,
+                    forbidden: list[str], required: list[str], keep: list[str] = ()
+                    ) -> DataFrame:
+    """Validate the prediction-time fields (schema only, no job), score
+    with the fitted pipeline, and decide with the artifact's registered
+    threshold (argmax when none is ready).  Works on batch and streaming
+    frames alike."""
+    from .clean import validate_model_inputs
+    from .learn import PROB_COLS, with_probs
+
+    validate_model_inputs(scenarios.columns, forbidden, required)
+    scored = with_probs(model.transform(scenarios)).withColumn("model_artifact", F.lit(artifact))
+    decided = decide(threshold_match(scored, registry))
+    return decided.select(*keep, *PROB_COLS, "threshold", "decision")

@@ -285,10 +285,13 @@ def fit_multiclass(train: DataFrame, categorical: list[str], numeric: list[str],
 # --- E9 ---------------------------------------------------------------------
 
 def fit_ordinal_pair(train: DataFrame, categorical: list[str], numeric: list[str],
-                     params: dict | None = None) -> tuple[PipelineModel, PipelineModel]:
+                     params: dict | None = None, forbidden: list[str] = ()
+                     ) -> tuple[PipelineModel, PipelineModel]:
     """Two balanced binary boosters: P(y <= 1) and P(y = 0)."""
     from .sampling import balanced_weights
 
+    validate_model_inputs([c for c in train.columns if c != "label"], forbidden,
+                          categorical + numeric)
     p = spark_params(params or {})
     models = []
     for target, cond in (("serious_or_worse", F.col("label").isin(0, 1)),

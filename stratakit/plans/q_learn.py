@@ -134,10 +134,10 @@ def q_model_roundtrip(spark, d):
 def q_score_scenarios(spark, d):
     """E13 as a batch job: transform + registered-threshold decision."""
     model, test = _raw_pipeline(spark, d)
-    scored = with_probs(model.transform(test)).withColumn("model_artifact", F.lit("baseline"))
     reg = spark.createDataFrame([("baseline", "ready", 0.2)],
                                 "model_artifact string, status string, threshold double")
-    dec = Dc.decide(Dc.threshold_match(scored, reg))
+    dec = Dc.score_scenarios(model, test.drop("label"), reg, "baseline", list(L.forbidden),
+                             RAW_INPUTS)
     return dec.groupBy("decision").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -85,7 +85,7 @@ def cross_validate(frame: DataFrame, *, categorical: list[str], numeric: list[st
         fit_rows = tagged.where(F.col("fold") != i).drop("fold")
         valid = tagged.where(F.col("fold") == i)
         if ordinal:
-            s_model, f_model = fit_ordinal_pair(fit_rows, categorical, numeric, params)
+            s_model, f_model = fit_ordinal_pair(fit_rows, categorical, numeric, params, forbidden)
             scored = ordinal_scores(s_model, f_model, valid, row_id).join(
                 valid.select(row_id, label, "fold"), row_id)
         else:

@@ -14,30 +14,29 @@ import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.decide import decide, threshold_match
-from ..operators.learn import PROB_COLS, with_probs
+from ..operators.decide import score_scenarios
 from ..session import ensure_checkpoint_dir
 
 
 def scored_stream(stream: DataFrame, model: PipelineModel, registry: DataFrame, artifact: str,
-                  keep: list[str] = ()) -> DataFrame:
-    """Streaming frame of (keep..., p0, p1, p2, threshold, decision)."""
-    scored = with_probs(model.transform(stream)).withColumn("model_artifact", F.lit(artifact))
-    decided = decide(threshold_match(scored, registry))
-    return decided.select(*keep, *PROB_COLS, "threshold", "decision")
+                  keep: list[str] = (), forbidden: list[str] = (), required: list[str] = ()
+                  ) -> DataFrame:
+    """Streaming frame of (keep..., p0, p1, p2, threshold, decision), after
+    the same leakage guard as batch scoring."""
+    return score_scenarios(model, stream, registry, artifact, list(forbidden), list(required), keep)
 
 
 def start_scoring(spark: SparkSession, source: str, schema: T.StructType, model: PipelineModel,
                   registry: DataFrame, artifact: str, sink: str, keep: list[str] = (),
                   fmt: str = "parquet", available_now: bool = True,
-                  checkpoint: str | None = None) -> StreamingQuery:
+                  checkpoint: str | None = None, forbidden: list[str] = (),
+                  required: list[str] = ()) -> StreamingQuery:
     """Score files arriving under ``source`` into ``sink`` (append)."""
     stream = spark.readStream.schema(schema).parquet(source)
-    out = scored_stream(stream, model, registry, artifact, keep)
+    out = scored_stream(stream, model, registry, artifact, keep, forbidden, required)
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
     writer = out.writeStream.outputMode("append").option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer

@@ -26,7 +26,8 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
     test.drop("label").write.parquet(src)
     reg = spark.createDataFrame([("m", "ready", 0.05)], "model_artifact string, status string, threshold double")
     q = start_scoring(spark, src, spark.read.parquet(src).schema, model, reg, "m", "scored_out",
-                      keep=["row_index"], fmt="memory", checkpoint=str(tmp_path / "ckpt"))
+                      keep=["row_index"], fmt="memory", checkpoint=str(tmp_path / "ckpt"),
+                      forbidden=list(L.forbidden), required=required)
     q.awaitTermination(120)
     out = spark.sql("SELECT * FROM scored_out")
     assert out.count() == test.count()
@@ -34,3 +35,16 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
     j = out.join(batch.withColumnRenamed("p0", "b0"), "row_index")
     assert j.where(F.abs(F.col("p0") - F.col("b0")) > 0).count() == 0
     assert j.where("p0 >= 0.05 AND decision != 0").count() == 0
+
+
+def test_stream_scoring_rejects_post_outcome_fields(spark, tmp_path):
+    import pytest
+
+    from stratakit.streaming.scoring import scored_stream
+
+    src = str(tmp_path / "bad")
+    spark.createDataFrame([(1, 3)], "row_index long, number_of_vehicles int").write.parquet(src)
+    stream = spark.readStream.schema("row_index long, number_of_vehicles int").parquet(src)
+    reg = spark.createDataFrame([("m", "ready", 0.05)], "model_artifact string, status string, threshold double")
+    with pytest.raises(ValueError, match="post-collision"):
+        scored_stream(stream, None, reg, "m", forbidden=list(L.forbidden), required=[])
