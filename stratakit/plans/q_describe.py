@@ -211,7 +211,7 @@ def q_within_class(spark, d):
 
 
 @register("within_class_hist", with_ctes(["model_frame"], """
-  SELECT 'speed_limit' AS feature, CAST(c.k AS INTEGER) AS class, e.i AS bin, e.lft AS "left",
+  SELECT 'speed_limit' AS feature, CAST(c.k AS INTEGER) AS class, CAST(e.i AS INTEGER) AS bin, e.lft AS "left",
          e.rgt AS "right", CAST(coalesce(h.n, 0) AS BIGINT) AS count,
          round(CASE WHEN coalesce(t.tot, 0) > 0 THEN coalesce(h.n, 0) / (t.tot * (e.rgt - e.lft)) ELSE 0.0 END, 9) AS density
   FROM (SELECT i, CAST(i AS DOUBLE) * ((hi - lo) / 20) + lo AS lft,
