@@ -59,6 +59,21 @@ def _bucket_table(tagged: DataFrame, parts: list[str]) -> DataFrame:
                      F.sum("__n").over(whole).alias("__cls"))
 
 
+def _join_buckets(tagged: DataFrame, bt: DataFrame, parts: list[str]) -> DataFrame:
+    """Join rows to their bucket row with null-safe keys: no inferred
+    ``isnotnull`` filter is pushed into one consumer of the input only, so
+    every consumer keeps the same subplan and the input's shuffles are
+    reused; rows with a null stratum are kept (their own stratum)."""
+    keys = parts + ["__b"]
+    right = bt.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
+                      *[c for c in bt.columns if c not in keys])
+    cond = None
+    for k in keys:
+        e = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        cond = e if cond is None else (cond & e)
+    return tagged.join(right, cond).drop(*[f"__r_{k}" for k in keys])
+
+
 def _strata(bt: DataFrame, parts: list[str]) -> DataFrame:
     """One row per stratum with its size ``n_c`` (from the bucket table)."""
     return bt.select(*parts, F.col("__cls").alias("n_c")).distinct()
@@ -81,7 +96,7 @@ def exact_rank(df: DataFrame, row_id: str, label: str | None = None, seed: int =
     df, parts = _stratum(df, label)
     tagged = _tag(df, row_id, seed, digits)
     bt = _bucket_table(tagged, parts)
-    joined = tagged.join(bt.drop("__n"), parts + ["__b"])
+    joined = _join_buckets(tagged, bt.drop("__n"), parts)
     w = Window.partitionBy(*parts, "__b").orderBy("__h", row_id)
     ranked = joined.withColumn(out, F.col("__off") + F.row_number().over(w))
     drop = ["__h", "__b", "__off"] + ([] if with_strata else ["__cls"]) + \
@@ -105,8 +120,14 @@ def rank_at_most(df: DataFrame, row_id: str, label: str | None, quota_fn,
     tagged = _tag(df, row_id, seed, digits)
     bt = _bucket_table(tagged, parts)
     quotas = quota_fn(_strata(bt, parts)).select(*parts, "__q")
-    bq = bt.join(quotas, parts, "left").withColumn("__q", F.coalesce(F.col("__q"), F.col("__cls")))
-    joined = tagged.join(bq.drop("__cls"), parts + ["__b"])
+    qr = quotas.select(*[F.col(k).alias(f"__r_{k}") for k in parts], "__q")
+    qcond = None
+    for k in parts:
+        e = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        qcond = e if qcond is None else (qcond & e)
+    bq = bt.join(qr, qcond, "left").drop(*[f"__r_{k}" for k in parts]) \
+        .withColumn("__q", F.coalesce(F.col("__q"), F.col("__cls")))
+    joined = _join_buckets(tagged, bq.drop("__cls"), parts)
     below = F.col("__off") + F.col("__n") <= F.col("__q")     # bucket wholly selected
     above = F.col("__off") >= F.col("__q")                     # bucket wholly excluded
     decided = joined.where(below | above).withColumn(out, below)
@@ -178,7 +199,9 @@ def stratified_kfold(df: DataFrame, label: str, row_id: str, k: int = 5,
     strata = ranked.select(label, F.col("__cls").alias("n_c")).distinct()
     prev = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     offs = strata.select(label, F.coalesce(F.sum("n_c").over(prev), F.lit(0)).alias("__co"))
-    j = ranked.drop("__cls").join(F.broadcast(offs), label)   # one row per class
+    offs = offs.select(F.col(label).alias("__r_l"), "__co")
+    j = ranked.drop("__cls").join(F.broadcast(offs), F.col(label).eqNullSafe(F.col("__r_l"))) \
+        .drop("__r_l")                                          # one row per class
     fold = F.pmod(F.col("__co") + F.col("__rank") - 1, F.lit(k)).cast("int")
     return j.withColumn(out, fold).drop("__rank", "__co")
 
