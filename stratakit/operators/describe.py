@@ -327,10 +327,11 @@ def rank_table(df: DataFrame, columns: list[str], weight: str | None = None,
     long = df.select(w.alias("__w"), *columns).unpivot(["__w"], columns, "column", "value") \
         .where(F.col("value").isNotNull())
     vc = long.groupBy("column", "value").agg(F.sum("__w").alias("__n"))
+    sizes = {r["column"]: r["count"] for r in vc.groupBy("column").count().collect()}
     out = None
     for c in columns:
         one = vc.where(F.col("column") == c).select("value", "__n")
-        r = running_totals(one, "value", ["__n"], target_rows=target_rows)
+        r = running_totals(one, "value", ["__n"], target_rows=target_rows, n=sizes.get(c, 0))
         r = r.select(F.lit(c).alias("column"), F.col("value").cast("double").alias("value"),
                      (F.col("cum___n") - (F.col("__n") - 1) / 2.0).alias("rank"))
         out = r if out is None else out.unionByName(r)

@@ -259,9 +259,19 @@ def interp_weights(df: DataFrame, label: str, alpha: float, out: str = "weight",
 
 # --- D8 ---------------------------------------------------------------------
 
+TOPK_ROWS = 100_000
+
+
 def fixed_sample(df: DataFrame, row_id: str, n: int = 2000, seed: int = RANDOM_STATE,
                  digits: int = DIGITS) -> DataFrame:
-    """``min(n, rows)`` rows chosen by the order key (not ``sample(fraction)``)."""
+    """``min(n, rows)`` rows chosen by the order key (not ``sample(fraction)``).
+
+    A small ``n`` is a top-k: ``orderBy(key).limit(n)`` plans as
+    ``TakeOrderedAndProject`` (a bounded heap per partition, then one merge of
+    ``n x partitions`` rows).  Larger samples use the bucketed rank."""
+    if n <= TOPK_ROWS:
+        return (df.withColumn("__h", order_key(row_id, seed)).orderBy("__h", row_id)
+                .limit(int(n)).drop("__h"))
     quota = lambda st: st.withColumn("__q", F.least(F.col("n_c"), F.lit(int(n))))
     tagged = rank_at_most(df, row_id, None, quota, seed, "__keep", digits)
     return tagged.where("__keep").drop("__keep")
@@ -297,7 +307,7 @@ def oof_assemble(parts: list[DataFrame], row_id: str, prob_cols: list[str],
 
 def running_totals(g: DataFrame, order_col: str, sums: list[str], descending: bool = False,
                    target_rows: int = TARGET_BUCKET_ROWS, max_buckets: int = 4096,
-                   total_suffix: str | None = None) -> DataFrame:
+                   total_suffix: str | None = None, n: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum of ``c`` in ``order_col`` order)
     for every ``c`` in ``sums``, over a table of *distinct* ``order_col``
     values.
@@ -311,7 +321,7 @@ def running_totals(g: DataFrame, order_col: str, sums: list[str], descending: bo
     """
     from pyspark.ml.feature import Bucketizer
 
-    n = g.count()
+    n = g.count() if n is None else n
     n_buckets = max(1, min(max_buckets, -(-n // target_rows)))
     order = F.desc(order_col) if descending else F.asc(order_col)
     if n_buckets == 1:
