@@ -293,14 +293,17 @@ def association_matrix(df: DataFrame, features: list[str], max_cells: int = 4096
 
 # --- C12 / C13 --------------------------------------------------------------
 
-def weighted_corr(df: DataFrame, pairs: list[tuple[str, str]], weight: str) -> DataFrame:
+def weighted_corr(df: DataFrame, pairs: list[tuple[str, str]], weight: str,
+                  means: dict[str, float] | None = None) -> DataFrame:
     """Pearson correlation of column pairs over rows with multiplicities,
-    centred in two small passes (means, then centred cross products)."""
+    centred: the means (one small pass unless the caller knows them), then
+    the centred cross products in one aggregate."""
     w = F.col(weight)
     cols = sorted({c for p in pairs for c in p})
-    means = df.agg(F.sum(w).alias("__n"), *[F.sum(w * F.col(c)).alias(f"__s_{c}") for c in cols]).first()
-    n = float(means["__n"])
-    mu = {c: means[f"__s_{c}"] / n for c in cols}
+    if means is None:
+        row = df.agg(F.sum(w).alias("__n"), *[F.sum(w * F.col(c)).alias(f"__s_{c}") for c in cols]).first()
+        means = {c: row[f"__s_{c}"] / float(row["__n"]) for c in cols}
+    mu = means
     d = {c: F.col(c) - F.lit(mu[c]) for c in cols}
     aggs = []
     for a, b in pairs:
@@ -314,12 +317,16 @@ def weighted_corr(df: DataFrame, pairs: list[tuple[str, str]], weight: str) -> D
 
 
 def rank_table(df: DataFrame, columns: list[str], weight: str | None = None,
-               target_rows: int = 1 << 20) -> DataFrame:
+               target_rows: int = 1 << 20, max_distinct: int | None = None) -> DataFrame:
     """``(column, value, rank)``: midranks of every column.
 
-    Value counts of all columns come from one unpivot + aggregate; the
-    running sums then run per column over its *distinct values* with the
-    bucketed running totals (bounded tasks even for continuous columns).
+    Value counts of all columns come from one unpivot + aggregate.  When
+    ``max_distinct`` (a known bound on the distinct values of any column,
+    e.g. the row count of a compacted input) is within ``target_rows``, the
+    running sums are one window partitioned by column: no task holds more
+    than ``target_rows`` rows and no extra action runs.  Otherwise they run
+    per column over its distinct values with the bucketed running totals
+    (bounded tasks even for continuous columns).
     """
     from .sampling import running_totals
 
@@ -327,6 +334,10 @@ def rank_table(df: DataFrame, columns: list[str], weight: str | None = None,
     long = df.select(w.alias("__w"), *columns).unpivot(["__w"], columns, "column", "value") \
         .where(F.col("value").isNotNull())
     vc = long.groupBy("column", "value").agg(F.sum("__w").alias("__n"))
+    if max_distinct is not None and max_distinct <= target_rows:
+        run = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        return vc.select("column", F.col("value").cast("double").alias("value"),
+                         (F.sum("__n").over(run) - (F.col("__n") - 1) / 2.0).alias("rank"))
     sizes = {r["column"]: r["count"] for r in vc.groupBy("column").count().collect()}
     out = None
     for c in columns:
@@ -353,17 +364,24 @@ def spearman(df: DataFrame, columns: list[str], compact_limit: int = 5_000_000,
     base = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
     pairs = list(combinations(columns, 2))
     compact = cut_lineage(base.groupBy(*columns).agg(F.count(F.lit(1)).alias("__w")))
-    use_compact = compact.count() <= compact_limit
+    # one small action: distinct combinations (bounds every column's distinct
+    # values, hence the rank table) and the complete-case row count N
+    stats = compact.agg(F.count(F.lit(1)).alias("k"), F.sum("__w").alias("n")).first()
+    k, n = stats["k"], stats["n"] or 0
+    use_compact = k <= compact_limit
     rows = compact if use_compact else base.withColumn("__w", F.lit(1))
-    lut = rank_table(compact if use_compact else base, columns, "__w" if use_compact else None)
-    if lut.count() <= broadcast_limit:
+    lut = rank_table(compact if use_compact else base, columns, "__w" if use_compact else None,
+                     max_distinct=k)
+    if len(columns) * k <= broadcast_limit or lut.count() <= broadcast_limit:
         lut = F.broadcast(lut)
     ranked = rows
     for c in columns:
         ranked = ranked.join(lut.where(F.col("column") == c).select(
             F.col("value").alias(c), F.col("rank").alias(f"__r_{c}")), c, "left")
     rk = ranked.select("__w", *[F.col(f"__r_{c}").alias(c) for c in columns])
-    return _pairs_long(weighted_corr(rk, pairs, "__w"), columns, "spearman")
+    # midranks of N rows always average (N + 1) / 2: the centring pass is free
+    means = {c: (n + 1) / 2.0 for c in columns} if n else None
+    return _pairs_long(weighted_corr(rk, pairs, "__w", means), columns, "spearman")
 
 
 def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
