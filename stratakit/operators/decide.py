@@ -39,6 +39,7 @@ def argmax_predict(df: DataFrame, probs=("p0", "p1", "p2"), out: str = "pred") -
 
 
 REGISTRY_BROADCAST_ROWS = 100_000
+REGISTRY_SALTS = 64
 
 
 def threshold_match(models: DataFrame, registry: DataFrame, artifact: str = "model_artifact"
@@ -46,15 +47,31 @@ def threshold_match(models: DataFrame, registry: DataFrame, artifact: str = "mod
     """Per model, the registered threshold if (and only if) the entry is
     ``ready``, belongs to that artifact and has a threshold; else null.
 
-    The registry (one row per artifact) is broadcast after its size is
-    checked; a larger one is a regular join."""
+    Scored rows of one model all carry the same artifact, so a plain shuffle
+    join on it would send every row to one task.  The registry is first cut
+    to the artifacts being scored (their distinct values: a partial
+    aggregate, one row per artifact and map task; batch input only) and
+    broadcast after its
+    size is checked.  Beyond the limit both sides are salted: each registry
+    row is replicated over ``REGISTRY_SALTS`` salts and every scored row
+    takes a salt from a hash of its own values, so one artifact spreads over
+    that many tasks."""
     ok = (F.col("r.status") == "ready") & F.col("r.threshold").isNotNull()
     reg = registry.select(F.col(artifact).alias("__a"), "status", "threshold")
+    if not models.isStreaming:      # a stream has no distinct artifacts to read up front
+        reg = reg.join(models.select(F.col(artifact).alias("__a")).distinct(), "__a", "left_semi")
     if reg.limit(REGISTRY_BROADCAST_ROWS + 1).count() <= REGISTRY_BROADCAST_ROWS:
-        reg = F.broadcast(reg)
-    reg = reg.alias("r")
-    j = models.alias("m").join(reg, F.col(f"m.{artifact}") == F.col("r.__a"), "left")
-    return j.select("m.*", F.when(ok, F.col("r.threshold")).alias("threshold"))
+        reg = F.broadcast(reg).alias("r")
+        j = models.alias("m").join(reg, F.col(f"m.{artifact}") == F.col("r.__a"), "left")
+        return j.select("m.*", F.when(ok, F.col("r.threshold")).alias("threshold"))
+    salted = reg.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(REGISTRY_SALTS - 1)))) \
+        .alias("r")
+    m = models.withColumn("__s", F.pmod(F.xxhash64(*models.columns), F.lit(REGISTRY_SALTS)).cast("int")) \
+        .alias("m")
+    j = m.join(salted, (F.col(f"m.{artifact}") == F.col("r.__a")) & (F.col("m.__s") == F.col("r.__s")),
+               "left")
+    return j.select(*[F.col(f"m.`{c}`") for c in models.columns],
+                    F.when(ok, F.col("r.threshold")).alias("threshold"))
 
 
 def decide(scored: DataFrame, probs=("p0", "p1", "p2"), threshold_col: str = "threshold",

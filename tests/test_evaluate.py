@@ -145,6 +145,31 @@ def test_threshold_registry_match(spark):
     assert got == {"m/a": 0.3, "m/b": None, "m/c": None}
 
 
+def test_threshold_match_salted_path_agrees_with_broadcast(spark, monkeypatch):
+    """One artifact on every scored row (the hot key): the salted join used
+    beyond the broadcast limit gives the same rows as the broadcast join."""
+    models = spark.range(500).select(F.col("id").alias("row_id"),
+                                     F.when(F.col("id") % 50 == 0, "m/b").otherwise("m/a")
+                                      .alias("model_artifact"))
+    reg = spark.createDataFrame([("m/a", "ready", 0.3), ("m/b", "pending", 0.2), ("m/x", "ready", 0.1)],
+                                "model_artifact string, status string, threshold double")
+    want = sorted(tuple(r) for r in Dc.threshold_match(models, reg).collect())
+    monkeypatch.setattr(Dc, "REGISTRY_BROADCAST_ROWS", 0)
+    salted = Dc.threshold_match(models, reg)
+    assert salted.columns == ["row_id", "model_artifact", "threshold"]
+    got = sorted(tuple(r) for r in salted.collect())
+    assert got == want and len(got) == 500
+    assert sum(1 for r in got if r[2] == 0.3) == 490
+
+
+def test_upsert_without_broadcast_gives_the_same_rows(spark, monkeypatch):
+    cur = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "slug string, fold int")
+    new = spark.createDataFrame([("a", 9)], "slug string, fold int")
+    monkeypatch.setattr(E, "UPSERT_BROADCAST_KEYS", 0)
+    got = sorted((r.slug, r.fold) for r in E.upsert_by_key(cur, new).collect())
+    assert got == [("a", 9), ("b", 1)]
+
+
 def test_upsert_replaces_only_the_new_keys(spark):
     cur = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "slug string, fold int")
     new = spark.createDataFrame([("a", 9)], "slug string, fold int")
