@@ -48,15 +48,42 @@ def _tag(df: DataFrame, row_id: str, seed: int, digits: int) -> DataFrame:
         "__b", F.conv(F.substring("__h", 1, digits), 16, 10).cast("bigint"))
 
 
-def _bucket_table(tagged: DataFrame, parts: list[str]) -> DataFrame:
+HOT_BUCKET_MIN = 1 << 20   # a bucket may always hold this many rows
+HOT_BUCKET_FACTOR = 8      # ... or this many times its expected share
+
+
+def _bucket_table(tagged: DataFrame, parts: list[str], digits: int = DIGITS) -> DataFrame:
     """``(parts, __b, __n, __off, __cls)``: rows per (stratum, bucket), rows in
     earlier buckets of the stratum, and the stratum size.  At most
-    ``strata x 16**digits`` rows, whatever the input size."""
+    ``strata x 16**digits`` rows, whatever the input size.
+
+    With distinct row ids md5 fills the buckets evenly.  A repeated id (or a
+    null one) puts all its rows into one bucket - one task - and leaves their
+    order undefined; such a bucket fails the job here, inside the plan (no
+    extra action), instead of running as a straggler."""
     bt = tagged.groupBy(*parts, "__b").agg(F.count(F.lit(1)).alias("__n"))
     prev = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parts)
-    return bt.select(*parts, "__b", "__n", F.coalesce(F.sum("__n").over(prev), F.lit(0)).alias("__off"),
-                     F.sum("__n").over(whole).alias("__cls"))
+    bt = bt.select(*parts, "__b", "__n", F.coalesce(F.sum("__n").over(prev), F.lit(0)).alias("__off"),
+                   F.sum("__n").over(whole).alias("__cls"))
+    limit = F.greatest(F.lit(HOT_BUCKET_MIN),
+                       F.ceil(F.col("__cls") * HOT_BUCKET_FACTOR / float(16 ** digits)))
+    hot = F.col("__b").isNull() | (F.col("__n") > limit)
+    msg = F.concat(F.lit("order-key bucket "), F.coalesce(F.col("__b").cast("string"), F.lit("null")),
+                   F.lit(" holds "), F.col("__n").cast("string"),
+                   F.lit(" rows: the row id repeats or is null; ranking needs a unique, non-null "
+                         "row id (deduplicate first or pass a composite key)"))
+    return bt.withColumn("__off", F.when(hot, F.raise_error(msg)).otherwise(F.col("__off")))
+
+
+def _ranked(parts: list[str], row_id: str) -> Column:
+    """Row number inside (stratum, bucket) by (key, row id); a tie on the id
+    (a repeated id in the stratum) raises instead of ranking arbitrarily."""
+    w = Window.partitionBy(*parts, "__b").orderBy("__h", row_id)
+    rn = F.row_number().over(w)
+    tie = (rn > 1) & F.lag(row_id).over(w).eqNullSafe(F.col(row_id))
+    return F.when(tie, F.raise_error(F.concat(
+        F.lit(f"row id {row_id} is not unique: "), F.col(row_id).cast("string")))).otherwise(rn)
 
 
 def _join_buckets(tagged: DataFrame, bt: DataFrame, parts: list[str]) -> DataFrame:
@@ -95,10 +122,9 @@ def exact_rank(df: DataFrame, row_id: str, label: str | None = None, seed: int =
     bucket) - the same partitioning the window then reuses."""
     df, parts = _stratum(df, label)
     tagged = _tag(df, row_id, seed, digits)
-    bt = _bucket_table(tagged, parts)
+    bt = _bucket_table(tagged, parts, digits)
     joined = _join_buckets(tagged, bt.drop("__n"), parts)
-    w = Window.partitionBy(*parts, "__b").orderBy("__h", row_id)
-    ranked = joined.withColumn(out, F.col("__off") + F.row_number().over(w))
+    ranked = joined.withColumn(out, F.col("__off") + _ranked(parts, row_id))
     drop = ["__h", "__b", "__off"] + ([] if with_strata else ["__cls"]) + \
         ([] if label else ["__all"])
     return ranked.drop(*drop)
@@ -118,7 +144,7 @@ def rank_at_most(df: DataFrame, row_id: str, label: str | None, quota_fn,
     """
     df, parts = _stratum(df, label)
     tagged = _tag(df, row_id, seed, digits)
-    bt = _bucket_table(tagged, parts)
+    bt = _bucket_table(tagged, parts, digits)
     quotas = quota_fn(_strata(bt, parts)).select(*parts, "__q")
     qr = quotas.select(*[F.col(k).alias(f"__r_{k}") for k in parts], "__q")
     qcond = None
@@ -132,8 +158,7 @@ def rank_at_most(df: DataFrame, row_id: str, label: str | None, quota_fn,
     above = F.col("__off") >= F.col("__q")                     # bucket wholly excluded
     decided = joined.where(below | above).withColumn(out, below)
     edge = joined.where(~(below | above))
-    w = Window.partitionBy(*parts, "__b").orderBy("__h", row_id)
-    ranked = edge.withColumn(out, F.col("__off") + F.row_number().over(w) <= F.col("__q"))
+    ranked = edge.withColumn(out, F.col("__off") + _ranked(parts, row_id) <= F.col("__q"))
     drop = ["__h", "__b", "__off", "__n", "__q"] + ([] if label else ["__all"])
     return decided.drop(*drop).unionByName(ranked.drop(*drop))
 

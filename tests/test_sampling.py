@@ -110,3 +110,26 @@ def test_folds_caps_and_ranks_are_partition_independent(spark, parts):
         rows(S.undersample_caps(other, "label", "row_id", caps), ["row_id"])
     assert rows(S.exact_rank(base, "row_id", None), ["row_id", "rank"]) == \
         rows(S.exact_rank(other, "row_id", None), ["row_id", "rank"])
+
+
+def test_repeated_or_null_row_id_fails_instead_of_ranking_arbitrarily(spark):
+    """A repeated id ties the order key (undefined rank) and, when it holds
+    many rows, would put them all in one task: the plan raises instead."""
+    from stratakit.operators import sampling as S
+
+    dup = spark.createDataFrame([(1, 0), (2, 0), (2, 0), (3, 1)], "rid long, label int")
+    with pytest.raises(Exception, match="not unique"):
+        S.exact_rank(dup, "rid", "label").collect()
+    nul = spark.createDataFrame([(1, 0), (None, 0)], "rid long, label int")
+    with pytest.raises(Exception, match="unique, non-null"):
+        S.stratified_kfold(nul, "label", "rid", k=2).collect()
+
+
+def test_hot_bucket_guard_trips_on_a_dominant_id(spark, monkeypatch):
+    from stratakit.operators import sampling as S
+
+    monkeypatch.setattr(S, "HOT_BUCKET_MIN", 10)
+    rows = spark.range(300).select(F.when(F.col("id") < 100, F.lit(7)).otherwise(F.col("id"))
+                                   .alias("rid"), F.lit(0).alias("label"))
+    with pytest.raises(Exception, match="holds 100 rows"):
+        S.stratified_split(rows, "label", "rid").collect()
