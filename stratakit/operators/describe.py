@@ -237,7 +237,9 @@ def association_matrix(df: DataFrame, features: list[str], max_cells: int = 4096
 
     Plan: compact first - one aggregate to distinct feature combinations
     with a multiplicity (at scale the combinations saturate while rows keep
-    growing), checkpointed to the shared folder because two jobs read it.  The levels of each feature come from the compacted table.
+    growing), kept in memory because two jobs read it (the level list and
+    the pair cells).  The levels of each feature come from the compacted
+    table, at most ``max_cells`` + 1 of them collected.
     Then every compacted row is repeated once per feature ``a`` (an Expand
     of ``len(features)``, not of the 91 pairs) and one hash aggregate keyed
     by (a, level of a) sums, for every other feature ``b`` and level ``j``,
@@ -250,13 +252,16 @@ def association_matrix(df: DataFrame, features: list[str], max_cells: int = 4096
     idx = {f: i for i, f in enumerate(features)}
     compact = df.groupBy(*[F.col(f).cast("string").alias(f) for f in features]).agg(
         F.count(F.lit(1)).alias("__w")).cache()
-    # when combinations do not saturate (near-continuous features) the level
-    # dictionary could be large: then the pair cells are grouped by key
-    levels = feature_levels(compact, features) if compact.count() <= (1 << 24) else None
+    # at most max_cells + 1 levels reach the driver; more (near-continuous
+    # features) and the pair cells are grouped by key instead
+    try:
+        levels = feature_levels(compact, features, max_total=max_cells)
+    except ValueError:
+        levels = None
     # the compacted table is small in bytes, so AQE folds it into few
     # partitions; an explicit count spreads it before it is multiplied
     spread = compact.repartition(spark.sparkContext.defaultParallelism)
-    if levels is not None and sum(len(v) for v in levels.values()) <= max_cells:
+    if levels is not None:
         slots = [(f, lv) for f in features for lv in levels[f]]
         rep = spread.select("__w", *features, F.inline(F.array(*[
             F.struct(F.lit(i).alias("__fa"), F.col(f).alias("__x")) for i, f in enumerate(features)])))

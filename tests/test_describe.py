@@ -89,3 +89,16 @@ def test_histogram_edges_follow_numpy(spark):
     hist = D.within_class_hist(df.selectExpr("x", "0 AS label"), "x", classes=(0,), bins=20)
     counts = [r["count"] for r in hist.orderBy("bin").collect()]
     assert counts == list(np.histogram(vals, bins=np.histogram_bin_edges(vals, bins=20))[0])
+
+
+def test_association_matrix_fallback_path_agrees(spark):
+    """Past ``max_cells`` levels the pair cells are grouped by key instead of
+    counted into one wide aggregate: same matrix either way."""
+    from stratakit.operators import describe as D
+
+    rows = [(i % 3, (i * 7) % 5, None if i % 11 == 0 else (i * 13) % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    wide = {(r.feature_a, r.feature_b): r.cramers_v for r in D.association_matrix(df, ["a", "b", "c"]).collect()}
+    grouped = {(r.feature_a, r.feature_b): r.cramers_v
+               for r in D.association_matrix(df, ["a", "b", "c"], max_cells=1).collect()}
+    assert wide == grouped and len(wide) == 9
