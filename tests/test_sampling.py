@@ -133,3 +133,14 @@ def test_hot_bucket_guard_trips_on_a_dominant_id(spark, monkeypatch):
                                    .alias("rid"), F.lit(0).alias("label"))
     with pytest.raises(Exception, match="holds 100 rows"):
         S.stratified_split(rows, "label", "rid").collect()
+
+
+def test_fixed_sample_topk_and_bucket_paths_agree(spark, monkeypatch):
+    """The top-k path (bounded merge) and the bucketed path pick the same rows."""
+    from stratakit.operators import sampling as S
+
+    df = spark.range(5000).select(F.col("id").alias("rid"), (F.col("id") % 7).alias("v")).repartition(5)
+    topk = sorted(tuple(r) for r in S.fixed_sample(df, "rid", 300).collect())
+    monkeypatch.setattr(S, "TOPK_MERGE_ROWS", 0)
+    bucket = sorted(tuple(r) for r in S.fixed_sample(df, "rid", 300).collect())
+    assert topk == bucket and len(topk) == 300
