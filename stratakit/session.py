@@ -25,6 +25,30 @@ LOCAL_DEFAULTS = {
 }
 
 
+def scale_settings(input_bytes: int, cores: int, split_bytes: int = 512 << 20,
+                   shuffle_partition_bytes: int = 1 << 30, max_shuffle_partitions: int = 50_000
+                   ) -> dict[str, str]:
+    """Size-dependent settings for a cluster session over ``input_bytes`` of
+    Parquet on ``cores`` executor cores (the caller applies them when it
+    builds its session; library code never does).
+
+    Scan splits of ``split_bytes``; an initial shuffle width of one
+    partition per ``shuffle_partition_bytes`` of input (at least two waves
+    of the cores, at most ``max_shuffle_partitions`` so map x reduce shuffle
+    blocks stay manageable), which AQE coalesces to the advisory size at run
+    time and splits again where a join side is skewed."""
+    width = -(-int(input_bytes) // shuffle_partition_bytes)
+    parts = max(2 * int(cores), min(max_shuffle_partitions, width))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(int(split_bytes)),
+        "spark.sql.shuffle.partitions": str(parts),
+    }
+
+
 def local_session(cores: int | str = "*", app: str = "stratakit") -> SparkSession:
     """Local session for tests and benches; cluster jobs bring their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)

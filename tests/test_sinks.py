@@ -34,3 +34,13 @@ def test_eda_report_tables(spark, tmp_path):
     assert sev == {"Fatal": 87, "Serious": 990, "Slight": 4917}
     paths = write_eda(raw, SURROGATE, str(tmp_path / "eda"))
     assert set(paths) == set(tables)
+
+
+def test_scale_settings_bound_the_shuffle_width():
+    from stratakit.session import scale_settings
+
+    big = scale_settings(100 << 40, cores=8000)          # 100 TiB on 1000 executors x 8 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == 50_000
+    assert big["spark.sql.adaptive.enabled"] == "true"
+    small = scale_settings(10 << 20, cores=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
