@@ -294,12 +294,14 @@ def fixed_sample(df: DataFrame, row_id: str, n: int = 2000, seed: int = RANDOM_S
 
     A small ``n`` is a top-k: ``orderBy(key).limit(n)`` plans as
     ``TakeOrderedAndProject`` (a bounded heap per partition, then one task
-    merges ``n x partitions`` rows).  That merge grows with the partition
-    count, so the top-k is used only while it stays under
-    ``TOPK_MERGE_ROWS`` (the count comes from the plan, no job); otherwise,
-    and for larger samples, the bucketed rank sorts just the one bucket that
-    straddles the cut.  Both give the same rows."""
-    if n <= TOPK_ROWS and n * max(1, df.rdd.getNumPartitions()) <= TOPK_MERGE_ROWS:
+    merges ``n x partitions`` rows).  That merge grows with the cluster, so
+    the top-k is used only while ``n x cores`` (a large input has at least
+    one partition per core; reading the count from the plan would run its
+    shuffles) stays under ``TOPK_MERGE_ROWS``; otherwise, and for larger
+    samples, the bucketed rank sorts just the one bucket that straddles the
+    cut.  Both give the same rows."""
+    cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    if n <= TOPK_ROWS and n * cores <= TOPK_MERGE_ROWS:
         return (df.withColumn("__h", order_key(row_id, seed)).orderBy("__h", row_id)
                 .limit(int(n)).drop("__h"))
     quota = lambda st: st.withColumn("__q", F.least(F.col("n_c"), F.lit(int(n))))
