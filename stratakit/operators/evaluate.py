@@ -328,17 +328,13 @@ def metric_melt(wide: DataFrame, id_col: str = "model",
 
 # --- A6 ---------------------------------------------------------------------
 
-UPSERT_BROADCAST_KEYS = 100_000
-
-
 def upsert_by_key(current: DataFrame, new: DataFrame, key: str = "slug") -> DataFrame:
     """Replace every ``key`` present in ``new``; keep the other rows.
 
-    Left-anti join against the distinct keys of ``new``, broadcast after a
-    size check (then a key held by a third of ``current`` costs nothing);
-    beyond the limit a shuffle anti join, whose skewed partitions AQE
-    splits on the ``current`` side."""
+    Left-anti join against the distinct keys of ``new``, without a hint and
+    without a counting job (which would run ``new``'s whole plan twice): AQE
+    broadcasts the key side when its measured size is small, so a key held
+    by a third of ``current`` costs nothing, and splits skewed partitions of
+    a shuffle anti join on the ``current`` side otherwise."""
     keys = new.select(key).distinct()
-    if keys.limit(UPSERT_BROADCAST_KEYS + 1).count() <= UPSERT_BROADCAST_KEYS:
-        keys = F.broadcast(keys)
     return current.join(keys, key, "left_anti").unionByName(new, allowMissingColumns=True)

@@ -162,14 +162,6 @@ def test_threshold_match_salted_path_agrees_with_broadcast(spark, monkeypatch):
     assert sum(1 for r in got if r[2] == 0.3) == 490
 
 
-def test_upsert_without_broadcast_gives_the_same_rows(spark, monkeypatch):
-    cur = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "slug string, fold int")
-    new = spark.createDataFrame([("a", 9)], "slug string, fold int")
-    monkeypatch.setattr(E, "UPSERT_BROADCAST_KEYS", 0)
-    got = sorted((r.slug, r.fold) for r in E.upsert_by_key(cur, new).collect())
-    assert got == [("a", 9), ("b", 1)]
-
-
 def test_upsert_replaces_only_the_new_keys(spark):
     cur = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "slug string, fold int")
     new = spark.createDataFrame([("a", 9)], "slug string, fold int")
