@@ -414,17 +414,21 @@ def within_class_dist(df: DataFrame, feature: str, class_col: str = "label",
     """Per class, the share of each level (all classes shown, 0 if absent).
 
     One aggregate to per-level class counts (dense by construction, no grid
-    join); the class totals are a second one-row aggregate, read as scalars.
+    join); the class totals are one scalar subquery of the same plan (a
+    one-row aggregate: no driver round trip, no cross join, and AQE reuses
+    the input's exchange for it).
     """
     lvl = F.col(feature).cast("string")
     c = F.col(class_col)
     base = df.where(c.isin(*classes) & lvl.isNotNull())
-    totals = base.agg(*[F.count_if(c == k).alias(f"t{i}") for i, k in enumerate(classes)]).first()
+    tot = base.agg(F.struct(*[F.count_if(c == k).alias(f"t{i}")
+                              for i, k in enumerate(classes)])).scalar()
+    totals = [tot.getField(f"t{i}") for i in range(len(classes))]
     g = base.groupBy(lvl.alias("level")).agg(
         *[F.count_if(c == k).alias(f"__c{i}") for i, k in enumerate(classes)])
     long = g.select("level", F.inline(F.array(*[
         F.struct(F.lit(k).alias("class"), F.col(f"__c{i}").alias("count"),
-                 F.lit(int(totals[f"t{i}"])).alias("total")) for i, k in enumerate(classes)])))
+                 totals[i].alias("total")) for i, k in enumerate(classes)])))
     return long.select(
         F.lit(feature).alias("feature"), F.col("class").cast("int").alias("class"), "level",
         F.col("count").cast("bigint").alias("count"),
