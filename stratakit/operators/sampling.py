@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..presets import RANDOM_STATE
+from ..session import cut_lineage
 
 TARGET_BUCKET_ROWS = 1 << 20
 DIGITS = 4            # 16**4 = 65,536 order-key buckets per stratum
@@ -353,7 +354,11 @@ def running_totals(g: DataFrame, order_col: str, sums: list[str], descending: bo
     """
     from pyspark.ml.feature import Bucketizer
 
-    n = g.count() if n is None else n
+    if n is None:
+        # the size decides the plan; the table is written once so the count,
+        # the quantiles and the sums read it instead of re-running its input
+        g = cut_lineage(g)
+        n = g.count()
     n_buckets = max(1, min(max_buckets, -(-n // target_rows)))
     order = F.desc(order_col) if descending else F.asc(order_col)
     if n_buckets == 1:
