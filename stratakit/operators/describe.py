@@ -288,12 +288,14 @@ def association_matrix(df: DataFrame, features: list[str], max_cells: int = 4096
         v = _cramers_from_cells(cells, ["feature_a", "feature_b"])
         dom = _lit_table(spark, [(a, b) for a, b in pairs], ["feature_a", "feature_b"])
         v = dom.join(F.broadcast(v), ["feature_a", "feature_b"], "left")
-    upper = v.select("feature_a", "feature_b", F.coalesce("cramers_v", F.lit(0.0)).alias("cramers_v"))
-    lower = upper.select(F.col("feature_b").alias("feature_a"),
-                         F.col("feature_a").alias("feature_b"), "cramers_v")
+    cv = F.coalesce("cramers_v", F.lit(0.0)).alias("cramers_v")
+    # both orientations from the same row: the pair computation runs once
+    both = v.select(F.inline(F.array(
+        F.struct(F.col("feature_a").alias("feature_a"), F.col("feature_b").alias("feature_b"), cv),
+        F.struct(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), cv))))
     diag = _lit_table(spark, [(f, f, 1.0) for f in features],
                       ["feature_a", "feature_b", "cramers_v"])
-    return upper.unionByName(lower).unionByName(diag)
+    return both.unionByName(diag)
 
 
 # --- C12 / C13 --------------------------------------------------------------
