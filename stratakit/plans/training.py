@@ -107,6 +107,10 @@ def cross_validate(frame: DataFrame, *, categorical: list[str], numeric: list[st
         allp = allp.unionByName(p)
     allp = allp.withColumn("pred", argmax3(*PROB_COLS))
     allp = allp.withColumn("model", F.lit(name)).withColumn("slug", F.lit(slug))
+    if collect_oof:
+        # the OOF check, the fold metrics and the threshold sweep all read
+        # the scores: written once (narrow) instead of re-scoring every fold
+        allp = cut_lineage(allp)
     rows = E.fold_rows(allp, "y", "pred")
     size_map = F.create_map(*[x for f, c in sizes.items() for x in (F.lit(f), F.lit(c))])
     rows = rows.withColumn("validation_rows", F.element_at(size_map, F.col("fold"))) \
