@@ -153,7 +153,9 @@ def search(frame: DataFrame, candidates: list[dict], *, rule: str, key_cols: lis
             extra["alpha"] = cand["alpha"]
         rows, _ = cross_validate(frame, k=search_folds, tagged=tagged, **extra)
         results.append((cand, rows))
-    summary = _summaries(results, key_cols)
+    # one row per candidate, written once: choosing the winner and the
+    # caller's use of the table do not re-score every candidate's folds
+    summary = cut_lineage(_summaries(results, key_cols))
     winner = E.select_candidate(summary, rule, "order" if rule == "first" else None).first().asDict()
     return summary, winner
 
