@@ -102,3 +102,14 @@ def test_association_matrix_fallback_path_agrees(spark):
     grouped = {(r.feature_a, r.feature_b): r.cramers_v
                for r in D.association_matrix(df, ["a", "b", "c"], max_cells=1).collect()}
     assert wide == grouped and len(wide) == 9
+
+
+def test_within_class_dist_shows_absent_classes_with_zero_share(spark):
+    """Class 2 has no rows: it is still shown, with zero counts and share 0."""
+    from stratakit.operators import describe as D
+
+    df = spark.createDataFrame([(0, "a"), (0, "b"), (1, "a"), (1, None)], "label int, f string")
+    got = {(r["class"], r.level): (r["count"], r.proportion)
+           for r in D.within_class_dist(df, "f").collect()}
+    assert got == {(0, "a"): (1, 0.5), (0, "b"): (1, 0.5), (1, "a"): (1, 1.0), (1, "b"): (0, 0.0),
+                   (2, "a"): (0, 0.0), (2, "b"): (0, 0.0)}
