@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expressions import argmax3, ordinal_probabilities, threshold_decision
 
@@ -72,8 +73,11 @@ def threshold_match(models: DataFrame, registry: DataFrame, artifact: str = "mod
         return j.select("m.*", F.when(ok, F.col("r.threshold")).alias("threshold"))
     salted = reg.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(REGISTRY_SALTS - 1)))) \
         .alias("r")
-    m = models.withColumn("__s", F.pmod(F.xxhash64(*models.columns), F.lit(REGISTRY_SALTS)).cast("int")) \
-        .alias("m")
+    # any salt is correct (every salt of an artifact is replicated): hash
+    # the atomic columns only (vectors from a fitted pipeline, maps are not)
+    atomic = [f.name for f in models.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    salt = F.xxhash64(*[F.col(f"`{c}`") for c in atomic]) if atomic else F.lit(0)
+    m = models.withColumn("__s", F.pmod(salt, F.lit(REGISTRY_SALTS)).cast("int")).alias("m")
     j = m.join(salted, (F.col(f"m.{artifact}") == F.col("r.__a")) & (F.col("m.__s") == F.col("r.__s")),
                "left")
     return j.select(*[F.col(f"m.`{c}`") for c in models.columns],

@@ -176,3 +176,19 @@ def test_fold_summary_uses_sample_std(spark):
         rows = rows.withColumn(c, F.lit(0.0))
     got = {r.metric: r for r in E.fold_summary(rows).collect()}
     assert got["macro_f1"].mean == pytest.approx(0.4) and got["macro_f1"].std == pytest.approx(np.std([.3, .5], ddof=1))
+
+
+def test_threshold_match_salted_path_with_vector_columns(spark, monkeypatch):
+    """Scored frames carry ML vectors; the salt hashes atomic columns only."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("row_id", T.LongType()),
+                           T.StructField("model_artifact", T.StringType()),
+                           T.StructField("probability", VectorUDT())])
+    models = spark.createDataFrame([(i, "m/a", Vectors.dense([0.1 * i, 1.0])) for i in range(20)],
+                                   schema)
+    reg = spark.createDataFrame([("m/a", "ready", 0.3)], "model_artifact string, status string, threshold double")
+    monkeypatch.setattr(Dc, "REGISTRY_BROADCAST_ROWS", 0)
+    got = Dc.threshold_match(models, reg).collect()
+    assert len(got) == 20 and all(r.threshold == 0.3 for r in got)
