@@ -138,11 +138,16 @@ def overlaps_by_kind(df: DataFrame, features: list[str], label: str = "label",
                      max_levels: int = 12) -> DataFrame:
     """G1 or G2 per feature according to G3, all features in one pass.
 
-    One profiling aggregate (levels, min, max of every feature) decides the
-    kind and the numeric bin edges; then one aggregate over the unpivoted
-    (feature, level-or-bin) keys gives every overlap."""
-    prof = profile_features(df, features)
-    kinds = {f: _kind(prof[f], f, labelled, max_levels) for f in features}
+    Labelled or non-numeric features are categorical by rule; one profiling
+    aggregate (levels, min, max) over the remaining numeric features decides
+    their kind and bin edges (skipped when there are none); then one
+    aggregate over the unpivoted (feature, level-or-bin) keys gives every
+    overlap."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    need = [f for f in features if f not in labelled and isinstance(types[f], T.NumericType)]
+    prof = profile_features(df, need) if need else {}
+    kinds = {f: _kind(prof[f], f, labelled, max_levels) if f in prof else "categorical"
+             for f in features}
     levels: dict[str, Column] = {}
     for f in features:
         if kinds[f] == "categorical":
