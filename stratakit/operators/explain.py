@@ -276,8 +276,14 @@ def feature_table(df: DataFrame, categorical: list[str], numeric: list[str]) ->
     """``(feature, source, level, position)`` in design-vector order:
     one-hot columns (levels sorted by value) then numerics.  Level discovery
     is one small aggregate; the table has one row per design column."""
+    return df.sparkSession.createDataFrame(
+        feature_rows(df, categorical, numeric),
+        "feature string, source string, level string, position int")
+
+
+def feature_rows(df: DataFrame, categorical: list[str], numeric: list[str]) -> list[tuple]:
+    """The rows of ``feature_table`` on the driver (one per design column)."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    spark = df.sparkSession
     rows: list[tuple] = []
     if categorical:
         lv = (df.select(*[F.col(c).cast("string").alias(c) for c in categorical])
@@ -297,8 +303,7 @@ def feature_table(df: DataFrame, categorical: list[str], numeric: list[str]) ->
                 levels = sorted(levels)
             rows += [(f"{c}_{v}", c, v) for v in levels]
     rows += [(c, c, None) for c in numeric]
-    data = [(f, s, lv_, i) for i, (f, s, lv_) in enumerate(rows)]
-    return spark.createDataFrame(data, "feature string, source string, level string, position int")
+    return [(f, s, lv_, i) for i, (f, s, lv_) in enumerate(rows)]
 
 
 def fixed_coefficients(n_features: int, classes: int = 3) -> list[list[float]]:

@@ -39,8 +39,9 @@ def _sample(spark, d, frame=None):
 
 def _attr(spark, d, frame=None):
     s = _sample(spark, d, frame)
-    feats = G.feature_table(s, CAT_IN, NUM_IN)
-    n = feats.count()
+    rows = G.feature_rows(s, CAT_IN, NUM_IN)           # design columns, on the driver
+    feats = spark.createDataFrame(rows, "feature string, source string, level string, position int")
+    n = len(rows)
     design = G.one_hot_long(s, "row_index", CAT_IN, NUM_IN, feats)
     return G.linear_attribution(design, "row_index", G.fixed_coefficients(n)), feats
 
