@@ -7,8 +7,8 @@ command line, and only fills settings that are not already set.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +24,9 @@ LOCAL_DEFAULTS = {
     "spark.driver.memory": "16g",
 }
 
+#: Scratch folders of local sessions; each removes itself at exit.
+_SCRATCH: list[tempfile.TemporaryDirectory] = []
+
 
 def scale_settings(input_bytes: int, cores: int, split_bytes: int = 512 << 20,
                    shuffle_partition_bytes: int = 1 << 30, max_shuffle_partitions: int = 50_000
@@ -61,14 +64,21 @@ def local_session(cores: int | str = "*", app: str = "stratakit") -> SparkSessio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting points at shared storage and is respected as is.
-    Only when it is unset (tests, local runs) a fresh scratch folder is made.
+    On a cluster the setting names shared storage and is used as it is; if it
+    is unset there, this raises, since a folder of one machine would lose data.
+    Only a local session gets a scratch folder of its own, removed when the
+    process ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="stratakit-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        scratch = tempfile.TemporaryDirectory(prefix="stratakit-ckpt-", ignore_cleanup_errors=True)
+        _SCRATCH.append(scratch)
+        configured = scratch.name
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
@@ -83,3 +93,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """Store a frame as Parquet in the shared checkpoint folder and read it
+    back: computed once, columnar, and safe against lost executors."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
