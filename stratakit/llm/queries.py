@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, sharding, simhash
+from . import bpe, chat, exact_dedup, licenses, lm, packing, pii, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,6 +50,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@register("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 @register("op4_sharding")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(documents(spark, sf_dir), SHARDS)
@@ -67,6 +72,31 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+@register("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.judge(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@register("op7_lm_score")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
+@register("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir)).withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
+
+
+@register("op9_chat_format")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings."""
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, chat.ASSISTANT, said)], given.schema)
+    return chat.read_back(chat.format_turns(given.unionByName(more)))
+
+
 @register("op10_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_path())
