@@ -93,12 +93,17 @@ def view_masks(radius: int, views: int = VIEWS) -> list[list[int]]:
     return out
 
 
+def _spread(fps: DataFrame) -> DataFrame:
+    """Deals a stored table of few bytes out, whose rows become many."""
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def _balls(fps: DataFrame, radius: int) -> DataFrame:
     """``view, variant, fp``: every variant within half the radius, by view."""
     flips = F.array(*(F.struct(F.lit(k).cast("byte").alias("view"), F.lit(masks[-1]).cast("long").alias("seen"),
                                F.lit(m).cast("long").alias("flip"))
                       for k, masks in enumerate(view_masks(radius)) for m in masks[:-1]))
-    return fps.select("fp", F.inline(flips)).select(
+    return _spread(fps).select("fp", F.inline(flips)).select(
         "fp", "view", F.col("fp").bitwiseAND(F.col("seen")).bitwiseXOR(F.col("flip")).alias("variant"))
 
 
@@ -112,11 +117,12 @@ def _star_links(fps: DataFrame, radius: int) -> DataFrame:
     other; whoever is near is linked to the smallest of the near ones."""
     near, far = radius // 2, radius - radius // 2
     flips = [_signed(sum(1 << b for b in c)) for n in range(far + 1) for c in combinations(range(_BITS), n)]
-    at = fps.select("fp", F.explode(F.array(*(F.lit(m).cast("long") for m in flips))).alias("flip")).select(
+    at = _spread(fps).select("fp", F.explode(F.array(*(F.lit(m).cast("long") for m in flips))).alias("flip")).select(
         "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), (F.bit_count("flip") <= near).alias("close"))
     hubs = (at.groupBy("point").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("hub"), F.count("*").alias("n"))
             .filter("n > 1 AND hub IS NOT NULL").select("point", "hub"))
-    return at.join(hubs, "point").filter("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    # the sizes of exploded rows aren't in the optimiser's estimates
+    return at.join(hubs.hint("merge"), "point").filter("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def links(fps: DataFrame, radius: int) -> DataFrame:
