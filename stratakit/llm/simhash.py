@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_once
@@ -129,13 +129,16 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints (column ``fp``) that connect
     exactly those that chains of at most ``radius`` differing bits connect."""
     fps = write_once(fps.select("fp").distinct(), "fingerprints")
-    balls = _balls(fps, radius)
-    met = write_once(
-        balls.groupBy("view", "variant")
-        .agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).filter("n > 1"), "met")
-    pairs = met.filter("n = 2").select("a", "b").distinct().filter(_distance("a", "b") <= radius)
-    crowded = met.filter("n > 2").select("view", "variant")
-    crowd = write_once(balls.join(crowded, ["view", "variant"], "left_semi").select("fp").distinct(), "crowd")
+    order = Window.partitionBy("view", "variant").orderBy("fp")
+    back, ahead = F.lag("fp").over(order), F.lead("fp").over(order)
+    met = write_once(_balls(fps, radius).select(
+        "fp", back.alias("back"), ahead.alias("ahead"),
+        (F.lag("fp", 2).over(order).isNotNull() | F.lead("fp", 2).over(order).isNotNull()
+         | (back.isNotNull() & ahead.isNotNull())).alias("crowded"))
+        .filter("back IS NOT NULL OR ahead IS NOT NULL"), "met")
+    pairs = (met.filter("NOT crowded AND back IS NULL").select(F.col("fp").alias("a"), F.col("ahead").alias("b"))
+             .distinct().filter(_distance("a", "b") <= radius))
+    crowd = write_once(met.filter("crowded").select("fp").distinct(), "crowd")
     return pairs.union(_star_links(crowd, radius))
 
 
