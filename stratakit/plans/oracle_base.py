@@ -18,7 +18,8 @@ def _cte(name: str, sql: str, deps: list[str]) -> None:
 
 
 _cte("base", """
-  SELECT ((l_orderkey * 1000000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS row_index,
+  SELECT CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT),
+           year(l_shipdate), month(l_shipdate), day(l_shipdate), l_returnflag, l_linestatus)), 1, 15) AS BIGINT) AS row_index,
          (l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 1299709 + l_linenumber * 15485863) AS mix,
          l_orderkey, l_partkey, l_suppkey, l_linenumber,
          CAST(l_quantity AS BIGINT) AS qty, l_shipdate, l_returnflag, l_linestatus

@@ -53,8 +53,13 @@ def collisions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_shipdate", "l_returnflag", "l_linestatus"))
     ok, pk, sk, ln = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    # 60 bits of a digest of the whole record: no overflow at any scale, and two
+    # records that share their four keys differ
+    record = F.concat_ws("|", ok, pk, sk, ln, F.col("l_quantity").cast("bigint"), F.year("l_shipdate"),
+                         F.month("l_shipdate"), F.dayofmonth("l_shipdate"), "l_returnflag", "l_linestatus")
+    row_key = F.conv(F.substring(F.md5(record), 1, 15), 16, 10).cast("bigint")
     base = li.select(
-        ((((ok * 1_000_000 + pk) * 10_000) + sk) * 10 + ln).alias("row_index"),
+        row_key.alias("row_index"),
         (ok * 7919 + pk * 104729 + sk * 1299709 + ln * 15485863).alias("mix"),
         ok, pk, sk, ln,
         F.col("l_quantity").cast("bigint").alias("qty"),

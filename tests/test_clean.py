@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratakit.functions import expressions as X
+from stratakit.operators.sampling import split_quota_table, stratified_kfold, stratified_split
 from stratakit.operators.clean import (
     clean_records,
     complete_cases,
@@ -15,6 +16,7 @@ from stratakit.operators.clean import (
     target_encode,
     time_features,
     validate_model_inputs,
+    with_row_key,
 )
 from stratakit.presets import UK_COLLISIONS
 from stratakit.sources.csv import normalise_null_tokens, read_raw, uk_schema
@@ -66,12 +68,28 @@ def test_csv_scan_with_explicit_schema_and_tokens(spark, tmp_path):
         read_raw(spark, str(tmp_path / "missing.csv"))
 
 
-def test_leakage_guard_messages():
-    with pytest.raises(ValueError, match=r"post-collision columns .*\['Accident_Severity', 'Number_of_Vehicles'\]"):
+def test_leakage_guard_reports_both_faults():
+    with pytest.raises(ValueError, match=r"leaks .*'Accident_Severity'.*lacks \['rush_hour'\]"):
         validate_model_inputs(["Number_of_Vehicles", "Accident_Severity", "Season"],
-                              UK_COLLISIONS.forbidden, ["Season"])
-    with pytest.raises(ValueError, match="required prediction-time columns are missing"):
-        validate_model_inputs(["Season"], UK_COLLISIONS.forbidden, ["Season", "rush_hour"])
+                              UK_COLLISIONS.forbidden, ["Season", "rush_hour"])
+    validate_model_inputs(["Season"], UK_COLLISIONS.forbidden, ["Season"])
+
+
+def test_row_key_splits_a_table_whose_row_numbers_repeat(spark):
+    rows = [(i % 40, i % 3, f"a{i}", None if i % 5 else "x") for i in range(300)] + [(900, 0, "a|b", "c"), (901, 0, "a", "b|c")]
+    df = spark.createDataFrame(rows, ["Unnamed: 0", "label", "p", "q"])
+    keyed = with_row_key(df, ["label", "p", "q"])
+    assert keyed.select("row_key").distinct().count() == len(rows)
+    tagged = stratified_split(keyed, "label", "row_key", 0.25)
+    assert tagged.where("is_test").count() == math.ceil(0.25 * len(rows))
+    assert stratified_kfold(keyed, "label", "row_key", 4).groupBy("fold").count().count() == 4
+
+
+def test_split_quotas_do_not_overflow(spark):
+    n = 10**12
+    strata = spark.createDataFrame([(0, n), (1, 3 * n), (2, 96 * n)], "label long, n_c long")
+    got = {r.label: r["__q"] for r in split_quota_table(strata, "label", 0.2).collect()}
+    assert got == {0: n // 5, 1: 3 * n // 5, 2: 96 * n // 5}
 
 
 def test_target_encoding_rejects_unknown_codes(spark):

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from stratakit.operators import decide as Dc
 from stratakit.operators import evaluate as E
-from stratakit.plans.training import fine_alpha_grid
 
 
 def _yp(spark, y, p):
@@ -74,11 +73,6 @@ def test_candidate_selection_rules(spark):
     assert E.select_candidate(joint, "joint").first().candidate == 1
 
 
-def test_fine_alpha_grid():
-    assert fine_alpha_grid(0.6) == [0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75]
-    assert fine_alpha_grid(0.0) == [0.0, 0.05, 0.1, 0.15]
-    assert fine_alpha_grid(1.0) == [0.85, 0.9, 0.95, 1.0]
-
 
 def _ap_brute(y, s):
     order = np.argsort(-s, kind="stable")

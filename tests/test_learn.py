@@ -29,11 +29,7 @@ def test_unseen_category_becomes_the_zero_block(spark):
 
 @pytest.fixture(scope="module")
 def frame(spark):
-    mf = I.model_frame(spark, SF0001)
-    # sf0.001 has one row_index shared by two different records (fixture caveat);
-    # row keys must be unique for OOF assembly, so that key is left out here
-    dup = mf.groupBy("row_index").count().where("count > 1").select("row_index")
-    return mf.join(dup, "row_index", "left_anti").cache()
+    return I.model_frame(spark, SF0001).cache()
 
 
 def test_boosted_ovr_probabilities_and_roundtrip(spark, frame, tmp_path):
