@@ -152,6 +152,7 @@ def argmax3(p0: str | Column, p1: str | Column, p2: str | Column) -> Column:
 
 def threshold_decision(p0: str | Column, p1: str | Column, p2: str | Column,
                        threshold: float | Column) -> Column:
-    """Rare class when p0 >= t, otherwise the larger of p1, p2 (p1 on a tie)."""
+    """Rare class when p0 >= t, otherwise the larger of p1, p2 (p1 on a tie).
+    A NaN score reaches no threshold."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    return (F.when(col(p0) >= t, 0).when(col(p1) >= col(p2), 1).otherwise(2)).cast("int")
+    return (F.when((col(p0) >= t) & ~F.isnan(col(p0)), 0).when(col(p1) >= col(p2), 1).otherwise(2)).cast("int")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..presets import CLASS_NAMES, DAY_ORDER, MONTH_ABBR, SEASON_ORDER
-from ..session import cut_lineage
+from ..session import cut_lineage, write_once
 
 R9 = 9  # decimals kept for floats whose summation order differs between engines
 
@@ -250,8 +250,8 @@ def association_matrix(df: DataFrame, features: list[str], max_cells: int = 4096
     spark = df.sparkSession
     pairs = list(combinations(features, 2))
     idx = {f: i for i, f in enumerate(features)}
-    compact = df.groupBy(*[F.col(f).cast("string").alias(f) for f in features]).agg(
-        F.count(F.lit(1)).alias("__w")).cache()
+    compact = write_once(df.groupBy(*[F.col(f).cast("string").alias(f) for f in features]).agg(
+        F.count(F.lit(1)).alias("__w")), "combinations")
     # at most max_cells + 1 levels reach the driver; more (near-continuous
     # features) and the pair cells are grouped by key instead
     try:

@@ -276,7 +276,7 @@ def average_precision(curve: DataFrame) -> DataFrame:
 def operating_point(df: DataFrame, y: str, score: str, threshold: float, positive: int = 0
                     ) -> DataFrame:
     """Precision and recall at a frozen threshold (0 when undefined)."""
-    sel = F.col(score) >= F.lit(float(threshold))
+    sel = (F.col(score) >= F.lit(float(threshold))) & ~F.isnan(score)
     pos = F.col(y) == positive
     a = df.agg(F.count_if(sel & pos).alias("tp"), F.count_if(sel).alias("sel"),
                F.count_if(pos).alias("pos"))

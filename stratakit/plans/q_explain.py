@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import explain as G
-from ..operators.sampling import fixed_sample
+
 from ..session import cut_lineage
 from . import inputs as I
 from .oracle_base import with_ctes
@@ -31,14 +31,10 @@ def _frame(spark, d):
     return cut_lineage(I.model_frame(spark, d))
 
 
-def _sample(spark, d, frame=None):
-    # 2000 rows, reused by several small actions: kept in memory once
-    return fixed_sample(frame if frame is not None else I.model_frame(spark, d),
-                        "row_index", 2000).cache()
-
-
 def _attr(spark, d, frame=None):
-    s = _sample(spark, d, frame)
+    """Attribution of the whole modelling frame, which is written once: the
+    feature list is read from it first."""
+    s = frame if frame is not None else _frame(spark, d)
     rows = G.feature_rows(s, CAT_IN, NUM_IN)           # design columns, on the driver
     feats = spark.createDataFrame(rows, "feature string, source string, level string, position int")
     n = len(rows)
@@ -48,9 +44,7 @@ def _attr(spark, d, frame=None):
 
 # --- SQL pieces -----------------------------------------------------------------
 
-_SAMPLE = """
-  SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(concat('42:', CAST(row_index AS VARCHAR))),
-                                                 row_index) AS rk_ FROM model_frame) t WHERE rk_ <= 2000"""
+_SAMPLE = "SELECT * FROM model_frame"
 _CAT_U = " UNION ALL ".join(
     f"SELECT row_index, '{c}' AS source, {i} AS ord, CAST(\"{c}\" AS VARCHAR) AS v FROM sample"
     for i, c in enumerate(CAT_IN))
@@ -150,10 +144,15 @@ def q_dist_kind(spark, d):
 
 
 @register("linear_attribution", with_ctes(["model_frame"], """
-  SELECT row_index, position, class, round(value, 9) + 0.0 AS value FROM attr""", extra=ATTR_CTES))
+  SELECT position, class, count(*) AS n, round(avg(abs(value)), 9) AS mean_abs, round(max(value), 9) + 0.0 AS largest,
+         round(min(value), 9) + 0.0 AS smallest
+  FROM attr GROUP BY 1, 2""", extra=ATTR_CTES))
 def q_linear_attr(spark, d):
+    """G4 over every row, summarised by design column and class."""
     a, _ = _attr(spark, d)
-    return a.select("row_index", "position", "class", F.round("value", 9).alias("value"))
+    return a.groupBy("position", "class").agg(
+        F.count("*").alias("n"), F.round(F.avg(F.abs("value")), 9).alias("mean_abs"),
+        F.round(F.max("value"), 9).alias("largest"), F.round(F.min("value"), 9).alias("smallest"))
 
 
 @register("attribution_by_source", with_ctes(["model_frame"], _BY_SOURCE, extra=ATTR_CTES))

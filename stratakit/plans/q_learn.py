@@ -14,7 +14,7 @@ from ..operators import evaluate as E
 from ..operators import explain as G
 from ..operators.clean import TimeFeatures
 from ..operators.learn import PROB_COLS, fit_multiclass, with_probs
-from ..operators.sampling import fixed_sample, train_test
+from ..operators.sampling import train_test
 from ..session import ensure_checkpoint_dir
 from . import inputs as I
 from .registry import register
@@ -159,13 +159,12 @@ def q_permutation_importance(spark, d):
 @register("lr_attribution")
 def q_lr_attribution(spark, d):
     """G4 (linear): exact attribution of a fitted multinomial logistic
-    model on the fixed sample, summarised by source column (G5)."""
+    model on the test split, summarised by source column (G5)."""
     train, test = _train(spark, d)
     model = fit_multiclass(train, CAT, NUM, list(L.forbidden), "logistic", None,
                            {"maxIter": 50, "regParam": 0.01})
     coef = model.stages[-1].coefficientMatrix.toArray().tolist()
-    sample = fixed_sample(test, "row_index", 2000)
     feats = G.feature_table_from_model(model, CAT, NUM)
-    design = G.design_from_model(model, sample, "row_index")
+    design = G.design_from_model(model, test, "row_index")
     attr = G.linear_attribution(design, "row_index", coef)
     return G.attribution_by_source(attr, feats)

@@ -138,14 +138,10 @@ _DESIGN_SQL = f"""
       SELECT source, level, CAST(row_number() OVER (ORDER BY ord, level) - 1 AS INTEGER) AS position FROM lv
       UNION ALL SELECT name, NULL, CAST((SELECT count(*) FROM lv) + i AS INTEGER)
       FROM (VALUES {", ".join(f"('{c}', {i})" for i, c in enumerate(_NUMS))}) n(name, i)"""),
-    ("sample", """
-      SELECT * FROM (SELECT m.*, row_number() OVER (ORDER BY md5(concat('42:', CAST(m.row_index AS VARCHAR))),
-                                                      m.row_index) AS rk_
-                     FROM model_frame m JOIN split s USING (row_index) WHERE s.is_test) t
-      WHERE rk_ <= 2000""")]))
+    ("sample", "SELECT m.* FROM model_frame m JOIN split s USING (row_index) WHERE s.is_test")]))
 def q_one_hot(spark, d):
     """Indexer (alphabetical levels, unseen -> all-zero block) + one-hot +
-    assembler fitted on the training split, applied to 2,000 test rows; the
+    assembler fitted on the training split, applied to the test split; the
     dense design in long form ``(row_index, position, x)``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
@@ -157,6 +153,5 @@ def q_one_hot(spark, d):
     train = tagged.where(~F.col("is_test")).drop("is_test")
     test = tagged.where(F.col("is_test")).drop("is_test")
     pre = Pipeline(stages=build_preprocessor(_CATS, _NUMS)).fit(train)
-    sample = S.fixed_sample(test, "row_index", 2000)
-    vec = pre.transform(sample).select("row_index", vector_to_array("features").alias("__x"))
+    vec = pre.transform(test).select("row_index", vector_to_array("features").alias("__x"))
     return vec.select("row_index", F.posexplode("__x").alias("position", "x"))

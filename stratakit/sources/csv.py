@@ -32,7 +32,8 @@ def read_raw(spark: SparkSession, path: str, schema: T.StructType | None = None,
     Every field is read as a string first so the full null-token set can be
     applied (Spark's reader knows one ``nullValue``); typed columns are then
     cast with ``try_cast`` so a bad cell becomes null instead of failing the
-    job.  A missing path raises ``FileNotFoundError`` with a hint.
+    job.  Doubled quotes inside quoted fields are quotes, and a header that
+    differs from the schema's columns or order fails.  A missing path raises ``FileNotFoundError`` with a hint.
     """
     schema = schema or uk_schema()
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -42,7 +43,8 @@ def read_raw(spark: SparkSession, path: str, schema: T.StructType | None = None,
             f"Raw data not found at {path}. Place the collision CSV at that path.")
     as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
     text = (spark.read.schema(as_text).option("header", True).option("mode", "PERMISSIVE")
-            .option("nullValue", None).option("emptyValue", "").csv(path))
+            .option("nullValue", None).option("emptyValue", "")
+            .option("escape", '"').option("enforceSchema", False).csv(path))
     text = normalise_null_tokens(text, [f.name for f in schema.fields], tokens)
     return text.select(*[
         (F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType)
@@ -53,8 +55,7 @@ def read_raw(spark: SparkSession, path: str, schema: T.StructType | None = None,
 def normalise_null_tokens(df: DataFrame, columns: list[str] | None = None,
                           tokens: tuple[str, ...] = NULL_TOKENS) -> DataFrame:
     """Turn every listed token (exact, case-sensitive) into null, in one
-    projection; non-string columns are compared through their string form
-    and keep their type when not a token."""
+    projection.  The listed columns come back as strings, the others as they are."""
     columns = columns if columns is not None else df.columns
     target = set(columns)
     out = []
