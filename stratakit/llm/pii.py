@@ -175,10 +175,11 @@ def find(rows: DataFrame, docs: DataFrame, text_col: str = "text",
     both = base.withColumns({"term": F.lit(None).cast("string"), "entirely": F.lit(None).cast("boolean")}).unionByName(
         added.withColumns({"doc_id": F.lit(None).cast(base.schema["doc_id"].dataType), "kind": F.lit(TERM)}))
     # added spans that overlap a base span go
-    by_start = Window.partitionBy("row").orderBy("start")
+    # frames from the first row on are running values; one up to the last row is redone for every row
+    by_start, by_last = Window.partitionBy("row").orderBy("start"), Window.partitionBy("row").orderBy(F.desc("start"))
     is_base = F.col("kind") != TERM
     before = F.max(F.when(is_base, F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(is_base, F.col("start"))).over(by_start.rangeBetween(1, Window.unboundedFollowing))
+    after = F.min(F.when(is_base, F.col("start"))).over(by_last.rangeBetween(Window.unboundedPreceding, -1))
     free = (F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
     return (both.withColumn("__free", free).filter("kind IS NULL OR kind <> 'term' OR __free").drop("__free"))
 

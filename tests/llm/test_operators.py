@@ -344,6 +344,8 @@ def luhn(digits):
 def base_spans(text):
     out = []
     for order, (kind, pattern) in enumerate(PATTERNS.items()):
+        if {"email": "@", "ip": "."}.get(kind, "") not in text:
+            continue  # no match; the plain pattern would try every start of a long run
         for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m[0])
             if (kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split("."))
