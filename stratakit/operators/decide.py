@@ -39,7 +39,6 @@ def argmax_predict(df: DataFrame, probs=("p0", "p1", "p2"), out: str = "pred") -
     return df.withColumn(out, argmax3(*probs))
 
 
-REGISTRY_BROADCAST_ROWS = 100_000
 REGISTRY_SALTS = 64
 
 
@@ -49,28 +48,12 @@ def threshold_match(models: DataFrame, registry: DataFrame, artifact: str = "mod
     ``ready``, belongs to that artifact and has a threshold; else null.
 
     Scored rows of one model all carry the same artifact, so a plain shuffle
-    join on it would send every row to one task.  A registry within
-    ``REGISTRY_BROADCAST_ROWS`` is broadcast (the check reads the registry
-    only).  A larger one is first cut to the artifacts being scored (their
-    distinct values: a partial aggregate, one row per artifact and map task;
-    batch input only) and checked again.  Beyond that both sides are
-    salted: each registry row is replicated over ``REGISTRY_SALTS`` salts and
-    every scored row takes a salt from a hash of its own values, so one
-    artifact spreads over that many tasks."""
+    join on it would send every row to one task.  Each registry row is
+    replicated over ``REGISTRY_SALTS`` salts and every scored row takes a salt
+    from a hash of its own values, so one artifact spreads over that many tasks;
+    a registry of few bytes is broadcast by its size all the same."""
     ok = (F.col("r.status") == "ready") & F.col("r.threshold").isNotNull()
     reg = registry.select(F.col(artifact).alias("__a"), "status", "threshold")
-
-    def fits(t: DataFrame) -> bool:
-        return t.limit(REGISTRY_BROADCAST_ROWS + 1).count() <= REGISTRY_BROADCAST_ROWS
-
-    small = fits(reg)
-    if not small and not models.isStreaming:
-        reg = reg.join(models.select(F.col(artifact).alias("__a")).distinct(), "__a", "left_semi")
-        small = fits(reg)
-    if small:
-        reg = F.broadcast(reg).alias("r")
-        j = models.alias("m").join(reg, F.col(f"m.{artifact}") == F.col("r.__a"), "left")
-        return j.select("m.*", F.when(ok, F.col("r.threshold")).alias("threshold"))
     salted = reg.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(REGISTRY_SALTS - 1)))) \
         .alias("r")
     # any salt is correct (every salt of an artifact is replicated): hash

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..presets import CLASS_NAMES, DAY_ORDER, MONTH_ABBR, SEASON_ORDER
-from ..session import cut_lineage, write_once
+from ..session import write_once
 
 R9 = 9  # decimals kept for floats whose summation order differs between engines
 
@@ -215,79 +215,26 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
                       F.coalesce("cramers_v", F.lit(0.0)).alias("cramers_v"))
 
 
-def feature_levels(df: DataFrame, features: list[str], max_total: int = 1_000_000
-                   ) -> dict[str, list[str]]:
-    """Distinct non-null levels (as strings) per feature: one unpivot and a
-    partial+final aggregate; the result (a few dozen values per categorical
-    feature) is collected."""
-    rows = (df.select(*[F.col(f).cast("string").alias(f) for f in features])
-            .unpivot([], features, "feature", "level").where(F.col("level").isNotNull())
-            .distinct().limit(max_total + 1).collect())
-    if len(rows) > max_total:
-        raise ValueError(f"more than {max_total} levels: these are not categorical features")
-    out: dict[str, list[str]] = {f: [] for f in features}
-    for r in rows:
-        out[r["feature"]].append(r["level"])
-    return {f: sorted(v) for f, v in out.items()}
-
-
-def association_matrix(df: DataFrame, features: list[str], max_cells: int = 4096
-                       ) -> DataFrame:
+def association_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """Cramer's V for every feature pair, long form, symmetric, diagonal 1.
 
-    Plan: compact first - one aggregate to distinct feature combinations
-    with a multiplicity (at scale the combinations saturate while rows keep
-    growing), kept in memory because two jobs read it (the level list and
-    the pair cells).  The levels of each feature come from the compacted
-    table, at most ``max_cells`` + 1 of them collected.
-    Then every compacted row is repeated once per feature ``a`` (an Expand
-    of ``len(features)``, not of the 91 pairs) and one hash aggregate keyed
-    by (a, level of a) sums, for every other feature ``b`` and level ``j``,
-    the weight of rows with ``b == j``: all contingency tables in one pass of
-    conditional counters.  With more than ``max_cells`` levels in total the
-    counter list would be too wide, and the pair cells are grouped by key.
+    Rows are first compacted to distinct feature combinations with a
+    multiplicity (at scale the combinations saturate while rows keep growing);
+    each combination then becomes one line per pair, and one keyed partial
+    aggregate gives all contingency tables.
     """
     spark = df.sparkSession
     pairs = list(combinations(features, 2))
-    idx = {f: i for i, f in enumerate(features)}
-    compact = write_once(df.groupBy(*[F.col(f).cast("string").alias(f) for f in features]).agg(
-        F.count(F.lit(1)).alias("__w")), "combinations")
-    # at most max_cells + 1 levels reach the driver; more (near-continuous
-    # features) and the pair cells are grouped by key instead
-    try:
-        levels = feature_levels(compact, features, max_total=max_cells)
-    except ValueError:
-        levels = None
-    # the compacted table is small in bytes, so AQE folds it into few
-    # partitions; an explicit count spreads it before it is multiplied
-    spread = compact.repartition(spark.sparkContext.defaultParallelism)
-    if levels is not None:
-        slots = [(f, lv) for f in features for lv in levels[f]]
-        rep = spread.select("__w", *features, F.inline(F.array(*[
-            F.struct(F.lit(i).alias("__fa"), F.col(f).alias("__x")) for i, f in enumerate(features)])))
-        zero = F.lit(0).cast("long")
-        g = rep.where(F.col("__x").isNotNull()).groupBy("__fa", "__x").agg(*[
-            F.sum(F.when(F.col(f) == F.lit(lv), F.col("__w")).otherwise(zero)).alias(f"__c{k}")
-            for k, (f, lv) in enumerate(slots)])
-        cells = g.select("__fa", "__x", F.inline(F.array(*[
-            F.struct(F.lit(idx[f]).alias("__fb"), F.lit(lv).alias("y"), F.col(f"__c{k}").alias("nij"))
-            for k, (f, lv) in enumerate(slots)])))
-        cells = cells.where((F.col("__fb") > F.col("__fa")) & (F.col("nij") > 0)).select(
-            (F.col("__fa") * len(features) + F.col("__fb")).alias("pair"),
-            F.col("__x").alias("x"), "y", "nij")
-        v = _cramers_from_cells(cells, ["pair"])
-        names = _lit_table(spark, [(idx[a] * len(features) + idx[b], a, b) for a, b in pairs],
-                           ["pair", "feature_a", "feature_b"])
-        v = names.join(F.broadcast(v), "pair", "left").drop("pair")
-    else:
-        arr = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                                 F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
-        cells = (spread.select("__w", F.inline(arr))
-                 .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-                 .groupBy("feature_a", "feature_b", "x", "y").agg(F.sum("__w").alias("nij")))
-        v = _cramers_from_cells(cells, ["feature_a", "feature_b"])
-        dom = _lit_table(spark, [(a, b) for a, b in pairs], ["feature_a", "feature_b"])
-        v = dom.join(F.broadcast(v), ["feature_a", "feature_b"], "left")
+    compact = df.groupBy(*[F.col(f).cast("string").alias(f) for f in features]).agg(F.count(F.lit(1)).alias("__w"))
+    # few bytes, which AQE would fold into few tasks, become many lines
+    compact = compact.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *features)
+    number = _lit_table(spark, [(k, a, b) for k, (a, b) in enumerate(pairs)], ["pair", "feature_a", "feature_b"])
+    cells = (compact.select("__w", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")) for k, (a, b) in enumerate(pairs)])))
+        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        .groupBy("pair", "x", "y").agg(F.sum("__w").alias("nij")))
+    # one row per pair on both sides
+    v = number.join(F.broadcast(_cramers_from_cells(cells, ["pair"])), "pair", "left").drop("pair")
     cv = F.coalesce("cramers_v", F.lit(0.0)).alias("cramers_v")
     # both orientations from the same row: the pair computation runs once
     both = v.select(F.inline(F.array(
@@ -323,17 +270,12 @@ def weighted_corr(df: DataFrame, pairs: list[tuple[str, str]], weight: str,
         .alias(f"{a}|{b}") for a, b in pairs])
 
 
-def rank_table(df: DataFrame, columns: list[str], weight: str | None = None,
-               target_rows: int = 1 << 20, max_distinct: int | None = None) -> DataFrame:
+def rank_table(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
     """``(column, value, rank)``: midranks of every column.
 
-    Value counts of all columns come from one unpivot + aggregate.  When
-    ``max_distinct`` (a known bound on the distinct values of any column,
-    e.g. the row count of a compacted input) is within ``target_rows``, the
-    running sums are one window partitioned by column: no task holds more
-    than ``target_rows`` rows and no extra action runs.  Otherwise they run
-    per column over its distinct values with the bucketed running totals
-    (bounded tasks even for continuous columns).
+    Value counts of all columns come from one unpivot + aggregate, their
+    running sums by column from `sampling.running_totals`, whose tasks stay
+    bounded for continuous columns too.
     """
     from .sampling import running_totals
 
@@ -341,47 +283,28 @@ def rank_table(df: DataFrame, columns: list[str], weight: str | None = None,
     long = df.select(w.alias("__w"), *columns).unpivot(["__w"], columns, "column", "value") \
         .where(F.col("value").isNotNull())
     vc = long.groupBy("column", "value").agg(F.sum("__w").alias("__n"))
-    if max_distinct is not None and max_distinct <= target_rows:
-        run = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        return vc.select("column", F.col("value").cast("double").alias("value"),
-                         (F.sum("__n").over(run) - (F.col("__n") - 1) / 2.0).alias("rank"))
-    sizes = {r["column"]: r["count"] for r in vc.groupBy("column").count().collect()}
-    out = None
-    for c in columns:
-        one = vc.where(F.col("column") == c).select("value", "__n")
-        r = running_totals(one, "value", ["__n"], target_rows=target_rows, n=sizes.get(c, 0))
-        r = r.select(F.lit(c).alias("column"), F.col("value").cast("double").alias("value"),
-                     (F.col("cum___n") - (F.col("__n") - 1) / 2.0).alias("rank"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    return running_totals(vc, "value", ["__n"], by=["column"]).select(
+        "column", F.col("value").cast("double").alias("value"),
+        (F.col("cum___n") - (F.col("__n") - 1) / 2.0).alias("rank"))
 
 
-def spearman(df: DataFrame, columns: list[str], compact_limit: int = 5_000_000,
-             broadcast_limit: int = 2_000_000) -> DataFrame:
+def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """Spearman (average-rank Pearson) for all column pairs, long form.
 
     Complete cases over ``columns`` first (equals pandas' pairwise rule when
     there are no nulls).  Plan: compact to distinct value combinations with
-    a multiplicity (one aggregate; coded columns shrink millions of rows to
-    a few thousand), midranks of all columns from one rank table, and a
-    weighted, centred correlation.  When compaction does not shrink the data
-    (continuous columns) ranks are joined to the rows instead; the rank table
-    is broadcast only under a checked size.
+    a multiplicity (one aggregate, stored; coded columns shrink millions of rows
+    to a few thousand), midranks of all columns from one stored rank table, and a
+    weighted, centred correlation.  The stored table's size decides whether
+    its joins broadcast; beyond that a value's combinations are a skewed join side
+    that AQE splits.
     """
     base = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
     pairs = list(combinations(columns, 2))
-    compact = cut_lineage(base.groupBy(*columns).agg(F.count(F.lit(1)).alias("__w")))
-    # one small action: distinct combinations (bounds every column's distinct
-    # values, hence the rank table) and the complete-case row count N
-    stats = compact.agg(F.count(F.lit(1)).alias("k"), F.sum("__w").alias("n")).first()
-    k, n = stats["k"], stats["n"] or 0
-    use_compact = k <= compact_limit
-    rows = compact if use_compact else base.withColumn("__w", F.lit(1))
-    lut = rank_table(compact if use_compact else base, columns, "__w" if use_compact else None,
-                     max_distinct=k)
-    if len(columns) * k <= broadcast_limit or lut.count() <= broadcast_limit:
-        lut = F.broadcast(lut)
-    ranked = rows
+    compact = write_once(base.groupBy(*columns).agg(F.count(F.lit(1)).alias("__w")), "combinations")
+    lut = write_once(rank_table(compact, columns, "__w"), "ranks")
+    n = compact.agg(F.sum("__w")).first()[0]
+    ranked = compact
     for c in columns:
         ranked = ranked.join(lut.where(F.col("column") == c).select(
             F.col("value").alias(c), F.col("rank").alias(f"__r_{c}")), c, "left")

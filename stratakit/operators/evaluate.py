@@ -233,14 +233,13 @@ def select_candidate(summary: DataFrame, rule: str = "alpha", order_col: str | N
 
 # --- F10 / F11 / F12 --------------------------------------------------------
 
-def pr_curve(df: DataFrame, y: str, score: str, positive: int = 0,
-             target_rows: int = 1 << 20) -> DataFrame:
+def pr_curve(df: DataFrame, y: str, score: str, positive: int = 0) -> DataFrame:
     """Precision/recall of ``score`` for class ``positive`` at every distinct
     score (descending thresholds), plus the end point (precision 1, recall 0).
 
     Cumulative sums run over *distinct scores*, never rows (a score shared by
-    many rows is one entry), with the bucketed running totals of
-    ``sampling.running_totals`` - no task holds more than one bucket.
+    many rows is one entry), with the ranged running totals of
+    ``sampling.running_totals`` - no task holds more than one range.
     """
     from .sampling import running_totals
 
@@ -249,8 +248,7 @@ def pr_curve(df: DataFrame, y: str, score: str, positive: int = 0,
     g = (df.where(s.isNotNull() & ~F.isnan(s))
            .groupBy(s.alias("threshold"))
            .agg(F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg")))
-    j = running_totals(g, "threshold", ["pos", "neg"], descending=True, target_rows=target_rows,
-                       total_suffix="_total")
+    j = running_totals(g, "threshold", ["pos", "neg"], descending=True, total_suffix="_total")
     tp, fp, total = F.col("cum_pos"), F.col("cum_neg"), F.col("pos_total")
     pts = j.select(
         "threshold", tp.cast("bigint").alias("tp"), fp.cast("bigint").alias("fp"),

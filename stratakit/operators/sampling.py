@@ -10,8 +10,7 @@ first ``k`` hex digits of the key form a bucket (a prefix, so ordering by
 bucket then key is ordering by key).  Per (label, bucket) counts give
 cumulative offsets over a table of at most ``labels x 16**k`` rows; the row
 number is then computed inside (label, bucket) windows, which are uniformly
-small because md5 is uniform.  ``k`` is chosen from the class sizes so a
-bucket holds about ``target_rows`` rows.
+small because md5 is uniform.
 
 For threshold tags (split, caps, fixed-size sample) only one bucket per
 label straddles the cut: rows in buckets wholly below or above it are tagged
@@ -26,9 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..presets import RANDOM_STATE
-from ..session import cut_lineage
+from ..session import write_once
 
-TARGET_BUCKET_ROWS = 1 << 20
 DIGITS = 4            # 16**4 = 65,536 order-key buckets per stratum
 
 
@@ -49,32 +47,20 @@ def _tag(df: DataFrame, row_id: str, seed: int, digits: int) -> DataFrame:
         "__b", F.conv(F.substring("__h", 1, digits), 16, 10).cast("bigint"))
 
 
-HOT_BUCKET_MIN = 1 << 20   # a bucket may always hold this many rows
-HOT_BUCKET_FACTOR = 8      # ... or this many times its expected share
-
-
 def _bucket_table(tagged: DataFrame, parts: list[str], digits: int = DIGITS) -> DataFrame:
     """``(parts, __b, __n, __off, __cls)``: rows per (stratum, bucket), rows in
     earlier buckets of the stratum, and the stratum size.  At most
     ``strata x 16**digits`` rows, whatever the input size.
 
-    With distinct row ids md5 fills the buckets evenly.  A repeated id (or a
-    null one) puts all its rows into one bucket - one task - and leaves their
-    order undefined; such a bucket fails the job here, inside the plan (no
-    extra action), instead of running as a straggler."""
+    With distinct row ids (`clean.with_row_key`) md5 fills the buckets evenly.
+    A null id has no order and fails the job here, inside the plan."""
     bt = tagged.groupBy(*parts, "__b").agg(F.count(F.lit(1)).alias("__n"))
     prev = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parts)
     bt = bt.select(*parts, "__b", "__n", F.coalesce(F.sum("__n").over(prev), F.lit(0)).alias("__off"),
                    F.sum("__n").over(whole).alias("__cls"))
-    limit = F.greatest(F.lit(HOT_BUCKET_MIN),
-                       F.ceil(F.col("__cls") * HOT_BUCKET_FACTOR / float(16 ** digits)))
-    hot = F.col("__b").isNull() | (F.col("__n") > limit)
-    msg = F.concat(F.lit("order-key bucket "), F.coalesce(F.col("__b").cast("string"), F.lit("null")),
-                   F.lit(" holds "), F.col("__n").cast("string"),
-                   F.lit(" rows: the row id repeats or is null; ranking needs a unique, non-null "
-                         "row id (deduplicate first or pass a composite key)"))
-    return bt.withColumn("__off", F.when(hot, F.raise_error(msg)).otherwise(F.col("__off")))
+    missing = F.raise_error(F.lit("a row id is null: ranking needs a unique, non-null row id"))
+    return bt.withColumn("__off", F.when(F.col("__b").isNull(), missing).otherwise(F.col("__off")))
 
 
 def _ranked(parts: list[str], row_id: str) -> Column:
@@ -281,26 +267,12 @@ def interp_weights(df: DataFrame, label: str, alpha: float, out: str = "weight",
 
 # --- D8 ---------------------------------------------------------------------
 
-TOPK_ROWS = 100_000
-TOPK_MERGE_ROWS = 4_000_000
-
-
 def fixed_sample(df: DataFrame, row_id: str, n: int = 2000, seed: int = RANDOM_STATE,
                  digits: int = DIGITS) -> DataFrame:
     """``min(n, rows)`` rows chosen by the order key (not ``sample(fraction)``).
 
-    A small ``n`` is a top-k: ``orderBy(key).limit(n)`` plans as
-    ``TakeOrderedAndProject`` (a bounded heap per partition, then one task
-    merges ``n x partitions`` rows).  That merge grows with the cluster, so
-    the top-k is used only while ``n x cores`` (a large input has at least
-    one partition per core; reading the count from the plan would run its
-    shuffles) stays under ``TOPK_MERGE_ROWS``; otherwise, and for larger
-    samples, the bucketed rank sorts just the one bucket that straddles the
-    cut.  Both give the same rows."""
-    cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    if n <= TOPK_ROWS and n * cores <= TOPK_MERGE_ROWS:
-        return (df.withColumn("__h", order_key(row_id, seed)).orderBy("__h", row_id)
-                .limit(int(n)).drop("__h"))
+    The bucketed rank keeps whole buckets below the cut and sorts only the one
+    that straddles it, for any ``n`` and on any number of cores."""
     quota = lambda st: st.withColumn("__q", F.least(F.col("n_c"), F.lit(int(n))))
     tagged = rank_at_most(df, row_id, None, quota, seed, "__keep", digits)
     return tagged.where("__keep").drop("__keep")
@@ -335,51 +307,29 @@ def oof_assemble(parts: list[DataFrame], row_id: str, prob_cols: list[str],
 # --- distributed running totals ----------------------------------------------
 
 def running_totals(g: DataFrame, order_col: str, sums: list[str], descending: bool = False,
-                   target_rows: int = TARGET_BUCKET_ROWS, max_buckets: int = 4096,
-                   total_suffix: str | None = None, n: int | None = None) -> DataFrame:
-    """Add ``cum_<c>`` (inclusive running sum of ``c`` in ``order_col`` order)
-    for every ``c`` in ``sums``, over a table of *distinct* ``order_col``
-    values.
-
-    Small tables use one window.  Larger ones are cut into quantile buckets
-    of about ``target_rows`` (approximate quantiles, JVM-side binary search
-    by ``Bucketizer``): per-bucket totals -> offsets over at most
-    ``max_buckets`` rows (broadcast, bounded by construction) -> running sums
-    inside each bucket.  No task ever holds more than one bucket.
-    ``total_suffix`` also adds the grand total ``<c><suffix>``.
+                   by: list[str] | None = None, total_suffix: str | None = None) -> DataFrame:
+    """Add ``cum_<c>`` (inclusive running sum of ``c`` in ``order_col`` order,
+    within each ``by`` group if given) for every ``c`` in ``sums``, over a table
+    of *distinct* ``(by, order_col)`` values.
+
+    The table is sorted into ranges of even size, as many as the shuffle
+    has partitions, and stored with its range number; totals per (group,
+    range) give offsets (at most one row per group and range), and running sums are
+    taken inside a range.  No task holds more than one range, and a group of
+    any size spreads over many.  ``total_suffix`` also adds the grand total
+    ``<c><suffix>`` of the group.
     """
-    from pyspark.ml.feature import Bucketizer
-
-    if n is None:
-        # the size decides the plan; the table is written once so the count,
-        # the quantiles and the sums read it instead of re-running its input
-        g = cut_lineage(g)
-        n = g.count()
-    n_buckets = max(1, min(max_buckets, -(-n // target_rows)))
+    by = by or []
     order = F.desc(order_col) if descending else F.asc(order_col)
-    if n_buckets == 1:
-        run = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        out = g.select("*", *[F.sum(c).over(run).alias(f"cum_{c}") for c in sums])
-        if total_suffix:
-            whole = Window.partitionBy()
-            out = out.select("*", *[F.sum(c).over(whole).alias(f"{c}{total_suffix}") for c in sums])
-        return out
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = sorted(set(g.approxQuantile(order_col, probs, 1.0 / (4 * n_buckets))))
-    splits = [-float("inf")] + cuts + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol=order_col, outputCol="__bd", handleInvalid="keep") \
-        .transform(g.withColumn(order_col, F.col(order_col).cast("double"))) \
-        .withColumn("__b", F.col("__bd").cast("int")).drop("__bd")
-    bt = b.groupBy("__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
-    prev = Window.orderBy(F.desc("__b") if descending else F.asc("__b")).rowsBetween(
-        Window.unboundedPreceding, -1)
+    ranged = write_once(g.repartitionByRange(*by, order).withColumn("__b", F.spark_partition_id()), "ranges")
+    bt = ranged.groupBy(*by, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
+    prev = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     cols = [F.coalesce(F.sum(f"__t_{c}").over(prev), F.lit(0)).alias(f"__o_{c}") for c in sums]
     if total_suffix:
-        whole = Window.partitionBy()
+        whole = Window.partitionBy(*by)
         cols += [F.sum(f"__t_{c}").over(whole).alias(f"{c}{total_suffix}") for c in sums]
-    off = bt.select("__b", *cols)
-    run = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    j = b.join(F.broadcast(off), "__b")
-    return j.select(*[c for c in g.columns], *[
-        (F.col(f"__o_{c}") + F.sum(c).over(run)).alias(f"cum_{c}") for c in sums],
-        *([F.col(f"{c}{total_suffix}") for c in sums] if total_suffix else []))
+    run = Window.partitionBy(*by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.select("*", *[F.sum(c).over(run).alias(f"__r_{c}") for c in sums])
+    j = summed.join(bt.select(*by, "__b", *cols), [*by, "__b"])
+    return j.select(*g.columns, *[(F.col(f"__o_{c}") + F.col(f"__r_{c}")).alias(f"cum_{c}") for c in sums],
+                    *([F.col(f"{c}{total_suffix}") for c in sums] if total_suffix else []))

@@ -161,13 +161,13 @@ def q_contract(spark, d):
     return A.contract_table(I.raw(spark, d), L, SF001_CONTRACT)
 
 
-_FP_TEXT = "concat_ws('|', " + ", ".join(
-    f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in RAW_COLS.split(", ")) + ")"
+_FP_TEXT = "concat(" + ", ".join(
+    f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'N')" for c in RAW_COLS.split(", ")) + ")"
 
 
 @register("table_fingerprint", with_ctes(["collisions_raw"], f"""
   SELECT CAST(count(*) AS BIGINT) AS rows,
-         CAST(coalesce(sum(CAST('0x' || substr(md5({_FP_TEXT}), 1, 8) AS BIGINT)), 0) AS BIGINT) AS checksum
+         CAST(coalesce(sum(CAST('0x' || substr(md5({_FP_TEXT}), 1, 16) AS UBIGINT)), 0) AS VARCHAR) AS checksum
   FROM collisions_raw"""))
 def q_fingerprint(spark, d):
     return A.table_fingerprint(I.raw(spark, d))

@@ -46,8 +46,8 @@ def test_spearman_matches_pandas_with_ties(spark):
                         "c": rng.normal(size=300)})
     pdf["b"] = pdf["b"] + pdf["a"]
     expected = pdf.corr(method="spearman")
-    for limit in (5_000_000, 0):     # compacted path and row path
-        got = D.spearman(spark.createDataFrame(pdf), ["a", "b", "c"], compact_limit=limit)
+    for columns in (["a", "b", "c"], ["a", "b"]):     # with a continuous column, and compacted
+        got = D.spearman(spark.createDataFrame(pdf), columns)
         for r in got.collect():
             assert r.spearman == pytest.approx(expected.loc[r.column_a, r.column_b], abs=1e-9)
 
@@ -91,17 +91,15 @@ def test_histogram_edges_follow_numpy(spark):
     assert counts == list(np.histogram(vals, bins=np.histogram_bin_edges(vals, bins=20))[0])
 
 
-def test_association_matrix_fallback_path_agrees(spark):
-    """Past ``max_cells`` levels the pair cells are grouped by key instead of
-    counted into one wide aggregate: same matrix either way."""
+def test_association_matrix_agrees_with_each_pair(spark):
     from stratakit.operators import describe as D
 
     rows = [(i % 3, (i * 7) % 5, None if i % 11 == 0 else (i * 13) % 4) for i in range(400)]
     df = spark.createDataFrame(rows, "a int, b int, c int")
-    wide = {(r.feature_a, r.feature_b): r.cramers_v for r in D.association_matrix(df, ["a", "b", "c"]).collect()}
-    grouped = {(r.feature_a, r.feature_b): r.cramers_v
-               for r in D.association_matrix(df, ["a", "b", "c"], max_cells=1).collect()}
-    assert wide == grouped and len(wide) == 9
+    got = {(r.feature_a, r.feature_b): r.cramers_v for r in D.association_matrix(df, ["a", "b", "c"]).collect()}
+    assert len(got) == 9
+    for a, b in (("a", "b"), ("a", "c"), ("b", "c")):
+        assert got[a, b] == got[b, a] == D.cramers_v(df, a, b).first().cramers_v
 
 
 def test_within_class_dist_shows_absent_classes_with_zero_share(spark):

@@ -98,7 +98,7 @@ def test_pr_curve_and_average_precision_with_ties(spark):
     s = np.round(rng.random(400), 2)          # many ties
     y = (rng.random(400) < s * 0.5).astype(int)
     df = spark.createDataFrame([(0 if a else 1, float(b)) for a, b in zip(y, s)], "y int, score double")
-    curve = E.pr_curve(df, "y", "score", target_rows=10)   # ~10 quantile buckets
+    curve = E.pr_curve(df, "y", "score")
     pts = curve.collect()
     assert len(pts) == len(set(s)) + 1
     end = [r for r in pts if r.threshold is None][0]
@@ -139,17 +139,16 @@ def test_threshold_registry_match(spark):
     assert got == {"m/a": 0.3, "m/b": None, "m/c": None}
 
 
-def test_threshold_match_salted_path_agrees_with_broadcast(spark, monkeypatch):
-    """One artifact on every scored row (the hot key): the salted join used
-    beyond the broadcast limit gives the same rows as the broadcast join."""
+def test_threshold_match_by_broadcast_and_by_shuffle(spark):
+    """One artifact on nearly every scored row (the hot key): the salted join
+    gives the same rows broadcast or shuffled."""
     models = spark.range(500).select(F.col("id").alias("row_id"),
                                      F.when(F.col("id") % 50 == 0, "m/b").otherwise("m/a")
                                       .alias("model_artifact"))
     reg = spark.createDataFrame([("m/a", "ready", 0.3), ("m/b", "pending", 0.2), ("m/x", "ready", 0.1)],
                                 "model_artifact string, status string, threshold double")
     want = sorted(tuple(r) for r in Dc.threshold_match(models, reg).collect())
-    monkeypatch.setattr(Dc, "REGISTRY_BROADCAST_ROWS", 0)
-    salted = Dc.threshold_match(models, reg)
+    salted = Dc.threshold_match(models, reg.hint("merge"))
     assert salted.columns == ["row_id", "model_artifact", "threshold"]
     got = sorted(tuple(r) for r in salted.collect())
     assert got == want and len(got) == 500
@@ -172,7 +171,7 @@ def test_fold_summary_uses_sample_std(spark):
     assert got["macro_f1"].mean == pytest.approx(0.4) and got["macro_f1"].std == pytest.approx(np.std([.3, .5], ddof=1))
 
 
-def test_threshold_match_salted_path_with_vector_columns(spark, monkeypatch):
+def test_threshold_match_with_vector_columns(spark):
     """Scored frames carry ML vectors; the salt hashes atomic columns only."""
     from pyspark.ml.linalg import Vectors, VectorUDT
     from pyspark.sql import types as T
@@ -183,6 +182,5 @@ def test_threshold_match_salted_path_with_vector_columns(spark, monkeypatch):
     models = spark.createDataFrame([(i, "m/a", Vectors.dense([0.1 * i, 1.0])) for i in range(20)],
                                    schema)
     reg = spark.createDataFrame([("m/a", "ready", 0.3)], "model_artifact string, status string, threshold double")
-    monkeypatch.setattr(Dc, "REGISTRY_BROADCAST_ROWS", 0)
     got = Dc.threshold_match(models, reg).collect()
     assert len(got) == 20 and all(r.threshold == 0.3 for r in got)

@@ -125,22 +125,39 @@ def test_repeated_or_null_row_id_fails_instead_of_ranking_arbitrarily(spark):
         S.stratified_kfold(nul, "label", "rid", k=2).collect()
 
 
-def test_hot_bucket_guard_trips_on_a_dominant_id(spark, monkeypatch):
+def test_a_dominant_repeated_id_fails(spark):
     from stratakit.operators import sampling as S
 
-    monkeypatch.setattr(S, "HOT_BUCKET_MIN", 10)
     rows = spark.range(300).select(F.when(F.col("id") < 100, F.lit(7)).otherwise(F.col("id"))
                                    .alias("rid"), F.lit(0).alias("label"))
-    with pytest.raises(Exception, match="holds 100 rows"):
-        S.stratified_split(rows, "label", "rid").collect()
+    with pytest.raises(Exception, match="not unique"):
+        S.stratified_kfold(rows, "label", "rid").collect()
 
 
-def test_fixed_sample_topk_and_bucket_paths_agree(spark, monkeypatch):
-    """The top-k path (bounded merge) and the bucketed path pick the same rows."""
+def test_fixed_sample_is_the_smallest_keys(spark):
     from stratakit.operators import sampling as S
 
     df = spark.range(5000).select(F.col("id").alias("rid"), (F.col("id") % 7).alias("v")).repartition(5)
-    topk = sorted(tuple(r) for r in S.fixed_sample(df, "rid", 300).collect())
-    monkeypatch.setattr(S, "TOPK_MERGE_ROWS", 0)
-    bucket = sorted(tuple(r) for r in S.fixed_sample(df, "rid", 300).collect())
-    assert topk == bucket and len(topk) == 300
+    want = df.orderBy(S.order_key("rid"), "rid").limit(300)
+    got = sorted(tuple(r) for r in S.fixed_sample(df, "rid", 300).collect())
+    assert got == sorted(tuple(r) for r in want.collect()) and len(got) == 300
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_running_totals_in_one_range_and_in_many(spark, coalesce):
+    from stratakit.operators import sampling as S
+
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    rows = [(g, float(v), (v * 7) % 5) for g in "ab" for v in range(-20, 60 if g == "a" else 5)]
+    df = spark.createDataFrame(rows, "g string, v double, n long").repartition(3)
+    spark.conf.set(key, coalesce)
+    try:
+        for down in (False, True):
+            got = S.running_totals(df, "v", ["n"], down, by=["g"], total_suffix="_all").collect()
+            assert len(got) == len(rows)
+            for r in got:
+                same = [(v, n) for g, v, n in rows if g == r.g]
+                assert r.cum_n == sum(n for v, n in same if (v >= r.v if down else v <= r.v))
+                assert r.n_all == sum(n for _, n in same)
+    finally:
+        spark.conf.unset(key)
