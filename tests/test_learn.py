@@ -47,7 +47,7 @@ def test_boosted_ovr_probabilities_and_roundtrip(spark, frame, tmp_path):
 
 
 def test_leakage_guard_runs_before_fit(spark, frame):
-    with pytest.raises(ValueError, match="post-collision"):
+    with pytest.raises(ValueError, match="model inputs: leaks"):
         fit_multiclass(frame.withColumn("number_of_vehicles", F.lit(1)), CAT, NUM,
                        list(L.forbidden), "forest", None, {"numTrees": 2})
 
