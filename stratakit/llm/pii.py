@@ -7,9 +7,10 @@ that who reads the term expects the entity:
     PMI(term; entity) = log2( p(term, entity) / (p(term) p(entity)) )
 
 over documents, against the entity's information IC = -log2 p(entity).  Terms whose
-PMI is at least ``disclosure`` of the IC, seen together in ``support`` documents or
-more, are spans too: removed if they give the entity away entirely (PMI = IC),
-else generalised to the class of word that they are.
+PMI is at least ``disclosure`` of the IC are spans too: removed if no document has them
+without the entity, else generalised to the class of word that they are.  Few joint
+documents say less than many: p(entity | term) is smoothed by ``smoothing`` documents
+with the entity's overall share, so entities of one document count too.
 
 The patterns use possessive quantifiers and look-behinds that change no match but
 keep long runs of one character linear.
@@ -25,8 +26,8 @@ from .common import whole_text, with_row_number_ids
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Share of the entity's information, joint documents, characters on each side.
-DISCLOSURE, SUPPORT, CONTEXT = 0.9, 3, 48
+#: Share of the entity's information, documents added to a term's, characters on each side.
+DISCLOSURE, SMOOTHING, CONTEXT = 0.9, 0.5, 48
 
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -144,30 +145,30 @@ def _document_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def revealing_terms(near: DataFrame, docs: DataFrame, text_col: str = "text",
-                    disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+                    disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
     """``entity, term, pmi, ic`` of the pairs over the threshold."""
     n = F.lit(docs.count()).cast("double")
     pairs = (near.select("row", "entity", "term").distinct().groupBy("entity", "term")
-             .agg(F.count("*").alias("joint")).filter(F.col("joint") >= support))
+             .agg(F.count("*").alias("joint")))
     entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
     known = pairs.join(entities, "entity").join(_document_counts(docs, text_col), "term")
-    log2 = F.log2
+    share = F.col("of_entity") / n
     return known.select(
         "entity", "term",
-        (log2(F.col("joint") / F.col("df")) + log2(n / F.col("of_entity"))).alias("pmi"),
-        log2(n / F.col("of_entity")).alias("ic"),
+        F.log2((F.col("joint") + smoothing * share) / (F.col("df") + smoothing) / share).alias("pmi"),
+        F.log2(1 / share).alias("ic"),
         (F.col("joint") >= F.col("df")).alias("entirely")).filter(
         (F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic")))
 
 
 def find(rows: DataFrame, docs: DataFrame, text_col: str = "text",
-         disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+         disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
     """``row, doc_id, kind, start, end, term, entirely``: the base spans and the
     added ones of ``rows`` (``row, doc_id, text``), and a line with a null kind for
     each row without base matches.  Counts come from all of ``docs``."""
     spans = write_once(_base_spans(write_once(_matches(rows), "pii-matches")), "pii-spans")
     near = write_once(_near_terms(spans), "pii-terms")
-    risky = revealing_terms(near, docs, text_col, disclosure, support)
+    risky = revealing_terms(near, docs, text_col, disclosure, smoothing)
     added = (near.join(risky, ["entity", "term"]).groupBy("row", "start", "end")
              .agg(F.max("term").alias("term"), F.max("entirely").alias("entirely")))
     base = spans.select("row", "doc_id", F.when(F.col("valid"), F.col("kind")).alias("kind"),
@@ -193,7 +194,7 @@ def _listed(only_base: bool) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+           disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, the counts ``n_email, n_ip, n_card,
     n_phone``, ``base_spans`` and ``spans`` (``kind:start:end`` by start, then
     kind, comma-joined; code points, end exclusive).
@@ -202,14 +203,14 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows have a row each and count as documents each.  An empty table
     gives no rows; other columns are not read."""
     rows = with_row_number_ids(docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")), "row")
-    spans = find(rows, docs, text_col, disclosure, support)
+    spans = find(rows, docs, text_col, disclosure, smoothing)
     return (spans.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS),
         _listed(True).alias("base_spans"), _listed(False).alias("spans")).drop("row"))
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", size_col: str | None = None,
-             disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+             disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
     """``docs`` with all columns, personal data in the text replaced by its kind
     and revealing terms by their class or nothing; ``size_col``, if given, is set to
     the new text's code points.  Texts without matches, and null ones, stay as they
@@ -219,7 +220,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", size_col: str | None = Non
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     stored = write_once(with_row_number_ids(
         docs.filter(hit).select(row.alias("__doc"), text.alias("text")), "row"), "pii-hits")
-    spans = find(stored.select("row", F.lit(None).cast("long").alias("doc_id"), "text"), docs, text_col, disclosure, support)
+    spans = find(stored.select("row", F.lit(None).cast("long").alias("doc_id"), "text"), docs, text_col, disclosure, smoothing)
     label = (F.when(F.col("kind") != TERM, F.concat(F.lit("["), F.upper("kind"), F.lit("]")))
              .when(F.col("entirely"), "").when(F.col("term").rlike("^[0-9]+$"), "[NUMBER]").otherwise("[WORD]"))
     # overlapping spans become one, under the first one's label

@@ -373,6 +373,14 @@ def test_revealing_terms_are_spans_and_common_ones_are_not(spark):
     assert new[50] == "note 50  wrote from [EMAIL] about things" and new[51] == rows[51][1] and len(new) == 300
 
 
+def test_terms_of_entities_in_one_or_two_documents(spark):
+    said = {10: "Ophelia writes as oph@x.org about things", 20: "Cassius writes as cas@y.org about things", 30: "then Cassius writes as cas@y.org about things"}
+    rows = [(i, said.get(i, "note about things he then writes as told")) for i in range(300)]
+    spans = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: x for i, x in spans.items() if x} == {
+        10: "term:0:7,email:18:27", 20: "term:0:7,email:18:27", 30: "term:5:12,email:23:32"}
+
+
 def test_sanitise_keeps_columns_rows_and_clean_texts(corpus, docs):
     got = pii.sanitise(docs)
     assert got.columns == docs.columns
