@@ -1,13 +1,14 @@
 """Personal data: patterns, and information-theoretic sanitisation around them.
 
 Everything is DataFrame functions.  Patterns find addresses and numbers, the
-protected entities.  A term near an entity reveals it as far as the corpus says
-that who reads the term expects the entity:
+protected entities.  A term of a document with an entity reveals it as far as the corpus
+says that who reads the term expects the entity:
 
     PMI(term; entity) = log2( p(term, entity) / (p(term) p(entity)) )
 
-over documents, against the entity's information IC = -log2 p(entity).  Terms whose
-PMI is at least ``disclosure`` of the IC are spans too: removed if no document has them
+over whole documents, against the entity's information IC = -log2 p(entity).  Terms whose
+PMI is at least ``disclosure`` of the IC are spans too, wherever a document with the entity
+has them: removed if no document has them
 without the entity, else generalised to the class of word that they are.  Few joint
 documents say less than many: p(entity | term) is smoothed by ``smoothing`` documents
 with the entity's overall share, so entities of one document count too.
@@ -26,8 +27,8 @@ from .common import whole_text, with_row_number_ids
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Share of the entity's information, documents added to a term's, characters on each side.
-DISCLOSURE, SMOOTHING, CONTEXT = 0.9, 0.5, 48
+#: Share of the entity's information, documents added to a term's.
+DISCLOSURE, SMOOTHING = 0.9, 0.5
 
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -79,10 +80,9 @@ def _valid(kind: Column, hit: Column) -> Column:
 
 
 def _matches(rows: DataFrame) -> DataFrame:
-    """``row, doc_id, kind, pos, gap, hit, left, right`` from ``row, doc_id, text``:
-    every match with the length of the text before it (from the last match of
-    its kind) and its surroundings there; a row without matches has one line of
-    nulls."""
+    """``row, doc_id, kind, pos, gap, hit`` from ``row, doc_id, text``: every match
+    with the length of the text before it (from the last match of its kind); a row
+    without matches has one line of nulls."""
     text = F.col("text")
     found = F.array(*(F.when(_may_have(k, text), F.struct(
         F.lit(k).alias("kind"), F.split(text, PATTERNS[k], -1).alias("gaps"),
@@ -90,11 +90,9 @@ def _matches(rows: DataFrame) -> DataFrame:
     by_kind = rows.select("row", "doc_id", F.explode_outer(
         F.filter(found, lambda x: F.size(x["hits"]) > 0)).alias("f"))
     cells = by_kind.select("row", "doc_id", F.col("f.kind").alias("kind"), F.posexplode_outer(F.arrays_zip(
-        F.col("f.gaps").alias("gap"), F.col("f.hits").alias("hit"),
-        F.slice("f.gaps", 2, F.size("f.gaps")).alias("next"))).alias("pos", "z"))
+        F.col("f.gaps").alias("gap"), F.col("f.hits").alias("hit"))).alias("pos", "z"))
     return cells.filter("kind IS NULL OR z.hit IS NOT NULL").select(
-        "row", "doc_id", "kind", "pos", F.length("z.gap").alias("gap"), F.col("z.hit").alias("hit"),
-        F.right("z.gap", F.lit(CONTEXT)).alias("left"), F.left("z.next", F.lit(CONTEXT)).alias("right"))
+        "row", "doc_id", "kind", "pos", F.length("z.gap").alias("gap"), F.col("z.hit").alias("hit"))
 
 
 def _base_spans(cells: DataFrame) -> DataFrame:
@@ -106,71 +104,69 @@ def _base_spans(cells: DataFrame) -> DataFrame:
     return placed.withColumn("valid", F.coalesce(_valid(F.col("kind"), F.col("hit")), F.lit(False)))
 
 
-def _words(context: str, begin: Column) -> Column:
-    """Terms of a context with their places, as ``term, start, end``."""
-    gaps, hits = F.split(context, _TERM_PATTERN, -1), F.regexp_extract_all(context, F.lit(_TERM_PATTERN), F.lit(0))
-    empty = F.struct(begin.cast("long").alias("at"), F.array().cast("array<struct<term:string,start:bigint,end:bigint>>").alias("out"))
+def _terms(text: Column) -> Column:
+    """Distinct lower-cased terms."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM_PATTERN), F.lit(0)), F.lower))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.struct(x["hit"].alias("term"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(one))).alias("out"))
 
-    # at most CONTEXT / 3 terms
-    return F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), empty, step, lambda a: a["out"])
-
-
-def _near_terms(spans: DataFrame) -> DataFrame:
-    """``row, entity, term, start, end`` of the whole terms around valid matches."""
-    cut_left = (F.length("left") == CONTEXT) & (F.col("gap") > CONTEXT)
-    both = spans.filter("valid").select(
-        "row", F.lower("hit").alias("entity"), F.col("start").alias("at"), F.col("end").alias("till"),
-        (F.length("right") == CONTEXT).alias("cut_right"), cut_left.alias("cut_left"),
-        F.concat(_words("left", F.col("start") - F.length("left")), _words("right", F.col("end"))).alias("terms"))
-    each = both.select("*", F.explode("terms").alias("t")).select(
-        "row", "entity", F.lower("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"),
-        "at", "till", "cut_left", "cut_right")
-    # a term that the context's edge may have cut is left out, as is one that touches the entity
-    whole = (~(F.col("cut_left") & (F.col("start") == F.col("at") - CONTEXT))
-             & ~(F.col("cut_right") & (F.col("end") == F.col("till") + CONTEXT))
-             & (F.col("end") != F.col("at")) & (F.col("start") != F.col("till")))
-    return each.filter(whole).select("row", "entity", "term", "start", "end")
+def _holders(spans: DataFrame) -> DataFrame:
+    """``row, entity`` (a struct), distinct.  Entities of the same documents, which
+    have the same terms, count as one: their number of documents and two hashes."""
+    each = spans.filter("valid").select("row", F.lower("hit").alias("hit")).distinct()
+    sets = each.groupBy("hit").agg(F.struct(
+        F.count("*").alias("documents"), F.bit_xor(F.xxhash64("row")).alias("a"),
+        F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b")).alias("entity"))
+    return each.join(sets, "hit").select("row", "entity").distinct()
 
 
 def _document_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """``term, df`` over all documents."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(whole_text(text_col)), F.lit(_TERM_PATTERN), F.lit(0)))
-    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return docs.select(F.explode(_terms(whole_text(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def revealing_terms(near: DataFrame, docs: DataFrame, text_col: str = "text",
+def revealing_terms(texts: DataFrame, holders: DataFrame, docs: DataFrame, text_col: str = "text",
                     disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
-    """``entity, term, pmi, ic`` of the pairs over the threshold."""
+    """``row, term, entirely`` of the terms over the threshold for an entity of their
+    row (``row, text`` and ``row, entity``)."""
     n = F.lit(docs.count()).cast("double")
-    pairs = (near.select("row", "entity", "term").distinct().groupBy("entity", "term")
-             .agg(F.count("*").alias("joint")))
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    known = pairs.join(entities, "entity").join(_document_counts(docs, text_col), "term")
-    share = F.col("of_entity") / n
-    return known.select(
-        "entity", "term",
-        F.log2((F.col("joint") + smoothing * share) / (F.col("df") + smoothing) / share).alias("pmi"),
-        F.log2(1 / share).alias("ic"),
-        (F.col("joint") >= F.col("df")).alias("entirely")).filter(
-        (F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic")))
+    known = (texts.join(holders.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(F.col("text"))).alias("term"))
+             .join(_document_counts(docs, text_col), "term"))
+    share = F.col("entity.documents") / n
+
+    def over(joint: Column) -> Column:
+        pmi = F.log2((joint + smoothing * share) / (F.col("df") + smoothing) / share)
+        return (share < 1) & (pmi >= disclosure * F.log2(1 / share))
+
+    # no more documents can be joint than have the entity or the term
+    pairs = write_once(known.join(holders, "row").filter(over(F.least("df", "entity.documents"))), "pii-pairs")
+    risky = pairs.groupBy("entity", "term").agg(F.count("*").alias("joint"), F.max("df").alias("df")).filter(
+        over(F.col("joint"))).select("entity", "term", (F.col("joint") >= F.col("df")).alias("entirely"))
+    return pairs.join(risky, ["entity", "term"]).groupBy("row", "term").agg(F.max("entirely").alias("entirely"))
+
+
+def _occurrences(texts: DataFrame, revealed: DataFrame) -> DataFrame:
+    """``row, start, end, term, entirely`` of every occurrence of a row's terms."""
+    text = F.col("text")
+    cells = texts.join(revealed.select("row").distinct(), "row", "left_semi").select("row", F.posexplode(F.arrays_zip(
+        F.split(text, _TERM_PATTERN, -1).alias("gap"),
+        F.regexp_extract_all(text, F.lit(_TERM_PATTERN), F.lit(0)).alias("hit"))).alias("pos", "z")).filter("z.hit IS NOT NULL")
+    lengths = cells.select("row", "pos", F.length("z.gap").alias("gap"), F.length("z.hit").alias("size"), F.lower("z.hit").alias("term"))
+    so_far = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lengths.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far))
+    return placed.join(revealed, ["row", "term"]).select(
+        "row", (F.col("end") - F.col("size")).alias("start"), "end", "term", "entirely")
 
 
 def find(rows: DataFrame, docs: DataFrame, text_col: str = "text",
          disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
     """``row, doc_id, kind, start, end, term, entirely``: the base spans and the
     added ones of ``rows`` (``row, doc_id, text``), and a line with a null kind for
-    each row without base matches.  Counts come from all of ``docs``."""
+    each row without base matches.  Counts come from all of ``docs``; ``rows`` is read
+    several times, so its numbers must be stored."""
     spans = write_once(_base_spans(write_once(_matches(rows), "pii-matches")), "pii-spans")
-    near = write_once(_near_terms(spans), "pii-terms")
-    risky = revealing_terms(near, docs, text_col, disclosure, smoothing)
-    added = (near.join(risky, ["entity", "term"]).groupBy("row", "start", "end")
-             .agg(F.max("term").alias("term"), F.max("entirely").alias("entirely")))
+    texts, holders = rows.select("row", "text"), write_once(_holders(spans), "pii-holders")
+    revealed = write_once(revealing_terms(texts, holders, docs, text_col, disclosure, smoothing), "pii-terms")
+    added = _occurrences(texts, revealed)
     base = spans.select("row", "doc_id", F.when(F.col("valid"), F.col("kind")).alias("kind"),
                         F.when(F.col("valid"), F.col("start")).alias("start"), F.when(F.col("valid"), F.col("end")).alias("end"))
     both = base.withColumns({"term": F.lit(None).cast("string"), "entirely": F.lit(None).cast("boolean")}).unionByName(
@@ -202,7 +198,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null counts as empty; a text without personal data has empty lists.
     Repeated rows have a row each and count as documents each.  An empty table
     gives no rows; other columns are not read."""
-    rows = with_row_number_ids(docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")), "row")
+    text = whole_text(text_col)
+    rows = write_once(with_row_number_ids(docs.select(
+        F.col(id_col).alias("doc_id"), F.when(may_have_any(text), text).otherwise("").alias("text")), "row"), "pii-texts")
     spans = find(rows, docs, text_col, disclosure, smoothing)
     return (spans.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS),

@@ -381,6 +381,18 @@ def test_terms_of_entities_in_one_or_two_documents(spark):
         10: "term:0:7,email:18:27", 20: "term:0:7,email:18:27", 30: "term:5:12,email:23:32"}
 
 
+def test_revealing_terms_count_and_go_in_whole_documents(spark):
+    far = " about things" * 20
+    said = {10: f"Ophelia spoke{far} oph@x.org{far} OPHELIA", 20: f"oph@x.org{far} ophelia ophelia", 30: f"{far} oph@x.org or cas@y.org Ophelia"}
+    rows = [(i, said.get(i, f"note spoke or so{far}")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert [new[i] for i in (10, 20, 30, 40)] == [
+        f" spoke{far} [EMAIL]{far} ", f"[EMAIL]{far}  ", f"{far} [EMAIL] or [EMAIL] ", rows[40][1]]
+    spans = {r.doc_id: r.spans.split(",") for r in pii.report(docs).collect()}
+    assert [len(spans[i]) for i in (10, 20, 30)] == [3, 3, 3] and spans[10][0] == "term:0:7"
+
+
 def test_sanitise_keeps_columns_rows_and_clean_texts(corpus, docs):
     got = pii.sanitise(docs)
     assert got.columns == docs.columns
