@@ -1,16 +1,18 @@
 """License scans by conditional compression.
 
 Candidate blocks are lines with a license word, joined where few lines lie
-between.  A block is compressed alone and with each template as a zstandard
+between.  A notice is looked for in a block and as many words on both sides as the longest
+template can take.  A text is compressed alone and with each template as a zstandard
 raw dictionary; the templates are ranked by how much smaller it gets, and the first in
-rank whose wording differs little enough from the block is its license.  The
-difference is exact, in words: those of the template that the block lacks and those
-that the block has between the template's words.
+rank whose wording differs little enough from the text is its license.  The
+difference is exact, in words: those of the template that the text lacks and those
+that the text has between the template's words.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -51,7 +53,8 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("All rights reserved", "All rights reserved."),
 )
-HINT = r"(?i)licen[cs]e|copyright|rights reserved|permission|redistribut|public domain|creative commons|spdx"
+HINT = (r"(?i)licen[cs]e|copyright|rights[\W_]+reserved|permission|redistribut|public[\W_]+domain|"
+        r"creative[\W_]+commons|spdx")
 #: Lines without a hint that may lie inside a block.
 GAP = 2
 #: Largest share of the template's words that may differ.
@@ -79,12 +82,20 @@ def packers() -> tuple[zstandard.ZstdCompressor, list[Template]]:
         text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text in TEMPLATES]
 
 
+#: Words that a notice takes at most.
+REACH = int(max(len(words(text)) for _, text in TEMPLATES) * (1 + MAX_DIFFERENCE)) + 1
+
+
 def blocks(text: str, gap: int = GAP) -> list[tuple[int, int]]:
-    """Candidate blocks as ``(start, end)``, code points: lines with a hint, joined over at
-    most ``gap`` lines without one."""
-    out, at, quiet, hint = [], 0, gap + 1, re.compile(HINT)
+    """Candidate blocks as ``(start, end)``, code points: lines that a hint touches, joined
+    over at most ``gap`` lines without one."""
+    out, at, quiet = [], 0, gap + 1
+    hints = [m.span() for m in re.finditer(HINT, text)]
+    k = 0
     for line in text.split("\n"):
-        if hint.search(line):
+        while k < len(hints) and hints[k][1] <= at:
+            k += 1
+        if k < len(hints) and hints[k][0] < at + len(line):
             if out and quiet <= gap:
                 out[-1] = out[-1][0], at + len(line)
             else:
@@ -96,18 +107,67 @@ def blocks(text: str, gap: int = GAP) -> list[tuple[int, int]]:
     return out
 
 
-def difference(template: tuple[str, ...], block: list[str]) -> tuple[list[str], list[str]]:
-    """Words of the template that the block lacks, and words of the block between
-    the first and the last of the template's."""
+@dataclass(frozen=True)
+class Match:
+    """Words ``start`` to ``end`` of a text against a template; ``longest`` is the
+    longest run of equal words."""
+
+    start: int
+    end: int
+    longest: tuple[int, int]
+    missing: list[str]
+    extra: list[str]
+
+    def confirms(self, template: tuple[str, ...]) -> bool:
+        return (len(self.missing) + len(self.extra) <= MAX_DIFFERENCE * len(template)
+                and not any(w in DECISIVE or w[0].isdigit() for w in (*self.missing, *self.extra)))
+
+
+def match(template: tuple[str, ...], block: list[str]) -> Match:
+    """The runs of equal words, in order, without those at either end that lie
+    farther off than they are long."""
     found = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
     if not found:
-        return list(template), []
+        return Match(0, 0, (0, 0), list(template), [])
+    best, first, since, value = (0, 0, 0), 0, 0, 0
+    for k, m in enumerate(found):
+        value -= m.b - found[k - 1].b - found[k - 1].size if k else 0
+        if value <= 0:
+            value, since = 0, k
+        value += m.size
+        if value > best[0]:
+            best = value, since, k + 1
+    found = found[best[1]:best[2]]
     missing, extra, a, b = list(template[:found[0].a]), [], found[0].a, found[0].b
     for m in found:
         missing += template[a:m.a]
         extra += block[b:m.b]
         a, b = m.a + m.size, m.b + m.size
-    return missing + list(template[a:]), extra
+    run = max(found, key=lambda m: m.size)
+    return Match(found[0].b, b, (run.b, run.b + run.size), missing + list(template[a:]), extra)
+
+
+def difference(template: tuple[str, ...], block: list[str]) -> tuple[list[str], list[str]]:
+    """Words of the template that the block lacks, and words of the block between
+    the first and the last of the template's."""
+    m = match(template, block)
+    return m.missing, m.extra
+
+
+def locate(template: tuple[str, ...], own: list[str], start: int, end: int) -> Match | None:
+    """A confirmed match within words ``start`` to ``end``, if there is one beside
+    the longest runs."""
+    have = set(own[start:end])
+    lacks = [w for w in template if w not in have]
+    if len(lacks) > MAX_DIFFERENCE * len(template) or any(w in DECISIVE or w[0].isdigit() for w in lacks):
+        return None
+    m = match(template, own[start:end])
+    if m.confirms(template):
+        return Match(start + m.start, start + m.end, m.longest, m.missing, m.extra)
+    left, right = m.longest
+    if left == right:
+        return None
+    return locate(template, own, start, start + left) or locate(template, own, start + right, end)
 
 
 def identify(block: str, plain: zstandard.ZstdCompressor, templates: list[Template]) -> tuple[str | None, int, list[str], list[str]]:
@@ -121,19 +181,79 @@ def identify(block: str, plain: zstandard.ZstdCompressor, templates: list[Templa
         t = templates[-k]
         if reduction <= 0:
             break
-        missing, extra = difference(t.words, own)
-        first = first or (None, reduction, missing, extra)
-        changed = {*missing, *extra}
-        if (len(missing) + len(extra) <= MAX_DIFFERENCE * len(t.words)
-                and not any(w in DECISIVE or w[0].isdigit() for w in changed)):
-            return t.name, reduction, missing, extra
+        m = match(t.words, own)
+        first = first or (None, reduction, m.missing, m.extra)
+        if m.confirms(t.words):
+            return t.name, reduction, m.missing, m.extra
     return first or (None, 0, [], [])
 
 
+def _within(text: str, at: list[tuple[int, int]], own: list[str], start: int, end: int,
+            plain: zstandard.ZstdCompressor, templates: list[Template]) -> list[tuple[Match, str, int]]:
+    """All confirmed matches in words ``start`` to ``end``, with license and reduction."""
+    out, parts = [], [(start, end)]
+    while parts:
+        a, b = parts.pop()
+        fits = [(m, -k) for k, t in enumerate(templates) if (m := locate(t.words, own, a, b))]
+        if not fits:
+            continue
+        data = text[at[min(m.start for m, _ in fits)][0]:at[max(m.end for m, _ in fits) - 1][1]].lower().encode()
+        alone = len(plain.compress(data))
+        reduction, k, m = max(((alone - len(templates[-k].packer.compress(data)), k, m) for m, k in fits), key=lambda x: x[:2])
+        out.append((m, templates[-k].name, reduction))
+    return sorted(out, key=lambda x: x[0].start)
+
+
+def notices(text: str, plain: zstandard.ZstdCompressor,
+            templates: list[Template]) -> list[tuple[int, int, str | None, int, list[str], list[str]]]:
+    """``(start, end, license, reduction, missing, extra)`` of a text: a row per
+    license of a block, which is widened to the licenses' lines, or one
+    without a license."""
+    hinted = blocks(text)
+    if not hinted:
+        return []
+    at = [m.span() for m in _WORD.finditer(text)]
+    own, starts = [text[a:b].lower() for a, b in at], [a for a, _ in at]
+    areas: list[list[int]] = []
+    for a, b in hinted:
+        area = [max(0, bisect_left(starts, a) - REACH), min(len(at), bisect_right(starts, b) + REACH)]
+        if areas and area[0] <= areas[-1][1]:
+            areas[-1][1] = area[1]
+        else:
+            areas.append(area)
+    found = []
+    for a, b in areas:
+        while a < b:  # parts that overlap by more than a notice, so that the work is in proportion to the text
+            end = min(b, a + 4 * REACH)
+            sure = b if end == b else end - 2 * REACH
+            hits = _within(text, at, own, a, end, plain, templates)
+            found += [h for h in hits if h[0].end <= sure]
+            a = min([sure, *(h[0].start for h in hits if h[0].end > sure)])
+    spans = [(a, b, None) for a, b in hinted]
+    for h in found:
+        a, b = at[h[0].start][0], at[h[0].end - 1][1]
+        after = text.find("\n", b)
+        spans.append((text.rfind("\n", 0, a) + 1, len(text) if after < 0 else after, h))
+    joined: list[tuple[int, int, list]] = []
+    for a, b, h in sorted(spans, key=lambda x: (x[0], x[2] is not None, x[2][0].start if x[2] else 0)):
+        if joined and a <= joined[-1][1]:
+            joined[-1] = joined[-1][0], max(b, joined[-1][1]), joined[-1][2]
+        else:
+            joined.append((a, b, []))
+        if h:
+            joined[-1][2].append(h)
+    out = []
+    for a, b, hits in joined:
+        out += [(a, b, name, reduction, m.missing, m.extra) for m, name, reduction in hits]
+        if not hits:
+            out.append((a, b, *identify(text[a:b], plain, templates)))
+    return out
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per candidate block: ``doc_id, start, end, license, reduction,
-    missing, extra`` (code points, end exclusive; ``license`` null if none is
-    confirmed).
+    """One row per license of each candidate block: ``doc_id, start, end, license,
+    reduction, missing, extra`` (the block's code points, end exclusive); a block
+    without a confirmed license has one row, its ``license`` null.
 
     Null and empty texts have no blocks; repeated rows have theirs each; an
     empty table gives no rows.  Other columns are not read."""
@@ -143,8 +263,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for b in batches:
             of, rows = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                for start, end in blocks(text):
-                    name, reduction, missing, extra = identify(text[start:end], plain, templates)
+                for start, end, name, reduction, missing, extra in notices(text, plain, templates):
                     of.append(i)
                     rows.append((start, end, name, reduction, " ".join(missing), " ".join(extra)))
             columns = list(zip(*rows, strict=True)) or [()] * 6

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -450,6 +451,32 @@ def test_compression_finds_what_trying_all_differences_finds():
             assert licenses.identify(block, plain, templates)[0] in fits and t.name in fits
 
 
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+
+
+def found_licenses(text):
+    return [r[2] for r in licenses.notices(text, *licenses.packers())]
+
+
+def test_wrapped_templates_are_found():
+    around = "the code of a file that one may run " * 20
+    assert found_licenses(MIT_TEXT)[0] == "MIT"
+    for name, wording in licenses.TEMPLATES:
+        for width in (10, 20, 40, 60, 72, 80, 1000):
+            for mark in ("", "# ", " * "):
+                notice = "\n".join(mark + x for x in textwrap.wrap(wording, width, break_long_words=False, break_on_hyphens=False))
+                for text in (notice, f"{around}\n{notice}\n{around}"):
+                    assert found_licenses(text) == [name], (name, width, mark)
+
+
 # --- all
 def test_empty_tables(spark, empty):
     path = tokenizer_path()
