@@ -6,7 +6,8 @@ template can take.  A text is compressed alone and with each template as a zstan
 raw dictionary; the templates are ranked by how much smaller it gets, and the first in
 rank whose wording differs little enough from the text is its license.  The
 difference is exact, in words: those of the template that the text lacks and those
-that the text has between the template's words.
+that the text has between the template's words.  The license's words are taken out and
+what is left on both sides is searched again, until no template is confirmed.
 """
 
 from __future__ import annotations
@@ -201,6 +202,7 @@ def _within(text: str, at: list[tuple[int, int]], own: list[str], start: int, en
         alone = len(plain.compress(data))
         reduction, k, m = max(((alone - len(templates[-k].packer.compress(data)), k, m) for m, k in fits), key=lambda x: x[:2])
         out.append((m, templates[-k].name, reduction))
+        parts += [(a, m.start), (m.end, b)]
     return sorted(out, key=lambda x: x[0].start)
 
 

@@ -477,6 +477,16 @@ def test_wrapped_templates_are_found():
                     assert found_licenses(text) == [name], (name, width, mark)
 
 
+def test_all_licenses_of_a_block_are_found():
+    assert found_licenses("Licensed under the MIT License.\nAll rights reserved.") == ["MIT", "All rights reserved"]
+    assert found_licenses("x All rights reserved. Licensed under CC BY 4.0. or Licensed under CC BY-NC 4.0. y") == [
+        "All rights reserved", "CC-BY-4.0", "CC-BY-NC-4.0"]
+    rng = random.Random(8)
+    for sep in (" ", "\n", " or\n", "\n" + "some words of code\n" * 9):
+        picked = [rng.choice(licenses.TEMPLATES) for _ in range(60)]
+        assert found_licenses(sep.join(text for _, text in picked)) == [name for name, _ in picked]
+
+
 # --- all
 def test_empty_tables(spark, empty):
     path = tokenizer_path()
