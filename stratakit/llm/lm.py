@@ -1,22 +1,22 @@
 """Language-model scoring with a log-bilinear neural model.
 
-The model's vocabulary is the end mark, the most frequent words and one class for
-all others.  The two words before a position predict a vector, the sum of their
-own vectors scaled by weights of the position, and its product with a
-word's output vector plus the word's bias is the word's score.  Training is
-noise-contrastive: each task trains a copy in numpy on its part of the corpus,
-against shared noise words drawn from the unigram distribution, and the copies'
-parameters are averaged by tokens seen, in an aggregation over parameter rows.
-
-Scores split into a part of each context word, so one matrix product gives the
-normaliser of every context (`Tables`), and a token's normalised log probability
-is four look-ups.  A word of the class "others" has the class's probability times its
-smoothed share in the class, so the probabilities of all known words and of the
-unknown word sum to one.
+The model's vocabulary is the end mark, the most frequent words, more of them the larger
+the corpus, and one entry for all others.  The two words before a position predict a vector,
+the sum of their own vectors scaled by weights of the position.  Its product with a
+word's output vector plus the word's bias is the word's score.  The vocabulary in order of frequency
+is cut into about as many classes as each has words; a class has an output vector and a
+bias too, and a word's probability is its class's times its own in the class, so no table of all
+pairs of words is needed.  Training is noise-contrastive, on words and on their classes: each
+task trains a copy in numpy on its part of the corpus, against shared noise words drawn from
+the unigram distribution, and the copies' parameters are averaged by tokens seen, in an
+aggregation over parameter rows.
+
+A word of the entry "others" has the entry's probability times its smoothed share in it,
+so the probabilities of all known words and of the unknown word sum to one.
 
 Counts of all words are gathered over the whole corpus.  Words beyond a table of
-bounded size reach their counts by a join; `bounded_words` cuts the tables
-at a count, found from a histogram, that no more than a given number of words reach.
+bounded size reach their counts by a join; `bounded_words` finds the most frequent from a
+histogram of counts.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from ..session import write_once
 from .common import with_row_number_ids
 
-#: Words with vectors, words whose counts every task holds, and their longest.
-MODEL_WORDS, TABLE_WORDS, WORD_BYTES = 1000, 50_000, 64
+#: Words with vectors as a multiple of the square root of the training tokens; words whose
+#: counts every task holds (those with vectors at least), and their longest.
+GROWTH, TABLE_WORDS, WORD_BYTES = 4, 50_000, 64
 DIMENSIONS, NOISE, BATCH, RATE = 16, 256, 4096, 0.05
 #: Distinct words that a task counts before it hands its counts on.
 COUNTED = 200_000
@@ -79,19 +80,32 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def bounded_words(counts: DataFrame, most: int) -> DataFrame:
-    """The words of at most ``WORD_BYTES`` with the largest counts, ``most`` at
-    most: those whose count reaches the lowest eighth of an octave that
-    keeps within it."""
+    """The ``most`` words of at most ``WORD_BYTES`` with the largest counts; of
+    equal counts the first words.  Only words of the eighth of an octave that crosses
+    the bound are sorted."""
     short = counts.filter(F.octet_length("word") <= WORD_BYTES)
     level = F.floor(F.log2("c") * 8).cast("int")
     levels = sorted(short.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True)
-    total, least = 0, None
+    total = 0
     for r in levels:  # at most 8 x 63 rows
+        if total + r["n"] > most:
+            return short.filter(level > r["level"]).unionByName(
+                short.filter(level == r["level"]).orderBy(F.desc("c"), "word").limit(most - total))
         total += r["n"]
-        if total > most:
-            break
-        least = r["level"]
-    return short.filter(F.lit(False) if least is None else level >= least)
+    return short
+
+
+def class_size(n: int) -> int:
+    """Vocabulary numbers in a class, about as many as there are classes."""
+    return max(1, math.isqrt(max(0, n - 1)) + 1)
+
+
+def with_classes(unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distribution followed by that of the classes, and each word's row of its
+    class: classes come after the words."""
+    n = len(unigram)
+    of = np.arange(n) // class_size(n)
+    return np.concatenate([unigram, np.bincount(of, unigram)]), n + of
 
 
 @dataclass
@@ -131,47 +145,88 @@ class Model:
         return cls(rows[:-1, :d].copy(), rows[:-1, d:2 * d].copy(), rows[-1, :d].copy(), rows[-1, d:2 * d].copy(), rows[:-1, -1].copy())
 
     def train(self, grams: np.ndarray, weight: np.ndarray, unigram: np.ndarray, rng: np.random.Generator,
-              squares: Model, rate: float = RATE, noise: int = NOISE, batch: int = BATCH) -> None:
+              squares: Model, classes: np.ndarray | None = None, rate: float = RATE, noise: int = NOISE,
+              batch: int = BATCH) -> None:
         """One pass over distinct ``(far, near, word)`` rows with their counts,
         in random order, by AdaGrad with the sums ``squares``.  A batch shares its
-        noise words."""
+        noise words.  With ``classes`` the classes' rows learn from the words' classes."""
         log_noise = np.log(unigram * noise).astype(np.float32)
         order = rng.permutation(len(grams))
-        cumulative = np.cumsum(unigram)
+        cumulative = np.cumsum(unigram if classes is None else unigram[:len(classes)])
         for at in range(0, len(grams), batch):
             pick = order[at:at + batch]
             far, near, word = grams[pick].T
             w = weight[pick].astype(np.float32)
-            drawn = np.minimum(np.searchsorted(cumulative, rng.random(noise) * cumulative[-1], side="right"), len(unigram) - 1)
+            drawn = np.minimum(np.searchsorted(cumulative, rng.random(noise) * cumulative[-1], side="right"), len(cumulative) - 1)
             cf, cn = self.context[far], self.context[near]
             guess = cf * self.far + cn * self.near
-            out = self.output[word]
-            true = np.einsum("bd,bd->b", guess, out) + self.bias[word] - log_noise[word]
-            false = guess @ self.output[drawn].T + (self.bias[drawn] - log_noise[drawn])
-            up = w / (1 + np.exp(np.clip(true, -30, 30)))
-            down = -w[:, None] / (1 + np.exp(np.clip(-false, -30, 30)))
-            back = up[:, None] * out + down @ self.output[drawn]
-            grad = self.zeros()
-            np.add.at(grad.output, word, up[:, None] * guess)
-            np.add.at(grad.output, drawn, down.T @ guess)
-            np.add.at(grad.bias, word, up)
-            np.add.at(grad.bias, drawn, down.sum(axis=0))
-            np.add.at(grad.context, far, back * self.far)
-            np.add.at(grad.context, near, back * self.near)
-            grad.far += np.einsum("bd,bd->d", back, cf)
-            grad.near += np.einsum("bd,bd->d", back, cn)
+            back, rows, moves, shifts = np.zeros_like(guess), [], [], []
+            for right, wrong in [(word, drawn)] if classes is None else [(word, drawn), (classes[word], classes[drawn])]:
+                out, others = self.output[right], self.output[wrong]
+                true = np.einsum("bd,bd->b", guess, out) + self.bias[right] - log_noise[right]
+                false = guess @ others.T + (self.bias[wrong] - log_noise[wrong])
+                up = w / (1 + np.exp(np.clip(true, -30, 30)))
+                down = -w[:, None] / (1 + np.exp(np.clip(-false, -30, 30)))
+                back += up[:, None] * out + down @ others
+                rows += [right, wrong]
+                moves += [up[:, None] * guess, down.T @ guess]
+                shifts += [up, down.sum(axis=0)]
             mean = np.float32(1 / max(1.0, float(w.sum())))
-            for name, g in vars(grad).items():
-                g *= mean
-                square = getattr(squares, name)
-                square += g * g
-                getattr(self, name)[...] += rate * g / np.sqrt(square + np.float32(1e-12))
+            touched = np.concatenate(rows)
+            for name, where, g in (("output", touched, np.concatenate(moves)), ("bias", touched, np.concatenate(shifts)),
+                                   ("context", np.concatenate([far, near]), np.concatenate([back * self.far, back * self.near])),
+                                   ("far", None, np.einsum("bd,bd->d", back, cf)), ("near", None, np.einsum("bd,bd->d", back, cn))):
+                row = slice(None)
+                if where is not None:  # sums by row; the other rows don't move
+                    by = np.argsort(where, kind="stable")
+                    row, first = np.unique(where[by], return_index=True)
+                    g = np.add.reduceat(g[by], first, axis=0)
+                g = g * mean
+                square, own = getattr(squares, name), getattr(self, name)
+                square[row] += g * g
+                own[row] += rate * g / np.sqrt(square[row] + np.float32(1e-12))
+
+    def log(self, far: np.ndarray, near: np.ndarray, word: np.ndarray, n: int, chunk: int = 8192) -> np.ndarray:
+        """Natural log probabilities of words after contexts; rows from ``n`` on are the
+        classes'."""
+        size = class_size(n)
+        f, c = self.context * self.far, self.context * self.near
+
+        def own(guess: np.ndarray, first: int, last: int, row: np.ndarray) -> np.ndarray:
+            score = guess @ self.output[first:last].T + self.bias[first:last]
+            top = score.max(axis=1)
+            return (score[np.arange(len(row)), row - first] - top).astype(np.float64) - np.log(np.exp(score - top[:, None]).sum(axis=1))
+
+        of = word // size
+        by = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[by], np.arange(len(self.bias) - n + 1))
+        out = np.empty(len(word))
+        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            for at in range(a, b, chunk):
+                pick = by[at:min(b, at + chunk)]
+                guess = f[far[pick]] + c[near[pick]]
+                out[pick] = (own(guess, n, len(self.bias), n + of[pick])
+                             + own(guess, k * size, min(n, (k + 1) * size), word[pick]))
+        return out
+
+    def log10_texts(self, texts: list[np.ndarray], n: int) -> np.ndarray:
+        """Log10 probability of each text's numbers (its end included)."""
+        if not texts:
+            return np.zeros(0)
+        word = np.concatenate(texts)
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in texts])[:-1]])
+        near = np.concatenate([[_END], word[:-1]])  # every text ends with the end mark
+        far = np.concatenate([[_END], near[:-1]])
+        far[starts] = _END
+        keys, place = np.unique((far * n + near) * n + word, return_inverse=True)
+        logs = self.log(keys // n**2, keys // n % n, keys % n, n)
+        return np.add.reduceat(logs[place], starts) / math.log(10)
 
 
 @dataclass
 class Tables:
-    """Log scores by context word and by word, and the log normaliser by pair of
-    context words, each from a matrix product."""
+    """For few words and no classes: log scores by context word and by word, and the log
+    normaliser by pair of context words, each from a matrix product."""
 
     far: np.ndarray
     near: np.ndarray
@@ -207,7 +262,8 @@ def grams_of(texts: list[bytes | None], number: dict[bytes, int]) -> tuple[np.nd
 
 def train(rows: DataFrame, number: dict[bytes, int], unigram: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
     """Trains copies over all training rows and averages them by tokens.  The
-    driver gets one set of parameters, whose size is fixed."""
+    driver gets one set of parameters."""
+    unigram, classes = with_classes(unigram)
     start = Model.start(unigram, dimensions)
     width = 2 * dimensions + 1
 
@@ -216,7 +272,7 @@ def train(rows: DataFrame, number: dict[bytes, int], unigram: np.ndarray, dimens
         squares = model.zeros()
         for b in batches:
             grams, weight = grams_of(b.column(0).cast(pa.binary()).to_pylist(), number)
-            model.train(grams, weight, unigram, rng, squares)
+            model.train(grams, weight, unigram, rng, squares, classes)
             seen += int(weight.sum())
         if seen:
             own = model.rows()
@@ -227,18 +283,22 @@ def train(rows: DataFrame, number: dict[bytes, int], unigram: np.ndarray, dimens
     copies = rows.filter(~F.col("held_out")).select("text").mapInArrow(
         run, "row long, seen long, " + ", ".join(f"p{k} double" for k in range(width)))
     mean = copies.groupBy("row").agg(*((F.sum(F.col(f"p{k}") * F.col("seen")) / F.sum("seen")).alias(f"p{k}") for k in range(width)))
-    found = mean.orderBy("row").collect()
-    return Model.from_rows(np.array([tuple(r)[1:] for r in found])) if found else start
+    found = mean.toArrow()
+    if not len(found):
+        return start
+    table = np.stack([found.column(f"p{k}").to_numpy() for k in range(width)], axis=1)
+    return Model.from_rows(table[np.argsort(found.column("row").to_numpy())])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          model_words: int = MODEL_WORDS, table_words: int = TABLE_WORDS) -> DataFrame:
+          model_words: int | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score``.
 
     Learns from the rows that aren't held out.  ``base_score`` is the add-one
     unigram score, ``score`` the model's log10 probability of the text with its
-    end.  A null text counts as empty and has the end alone.  With no training rows
+    end, with vectors for ``model_words`` words, by default `GROWTH` times the square root
+    of the training tokens.  A null text counts as empty and has the end alone.  With no training rows
     all words are unknown.  Repeated rows are counted and scored each; an empty
     table gives no rows; other columns are not read."""
     rows = _input(docs, id_col, text_col)
@@ -246,6 +306,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = rows.filter(~F.col("held_out")).count()
     total = counts.agg(F.sum("c"), F.count("*")).first()
     n, v = (total[0] or 0) + ends, total[1] + (ends > 0)
+    model_words = GROWTH * math.isqrt(n) if model_words is None else model_words
+    table_words = max(table_words, model_words)
     table = {bytes(r["word"]): r["c"] for r in bounded_words(counts, table_words).collect()}
     top = sorted(bounded_words(counts, model_words).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     number = {bytes(r["word"]): k for k, r in enumerate(top, 2)}
@@ -258,10 +320,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     logs = {w: math.log10(c + 1) for w, c in table.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Tables.of(model)
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            at, words, times = [], [], []
+            out: list = [[], [], [], [], []]
+            at, words, times, numbers = [], [], [], []
             for i, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
                 own = tokens(text)
                 ids = np.array([*[number.get(w, _OTHER) for w in own], _END], dtype=np.int64)
@@ -280,9 +341,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         if w not in number:
                             other += k * log
                 n_other = int((ids == _OTHER).sum())
-                for x, value in zip(out, (len(own) + 1, seen, local + math.log10(ends + 1), other,
-                                          tables.log10(ids), n_other), strict=True):
+                numbers.append(ids)
+                for x, value in zip(out, (len(own) + 1, seen, local + math.log10(ends + 1), other, n_other), strict=True):
                     x.append(value)
+            out.insert(4, model.log10_texts(numbers, len(unigram)))
             m = b.num_rows
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             none = pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())

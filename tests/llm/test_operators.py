@@ -327,6 +327,33 @@ def test_model_is_normalised_and_learns_order():
     assert tables.log10(np.array([2, 3, 4] * 10 + [0])) > before + 5
 
 
+def test_bounded_words_are_as_many_as_asked_for(spark):
+    counts = spark.createDataFrame([(f"w{k:03d}".encode(), 5 + (k == 7)) for k in range(200)], "word binary, c long")
+    assert sorted(bytes(r.word) for r in lm.bounded_words(counts, 10).collect()) == [b"w%03d" % k for k in range(10)]
+    assert lm.bounded_words(counts, 500).count() == 200 and lm.bounded_words(counts, 0).count() == 0
+
+
+def test_vocabulary_grows_and_classes_are_normalised(spark, monkeypatch):
+    made, start = [], lm.Model.start
+    monkeypatch.setattr(lm.Model, "start", lambda unigram, dimensions: made.append(len(unigram)) or start(unigram, dimensions))
+    for n in (100, 4000):
+        lm.score(spark.createDataFrame([(i, " ".join(f"w{i * 100 + k}" for k in range(100))) for i in range(n)], "doc_id long, text string"))
+    assert made[1] > 1200 and made[1] > 5 * made[0]
+    number = {b"w%d" % k: k + 2 for k in range(40)}
+    grams, weight = lm.grams_of([b" ".join(b"w%d" % (k % 40) for k in range(400))] * 20, number)
+    unigram = np.array([0.02, 0.01] + [0.97 / 40] * 40)
+    both, classes = lm.with_classes(unigram)
+    model = start(both, 8)
+    text = [np.array([*range(2, 42), 0])]
+    assert np.isclose(model.log10_texts(text, 42)[0], np.log10(unigram[text[0]]).sum(), atol=1e-3)
+    rng, squares = np.random.default_rng(0), model.zeros()
+    for _ in range(300):
+        model.train(grams, weight, both, rng, squares, classes)
+    far, near, word = (x.ravel() for x in np.meshgrid(np.arange(42), np.arange(42), np.arange(42), indexing="ij"))
+    assert np.allclose(np.exp(model.log(far, near, word, 42)).reshape(-1, 42).sum(axis=1), 1, atol=1e-4)
+    assert model.log10_texts(text, 42)[0] > np.log10(unigram[text[0]]).sum() + 10
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     got = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert got[1] > got[0]
