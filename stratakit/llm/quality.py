@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Labelled documents, and lines of each, that the CRF is fitted on.
-SAMPLE_DOCS, SAMPLE_LINES = 1500, 32
+#: Labelled documents that the CRF is fitted on, with all their lines.
+SAMPLE_DOCS = 1500
+#: Lines, with padding, of sequences of like length that are summed at once.
+BATCH_LINES = 1 << 16
 #: Least share of a kept document's word characters on content lines.
 MIN_CONTENT = 0.5
 
@@ -145,54 +147,68 @@ def unpack(features: np.ndarray) -> np.ndarray:
     return (features[..., None] >> np.arange(len(FEATURES)) & 1).astype(np.float64)
 
 
+def by_length(sequences: list[tuple[list[int], int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sequences of like length as arrays of line features, padded by 0, and labels."""
+    out, batch = [], []
+    for f, y in [*sorted(sequences, key=lambda s: len(s[0])), ([], None)]:
+        if batch and (y is None or len(f) > 2 * len(batch[0][0]) or len(f) * (len(batch) + 1) > BATCH_LINES):
+            x = np.zeros((len(batch), len(batch[-1][0])), dtype=np.int64)
+            for i, (own, _) in enumerate(batch):
+                x[i, :len(own)] = own
+            out.append((x, np.array([label for _, label in batch])))
+            batch = []
+        batch.append((f, y))
+    return out
+
+
+def gradient(x: np.ndarray, y: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Gradient of the log likelihood, summed over the sequences."""
+    on = x > 0  # every line has the feature "always"
+    steps, x = x.shape[1], unpack(x)
+    gold = on[..., None] * np.eye(2)[y][:, None, :]
+    want_move = np.zeros((2, 2))
+    for label in (0, 1):
+        want_move[label, label] = (on[:, 1:] & (y == label)[:, None]).sum()
+    score, move = x @ theta[:-2], theta[-2:]
+    ahead = np.zeros_like(score)
+    ahead[:, 0] = score[:, 0]
+    for t in range(1, steps):
+        new = np.logaddexp.reduce(ahead[:, t - 1, :, None] + move, axis=1) + score[:, t]
+        ahead[:, t] = np.where(on[:, t, None], new, ahead[:, t - 1])
+    log_z = np.logaddexp.reduce(ahead[:, -1], axis=1)
+    after = np.zeros_like(score)
+    got_move = np.zeros((2, 2))
+    for t in range(steps - 2, -1, -1):
+        step = move + (score[:, t + 1] + after[:, t + 1])[:, None, :]
+        after[:, t] = np.where(on[:, t + 1, None], np.logaddexp.reduce(step, axis=2), 0.0)
+        pair = np.exp(ahead[:, t, :, None] + step - log_z[:, None, None])
+        got_move += (pair * on[:, t + 1, None, None]).sum(axis=0)
+    p = np.exp(ahead + after - log_z[:, None, None]) * on[..., None]
+    return np.concatenate([np.einsum("ntf,ntl->fl", x, gold - p), want_move - got_move])
+
+
 def fit(sequences: list[tuple[list[int], int]], rounds: int = 80, rate: float = 0.2, shrink: float = 1e-3) -> Crf | None:
     """Maximum conditional likelihood by Adam on the exact gradient (forward and
-    backward sums over all sequences at once).  Each line of a labelled document
+    backward sums over batches of sequences).  Each line of a labelled document
     has the document's label.  None unless both labels occur."""
     sequences = [(f, y) for f, y in sequences if f]
     if len({y for _, y in sequences}) < 2:
         return None
-    steps = max(len(f) for f, _ in sequences)
-    x = np.zeros((len(sequences), steps), dtype=np.int64)
-    for i, (f, _) in enumerate(sequences):
-        x[i, :len(f)] = f
-    on = x > 0  # every line has the feature "always"
-    x = unpack(x)
-    y = np.array([label for _, label in sequences])
-    gold = on[..., None] * np.eye(2)[y][:, None, :]
-    want_emit = np.einsum("ntf,ntl->fl", x, gold)
-    want_move = np.zeros((2, 2))
-    for label in (0, 1):
-        want_move[label, label] = (on[:, 1:] & (y == label)[:, None]).sum()
-    total = on.sum()
+    batches = by_length(sequences)
+    total = sum(len(f) for f, _ in sequences)
     theta = np.zeros((len(FEATURES) + 2, 2))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for it in range(1, rounds + 1):
-        score, move = x @ theta[:-2], theta[-2:]
-        ahead = np.zeros_like(score)
-        ahead[:, 0] = score[:, 0]
-        for t in range(1, steps):
-            new = np.logaddexp.reduce(ahead[:, t - 1, :, None] + move, axis=1) + score[:, t]
-            ahead[:, t] = np.where(on[:, t, None], new, ahead[:, t - 1])
-        log_z = np.logaddexp.reduce(ahead[:, -1], axis=1)
-        after = np.zeros_like(score)
-        got_move = np.zeros((2, 2))
-        for t in range(steps - 2, -1, -1):
-            step = move + (score[:, t + 1] + after[:, t + 1])[:, None, :]
-            after[:, t] = np.where(on[:, t + 1, None], np.logaddexp.reduce(step, axis=2), 0.0)
-            pair = np.exp(ahead[:, t, :, None] + step - log_z[:, None, None])
-            got_move += (pair * on[:, t + 1, None, None]).sum(axis=0)
-        p = np.exp(ahead + after - log_z[:, None, None]) * on[..., None]
-        grad = np.concatenate([want_emit - np.einsum("ntf,ntl->fl", x, p), want_move - got_move]) / total - shrink * theta
+        grad = sum(gradient(x, y, theta) for x, y in batches) / total - shrink * theta
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2
         theta = theta + rate * (first / (1 - 0.9**it)) / (np.sqrt(second / (1 - 0.99**it)) + 1e-8)
     return Crf(theta[:-2], theta[-2:])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES,
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
           id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf | None:
-    """Fits the CRF on the lines of at most ``sample_docs`` labelled documents,
+    """Fits the CRF on all lines of at most ``sample_docs`` labelled documents,
     chosen by a hash of their ids; the driver gets their line features."""
     chosen = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
               .filter("label IN (0, 1) AND id IS NOT NULL").groupBy("id").agg(F.min("label").alias("label"))
@@ -201,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [facts(t or "").features[:sample_lines].tolist() for t in b.column("text").to_pylist()]
+            own = [facts(t or "").features.tolist() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(own, pa.list_(pa.int64()))],
                                              ["id", "label", "features"])
 

@@ -294,6 +294,22 @@ def test_quality_separates_held_out_labels(spark):
     assert good > 0.97 and bad < 0.2
 
 
+def test_quality_learns_from_all_lines(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(quality, "fit", lambda sequences: given.extend(sequences))
+    docs = spark.createDataFrame([(i, "a line of words\n" * n) for i, n in enumerate((3, 33, 500))], "doc_id long, text string")
+    quality.train(docs, docs.selectExpr("doc_id", "doc_id % 2 AS quality"))
+    assert sorted(len(f) for f, _ in given) == [3, 33, 500]
+    data = [([1 | 2 << k % 9] * n, n % 2) for k, n in enumerate((1, 2, 3, 9, 40, 41, 300))]
+    theta = np.linspace(-1, 1, 2 * len(quality.FEATURES) + 4).reshape(-1, 2)
+    one = np.zeros((len(data), 300), dtype=np.int64)
+    for i, (f, _) in enumerate(data):
+        one[i, :len(f)] = f
+    assert len(quality.by_length(data)) > 2
+    assert np.allclose(sum(quality.gradient(x, y, theta) for x, y in quality.by_length(data)),
+                       quality.gradient(one, np.array([y for _, y in data]), theta))
+
+
 # --- 7 language model
 def test_base_scores_and_known_words(corpus, docs):
     got = lm.score(docs, model_words=4, table_words=6).collect()
