@@ -81,15 +81,11 @@ def q_tuned_search(spark, d):
     return summary
 
 
-#: Fine alphas for each coarse winner.
-FINE_ALPHAS = {0.0: [0.0, 0.25], 0.5: [0.25, 0.5, 0.75], 1.0: [0.75, 1.0]}
-
-
 @register("interpolated_search")
 def q_interpolated_search(spark, d):
     """Coarse alphas then the fine grid; the winner is from fine rows."""
     train, _ = _train(spark, d)
-    both, _, _ = interpolated_search(train, [0.0, 0.5, 1.0], FINE_ALPHAS.get,
+    both, _, _ = interpolated_search(train, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0], 0.15, 0.05,
                                      kind="forest", params=FOREST, **CV)
     return both
 

@@ -82,3 +82,11 @@ def test_parallel_folds_give_the_same_result(spark, frame):
     a = {r.fold: r.macro_f1 for r in cross_validate(train, **kw)[0].collect()}
     b = {r.fold: r.macro_f1 for r in cross_validate(train, parallel_folds=3, **kw)[0].collect()}
     assert a == b
+
+
+def test_fine_alphas_lie_around_any_coarse_winner():
+    from stratakit.plans.training import fine_alpha_grid
+
+    assert fine_alpha_grid(0.4) == [0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55]
+    assert fine_alpha_grid(0.0) == [0.0, 0.05, 0.1, 0.15] and fine_alpha_grid(1.0) == [0.85, 0.9, 0.95, 1.0]
+    assert fine_alpha_grid(0.2, 0.1, 0.1) == [0.1, 0.2, 0.3]
