@@ -84,8 +84,8 @@ def pieces(docs: DataFrame, path: str, width: int, end_id: int = END_ID, with_id
 def plan_patterns(histogram: dict[int, int], width: int) -> list[tuple[list[tuple[int, int]], int]]:
     """``[(pattern, uses)]``; a pattern is ``[(length, how often)]``.
 
-    Lengths are placed longest first.  Each goes to the patterns whose room is
-    the shortest that still takes it, as many copies as fit; what a
+    Lengths are placed longest first.  Each goes to the patterns with the
+    most room left (shortest pack first), as many copies as fit; what a
     length doesn't need of a pattern's uses stays as it was.  What finds no
     room opens new patterns.  A step either uses a pattern up or ends its
     length, so there are at most twice as many patterns as lengths."""
@@ -97,7 +97,7 @@ def plan_patterns(histogram: dict[int, int], width: int) -> list[tuple[list[tupl
 
     for length in sorted(histogram, reverse=True):
         left = int(histogram[length])
-        for room in sorted(r for r in rooms if r >= length):
+        for room in sorted((r for r in rooms if r >= length), reverse=True):
             fit = room // length
             while left and rooms.get(room):
                 pattern, uses = rooms[room].pop()

@@ -108,6 +108,10 @@ def test_patterns_use_each_length_as_often_as_it_occurs():
     assert packing.plan_patterns({}, 8) == []
 
 
+def test_a_length_goes_to_the_shortest_pack():
+    assert sorted(packing.plan_patterns({8: 1, 6: 1, 2: 1}, 10)) == [([(6, 1), (2, 1)], 1), ([(8, 1)], 1)]
+
+
 # --- 2 simhash
 def plain_fingerprint(text):
     words = WORD.findall((text or "").translate(LOWER))
