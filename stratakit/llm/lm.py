@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +37,12 @@ from .common import with_row_number_ids
 #: Words with vectors as a multiple of the square root of the training tokens; words whose
 #: counts every task holds (those with vectors at least), and their longest.
 GROWTH, TABLE_WORDS, WORD_BYTES = 4, 50_000, 64
-DIMENSIONS, NOISE, BATCH, RATE = 16, 256, 4096, 0.05
+DIMENSIONS, NOISE, BATCH, RATE = 16, 32, 8192, 0.05
+#: Tokens that training and scoring hold in arrays at a time, beside the text they are of.
+BLOCK = 1 << 18
+#: Tokens a copy of the model is trained on, as a multiple of the square root of all: copies and
+#: their rows both grow with the root, what they hand on with the corpus.
+PART = 250
 #: Distinct words that a task counts before it hands its counts on.
 COUNTED = 200_000
 _END, _OTHER = 0, 1
@@ -153,50 +158,73 @@ class Model:
         log_noise = np.log(unigram * noise).astype(np.float32)
         order = rng.permutation(len(grams))
         cumulative = np.cumsum(unigram if classes is None else unigram[:len(classes)])
+
+        def step(own: np.ndarray, square: np.ndarray, row, g: np.ndarray) -> None:
+            total = square[row] + g * g
+            square[row] = total
+            own[row] += rate * g / np.sqrt(total + np.float32(1e-12))
+
+        def by_row(where: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Distinct rows and the sums of their columns."""
+            row, place = np.unique(where, return_inverse=True)
+            return row, np.stack([np.bincount(place, c, len(row)) for c in columns], axis=1).astype(np.float32) * mean
+
+        d = self.context.shape[1]
         for at in range(0, len(grams), batch):
             pick = order[at:at + batch]
             far, near, word = grams[pick].T
             w = weight[pick].astype(np.float32)
+            mean = np.float32(1 / max(1.0, float(w.sum())))
             drawn = np.minimum(np.searchsorted(cumulative, rng.random(noise) * cumulative[-1], side="right"), len(cumulative) - 1)
-            cf, cn = self.context[far], self.context[near]
+            cf, cn = np.take(self.context, far, axis=0), np.take(self.context, near, axis=0)
             guess = cf * self.far + cn * self.near
-            back, rows, moves, shifts = np.zeros_like(guess), [], [], []
+            back, rows, moves = np.zeros_like(guess), [], []
             for right, wrong in [(word, drawn)] if classes is None else [(word, drawn), (classes[word], classes[drawn])]:
-                out, others = self.output[right], self.output[wrong]
-                true = np.einsum("bd,bd->b", guess, out) + self.bias[right] - log_noise[right]
-                false = guess @ others.T + (self.bias[wrong] - log_noise[wrong])
+                out, others = np.take(self.output, right, axis=0), self.output[wrong]
+                true = np.einsum("bd,bd->b", guess, out) + (self.bias[right] - log_noise[right])
+                false = guess @ others.T
+                false += self.bias[wrong] - log_noise[wrong]
                 up = w / (1 + np.exp(np.clip(true, -30, 30)))
-                down = -w[:, None] / (1 + np.exp(np.clip(-false, -30, 30)))
+                np.clip(false, -30, 30, out=false)
+                np.exp(np.negative(false, out=false), out=false)
+                false += 1
+                down = np.divide(-w[:, None], false, out=false)
                 back += up[:, None] * out + down @ others
                 rows += [right, wrong]
-                moves += [up[:, None] * guess, down.T @ guess]
-                shifts += [up, down.sum(axis=0)]
-            mean = np.float32(1 / max(1.0, float(w.sum())))
-            touched = np.concatenate(rows)
-            for name, where, g in (("output", touched, np.concatenate(moves)), ("bias", touched, np.concatenate(shifts)),
-                                   ("context", np.concatenate([far, near]), np.concatenate([back * self.far, back * self.near])),
-                                   ("far", None, np.einsum("bd,bd->d", back, cf)), ("near", None, np.einsum("bd,bd->d", back, cn))):
-                row = slice(None)
-                if where is not None:  # sums by row; the other rows don't move
-                    by = np.argsort(where, kind="stable")
-                    row, first = np.unique(where[by], return_index=True)
-                    g = np.add.reduceat(g[by], first, axis=0)
-                g = g * mean
-                square, own = getattr(squares, name), getattr(self, name)
-                square[row] += g * g
-                own[row] += rate * g / np.sqrt(square[row] + np.float32(1e-12))
-
-    def log(self, far: np.ndarray, near: np.ndarray, word: np.ndarray, n: int, chunk: int = 8192) -> np.ndarray:
+                moves += [np.vstack([guess.T * up, up]), np.vstack([guess.T @ down, down.sum(axis=0)])]
+            row, g = by_row(np.concatenate(rows), np.concatenate(moves, axis=1))
+            step(self.output, squares.output, row, g[:, :d])
+            step(self.bias, squares.bias, row, g[:, d])
+            step(self.context, squares.context, *by_row(np.concatenate([far, near]), np.concatenate([(back * self.far).T, (back * self.near).T], axis=1)))
+            weights = np.einsum("bd,bd->d", back, cf) * mean, np.einsum("bd,bd->d", back, cn) * mean
+            step(self.far, squares.far, slice(None), weights[0])
+            step(self.near, squares.near, slice(None), weights[1])
+
+    def log(self, far: np.ndarray, near: np.ndarray, word: np.ndarray, n: int, chunk: int = 1024) -> np.ndarray:
         """Natural log probabilities of words after contexts; rows from ``n`` on are the
-        classes'."""
+        classes'.  The classes are normalised once for each pair of context words."""
         size = class_size(n)
         f, c = self.context * self.far, self.context * self.near
-
-        def own(guess: np.ndarray, first: int, last: int, row: np.ndarray) -> np.ndarray:
-            score = guess @ self.output[first:last].T + self.bias[first:last]
-            top = score.max(axis=1)
-            return (score[np.arange(len(row)), row - first] - top).astype(np.float64) - np.log(np.exp(score - top[:, None]).sum(axis=1))
-
+        biased = np.column_stack([self.output, self.bias])
+
+        def guess_of(far: np.ndarray, near: np.ndarray) -> np.ndarray:
+            return np.column_stack([np.take(f, far, axis=0) + np.take(c, near, axis=0), np.ones(len(far), dtype=np.float32)])
+
+        def whole(guess: np.ndarray, first: int, last: int) -> np.ndarray:
+            """The log of the sum of exponentials over rows."""
+            score = guess @ biased[first:last].T
+            top = score.max()
+            sums = np.exp(score - top) @ np.ones(last - first, dtype=np.float32)
+            if sums.min() > 1e-30:
+                return np.log(sums.astype(np.float64)) + top
+            tops = score.max(axis=1)  # rows too far apart for one reference
+            return np.log(np.exp(score - tops[:, None]).sum(axis=1, dtype=np.float64)) + tops
+
+        pairs, pair = np.unique(far * n + near, return_inverse=True)
+        norm = np.empty(len(pairs))
+        for at in range(0, len(pairs), chunk):
+            part = pairs[at:at + chunk]
+            norm[at:at + chunk] = whole(guess_of(part // n, part % n), n, len(self.bias))
         of = word // size
         by = np.argsort(of, kind="stable")
         ends = np.searchsorted(of[by], np.arange(len(self.bias) - n + 1))
@@ -204,90 +232,106 @@ class Model:
         for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
             for at in range(a, b, chunk):
                 pick = by[at:min(b, at + chunk)]
-                guess = f[far[pick]] + c[near[pick]]
-                out[pick] = (own(guess, n, len(self.bias), n + of[pick])
-                             + own(guess, k * size, min(n, (k + 1) * size), word[pick]))
+                guess = guess_of(far[pick], near[pick])
+                own = np.einsum("bd,bd->b", guess, np.take(biased, word[pick], axis=0)) + guess @ biased[n + k]
+                out[pick] = own - whole(guess, k * size, min(n, (k + 1) * size)) - norm[pair[pick]]
         return out
 
+    def log10_grams(self, grams: np.ndarray, n: int) -> np.ndarray:
+        """Log10 probability of each of the ``(far, near, word)`` rows."""
+        distinct, place = unique_grams(grams)
+        return self.log(*distinct.T, n)[place] / math.log(10)
+
     def log10_texts(self, texts: list[np.ndarray], n: int) -> np.ndarray:
         """Log10 probability of each text's numbers (its end included)."""
-        if not texts:
-            return np.zeros(0)
-        word = np.concatenate(texts)
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in texts])[:-1]])
-        near = np.concatenate([[_END], word[:-1]])  # every text ends with the end mark
-        far = np.concatenate([[_END], near[:-1]])
-        far[starts] = _END
-        keys, place = np.unique((far * n + near) * n + word, return_inverse=True)
-        logs = self.log(keys // n**2, keys // n % n, keys % n, n)
-        return np.add.reduceat(logs[place], starts) / math.log(10)
+        out = np.zeros(len(texts))
+        for part, owner, _ in blocks(grams_with_context(ids) for ids in texts):
+            out += np.bincount(owner, self.log10_grams(part, n), len(texts))
+        return out
 
 
-@dataclass
-class Tables:
-    """For few words and no classes: log scores by context word and by word, and the log
-    normaliser by pair of context words, each from a matrix product."""
+def grams_with_context(ids: np.ndarray) -> np.ndarray:
+    """``(far, near, word)`` of one text's numbers; a text begins after two end marks."""
+    before = np.concatenate([[_END, _END], ids])
+    return np.stack([before[:-2], before[1:-1], before[2:]], axis=1)
 
-    far: np.ndarray
-    near: np.ndarray
-    norm: np.ndarray
 
-    @classmethod
-    def of(cls, m: Model) -> Tables:
-        far = (m.context * m.far) @ m.output.T
-        near = (m.context * m.near) @ m.output.T + m.bias
-        a, b = far.max(axis=1, keepdims=True), near.max(axis=1, keepdims=True)
-        norm = np.log(np.exp(far - a) @ np.exp(near - b).T) + a + b.T
-        return cls(far, near, norm)
+def blocks(texts: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The texts' rows in blocks of ``BLOCK``, with the number of each row's text and that of
+    the texts that are through; a text may lie in several blocks."""
+    held, owner, size, i = [], [], 0, -1
+    for i, grams in enumerate(texts):
+        at = 0
+        while at < len(grams):
+            part = grams[at:at + BLOCK - size]
+            held.append(part)
+            owner.append(np.full(len(part), i))
+            size += len(part)
+            at += len(part)
+            if size == BLOCK:
+                yield np.concatenate(held), np.concatenate(owner), i + (at == len(grams))
+                held, owner, size = [], [], 0
+    if held:
+        yield np.concatenate(held), np.concatenate(owner), i + 1
+
 
-    def log10(self, ids: np.ndarray) -> float:
-        """Log10 probability of one text's numbers (its end included)."""
-        near = np.concatenate([[_END], ids[:-1]])
-        far = np.concatenate([[_END], near[:-1]])
-        return float((self.far[far, ids].astype(np.float64) + self.near[near, ids] - self.norm[far, near]).sum() / math.log(10))
+def unique_grams(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and each row's place among them.  Pairs of context words are numbered
+    first, so the keys stay below the vocabulary times the larger of vocabulary and rows."""
+    size = int(grams.max(initial=0)) + 1
+    pairs, pair = np.unique(grams[:, 0] * size + grams[:, 1], return_inverse=True)
+    keys, place = np.unique(pair * size + grams[:, 2], return_inverse=True)
+    pair = pairs[keys // size]
+    return np.stack([pair // size, pair % size, keys % size], axis=1), place
+
+
+def numbers_of(text: bytes | None, number: dict[bytes, int]) -> np.ndarray:
+    return np.array([*[number.get(w, _OTHER) for w in tokens(text)], _END], dtype=np.int64)
 
 
 def grams_of(texts: list[bytes | None], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ``(far, near, word)`` numbers of a batch and their counts; texts
-    begin after two end marks."""
-    size = max(number.values(), default=_OTHER) + 1
-    get = number.get
-    keys = []
-    for text in texts:
-        ids = np.array([_END, _END, *[get(w, _OTHER) for w in tokens(text)], _END], dtype=np.int64)
-        keys.append((ids[:-2] * size + ids[1:-1]) * size + ids[2:])
-    keys, counts = np.unique(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), return_counts=True)
-    return np.stack([keys // size**2, keys // size % size, keys % size], axis=1), counts
-
-
-def train(rows: DataFrame, number: dict[bytes, int], unigram: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
-    """Trains copies over all training rows and averages them by tokens.  The
+    """Distinct ``(far, near, word)`` numbers of texts and their counts."""
+    return _counted(np.concatenate([grams_with_context(numbers_of(t, number)) for t in texts] or [np.zeros((0, 3), dtype=np.int64)]))
+
+
+def _counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, place = unique_grams(grams)
+    return distinct, np.bincount(place, minlength=len(distinct))
+
+
+def train(rows: DataFrame, number: dict[bytes, int], unigram: np.ndarray, tokens_seen: int,
+          dimensions: int = DIMENSIONS) -> Model:
+    """Trains copies over all training rows (of ``tokens_seen`` tokens) and averages them: a copy hands on the
+    parameter rows that it moved, with how often it used each, which is the row's weight.  The
     driver gets one set of parameters."""
     unigram, classes = with_classes(unigram)
     start = Model.start(unigram, dimensions)
     width = 2 * dimensions + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen, rng = Model.from_rows(start.rows()), 0, np.random.default_rng(11)
-        squares = model.zeros()
+        model, rng = Model.from_rows(start.rows()), np.random.default_rng(11)
+        squares, uses = model.zeros(), np.zeros(len(unigram) + 1)
         for b in batches:
-            grams, weight = grams_of(b.column(0).cast(pa.binary()).to_pylist(), number)
-            model.train(grams, weight, unigram, rng, squares, classes)
-            seen += int(weight.sum())
-        if seen:
-            own = model.rows()
+            for part, _, _ in blocks(grams_with_context(numbers_of(t.as_py(), number)) for t in b.column(0).cast(pa.binary())):
+                grams, weight = _counted(part)
+                model.train(grams, weight, unigram, rng, squares, classes)
+                for place in (*grams.T, classes[grams[:, 2]]):
+                    uses[:len(unigram)] += np.bincount(place, weight, len(unigram))
+                uses[-1] += len(part)
+        moved = np.append((squares.bias > 0) | (squares.context > 0).any(axis=1), uses[-1] > 0)
+        own, at = model.rows()[moved].astype(np.float32), np.flatnonzero(moved)
+        for a in range(0, len(own), 4096):
+            part = own[a:a + 4096]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(own))), pa.array(np.full(len(own), seen, dtype=np.int64)),
-                 *(pa.array(own[:, k]) for k in range(width))], ["row", "seen", *(f"p{k}" for k in range(width))])
+                [pa.array(at[a:a + 4096]), pa.array(uses[at[a:a + 4096]] + 1), *(pa.array(part[:, k]) for k in range(width))],
+                ["row", "uses", *(f"p{k}" for k in range(width))])
 
-    copies = rows.filter(~F.col("held_out")).select("text").mapInArrow(
-        run, "row long, seen long, " + ", ".join(f"p{k} double" for k in range(width)))
-    mean = copies.groupBy("row").agg(*((F.sum(F.col(f"p{k}") * F.col("seen")) / F.sum("seen")).alias(f"p{k}") for k in range(width)))
-    found = mean.toArrow()
-    if not len(found):
-        return start
-    table = np.stack([found.column(f"p{k}").to_numpy() for k in range(width)], axis=1)
-    return Model.from_rows(table[np.argsort(found.column("row").to_numpy())])
+    copies = (rows.filter(~F.col("held_out")).select("text").coalesce(max(1, math.isqrt(tokens_seen) // PART))
+              .mapInArrow(run, "row long, uses double, " + ", ".join(f"p{k} float" for k in range(width))))
+    mean = copies.groupBy("row").agg(*((F.sum(F.col(f"p{k}") * F.col("uses")) / F.sum("uses")).cast("float").alias(f"p{k}") for k in range(width)))
+    found, table = mean.toArrow(), start.rows()
+    table[found.column("row").to_numpy()] = np.stack([found.column(f"p{k}").to_numpy() for k in range(width)], axis=1)
+    return Model.from_rows(table)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -316,44 +360,56 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other_mass = math.log10(other_n + other_v + 1)
     unigram = np.array([ends + 1.0, other_n + 1.0, *(r["c"] for r in top)])
     unigram /= unigram.sum()
-    model = train(rows, number, unigram)
+    model = train(rows, number, unigram, n)
     logs = {w: math.log10(c + 1) for w, c in table.items()}
 
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list = [[], [], [], [], []]
-            at, words, times, numbers = [], [], [], []
-            for i, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
-                own = tokens(text)
-                ids = np.array([*[number.get(w, _OTHER) for w in own], _END], dtype=np.int64)
-                known = Counter(own)
-                local = other = 0.0
-                seen = 1 if ends else 0
-                for w, k in known.items():
-                    log = logs.get(w)
-                    if log is None:
-                        at.append(i)
-                        words.append(w)
-                        times.append(k)
-                    else:
-                        seen += k
-                        local += k * log
-                        if w not in number:
-                            other += k * log
-                n_other = int((ids == _OTHER).sum())
-                numbers.append(ids)
-                for x, value in zip(out, (len(own) + 1, seen, local + math.log10(ends + 1), other, n_other), strict=True):
-                    x.append(value)
-            out.insert(4, model.log10_texts(numbers, len(unigram)))
-            m = b.num_rows
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-            none = pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("__row"), b.column("doc_id"), b.column("held_out"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True)), *none], names)
-            rare = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("__row").take(rare), pa.nulls(len(at), b.column("doc_id").type), pa.nulls(len(at), pa.bool_()),
-                 *(pa.nulls(len(at), k) for k in kinds), pa.array(words, pa.binary()), pa.array(times, pa.int64())], names)
+            told, rare = [], []  # of texts, and their words that only the join knows
+
+            def looked_up(b=b, told=told, rare=rare):
+                for i, text in enumerate(b.column("text").cast(pa.binary())):
+                    own = tokens(text.as_py())
+                    local = other = 0.0
+                    seen = 1 if ends else 0
+                    for w, k in Counter(own).items():
+                        log = logs.get(w)
+                        if log is None:
+                            rare.append((i, w, k))
+                        else:
+                            seen += k
+                            local += k * log
+                            if w not in number:
+                                other += k * log
+                    ids = np.array([*[number.get(w, _OTHER) for w in own], _END], dtype=np.int64)
+                    told.append([len(own) + 1, seen, local + math.log10(ends + 1), other, 0.0, int((ids == _OTHER).sum())])
+                    yield grams_with_context(ids)
+
+            def rows_of(first: int, columns: list, texts: bool) -> pa.RecordBatch:
+                """Rows of texts from ``first`` on, or of rare words."""
+                if texts:
+                    m = len(columns[0])
+                    head = [b.column(c).slice(first, m) for c in ("__row", "doc_id", "held_out")]
+                    rest = [*(pa.array(x, k) for x, k in zip(columns, kinds, strict=True)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())]
+                else:
+                    at, m = pa.array(columns[0], pa.int64()), len(columns[0])
+                    head = [b.column("__row").take(at), pa.nulls(m, b.column("doc_id").type), pa.nulls(m, pa.bool_())]
+                    rest = [*(pa.nulls(m, k) for k in kinds), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())]
+                return pa.RecordBatch.from_arrays([*head, *rest], names)
+
+            first = 0
+            for grams, owner, through in blocks(looked_up()):
+                scores = np.bincount(owner - first, model.log10_grams(grams, len(unigram)), len(told) - first)
+                for i, x in enumerate(scores, first):
+                    told[i][4] += float(x)
+                if rare:
+                    yield rows_of(0, list(zip(*rare, strict=True)), False)
+                    rare.clear()
+                if through > first:
+                    yield rows_of(first, list(zip(*told[first:through], strict=True)), True)
+                    first = through
 
     names = ["__row", "doc_id", "held_out", "n_tokens", "seen", "local", "other", "class_score", "n_other", "word", "times"]
     kind = docs.schema[id_col].dataType.simpleString()

@@ -1,5 +1,7 @@
 """Every operator against a plain version of its contract on one small corpus."""
 
+from __future__ import annotations
+
 import hashlib
 import random
 import re
@@ -7,6 +9,7 @@ import struct
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pytest
@@ -315,6 +318,30 @@ def test_quality_learns_from_all_lines(spark, monkeypatch):
 
 
 # --- 7 language model
+@dataclass
+class Tables:
+    """For few words and no classes: log scores by context word and by word, and the log
+    normaliser by pair of context words, each from a matrix product."""
+
+    far: np.ndarray
+    near: np.ndarray
+    norm: np.ndarray
+
+    @classmethod
+    def of(cls, m: lm.Model) -> Tables:
+        far = (m.context * m.far) @ m.output.T
+        near = (m.context * m.near) @ m.output.T + m.bias
+        a, b = far.max(axis=1, keepdims=True), near.max(axis=1, keepdims=True)
+        norm = np.log(np.exp(far - a) @ np.exp(near - b).T) + a + b.T
+        return cls(far, near, norm)
+
+    def log10(self, ids: np.ndarray) -> float:
+        """Log10 probability of one text's numbers (its end included)."""
+        near = np.concatenate([[0], ids[:-1]])
+        far = np.concatenate([[0], near[:-1]])
+        return float((self.far[far, ids].astype(np.float64) + self.near[near, ids] - self.norm[far, near]).sum() / np.log(10))
+
+
 def test_base_scores_and_known_words(corpus, docs):
     got = lm.score(docs, model_words=4, table_words=6).collect()
     split = [(i, WORD.findall((t or "").translate(LOWER)), zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2) for i, t in corpus]
@@ -337,11 +364,11 @@ def test_model_is_normalised_and_learns_order():
     grams, weight = lm.grams_of(texts, number)
     unigram = np.array([0.02, 0.01, 0.33, 0.32, 0.32])
     model = lm.Model.start(unigram, 8)
-    before = lm.Tables.of(model).log10(np.array([2, 3, 4] * 10 + [0]))
+    before = Tables.of(model).log10(np.array([2, 3, 4] * 10 + [0]))
     rng, squares = np.random.default_rng(0), model.zeros()
     for _ in range(200):
         model.train(grams, weight, unigram, rng, squares)
-    tables = lm.Tables.of(model)
+    tables = Tables.of(model)
     p = np.exp(tables.far[:, None, :] + tables.near[None] - tables.norm[:, :, None])
     assert np.allclose(p.sum(axis=2), 1, atol=1e-4)
     assert tables.log10(np.array([2, 3, 4] * 10 + [0])) > before + 5
@@ -374,6 +401,63 @@ def test_vocabulary_grows_and_classes_are_normalised(spark, monkeypatch):
     assert model.log10_texts(text, 42)[0] > np.log10(unigram[text[0]]).sum() + 10
 
 
+def test_rows_of_a_large_vocabulary_keep_their_numbers():
+    """Keys of three numbers in one would leave 64 bits from about 2.1 million words on."""
+    rng = np.random.default_rng(5)
+    for size in (3, 2_200_000, 50_000_000):
+        grams = rng.integers(size - 3, size, (5000, 3))
+        distinct, place = lm.unique_grams(grams)
+        assert (distinct[place] == grams).all() and len(np.unique(distinct, axis=0)) == len(distinct) == len(np.unique(grams, axis=0))
+
+
+def test_blocks_cut_texts_anywhere(monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 7)
+    texts = [np.arange(n) for n in (0, 3, 20, 0, 7, 1)]
+    parts = list(lm.blocks(lm.grams_with_context(t) for t in texts))
+    assert [len(g) for g, _, _ in parts] == [7, 7, 7, 7, 3]
+    rows, owner = np.concatenate([g for g, _, _ in parts]), np.concatenate([o for _, o, _ in parts])
+    for i, t in enumerate(texts):
+        assert (rows[owner == i] == lm.grams_with_context(t)).all()
+    assert [k for _, _, k in parts] == [2, 2, 2, 4, 6]
+
+
+def test_scores_equal_the_plain_model(docs, corpus, monkeypatch):
+    """The whole score: the model's softmax over classes and words, and the share of the entry "others"."""
+    kept = []
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: kept.append((a, train(*a))) or kept[-1][1])
+    monkeypatch.setattr(lm, "BLOCK", 100)
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm.score(docs, model_words=6, table_words=8).collect()}
+    (_, number, unigram, n), m = kept[0]
+    counts, ends = Counter(), 0
+    for i, t in corpus:
+        if zlib.crc32(str(i).encode() if i is not None else b"") % 7 != 2:
+            counts.update(lm.tokens((t or "").encode()))
+            ends += 1
+    others = sum(c for w, c in counts.items() if w not in number)
+    share = others + len(counts) - len(number) + 1
+    size, vocabulary = lm.class_size(len(unigram)), len(unigram)
+
+    def softmax(rows, guess):
+        x = m.output[rows].astype(float) @ guess + m.bias[rows]
+        return dict(zip(rows, x - np.logaddexp.reduce(x), strict=True))
+
+    for i, t in corpus:
+        words = lm.tokens((t or "").encode())
+        if len(words) > 500:
+            continue
+        ids, far, near, total = [*(number.get(w, 1) for w in words), 0], 0, 0, 0.0
+        for w, x in zip([*words, None], ids, strict=True):
+            guess = m.context[far].astype(float) * m.far + m.context[near].astype(float) * m.near
+            k = x // size
+            total += softmax(range(vocabulary, len(m.bias)), guess)[vocabulary + k]
+            total += softmax(range(k * size, min(vocabulary, k * size + size)), guess)[x]
+            if x == 1:
+                total += np.log((counts[w] + 1) / share)
+            far, near = near, x
+        assert np.isclose(got[i, len(ids)], total / np.log(10), atol=1e-3)
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     got = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert got[1] > got[0]
