@@ -22,12 +22,14 @@ histogram of counts.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +38,17 @@ from .common import with_row_number_ids
 
 #: Words with vectors as a multiple of the square root of the training tokens; words whose
 #: counts every task holds (those with vectors at least), and their longest.
-GROWTH, TABLE_WORDS, WORD_BYTES = 4, 50_000, 64
+GROWTH, TABLE_WORDS, WORD_BYTES = 4, 200_000, 64
 DIMENSIONS, NOISE, BATCH, RATE = 16, 32, 8192, 0.05
-#: Tokens that training and scoring hold in arrays at a time, beside the text they are of.
-BLOCK = 1 << 18
+#: Tokens that training and scoring hold in arrays at a time, and bytes of a text that are split at a time.
+BLOCK, SEGMENT = 1 << 18, 1 << 20
 #: Tokens a copy of the model is trained on, as a multiple of the square root of all: copies and
 #: their rows both grow with the root, what they hand on with the corpus.
 PART = 250
 #: Distinct words that a task counts before it hands its counts on.
 COUNTED = 200_000
 _END, _OTHER = 0, 1
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def held_out(id_col: Column) -> Column:
@@ -244,35 +247,69 @@ class Model:
 
     def log10_texts(self, texts: list[np.ndarray], n: int) -> np.ndarray:
         """Log10 probability of each text's numbers (its end included)."""
-        out = np.zeros(len(texts))
-        for part, owner, _ in blocks(grams_with_context(ids) for ids in texts):
-            out += np.bincount(owner, self.log10_grams(part, n), len(texts))
-        return out
+        grams = [with_context(ids, (_END, _END)) for ids in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
+        return np.bincount(owner, self.log10_grams(np.concatenate(grams), n), len(texts)) if texts else np.zeros(0)
 
 
-def grams_with_context(ids: np.ndarray) -> np.ndarray:
-    """``(far, near, word)`` of one text's numbers; a text begins after two end marks."""
-    before = np.concatenate([[_END, _END], ids])
-    return np.stack([before[:-2], before[1:-1], before[2:]], axis=1)
+def with_context(ids: np.ndarray, before: tuple[int, int]) -> np.ndarray:
+    """``(far, near, word)`` of numbers that follow the two ``before``; a text begins after two end marks."""
+    row = np.concatenate([before, ids]).astype(np.int64)
+    return np.stack([np.where(row[1:-1] == _END, _END, row[:-2]), row[1:-1], row[2:]], axis=1)
 
 
-def blocks(texts: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """The texts' rows in blocks of ``BLOCK``, with the number of each row's text and that of
-    the texts that are through; a text may lie in several blocks."""
-    held, owner, size, i = [], [], 0, -1
-    for i, grams in enumerate(texts):
-        at = 0
-        while at < len(grams):
-            part = grams[at:at + BLOCK - size]
-            held.append(part)
-            owner.append(np.full(len(part), i))
-            size += len(part)
-            at += len(part)
-            if size == BLOCK:
-                yield np.concatenate(held), np.concatenate(owner), i + (at == len(grams))
-                held, owner, size = [], [], 0
-    if held:
-        yield np.concatenate(held), np.concatenate(owner), i + 1
+@dataclass
+class Block:
+    """Tokens in order: ``grams`` are their numbers with context, ``owner`` the number of each one's text,
+    ``place`` which of ``words`` (distinct, ``known`` in the table or -1) it is, -1 for an end.  ``through``
+    texts have ended so far."""
+
+    grams: np.ndarray
+    owner: np.ndarray
+    place: np.ndarray
+    words: pa.Array
+    known: np.ndarray
+    through: int
+
+
+def segments(text: bytes) -> Iterator[tuple[list[bytes], bool]]:
+    """A text's words, ``SEGMENT`` bytes and a word's rest at a time, and whether the text ends there."""
+    at = 0
+    while True:
+        cut = _SPACE.search(text, at + SEGMENT)
+        yield tokens(text[at:cut.start()] if cut else text[at:]), cut is None
+        if cut is None:
+            return
+        at = cut.start()
+
+
+def word_blocks(texts: Iterable[bytes | None], table: pa.Array, vocabulary: int) -> Iterator[Block]:
+    """The texts' tokens, each text's end included, in blocks of about ``BLOCK``; a text may lie in several.
+    The first ``vocabulary`` words of the table are numbered from 2 on, all others are ``_OTHER``."""
+    flat, parts, before = [], [], (_END, _END)
+
+    def block() -> Block:
+        nonlocal before
+        coded = pa.array(flat, pa.binary()).dictionary_encode()
+        place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        known = pc.fill_null(pc.index_in(coded.dictionary, value_set=table), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.where((known >= 0) & (known < vocabulary), known + 2, _OTHER)
+        owner, length, last = (np.array(x, dtype=np.int64) for x in zip(*parts, strict=True))
+        ends = np.cumsum(length)[last == 1]
+        grams = with_context(np.insert(of[place], ends, _END), before)
+        before = int(grams[-1, 1]), int(grams[-1, 2])
+        return Block(grams, np.repeat(owner, length + last), np.insert(place, ends, -1), coded.dictionary, known, int(owner[-1] + last[-1]))
+
+    for i, text in enumerate(texts):
+        for words, last in segments(text or b""):
+            flat += words
+            parts.append((i, len(words), int(last)))
+            if len(flat) + len(parts) >= BLOCK:
+                if flat or last:
+                    yield block()
+                    flat, parts = [], []
+    if parts:
+        yield block()
 
 
 def unique_grams(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,13 +322,14 @@ def unique_grams(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([pair // size, pair % size, keys % size], axis=1), place
 
 
-def numbers_of(text: bytes | None, number: dict[bytes, int]) -> np.ndarray:
-    return np.array([*[number.get(w, _OTHER) for w in tokens(text)], _END], dtype=np.int64)
+def grams_of(texts: Iterable[bytes | None], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``(far, near, word)`` numbers of texts and their counts."""
+    return _counted(np.concatenate([np.zeros((0, 3), dtype=np.int64), *(b.grams for b in word_blocks(texts, *table_of(number)))]))
 
 
-def grams_of(texts: list[bytes | None], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ``(far, near, word)`` numbers of texts and their counts."""
-    return _counted(np.concatenate([grams_with_context(numbers_of(t, number)) for t in texts] or [np.zeros((0, 3), dtype=np.int64)]))
+def table_of(number: dict[bytes, int]) -> tuple[pa.Array, int]:
+    """The words in the order of their numbers (from 2 on), and how many they are."""
+    return pa.array(sorted(number, key=number.get), pa.binary()), len(number)
 
 
 def _counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,18 +344,18 @@ def train(rows: DataFrame, number: dict[bytes, int], unigram: np.ndarray, tokens
     driver gets one set of parameters."""
     unigram, classes = with_classes(unigram)
     start = Model.start(unigram, dimensions)
-    width = 2 * dimensions + 1
+    width, table = 2 * dimensions + 1, table_of(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rng = Model.from_rows(start.rows()), np.random.default_rng(11)
         squares, uses = model.zeros(), np.zeros(len(unigram) + 1)
         for b in batches:
-            for part, _, _ in blocks(grams_with_context(numbers_of(t.as_py(), number)) for t in b.column(0).cast(pa.binary())):
-                grams, weight = _counted(part)
+            for part in word_blocks((t.as_py() for t in b.column(0).cast(pa.binary())), *table):
+                grams, weight = _counted(part.grams)
                 model.train(grams, weight, unigram, rng, squares, classes)
                 for place in (*grams.T, classes[grams[:, 2]]):
                     uses[:len(unigram)] += np.bincount(place, weight, len(unigram))
-                uses[-1] += len(part)
+                uses[-1] += len(part.grams)
         moved = np.append((squares.bias > 0) | (squares.context > 0).any(axis=1), uses[-1] > 0)
         own, at = model.rows()[moved].astype(np.float32), np.flatnonzero(moved)
         for a in range(0, len(own), 4096):
@@ -329,9 +367,9 @@ def train(rows: DataFrame, number: dict[bytes, int], unigram: np.ndarray, tokens
     copies = (rows.filter(~F.col("held_out")).select("text").coalesce(max(1, math.isqrt(tokens_seen) // PART))
               .mapInArrow(run, "row long, uses double, " + ", ".join(f"p{k} float" for k in range(width))))
     mean = copies.groupBy("row").agg(*((F.sum(F.col(f"p{k}") * F.col("uses")) / F.sum("uses")).cast("float").alias(f"p{k}") for k in range(width)))
-    found, table = mean.toArrow(), start.rows()
-    table[found.column("row").to_numpy()] = np.stack([found.column(f"p{k}").to_numpy() for k in range(width)], axis=1)
-    return Model.from_rows(table)
+    found, rows_now = mean.toArrow(), start.rows()
+    rows_now[found.column("row").to_numpy()] = np.stack([found.column(f"p{k}").to_numpy() for k in range(width)], axis=1)
+    return Model.from_rows(rows_now)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -352,64 +390,51 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n, v = (total[0] or 0) + ends, total[1] + (ends > 0)
     model_words = GROWTH * math.isqrt(n) if model_words is None else model_words
     table_words = max(table_words, model_words)
-    table = {bytes(r["word"]): r["c"] for r in bounded_words(counts, table_words).collect()}
-    top = sorted(bounded_words(counts, model_words).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
+    best = sorted(bounded_words(counts, table_words).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
+    top = best[:model_words]
     number = {bytes(r["word"]): k for k, r in enumerate(top, 2)}
+    table = pa.array([bytes(r["word"]) for r in best], pa.binary())
+    logs = np.log10(np.array([r["c"] for r in best] + [0.0]) + 1)
     inside = sum(r["c"] for r in top) + ends
     other_n, other_v = n - inside, v - len(number) - (ends > 0)
     other_mass = math.log10(other_n + other_v + 1)
     unigram = np.array([ends + 1.0, other_n + 1.0, *(r["c"] for r in top)])
     unigram /= unigram.sum()
     model = train(rows, number, unigram, n)
-    logs = {w: math.log10(c + 1) for w, c in table.items()}
+    vocabulary = len(number)
 
     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            told, rare = [], []  # of texts, and their words that only the join knows
-
-            def looked_up(b=b, told=told, rare=rare):
-                for i, text in enumerate(b.column("text").cast(pa.binary())):
-                    own = tokens(text.as_py())
-                    local = other = 0.0
-                    seen = 1 if ends else 0
-                    for w, k in Counter(own).items():
-                        log = logs.get(w)
-                        if log is None:
-                            rare.append((i, w, k))
-                        else:
-                            seen += k
-                            local += k * log
-                            if w not in number:
-                                other += k * log
-                    ids = np.array([*[number.get(w, _OTHER) for w in own], _END], dtype=np.int64)
-                    told.append([len(own) + 1, seen, local + math.log10(ends + 1), other, 0.0, int((ids == _OTHER).sum())])
-                    yield grams_with_context(ids)
-
-            def rows_of(first: int, columns: list, texts: bool) -> pa.RecordBatch:
-                """Rows of texts from ``first`` on, or of rare words."""
-                if texts:
-                    m = len(columns[0])
-                    head = [b.column(c).slice(first, m) for c in ("__row", "doc_id", "held_out")]
-                    rest = [*(pa.array(x, k) for x, k in zip(columns, kinds, strict=True)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())]
-                else:
-                    at, m = pa.array(columns[0], pa.int64()), len(columns[0])
-                    head = [b.column("__row").take(at), pa.nulls(m, b.column("doc_id").type), pa.nulls(m, pa.bool_())]
-                    rest = [*(pa.nulls(m, k) for k in kinds), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())]
-                return pa.RecordBatch.from_arrays([*head, *rest], names)
-
-            first = 0
-            for grams, owner, through in blocks(looked_up()):
-                scores = np.bincount(owner - first, model.log10_grams(grams, len(unigram)), len(told) - first)
-                for i, x in enumerate(scores, first):
-                    told[i][4] += float(x)
-                if rare:
-                    yield rows_of(0, list(zip(*rare, strict=True)), False)
-                    rare.clear()
-                if through > first:
-                    yield rows_of(first, list(zip(*told[first:through], strict=True)), True)
-                    first = through
+            first, begun = 0, np.zeros(6)  # the text that the last block ended in, and what it has so far
+            for x in word_blocks((t.as_py() for t in b.column("text").cast(pa.binary())), table, vocabulary):
+                owner, m = x.owner - first, x.through - first
+                width = int(owner[-1]) + 1
+                pair, times = np.unique((owner * (len(x.words) + 1) + x.place)[x.place >= 0], return_counts=True)
+                text, word = np.divmod(pair, len(x.words) + 1)
+                here = x.known[word] >= 0
+                at_table, known, k = x.known[word[here]], text[here], times[here]
+                log = k * logs[at_table]
+                sums = np.stack([
+                    np.bincount(owner, minlength=width), np.bincount(known, k, width), np.bincount(known, log, width),
+                    np.bincount(known, log * (at_table >= vocabulary), width),
+                    np.bincount(owner, model.log10_grams(x.grams, len(unigram)), width),
+                    np.bincount(owner, x.grams[:, 2] == _OTHER, width)])
+                sums[:, 0] += begun
+                at, rare = pa.array(text[~here] + first), x.words.take(pa.array(word[~here]))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("__row").take(at), pa.nulls(len(at), b.column("doc_id").type), pa.nulls(len(at), pa.bool_()),
+                     *(pa.nulls(len(at), kind) for kind in kinds), rare, pa.array(times[~here], pa.int64())], names)
+                done = sums[:, :m]
+                done[1] += ends > 0
+                done[2] += math.log10(ends + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(c).slice(first, m) for c in ("__row", "doc_id", "held_out")),
+                     *(pa.array(c.astype(kind.to_pandas_dtype()), kind) for c, kind in zip(done, kinds, strict=True)),
+                     pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], names)
+                begun = sums[:, m] if m < width else np.zeros(6)
+                first = x.through
 
     names = ["__row", "doc_id", "held_out", "n_tokens", "seen", "local", "other", "class_score", "n_other", "word", "times"]
     kind = docs.schema[id_col].dataType.simpleString()

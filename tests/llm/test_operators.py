@@ -412,13 +412,18 @@ def test_rows_of_a_large_vocabulary_keep_their_numbers():
 
 def test_blocks_cut_texts_anywhere(monkeypatch):
     monkeypatch.setattr(lm, "BLOCK", 7)
-    texts = [np.arange(n) for n in (0, 3, 20, 0, 7, 1)]
-    parts = list(lm.blocks(lm.grams_with_context(t) for t in texts))
-    assert [len(g) for g, _, _ in parts] == [7, 7, 7, 7, 3]
-    rows, owner = np.concatenate([g for g, _, _ in parts]), np.concatenate([o for _, o, _ in parts])
-    for i, t in enumerate(texts):
-        assert (rows[owner == i] == lm.grams_with_context(t)).all()
-    assert [k for _, _, k in parts] == [2, 2, 2, 4, 6]
+    monkeypatch.setattr(lm, "SEGMENT", 10)
+    number = {b"a": 2, b"b": 3}
+    texts = [b"", b"a b c", b" b  a " * 30, None, b"c" * 40 + b"\n" + b"a", b"b", b" "]
+    ids = [[*(number.get(w, 1) for w in (t or b"").split()), 0] for t in texts]
+    parts = list(lm.word_blocks(texts, *lm.table_of(number)))
+    assert len(parts) > 5 and parts[-1].through == len(texts)
+    rows, owner = np.concatenate([x.grams for x in parts]), np.concatenate([x.owner for x in parts])
+    for i, t in enumerate(ids):
+        before = [0, 0, *t]
+        assert rows[owner == i].tolist() == [before[k:k + 3] for k in range(len(t))]
+    said = [x.words[p].as_py() if p >= 0 else None for x in parts for p in x.place]
+    assert said == [w for t in texts for w in [*(t or b"").split(), None]]
 
 
 def test_scores_equal_the_plain_model(docs, corpus, monkeypatch):
@@ -427,6 +432,7 @@ def test_scores_equal_the_plain_model(docs, corpus, monkeypatch):
     train = lm.train
     monkeypatch.setattr(lm, "train", lambda *a: kept.append((a, train(*a))) or kept[-1][1])
     monkeypatch.setattr(lm, "BLOCK", 100)
+    monkeypatch.setattr(lm, "SEGMENT", 50)
     got = {(r.doc_id, r.n_tokens): r.score for r in lm.score(docs, model_words=6, table_words=8).collect()}
     (_, number, unigram, n), m = kept[0]
     counts, ends = Counter(), 0
