@@ -326,7 +326,7 @@ def metric_melt(wide: DataFrame, id_col: str = "model",
 
 # --- A6 ---------------------------------------------------------------------
 
-def upsert_by_key(current: DataFrame, new: DataFrame, key: str = "slug") -> DataFrame:
+def upsert_by_key(current: DataFrame, new: DataFrame, key: str | list[str] = "slug") -> DataFrame:
     """Replace every ``key`` present in ``new``; keep the other rows.
 
     Left-anti join against the distinct keys of ``new``, without a hint and
@@ -334,5 +334,6 @@ def upsert_by_key(current: DataFrame, new: DataFrame, key: str = "slug") -> Data
     broadcasts the key side when its measured size is small, so a key held
     by a third of ``current`` costs nothing, and splits skewed partitions of
     a shuffle anti join on the ``current`` side otherwise."""
-    keys = new.select(key).distinct()
+    key = [key] if isinstance(key, str) else key
+    keys = new.select(*key).distinct()
     return current.join(keys, key, "left_anti").unionByName(new, allowMissingColumns=True)

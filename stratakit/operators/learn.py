@@ -16,7 +16,7 @@ driver only holds model parameters.
 
 from __future__ import annotations
 
-import json
+import warnings
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -218,8 +218,11 @@ def spark_params(params: dict) -> dict:
     """Map boosted-tree parameter names to Spark GBT names.
 
     ``colsample_bytree`` becomes a per-node feature fraction; L1/L2
-    regularisation has no Spark equivalent and is ignored."""
+    regularisation has no Spark equivalent and is ignored with a warning."""
     out = {}
+    unused = [k for k in ("reg_alpha", "reg_lambda") if params.get(k)]
+    if unused:
+        warnings.warn(f"Spark's trees have no {', '.join(unused)}; ignored", stacklevel=2)
     for k, v in params.items():
         if k in XGB_TO_SPARK:
             name = XGB_TO_SPARK[k]
@@ -307,15 +310,12 @@ def fit_ordinal_pair(train: DataFrame, categorical: list[str], numeric: list[str
 
 
 def ordinal_scores(serious: PipelineModel, rare: PipelineModel, df: DataFrame,
-                   row_id: str) -> DataFrame:
-    """Score both binary models and compose (p0, p1, p2) by ``row_id``."""
+                   keep: list[str]) -> DataFrame:
+    """Both binary models over one frame, composed into (p0, p1, p2) beside the columns ``keep``: no join."""
     from .decide import ordinal_compose
 
-    s = serious.transform(df).select(row_id, vector_to_array("probability")[1].alias("s_worse"))
-    f = rare.transform(df).select(row_id, vector_to_array("probability")[1].alias("s_rare"))
-    return ordinal_compose(s.join(f, row_id))
-
-
-def save_metadata(spark, path: str, meta: dict) -> None:
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
-        .write.mode("overwrite").text(path)
+    out = df
+    for model, name in ((serious, "s_worse"), (rare, "s_rare")):
+        scored = model.transform(out).withColumn(name, vector_to_array("probability")[1])
+        out = scored.select(*out.columns, name)
+    return ordinal_compose(out.select(*keep, "s_worse", "s_rare"))

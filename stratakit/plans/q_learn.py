@@ -17,6 +17,9 @@ from ..operators.learn import PROB_COLS, fit_multiclass, with_probs
 from ..operators.sampling import train_test
 from ..session import ensure_checkpoint_dir
 from . import inputs as I
+from .ledger import SearchLedger, finish
+from .oracle_base import with_ctes
+from .q_sampling import QUOTAS, SPLIT
 from .registry import register
 from .training import cross_validate, interpolated_search, search
 
@@ -101,6 +104,85 @@ def q_joint_search(spark, d):
     return summary
 
 
+# --- whole searches: ledger, validation, results, model, registry entry ---------
+
+#: Folds of the training rows: per k, fold and its rows.
+FOLD_SIZES = f"""
+  SELECT k, CAST((off + rk - 1) % k AS INTEGER) AS fold, count(*) AS n
+  FROM (SELECT t.label, o.off, row_number() OVER (PARTITION BY t.label ORDER BY
+               md5(concat('42:', CAST(t.row_index AS VARCHAR))), t.row_index) AS rk
+        FROM train t JOIN (SELECT label, coalesce(sum(count(*)) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING
+                                                                      AND 1 PRECEDING), 0) AS off
+                           FROM train GROUP BY label) o USING (label)) r
+       CROSS JOIN (VALUES (3), (5)) ks(k)
+  GROUP BY k, fold"""
+
+
+def _folds_sql(stages: list[tuple[str, int, str, str]], candidates: str) -> str:
+    """Rows of the ledger as SQL sees them: every stage's candidates and folds."""
+    parts = [f"SELECT '{stage}' AS stage, {number} AS candidate, fold, n AS validation_rows, (SELECT count(*) FROM train) - n AS training_rows "
+             f"FROM sizes {join} WHERE k = {k}" for stage, k, number, join in stages]
+    body = "\n  UNION ALL ".join(parts)
+    return with_ctes(["model_frame"], f"""
+  SELECT stage, CAST(candidate AS INTEGER) AS candidate, fold, CAST(validation_rows AS BIGINT) AS validation_rows,
+         CAST(training_rows AS BIGINT) AS training_rows, 1 AS ready_models, {candidates} AS evaluated
+  FROM ({body}) x""", extra=[("quotas", QUOTAS), ("split", SPLIT), ("train", "SELECT row_index, label FROM split WHERE NOT is_test"),
+                             ("sizes", FOLD_SIZES)])
+
+
+def _ledger_rows(ledger: SearchLedger, end, column: str):
+    """The ledger's fold rows and how many candidates were evaluated; a model that can be
+    loaded and, where a threshold belongs to it, is ``ready``, counts."""
+    rows = ledger.table.read()
+    searched = rows.where(F.col("stage") != "validation").select("key").distinct().count()
+    return rows.select("stage", F.col(column).cast("int").alias("candidate"), "fold", F.col("validation_rows").cast("bigint").alias("validation_rows"),
+                       F.col("training_rows").cast("bigint").alias("training_rows"),
+                       F.lit(int(len(end.model().stages) > 0)).alias("ready_models"), F.lit(searched).alias("evaluated"))
+
+
+@register("tuned_search_folds", _folds_sql([("search", 3, "o", "CROSS JOIN (VALUES (0), (1)) c(o)"),
+                                            ("validation", 5, "NULL", "")], "2"))
+def q_tuned_search_folds(spark, d):
+    """E5 to its end: search, fresh five folds with OOF, threshold, upsert, refit, ``ready`` entry."""
+    train, _ = _train(spark, d)
+    ledger = SearchLedger(spark)
+    cands = [{"order": 0, "numTrees": 3, "maxDepth": 3}, {"order": 1, "numTrees": 5, "maxDepth": 4}]
+    cv = dict(kind="forest", balance="weighted", **CV)
+    _, winner = search(train, cands, rule="first", key_cols=["order"], ledger=ledger, **cv)
+    end = finish(train, winner, ledger=ledger, slug="tuned_forest", name="Tuned", artifact="models/tuned", with_threshold=True, **cv)
+    rows = _ledger_rows(ledger, end, "order")
+    return rows.withColumn("candidate", F.when(F.col("stage") == "search", F.col("candidate")))
+
+
+@register("interpolated_search_folds", _folds_sql([("coarse", 3, "a", "CROSS JOIN (VALUES (0), (100)) c(a)"),
+                                                   ("fine", 3, "NULL", "CROSS JOIN (VALUES (0), (1)) c(x)")], "4"))
+def q_interpolated_search_folds(spark, d):
+    """E6 to its end: the coarse ends 0 and 1, the two fine alphas that lie near either, the winner's
+    folds as results, refit.  The candidate is the alpha in hundredths; fine ones depend on the model."""
+    train, _ = _train(spark, d)
+    ledger = SearchLedger(spark)
+    cv = dict(kind="forest", params={"numTrees": 4, "maxDepth": 4}, ledger=ledger, **CV)
+    _, winner, _ = interpolated_search(train, [0.0, 1.0], 0.05, 0.05, **cv)
+    end = finish(train, winner, slug="interpolated_forest", name="Interpolated", artifact="models/interpolated", fresh_folds=None,
+                 searched=ledger.rows([winner["key"]]), balance="interpolated", **cv)
+    rows = _ledger_rows(ledger, end, "alpha")
+    return rows.withColumn("candidate", F.when(F.col("stage") == "coarse", F.col("candidate") * 100))
+
+
+@register("joint_search_folds", _folds_sql([("search", 3, "o", "CROSS JOIN (VALUES (1), (2)) c(o)"),
+                                            ("validation", 5, "NULL", "")], "2"))
+def q_joint_search_folds(spark, d):
+    """E7 to its end: search, fresh five folds, upsert, refit."""
+    train, _ = _train(spark, d)
+    ledger = SearchLedger(spark)
+    cands = [{"candidate": 1, "alpha": 0.3, "maxDepth": 3, "numTrees": 4}, {"candidate": 2, "alpha": 0.8, "maxDepth": 4, "numTrees": 4}]
+    cv = dict(kind="forest", balance="interpolated", **CV)
+    _, winner = search(train, cands, rule="joint", key_cols=["candidate", "alpha"], ledger=ledger, **cv)
+    end = finish(train, winner, ledger=ledger, slug="joint_forest", name="Joint", artifact="models/joint", **cv)
+    rows = _ledger_rows(ledger, end, "candidate")
+    return rows.withColumn("candidate", F.when(F.col("stage") == "search", F.col("candidate")))
+
+
 def _raw_pipeline(spark, d):
     """Pipeline on raw prediction-time fields: date/time strings go through
     the TimeFeatures stage inside the fitted model."""

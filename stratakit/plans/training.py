@@ -2,7 +2,8 @@
 
 The fold-tagged training frame is checkpointed once into the shared
 checkpoint folder (so a lost executor recomputes from there, not from the
-raw scan) and every fold reads it.  Per fold: fold-local caps / weights,
+raw scan); a search also stores one encoded design a fold, which all candidates share, and a
+ledger of evaluated candidates, from which a restarted search goes on.  Per fold: fold-local caps / weights,
 a fresh pipeline fit (the distributed part), and lazy validation scores.
 All folds' scores are unioned and evaluated by **one** grouped metrics job;
 the driver receives one row per fold.
@@ -12,14 +13,24 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from decimal import Decimal
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import argmax3
 from ..operators import evaluate as E
-from ..operators.learn import PROB_COLS, fit_multiclass, fit_ordinal_pair, ordinal_scores, \
-    with_probs
+from ..operators.clean import validate_model_inputs
+from ..operators.learn import (
+    PROB_COLS,
+    build_preprocessor,
+    fit_multiclass,
+    fit_ordinal_pair,
+    make_classifier,
+    ordinal_scores,
+    with_probs,
+)
 from ..operators.sampling import (
     balanced_weights,
     interp_weights,
@@ -27,11 +38,12 @@ from ..operators.sampling import (
     stratified_kfold,
     undersample_caps,
 )
-from ..session import cut_lineage
+from ..session import cut_lineage, write_once
+from .ledger import SearchLedger
 
 
-def prepare_training(train: DataFrame, fit_rows: DataFrame, label: str, row_id: str,
-                     balance: str, alpha: float | None, caps: dict | None
+def prepare_training(fit_rows: DataFrame, label: str, row_id: str, balance: str,
+                     alpha: float | None, caps: dict | None
                      ) -> tuple[DataFrame, str | None]:
     """Fold-local caps or weights from the fold's own training rows."""
     if balance == "downsampled":
@@ -45,6 +57,20 @@ def prepare_training(train: DataFrame, fit_rows: DataFrame, label: str, row_id:
     raise ValueError(f"unknown balance {balance!r}")
 
 
+def fold_designs(tagged: DataFrame, categorical: list[str], numeric: list[str], forbidden: list[str],
+                 row_id: str, label: str, k: int) -> list[DataFrame]:
+    """One stored sparse design a fold: preprocessing fitted on the other folds' rows, applied to
+    all rows.  Every candidate of a search fits and scores on it, so categories are found and
+    rows encoded ``k`` times, however many candidates there are."""
+    kept = [c for c in tagged.columns if c not in (label, "fold")]
+    validate_model_inputs(kept, forbidden, categorical + numeric)
+    out = []
+    for i in range(k):
+        fitted = Pipeline(stages=build_preprocessor(categorical, numeric)).fit(tagged.where(F.col("fold") != i))
+        out.append(write_once(fitted.transform(tagged).select(row_id, F.col(label).alias("label"), "fold", "features"), f"design-{i}"))
+    return out
+
+
 def cross_validate(frame: DataFrame, *, categorical: list[str], numeric: list[str],
                    forbidden: list[str], row_id: str, label: str = "label", k: int = 5,
                    seed: int = 42, kind: str = "boosted", params: dict | None = None,
@@ -52,13 +78,14 @@ def cross_validate(frame: DataFrame, *, categorical: list[str], numeric: list[st
                    collect_oof: bool = False, name: str = "model", slug: str = "model",
                    progress: Callable[[str], None] | None = None, pre_stages: list = (),
                    ordinal: bool = False, tagged: DataFrame | None = None,
-                   parallel_folds: int = 1) -> tuple[DataFrame, DataFrame | None]:
+                   parallel_folds: int = 1, designs: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Per-fold metrics (``fold_rows`` layout + row counts) and optional OOF
     scores (every training row exactly once, finite).
 
     ``parallel_folds`` > 1 fits that many folds at once from driver threads
     (concurrent Spark jobs keep a large cluster busy while each fit's many
-    small stages run); results do not depend on it."""
+    small stages run); results do not depend on it.  ``designs`` (`fold_designs` of ``tagged``)
+    takes the place of the folds' own preprocessing."""
     from concurrent.futures import ThreadPoolExecutor
 
     if tagged is None:
@@ -74,10 +101,14 @@ def cross_validate(frame: DataFrame, *, categorical: list[str], numeric: list[st
         valid = tagged.where(F.col("fold") == i)
         if ordinal:
             s_model, f_model = fit_ordinal_pair(fit_rows, categorical, numeric, params, forbidden)
-            scored = ordinal_scores(s_model, f_model, valid, row_id).join(
-                valid.select(row_id, label, "fold"), row_id)
+            scored = ordinal_scores(s_model, f_model, valid, [row_id, label, "fold"])
+        elif designs is not None:
+            design = designs[i]
+            train, wcol = prepare_training(design.where(F.col("fold") != i).drop("fold"), "label", row_id, balance, alpha, caps)
+            scored = with_probs(make_classifier(kind, wcol, **(params or {})).fit(train).transform(design.where(F.col("fold") == i)))
+            scored = scored.withColumnRenamed("label", label)
         else:
-            train, wcol = prepare_training(fit_rows, fit_rows, label, row_id, balance, alpha, caps)
+            train, wcol = prepare_training(fit_rows, label, row_id, balance, alpha, caps)
             model = fit_multiclass(train, categorical, numeric, forbidden, kind, wcol, params,
                                    pre_stages)
             scored = with_probs(model.transform(valid))
@@ -116,59 +147,63 @@ def threshold_from_oof(oof: DataFrame) -> tuple[dict, DataFrame]:
     return best, sweep
 
 
-def _summaries(rows_by_candidate: list[tuple[dict, DataFrame]], key_cols: list[str]) -> DataFrame:
-    tagged = None
-    for cand, rows in rows_by_candidate:
-        r = rows
-        for c in key_cols:
-            r = r.withColumn(c, F.lit(cand[c]))
-        tagged = r if tagged is None else tagged.unionByName(r)
-    return E.candidate_summary(tagged, key_cols)
+#: Entries of a candidate that are not parameters of the learner.
+NOT_PARAMETERS = ("alpha", "candidate", "order")
+
+
+def candidate_settings(candidate: dict, cv: dict) -> dict:
+    """``cv`` with the candidate's parameters and alpha."""
+    own = {k: v for k, v in candidate.items() if k not in NOT_PARAMETERS}
+    out = {**cv, "params": {**(cv.get("params") or {}), **own}}
+    return {**out, "alpha": candidate["alpha"]} if candidate.get("alpha") is not None else out
 
 
 def search(frame: DataFrame, candidates: list[dict], *, rule: str, key_cols: list[str],
-           search_folds: int = 3, **cv) -> tuple[DataFrame, dict]:
-    """Evaluate every candidate by ``search_folds``-fold CV on the same
-    checkpointed fold tags; summary table + winner (F8 rule)."""
+           search_folds: int = 3, ledger: SearchLedger | None = None, stage: str = "search", **cv) -> tuple[DataFrame, dict]:
+    """Every candidate by ``search_folds``-fold CV on the same fold tags and designs; summary table
+    (from the ledger, so no fold is scored twice) and winner (F8 rule), with its parameters, its
+    ``entry`` among the candidates and its ``key`` in the ledger.  Candidates that the ledger has are not evaluated again."""
     row_id, label, seed = cv["row_id"], cv.get("label", "label"), cv.get("seed", 42)
-    tagged = cut_lineage(stratified_kfold(frame, label, row_id, search_folds, seed))
-    results = []
-    for cand in candidates:
-        params = {k: v for k, v in cand.items() if k not in ("alpha", "candidate", "order")}
-        extra = dict(cv)
-        extra["params"] = {**(cv.get("params") or {}), **params}
-        if "alpha" in cand:
-            extra["alpha"] = cand["alpha"]
-        rows, _ = cross_validate(frame, k=search_folds, tagged=tagged, **extra)
-        results.append((cand, rows))
-    # one row per candidate, written once: choosing the winner and the
-    # caller's use of the table do not re-score every candidate's folds
-    summary = cut_lineage(_summaries(results, key_cols))
+    ledger = ledger or SearchLedger(frame.sparkSession)
+    told = {k: v for k, v in cv.items() if k not in ("progress", "parallel_folds", "pre_stages")}
+    keys = [ledger.key(stage, c, {**told, "folds": search_folds}) for c in candidates]
+    missing = [(k, c) for k, c in zip(keys, candidates, strict=True) if k not in ledger.done()]
+    if missing:
+        tagged = cut_lineage(stratified_kfold(frame, label, row_id, search_folds, seed))
+        designs = None
+        if not cv.get("ordinal") and not cv.get("pre_stages"):
+            designs = fold_designs(tagged, cv["categorical"], cv["numeric"], cv["forbidden"], row_id, label, search_folds)
+        for key, cand in missing:
+            rows, _ = cross_validate(frame, k=search_folds, tagged=tagged, designs=designs, **candidate_settings(cand, cv))
+            ledger.record(key, stage, cand, rows)
+    summary = E.candidate_summary(ledger.rows(keys), key_cols)
     winner = E.select_candidate(summary, rule, "order" if rule == "first" else None).first().asDict()
-    return summary, winner
+    at = next(i for i, c in enumerate(candidates) if all(c[k] == winner[k] for k in key_cols))
+    return summary, {**candidates[at], **winner, "key": keys[at], "entry": candidates[at]}
 
 
-def fine_alpha_grid(center: float, radius: float = 0.15, step: float = 0.05) -> list[float]:
-    """Inclusive alpha grid around ``center`` clipped to [0, 1], built in
-    thousandths so it has no floating drift."""
-    c, r, s = round(float(center) * 1000), round(float(radius) * 1000), round(float(step) * 1000)
-    if s <= 0 or r < 0:
-        raise ValueError("fine-grid radius must be nonnegative and step must be positive")
-    if not 0 <= c <= 1000:
-        raise ValueError("fine-grid center must be between 0 and 1")
-    return [v / 1000 for v in range(max(0, c - r), min(1000, c + r) + 1, s)]
+def alphas_near(winner: float, radius: float = 0.15, step: float = 0.05) -> list[float]:
+    """The alphas in [0, 1] that lie a whole number of steps from ``winner``, at most ``radius`` away."""
+    middle, reach, gap = (Decimal(str(x)) for x in (winner, radius, step))
+    if not 0 <= middle <= 1:
+        raise ValueError(f"alpha {winner} lies outside [0, 1]")
+    if gap <= 0 or reach < 0:
+        raise ValueError(f"no grid has radius {radius} and step {step}")
+    steps = int(reach / gap)
+    return [float(a) for a in (middle + i * gap for i in range(-steps, steps + 1)) if 0 <= a <= 1]
 
 
 def interpolated_search(frame: DataFrame, coarse: list[float], radius: float = 0.15, step: float = 0.05,
                         **cv) -> tuple[DataFrame, dict, list[float]]:
     """Coarse alphas, then a grid of ``radius`` and ``step`` around the coarse
     winner; the winner comes from the fine rows only (ties -> lower alpha)."""
-    cv = {**cv, "balance": "interpolated"}
+    cv = {"ledger": None, **cv, "balance": "interpolated"}
+    cv["ledger"] = cv["ledger"] or SearchLedger(frame.sparkSession)
     coarse_sum, coarse_win = search(frame, [{"alpha": a} for a in coarse], rule="alpha",
-                                    key_cols=["alpha"], **cv)
-    fine = fine_alpha_grid(coarse_win["alpha"], radius, step)
+                                    key_cols=["alpha"], stage="coarse", **cv)
+    fine = alphas_near(coarse_win["alpha"], radius, step)
     fine_sum, fine_win = search(frame, [{"alpha": a} for a in fine], rule="alpha",
-                                key_cols=["alpha"], **cv)
+                                key_cols=["alpha"], stage="fine", **cv)
     both = coarse_sum.withColumn("stage", F.lit("coarse")).unionByName(
         fine_sum.withColumn("stage", F.lit("fine")))
     return both, fine_win, fine
@@ -177,5 +212,5 @@ def interpolated_search(frame: DataFrame, coarse: list[float], radius: float = 0
 def refit(frame: DataFrame, *, categorical, numeric, forbidden, row_id, label="label",
           kind="boosted", params=None, balance="none", alpha=None, caps=None, pre_stages=()):
     """Final model on all training rows with the chosen settings."""
-    train, wcol = prepare_training(frame, frame, label, row_id, balance, alpha, caps)
+    train, wcol = prepare_training(frame, label, row_id, balance, alpha, caps)
     return fit_multiclass(train, categorical, numeric, forbidden, kind, wcol, params, pre_stages)

@@ -44,3 +44,27 @@ def test_scale_settings_bound_the_shuffle_width():
     assert big["spark.sql.adaptive.enabled"] == "true"
     small = scale_settings(10 << 20, cores=8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_stored_table_shows_whole_versions_only(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from stratakit.sources.store import Conflict, StoredTable
+
+    table = StoredTable(spark, str(tmp_path / "t"))
+    assert table.version() == 0 and table.read() is None and table.vacuum() == 0
+    a = spark.createDataFrame([("x", 1), ("y", 1)], "slug string, fold int")
+    assert table.publish(a) == 1
+    # a writer that dies after its files and before its pointer changes nothing
+    broken = StoredTable(spark, str(tmp_path / "t"))
+    monkeypatch.setattr(broken, "_context", None)
+    with pytest.raises(AttributeError):
+        broken.upsert(a.limit(1), "slug")
+    assert sorted(map(tuple, table.read().collect())) == [("x", 1), ("y", 1)]
+    old = table.read()
+    assert table.upsert(spark.createDataFrame([("x", 9), ("z", 2)], "slug string, fold int"), ["slug"]) == 2
+    assert sorted(map(tuple, table.read().collect())) == [("x", 9), ("y", 1), ("z", 2)]
+    assert sorted(map(tuple, old.collect())) == [("x", 1), ("y", 1)]  # a reader keeps its version
+    with pytest.raises(Conflict):  # two writers from one version: the second doesn't hide the first
+        table.publish(a, after=1)
+    assert table.version() == 2 and table.vacuum(keep=1) == 1 and table.read().count() == 3
