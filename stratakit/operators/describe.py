@@ -361,30 +361,37 @@ def within_class_dist(df: DataFrame, feature: str, class_col: str = "label",
          .alias("proportion"))
 
 
+def number(c: str | Column) -> Column:
+    """The value as a double; what is not a number is null."""
+    return (F.col(c) if isinstance(c, str) else c).try_cast("double")
+
+
 def histogram_edges(df: DataFrame, column: str, bins: int = 20) -> list[float]:
     """Common equal-width edges over the finite values (numpy rule).
 
     Collects two scalars.  Constant column -> one bin [v - .5, v + .5];
     no finite value -> error.
     """
-    v = F.col(column).cast("double")
+    v = number(column)
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(math.inf))
     row = df.where(finite).agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
-    if row is None or row["lo"] is None:
-        raise ValueError("numeric overlap requires at least one finite value")
-    lo, hi = float(row["lo"]), float(row["hi"])
+    return equal_edges(row["lo"], row["hi"], bins)
+
+
+def equal_edges(lo: float | None, hi: float | None, bins: int) -> list[float]:
+    if lo is None:
+        raise ValueError("bins need a finite value; there is none")
+    lo, hi = float(lo), float(hi)
     if lo == hi:
         return [lo - 0.5, hi + 0.5]
     step = (hi - lo) / bins
-    edges = [i * step + lo for i in range(bins + 1)]
-    edges[-1] = hi
-    return edges
+    return [*(i * step + lo for i in range(bins)), hi]
 
 
 def bin_index(c: str | Column, edges: list[float]) -> Column:
     """Bin of a value: (#edges <= x) - 1, the maximum in the last bin; null
-    outside [edges[0], edges[-1]] or non-finite."""
-    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    outside [edges[0], edges[-1]], for non-finite values and for what is not a number."""
+    x = number(c)
     n = len(edges) - 1
     k = sum(((x >= F.lit(e)).cast("int") for e in edges), F.lit(0)) - 1
     k = F.when(x == F.lit(edges[-1]), F.lit(n - 1)).otherwise(k)

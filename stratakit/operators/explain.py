@@ -2,34 +2,38 @@
 
 Overlaps: per-level (or per-bin) class counts in one aggregate, then the
 pairwise ``sum(min(share_a, share_b))`` over a table bounded by the number of
-levels / bins.  Attribution: a long table ``(row_id, feature, position,
-class, value)`` aggregated by feature and source column.
+levels / bins.  Attribution of a linear model: its summaries need no row of the design, they
+follow from how often each column has each value (`level_counts`, one pass and one shuffle,
+from which overlaps are taken, too).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..presets import CLASS_NAMES, CLASS_PAIRS, HOUR_SOURCE
-from .describe import bin_index, histogram_edges
+from ..session import write_once
+from .describe import bin_index, equal_edges, histogram_edges
+from .sampling import running_totals
 
 R9 = 9
 MISSING = "<missing>"
-MAX_DESIGN_LEVELS = 100_000   # guard: levels are collected to build the feature table
 
 
 def _pair_overlaps(per_level: DataFrame, classes=(0, 1, 2), names=CLASS_NAMES) -> DataFrame:
     """From per-(feature, level) class counts ``__c{k}`` -> 3 pair-overlap
-    rows per feature.  Shares are taken within each feature (a window over
-    that feature's levels / bins, which are few)."""
-    by_f = Window.partitionBy("feature")
-    sh = per_level.select("feature", *[
-        F.when(F.sum(f"__c{k}").over(by_f) > 0, F.col(f"__c{k}") / F.sum(f"__c{k}").over(by_f))
-         .otherwise(F.lit(0.0)).alias(f"__s{k}") for k in range(len(classes))])
+    rows per feature.  Class totals come from a second aggregate, one row a
+    feature, so a feature of many levels stays spread over tasks."""
+    totals = per_level.groupBy(F.col("feature").alias("__f")).agg(*[F.sum(f"__c{k}").alias(f"__t{k}") for k in range(len(classes))])
+    sh = per_level.join(F.broadcast(totals), F.col("feature") == F.col("__f")).select("feature", *[
+        F.when(F.col(f"__t{k}") > 0, F.col(f"__c{k}") / F.col(f"__t{k}")).otherwise(F.lit(0.0)).alias(f"__s{k}")
+        for k in range(len(classes))])
     agg = sh.groupBy("feature").agg(
         *[F.sum(F.least(F.col(f"__s{a}"), F.col(f"__s{b}"))).alias(f"__o{a}{b}")
           for a, b in CLASS_PAIRS])
@@ -75,29 +79,40 @@ def overlap_numeric(df: DataFrame, feature: str, label: str = "label", classes=(
     return overlaps_long(df, {feature: bin_index(feature, edges)}, label, classes)
 
 
+# --- one pass over the rows ----------------------------------------------------
+
+def level_counts(df: DataFrame, columns: dict[str, Column], label: str = "label", classes=(0, 1, 2)) -> DataFrame:
+    """``source, v, x, n, __c0, __c1, ...`` for every column and every value it has: the value as a
+    string (null kept) and, of numeric columns, as a number; rows, and rows of each class.
+
+    Stored: level lists, kinds, bin ranges, attribution and overlaps are all read from it."""
+    names = list(columns)
+    types = df.select(*(c.alias(n) for n, c in columns.items())).schema
+    c = F.col(label)
+    cells = [F.struct(e.cast("string").alias("v"), (e if isinstance(types[n].dataType, T.NumericType) else F.lit(None)).cast("double").alias("x")).alias(f"__f{i}")
+             for i, (n, e) in enumerate(columns.items())]
+    long = df.select(c.alias("__label"), *cells).unpivot(["__label"], [f"__f{i}" for i in range(len(names))], "__k", "__cell")
+    key = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(f"__f{i}"), F.lit(n))])
+    counted = (long.groupBy("__k", F.col("__cell.v").alias("v"), F.col("__cell.x").alias("x"))
+               .agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("__label") == k).alias(f"__c{i}") for i, k in enumerate(classes)]))
+    return write_once(counted.select(F.element_at(key, F.col("__k")).alias("source"), "v", "x", "n", *[f"__c{i}" for i in range(len(classes))]), "levels")
+
+
 # --- G3 ---------------------------------------------------------------------
 
-def profile_features(df: DataFrame, features: list[str]) -> dict[str, dict]:
-    """Per feature: distinct non-null levels and min/max of the finite
-    numeric values - one unpivot + two small aggregates, collected (one row
-    per feature)."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    numeric = {c for c in features if isinstance(types[c], T.NumericType)}
-    cols = []
-    for c in features:
-        num = F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
-        cols.append(F.struct(F.col(c).cast("string").alias("s"), num.alias("x")).alias(c))
-    long = df.select(*cols).unpivot([], features, "feature", "v") \
-        .select("feature", F.col("v.s").alias("s"), F.col("v.x").alias("x")) \
-        .where(F.col("s").isNotNull())
+def _numeric(df: DataFrame, names) -> set[str]:
+    return {f.name for f in df.schema.fields if f.name in set(names) and isinstance(f.dataType, T.NumericType)}
+
+
+def profiles(counts: DataFrame, numeric: set[str], features: list[str]) -> dict[str, dict]:
+    """Per feature: distinct non-null levels and min/max of the finite values (one row a
+    feature is collected); a feature that is null throughout has none."""
     finite = F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != F.lit(math.inf))
-    per_level = long.groupBy("feature", "s").agg(
-        F.min(F.when(finite, F.col("x"))).alias("lo"), F.max(F.when(finite, F.col("x"))).alias("hi"))
-    rows = per_level.groupBy("feature").agg(F.count(F.lit(1)).alias("levels"), F.min("lo").alias("lo"),
-                                            F.max("hi").alias("hi")).collect()
+    rows = counts.where(F.col("source").isin(*features)).groupBy("source").agg(
+        F.count("v").alias("levels"), F.min(F.when(finite, F.col("x"))).alias("lo"), F.max(F.when(finite, F.col("x"))).alias("hi")).collect()
     out = {c: {"levels": 0, "lo": None, "hi": None, "numeric": c in numeric} for c in features}
     for r in rows:
-        out[r["feature"]].update(levels=r["levels"], lo=r["lo"], hi=r["hi"])
+        out[r["source"]].update(levels=r["levels"], lo=r["lo"], hi=r["hi"])
     return out
 
 
@@ -116,6 +131,8 @@ def dist_kind(df: DataFrame, features: list[str], labelled: set[str] | frozenset
         [], features, "feature", "v").where(F.col("v").isNotNull())
     d = (long.groupBy("feature", "v").agg(F.lit(1).alias("__one"))
          .groupBy("feature").agg(F.count(F.lit(1)).alias("levels")))
+    every = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, features))).alias("feature"))
+    d = every.join(d, "feature", "left").fillna(0, ["levels"])   # a feature that is null throughout, too
     numeric = [c for c in features if isinstance(types[c], T.NumericType)]
     is_num = F.col("feature").isin(*numeric) if numeric else F.lit(False)
     is_lab = F.col("feature").isin(*labelled) if labelled else F.lit(False)
@@ -136,29 +153,27 @@ def _edges(lo: float, hi: float, bins: int) -> list[float]:
 def overlaps_by_kind(df: DataFrame, features: list[str], label: str = "label",
                      labelled: frozenset = frozenset(), bins: int = 20,
                      max_levels: int = 12) -> DataFrame:
-    """G1 or G2 per feature according to G3, all features in one pass.
-
-    Labelled or non-numeric features are categorical by rule; one profiling
-    aggregate (levels, min, max) over the remaining numeric features decides
-    their kind and bin edges (skipped when there are none); then one
-    aggregate over the unpivoted (feature, level-or-bin) keys gives every
-    overlap."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    need = [f for f in features if f not in labelled and isinstance(types[f], T.NumericType)]
-    prof = profile_features(df, need) if need else {}
-    kinds = {f: _kind(prof[f], f, labelled, max_levels) if f in prof else "categorical"
-             for f in features}
-    levels: dict[str, Column] = {}
+    """G1 or G2 per feature according to G3, all features in one pass over the rows."""
+    counts = level_counts(df, {f: F.col(f"`{f}`") for f in features}, label)
+    return overlaps_of_counts(counts, features, _numeric(df, features), labelled, bins, max_levels)
+
+
+def overlaps_of_counts(counts: DataFrame, features: list[str], numeric: set[str], labelled: frozenset = frozenset(),
+                       bins: int = 20, max_levels: int = 12, classes=(0, 1, 2)) -> DataFrame:
+    """`overlaps_by_kind` from `level_counts`: labelled, non-numeric and few-valued features by level,
+    the others by bins of their values' counts."""
+    prof = profiles(counts, numeric, features)
+    kinds = {f: _kind(prof[f], f, labelled, max_levels) for f in features}
+    level = F.coalesce(F.col("v"), F.lit(MISSING))
     for f in features:
-        if kinds[f] == "categorical":
-            levels[f] = F.coalesce(F.col(f).cast("string"), F.lit(MISSING))
-        else:
-            if prof[f]["lo"] is None:
-                raise ValueError("numeric overlap requires at least one finite value")
-            levels[f] = bin_index(f, _edges(float(prof[f]["lo"]), float(prof[f]["hi"]), bins))
-    out = overlaps_long(df, levels, label)
+        if kinds[f] == "numeric":
+            at = bin_index(F.col("x"), equal_edges(prof[f]["lo"], prof[f]["hi"], bins))
+            level = F.when(F.col("source") == f, at.cast("string")).otherwise(level)
+    per_level = (counts.where(F.col("source").isin(*features)).select(F.col("source").alias("feature"), level.alias("level"), *[f"__c{i}" for i in range(len(classes))])
+                 .where(F.col("level").isNotNull()).groupBy("feature", "level")
+                 .agg(*[F.sum(f"__c{i}").alias(f"__c{i}") for i in range(len(classes))]))
     kind = F.create_map(*[x for f in features for x in (F.lit(f), F.lit(kinds[f]))])
-    return out.withColumn("kind", F.element_at(kind, F.col("feature")))
+    return _pair_overlaps(per_level, classes).withColumn("kind", F.element_at(kind, F.col("feature")))
 
 
 # --- G4 (linear models) -----------------------------------------------------
@@ -215,15 +230,53 @@ def linear_attribution(design: DataFrame, row_id: str, coef: list[list[float]],
                   * F.col("__d")).alias("value")) for k in ks])))
 
 
+def deviations(counts: DataFrame, features: DataFrame, nulls_as_zero: bool = False) -> DataFrame:
+    """``position, n, mean, deviation, lo, hi`` of every design column from `level_counts`: rows, mean, mean
+    absolute deviation from it, and the values' range.  A one-hot column that is 1 in n1 of n rows deviates
+    by ``2 n1 (n - n1) / n**2``; a numeric one by the sum over its values.  Rows without a value
+    have no design column, with ``nulls_as_zero`` (a fitted encoder's way) a 0 in every one-hot column."""
+    known = F.col("v").isNotNull()
+    totals = counts.groupBy("source").agg(F.sum("n").alias("__all"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("__known"),
+                                          F.sum(F.when(known, F.col("x") * F.col("n"))).alias("__sum"))
+    totals = F.broadcast(totals)   # one row a column
+    n, ones = F.col("__all") if nulls_as_zero else F.col("__known"), F.coalesce(F.col("__n1"), F.lit(0))
+    hot = (features.where(F.col("level").isNotNull()).join(totals, "source")
+           .join(counts.where(known).select("source", F.col("v").alias("level"), F.col("n").alias("__n1")), ["source", "level"], "left")
+           .select("position", n.alias("n"), (ones / n).alias("mean"), (2 * (ones / n) * ((n - ones) / n)).alias("deviation"),
+                   F.when(ones == n, 1.0).otherwise(0.0).alias("lo"), F.when(ones > 0, 1.0).otherwise(0.0).alias("hi")))
+    mean = F.col("__sum") / F.col("__known")
+    plain = (counts.where(known).join(totals, "source").groupBy("source")
+             .agg(F.first("__known").alias("n"), F.first(mean).alias("mean"),
+                  (F.sum(F.abs(F.col("x") - mean) * F.col("n")) / F.first("__known")).alias("deviation"), F.min("x").alias("lo"), F.max("x").alias("hi")))
+    plain = features.where(F.col("level").isNull()).join(plain, "source").select("position", "n", "mean", "deviation", "lo", "hi")
+    return hot.unionByName(plain)
+
+
+def linear_means(stats: DataFrame, coefficient: Callable[[Column, int], Column], classes: int = 3) -> DataFrame:
+    """``position, class, m, largest, smallest, n``: mean absolute attribution ``coef * (x - mean)`` of a linear
+    model and its range, from `deviations`."""
+    rows = []
+    for k in range(classes):
+        c = coefficient(F.col("position"), k)
+        ends = c * (F.col("lo") - F.col("mean")), c * (F.col("hi") - F.col("mean"))
+        rows.append(F.struct(F.lit(k).alias("class"), (F.abs(c) * F.col("deviation")).alias("m"),
+                             F.greatest(*ends).alias("largest"), F.least(*ends).alias("smallest")))
+    return stats.select("position", "n", F.inline(F.array(*rows)))
+
+
+def mean_abs(attr: DataFrame) -> DataFrame:
+    """``position, class, m`` of a long attribution."""
+    return attr.groupBy("position", "class").agg(F.avg(F.abs("value")).alias("m"))
+
+
 # --- G5 ---------------------------------------------------------------------
 
 def attribution_by_source(attr: DataFrame, features: DataFrame, cls: int = 0) -> DataFrame:
     """Mean |value| per transformed feature for one class, summed to its
     source column (``hour_sin``/``hour_cos`` -> ``Hour_of_Day``), with the
-    components in vector order; ranked descending."""
-    per_feat = (attr.where(F.col("class") == cls).groupBy("position")
-                .agg(F.avg(F.abs("value")).alias("m")))
-    j = per_feat.join(F.broadcast(features), "position")
+    components in vector order; ranked descending.  ``attr`` is long or already has means ``m``."""
+    means = attr if "m" in attr.columns else mean_abs(attr)
+    j = means.where(F.col("class") == cls).join(features, "position")
     src = F.when(F.col("source").isin("hour_sin", "hour_cos"), F.lit(HOUR_SOURCE)) \
         .otherwise(F.col("source"))
     g = j.groupBy(src.alias("source_feature")).agg(
@@ -239,71 +292,57 @@ def attribution_by_source(attr: DataFrame, features: DataFrame, cls: int = 0) ->
 
 def global_importance(attr: DataFrame, features: DataFrame, top: int = 15) -> DataFrame:
     """Mean |value| per (feature, class); features ranked by the mean over
-    classes; the top ``top`` kept (a top-k report)."""
-    g = attr.groupBy("position", "class").agg(F.avg(F.abs("value")).alias("m"))
+    classes; the top ``top`` kept (a top-k report).  ``attr`` as in `attribution_by_source`."""
+    g = attr if "m" in attr.columns else mean_abs(attr)
     wide = g.groupBy("position").agg(F.avg("m").alias("__o"),
                                      *[F.max(F.when(F.col("class") == k, F.col("m"))).alias(f"m{k}")
                                        for k in range(3)])
-    ranked = wide.join(F.broadcast(features.select("position", "feature")), "position") \
+    best = wide.orderBy(F.desc("__o"), "position").limit(top)
+    ranked = best.join(features.select("position", "feature"), "position") \
         .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("__o"), "position")))
-    top_df = ranked.where(F.col("rank") <= top)
-    return top_df.select("rank", "feature", F.inline(F.array(*[
+    return ranked.select("rank", "feature", F.inline(F.array(*[
         F.struct(F.lit(k).alias("class"), F.round(F.col(f"m{k}"), R9).alias("mean_abs_shap"))
         for k in range(3)])))
 
 
 # --- G7 ---------------------------------------------------------------------
 
-def top_feature_overlap(by_source: DataFrame, data: DataFrame, label: str = "label",
+def top_feature_overlap(by_source: DataFrame, counts: DataFrame, numeric: set[str],
                         top: int = 5, labelled: frozenset = frozenset()) -> DataFrame:
-    """Top ``top`` sources of G5, each with its kind and 3 pair overlaps
-    computed on ``data`` (``Hour_of_Day`` is rebuilt from sin/cos)."""
-    from ..functions.expressions import hour_from_cyclical
-
+    """Top ``top`` sources of G5, each with its kind and 3 pair overlaps from the
+    `level_counts` of the data, which must have the sources (``Hour_of_Day`` too)."""
     ranks = {r["source_feature"]: r["rank"] for r in
              by_source.where(F.col("rank") <= top).select("source_feature", "rank").collect()}
     names = sorted(ranks, key=ranks.get)
-    if HOUR_SOURCE in names and HOUR_SOURCE not in data.columns:
-        data = data.withColumn(HOUR_SOURCE, hour_from_cyclical("hour_sin", "hour_cos"))
-    ov = overlaps_by_kind(data.select(label, *names), names, label, labelled)
+    ov = overlaps_of_counts(counts, names, numeric, labelled)
     rank = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(int(ranks[n])))])
     return ov.withColumn("rank", F.element_at(rank, F.col("feature")).cast("int"))
 
 
 # --- feature table (category discovery) -------------------------------------
 
-def feature_table(df: DataFrame, categorical: list[str], numeric: list[str]) -> DataFrame:
-    """``(feature, source, level, position)`` in design-vector order:
-    one-hot columns (levels sorted by value) then numerics.  Level discovery
-    is one small aggregate; the table has one row per design column."""
-    return df.sparkSession.createDataFrame(
-        feature_rows(df, categorical, numeric),
-        "feature string, source string, level string, position int")
-
-
-def feature_rows(df: DataFrame, categorical: list[str], numeric: list[str]) -> list[tuple]:
-    """The rows of ``feature_table`` on the driver (one per design column)."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    rows: list[tuple] = []
+def design_columns(counts: DataFrame, categorical: list[str], numeric: list[str]) -> DataFrame:
+    """``feature, source, level, position`` in design-vector order: one-hot columns (levels by
+    number where the column is numeric, else by value), then numerics; positions by distributed running
+    totals, whatever the number of levels."""
+    at = F.create_map(*[x for i, c in enumerate(categorical) for x in (F.lit(c), F.lit(i))]) if categorical else None
+    parts = []
     if categorical:
-        lv = (df.select(*[F.col(c).cast("string").alias(c) for c in categorical])
-              .unpivot([], categorical, "source", "level").where(F.col("level").isNotNull())
-              .distinct().limit(MAX_DESIGN_LEVELS + 1).collect())
-        if len(lv) > MAX_DESIGN_LEVELS:
-            raise ValueError(f"more than {MAX_DESIGN_LEVELS} categorical levels: "
-                             "not a one-hot design")
-        by_src: dict[str, list[str]] = {}
-        for r in lv:
-            by_src.setdefault(r["source"], []).append(r["level"])
-        for c in categorical:
-            levels = by_src.get(c, [])
-            if isinstance(types[c], T.NumericType):
-                levels = sorted(levels, key=float)
-            else:
-                levels = sorted(levels)
-            rows += [(f"{c}_{v}", c, v) for v in levels]
-    rows += [(c, c, None) for c in numeric]
-    return [(f, s, lv_, i) for i, (f, s, lv_) in enumerate(rows)]
+        parts.append(counts.where(F.col("source").isin(*categorical) & F.col("v").isNotNull())
+                     .select(F.element_at(at, F.col("source")).alias("o"), "x", "v", "source"))
+    if numeric:
+        rows = [F.struct(F.lit(len(categorical) + i).alias("o"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("string").alias("v"), F.lit(c).alias("source"))
+                for i, c in enumerate(numeric)]
+        parts.append(counts.sparkSession.range(1).select(F.inline(F.array(*rows))))
+    every = reduce(DataFrame.unionByName, parts)
+    placed = running_totals(every.select(F.struct("o", "x", "v").alias("__at"), "source", F.lit(1).alias("one")), "__at", ["one"])
+    return placed.select(F.concat_ws("_", "source", "__at.v").alias("feature"), "source", F.col("__at.v").alias("level"),
+                         (F.col("cum_one") - 1).cast("int").alias("position"))
+
+
+def fixed_coefficient(position: Column, k: int) -> Column:
+    """`fixed_coefficients` as an expression."""
+    return (((position * 37 + k * 11) % 17) - 8) / F.lit(10.0)
 
 
 def fixed_coefficients(n_features: int, classes: int = 3) -> list[list[float]]:

@@ -1,9 +1,9 @@
 """Queries for overlap and attribution.
 
 The attribution check uses linear-model attribution (exact for a linear
-margin model) on the D8 fixed sample with a fixed coefficient rule, so the
-whole chain - category discovery, dense design, attribution, source
-aggregation, top-k, overlaps - has a value oracle without a fitted model.
+margin model) on the whole modelling frame with a fixed coefficient rule, so the
+chain - category discovery, attribution, source aggregation, top-k, overlaps - has a value oracle
+without a fitted model.  The SQL builds every row's design; Spark works from value counts.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators import explain as G
 
-from ..session import cut_lineage
+from ..functions.expressions import hour_from_cyclical
+from ..presets import HOUR_SOURCE
 from . import inputs as I
 from .oracle_base import with_ctes
 from .registry import register
@@ -25,21 +26,18 @@ SOURCES = [c for c in CAT_IN] + ["speed_limit", "rush_hour"]
 NAMES = ("Fatal", "Serious", "Slight")
 
 
-def _frame(spark, d):
-    """The modelling frame, written once to the shared checkpoint folder:
-    these queries run several small actions over it."""
-    return cut_lineage(I.model_frame(spark, d))
+def _counts(spark, d):
+    """How often each column of the modelling frame has each value, by class; the hour is rebuilt."""
+    hour = hour_from_cyclical("hour_sin", "hour_cos")
+    columns = {c: F.col(c) for c in CAT_IN + NUM_IN} | {HOUR_SOURCE: hour}
+    return G.level_counts(I.model_frame(spark, d), columns)
 
 
-def _attr(spark, d, frame=None):
-    """Attribution of the whole modelling frame, which is written once: the
-    feature list is read from it first."""
-    s = frame if frame is not None else _frame(spark, d)
-    rows = G.feature_rows(s, CAT_IN, NUM_IN)           # design columns, on the driver
-    feats = spark.createDataFrame(rows, "feature string, source string, level string, position int")
-    n = len(rows)
-    design = G.one_hot_long(s, "row_index", CAT_IN, NUM_IN, feats)
-    return G.linear_attribution(design, "row_index", G.fixed_coefficients(n)), feats
+def _attr(spark, d):
+    """Mean absolute attributions over the whole frame, its design columns and counts."""
+    counts = _counts(spark, d)
+    feats = G.design_columns(counts, CAT_IN, NUM_IN)
+    return G.linear_means(G.deviations(counts, feats), G.fixed_coefficient), feats, counts
 
 
 # --- SQL pieces -----------------------------------------------------------------
@@ -149,15 +147,14 @@ def q_dist_kind(spark, d):
   FROM attr GROUP BY 1, 2""", extra=ATTR_CTES))
 def q_linear_attr(spark, d):
     """G4 over every row, summarised by design column and class."""
-    a, _ = _attr(spark, d)
-    return a.groupBy("position", "class").agg(
-        F.count("*").alias("n"), F.round(F.avg(F.abs("value")), 9).alias("mean_abs"),
-        F.round(F.max("value"), 9).alias("largest"), F.round(F.min("value"), 9).alias("smallest"))
+    a, _, _ = _attr(spark, d)
+    return a.select("position", "class", F.col("n").cast("bigint").alias("n"), F.round("m", 9).alias("mean_abs"),
+                    (F.round("largest", 9) + 0.0).alias("largest"), (F.round("smallest", 9) + 0.0).alias("smallest"))
 
 
 @register("attribution_by_source", with_ctes(["model_frame"], _BY_SOURCE, extra=ATTR_CTES))
 def q_by_source(spark, d):
-    a, feats = _attr(spark, d)
+    a, feats, _ = _attr(spark, d)
     return G.attribution_by_source(a, feats)
 
 
@@ -171,7 +168,7 @@ def q_by_source(spark, d):
     JOIN features f USING (position)) r
   WHERE rank <= 15""", extra=ATTR_CTES))
 def q_global_importance(spark, d):
-    a, feats = _attr(spark, d)
+    a, feats, _ = _attr(spark, d)
     return G.global_importance(a, feats, 15)
 
 
@@ -185,7 +182,5 @@ _ALL_OVERLAPS = (_pairs_sql(f"({_cat_counts(SOURCES)}) c", "feature") + " UNION
   FROM ({_ALL_OVERLAPS}) o JOIN (SELECT rank, source_feature FROM ({_BY_SOURCE}) b WHERE rank <= 5) t
     ON t.source_feature = o.feature""", extra=ATTR_CTES))
 def q_top_feature_overlap(spark, d):
-    frame = _frame(spark, d)
-    a, feats = _attr(spark, d, frame)
-    by_source = G.attribution_by_source(a, feats)
-    return G.top_feature_overlap(by_source, frame, "label", 5, LABELLED)
+    a, feats, counts = _attr(spark, d)
+    return G.top_feature_overlap(G.attribution_by_source(a, feats), counts, _NUMERIC_TYPED | {"hour_cos", HOUR_SOURCE}, 5, LABELLED)

@@ -243,6 +243,8 @@ def q_lr_attribution(spark, d):
                            {"maxIter": 50, "regParam": 0.01})
     coef = model.stages[-1].coefficientMatrix.toArray().tolist()
     feats = G.feature_table_from_model(model, CAT, NUM)
-    design = G.design_from_model(model, test, "row_index")
-    attr = G.linear_attribution(design, "row_index", coef)
-    return G.attribution_by_source(attr, feats)
+    counts = G.level_counts(test, {c: F.col(c) for c in CAT + NUM})
+    array = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in coef])
+    means = G.linear_means(G.deviations(counts, feats, nulls_as_zero=True),
+                           lambda position, k: F.element_at(F.element_at(array, k + 1), position + 1))
+    return G.attribution_by_source(means, feats)

@@ -64,3 +64,30 @@ def test_linear_attribution_sums_to_margin_minus_mean(spark):
     # means: x0 = .5, x1 = 2
     assert attr[(0, 0, 0)] == pytest.approx(1.0) and attr[(0, 1, 0)] == pytest.approx(-1.0)
     assert attr[(1, 1, 1)] == pytest.approx(-0.5)
+
+
+def test_summaries_from_counts_equal_the_row_level_attribution(spark):
+    """The closed form against every row's own attribution, with nulls and a numeric one-hot source."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, None if i % 11 == 0 else "abc"[i % 3], 10 if i % 4 else 9, float(i * i % 17), None if i == 5 else i % 5 - 2.0, i % 3) for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id int, a string, b int, x double, y double, label int")
+    counts = G.level_counts(df, {c: F.col(c) for c in ("a", "b", "x", "y")})
+    feats = G.design_columns(counts, ["a", "b"], ["x", "y"])
+    assert [tuple(r) for r in feats.orderBy("position").collect()] == [
+        ("a_a", "a", "a", 0), ("a_b", "a", "b", 1), ("a_c", "a", "c", 2), ("b_9", "b", "9", 3), ("b_10", "b", "10", 4), ("x", "x", None, 5), ("y", "y", None, 6)]
+    design = G.one_hot_long(df, "row_id", ["a", "b"], ["x", "y"], feats)
+    attr = G.linear_attribution(design, "row_id", G.fixed_coefficients(7))
+    want = {(r.position, r["class"]): tuple(r)[2:] for r in attr.groupBy("position", "class").agg(
+        F.avg(F.abs("value")), F.max("value"), F.min("value"), F.count("value")).collect()}
+    got = {(r.position, r["class"]): (r.m, r.largest, r.smallest, r.n) for r in G.linear_means(G.deviations(counts, feats), G.fixed_coefficient).collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-12)
+
+
+def test_feature_without_values_and_text_that_is_no_number(spark):
+    df = spark.createDataFrame([(None, "1", 0), (None, "x", 1), (None, "3", 2)], "gone double, text string, label int")
+    assert {(r.feature, r.levels, r.kind) for r in G.dist_kind(df, ["gone", "text"]).collect()} == {("gone", 0, "categorical"), ("text", 3, "categorical")}
+    assert {r.overlap for r in G.overlaps_by_kind(df, ["gone"]).collect()} == {1.0}
+    assert _ov(G.overlap_numeric(df, "text", bins=2))[("Fatal", "Slight")] == 0.0
