@@ -369,18 +369,6 @@ def feature_table_from_model(model, categorical: list[str], numeric: list[str])
     return SparkSession.getActiveSession().createDataFrame(data, "feature string, source string, level string, position int")
 
 
-def design_from_model(model, df: DataFrame, row_id: str, features_col: str = "features"
-                      ) -> DataFrame:
-    """``(row_id, position, x)`` from the fitted preprocessing stages (all
-    but the last stage) - the dense design in long form."""
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.functions import vector_to_array
-
-    pre = PipelineModel(stages=model.stages[:-1])
-    vec = pre.transform(df).select(row_id, vector_to_array(F.col(features_col)).alias("__x"))
-    return vec.select(row_id, F.posexplode("__x").alias("position", "x"))
-
-
 def permutation_importance(model, df: DataFrame, sources: list[str], row_id: str,
                            label: str = "label", groups: dict[str, list[str]] | None = None,
                            seed: int = 42) -> DataFrame:

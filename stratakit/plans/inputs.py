@@ -11,9 +11,10 @@ from ..operators.clean import (
     contract_project,
     dedup_substantive,
     prepare_analytical,
+    target_encode,
     time_features,
 )
-from ..functions.expressions import argmax3, target_label
+from ..functions.expressions import argmax3
 from ..presets import SURROGATE
 from ..sources.surrogate import clean_collisions, collisions_raw, read_table, surrogate_scores
 
@@ -43,7 +44,7 @@ def analytical(spark: SparkSession, d: str) -> DataFrame:
 def model_frame(spark: SparkSession, d: str) -> DataFrame:
     """Retained columns + time features + integer label (the modelling frame)."""
     tf = time_features(retained(spark, d), L.date, L.time)
-    return tf.withColumn("label", target_label(L.severity)).drop(L.severity)
+    return target_encode(tf, L.severity, check="plan").drop(L.severity)
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import decide as Dc
 from ..operators import evaluate as E
 from ..operators import explain as G
-from ..operators.clean import TimeFeatures
+from ..operators.clean import TimeFeatures, target_encode
 from ..operators.learn import PROB_COLS, fit_multiclass, with_probs
 from ..operators.sampling import train_test
 from ..session import ensure_checkpoint_dir
@@ -186,8 +186,7 @@ def q_joint_search_folds(spark, d):
 def _raw_pipeline(spark, d):
     """Pipeline on raw prediction-time fields: date/time strings go through
     the TimeFeatures stage inside the fitted model."""
-    ret = I.retained(spark, d).withColumn("label", (F.col(L.severity) - 1).cast("int")) \
-        .drop(L.severity)
+    ret = target_encode(I.retained(spark, d), L.severity, check="plan").drop(L.severity)
     train, test = train_test(ret, "label", "row_index")
     model = fit_multiclass(train, CAT, NUM, list(L.forbidden), "boosted", None, SMALL,
                            pre_stages=[TimeFeatures(dateCol=L.date, timeCol=L.time)],

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import audit as A
 from ..operators import describe as D
-from ..operators.clean import analytical_categoricals, dedup_substantive, prepare_analytical
+from ..operators.clean import analytical_categoricals, prepare_analytical
 from ..presets import Layout
 from ..sources.sinks import scratch_path, write_tables
 
@@ -50,8 +50,3 @@ def eda_tables(raw: DataFrame, layout: Layout) -> dict[str, DataFrame]:
 def write_eda(raw: DataFrame, layout: Layout, root: str, fmt: str = "csv") -> dict[str, str]:
     """All EDA tables as small single-file CSV (or parquet/json) under ``root``."""
     return write_tables(eda_tables(raw, layout), root, fmt, single_file=True)
-
-
-def dedup_once(raw: DataFrame, layout: Layout) -> DataFrame:
-    return materialise(dedup_substantive(raw, layout.non_substantive, keep_min=layout.row_id),
-                       "dedup")

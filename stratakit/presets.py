@@ -171,6 +171,8 @@ class Layout:
     geography: tuple[str, ...] = ()
     high_cardinality: tuple[str, ...] = ()
     extra: dict = field(default_factory=dict)
+    #: ``row_id`` is made of the substantive values, since the source has no number of its own that is unique.
+    row_id_from_values: bool = False
 
     @property
     def categorical_inputs(self) -> list[str]:
@@ -206,7 +208,7 @@ class Layout:
 
 
 UK_COLLISIONS = Layout(
-    row_id="Unnamed: 0", identifier="Accident_Index", severity="Accident_Severity",
+    row_id="row_key", row_id_from_values=True, identifier="Accident_Index", severity="Accident_Severity",
     date="Date", time="Time", day_of_week="Day_of_Week", first_road_class="1st_Road_Class",
     second_road_class="2nd_Road_Class", road_type="Road_Type", speed_limit="Speed_limit",
     crossing="Pedestrian_Crossing-Physical_Facilities", light="Light_Conditions",
@@ -229,3 +231,16 @@ SURROGATE = Layout(
     post_collision=("number_of_vehicles",), identifiers=("accident_index", "row_index"),
     geography=("location_e6",), high_cardinality=(),
 )
+
+#: Fixed values of the published table: size of its file, rows, years, classes.
+UK_FACTS = {
+    "size_bytes": 449_667_447,
+    "raw_rows": 1_504_150,
+    "duplicate_rows": 34_155,
+    "cleaned_rows": 1_469_845,
+    "years": (2005, 2006, 2007, 2009, 2010, 2011, 2012, 2013, 2014),
+    "class_counts": {1: 19_039, 2: 198_894, 3: 1_251_912},
+    "train_rows": 1_175_876,
+    "test_rows": 293_969,
+    "test_class_counts": {1: 3_808, 2: 39_779, 3: 250_382},
+}

@@ -170,3 +170,50 @@ def test_prepare_analytical_on_the_eda_frame(spark):
     assert (r.month, r.season, r.hour, r.rush_hour) == ("Jan", "Winter", 17, "Yes")
     assert r.second_road_class == "No second road" and r.day_of_week == "Monday"
     assert clean_records(raw, UK_COLLISIONS).count() == 3
+
+
+def test_bad_cells_are_counted_or_raise(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from stratakit.sources.csv import bad_cell_counts
+
+    (tmp_path / "t.csv").write_text("n,x,s\n3.0,1,a\nx,2.5,b\nx,NaN,c\n4e2,y,d\n3.5,NA,\n 7,1,e\n9223372036854775807,1,f\n")
+    schema = T.StructType.fromDDL("n bigint, x double, s string")
+    df = read_raw(spark, str(tmp_path / "t.csv"), schema, bad_cells="ledger")
+    assert [r.n for r in df.collect()] == [3, None, None, 400, None, 7, 2**63 - 1]
+    assert sorted(map(tuple, bad_cell_counts(df).collect())) == [("n", "3.5", 1), ("n", "x", 2), ("x", "y", 1)]
+    kept = read_raw(spark, str(tmp_path / "t.csv"), schema, bad_cells="null")
+    assert kept.columns == ["n", "x", "s"] and kept.count() == 7
+    with pytest.raises(Exception, match="n holds no bigint: x|x holds no double: y|n holds no bigint: 3.5"):
+        read_raw(spark, str(tmp_path / "t.csv"), schema).collect()
+
+
+def test_unmapped_code_fails_the_job(spark):
+    from stratakit.operators.clean import target_encode
+
+    df = spark.createDataFrame([(1,), (3,)], "severity int")
+    assert [r.label for r in target_encode(df, "severity", check="plan").collect()] == [0, 2]
+    for bad in (4, None):
+        with pytest.raises(Exception, match="severity: no label for code"):
+            target_encode(spark.createDataFrame([(1,), (bad,)], "severity int"), "severity", check="plan").collect()
+
+
+def test_rows_without_a_number_of_their_own_are_split_by_their_values(spark):
+    """The published table's row number repeats; its layout makes the id of the substantive values."""
+    from stratakit.operators import sampling as S
+    from stratakit.operators.clean import clean_records, target_encode
+
+    fields = uk_schema().fields
+    rows = [tuple((i % 7 if f.name == "Unnamed: 0" else 1 + (i // 2) % 3 if f.name == UK_COLLISIONS.severity else i // 2
+                   if f.name == "Police_Force" else 1) if f.dataType.simpleString() == "bigint"
+                  else float(i // 2) if f.dataType.simpleString() == "double" else f"v{i // 2}" for f in fields) for i in range(120)]
+    raw = spark.createDataFrame(rows, uk_schema())
+    clean = clean_records(raw, UK_COLLISIONS)
+    assert clean.count() == 60 == clean.select("row_key").distinct().count()
+    frame = target_encode(clean, UK_COLLISIONS.severity)
+    train, test = S.train_test(frame, "label", UK_COLLISIONS.row_id)
+    assert (train.count(), test.count()) == (48, 12)
+    folds = {r.row_key: r.fold for r in S.stratified_kfold(frame.repartition(5), "label", "row_key", 5).collect()}
+    again = {r.row_key: r.fold for r in S.stratified_kfold(clean_records(raw.repartition(9), UK_COLLISIONS).transform(
+        lambda d: target_encode(d, UK_COLLISIONS.severity)), "label", "row_key", 5).collect()}
+    assert folds == again and len(folds) == 60
