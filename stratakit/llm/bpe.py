@@ -30,7 +30,7 @@ import json
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import chain, islice, repeat
 
 import pyarrow as pa
 import regex
@@ -43,6 +43,8 @@ CACHE_WORDS = 150_000
 _NO_RULE = 1 << 80
 #: Ids that the decoder turns into text at a time.
 DECODE_BLOCK = 1 << 16
+#: Characters of a text that are encoded at a time, and ids of a word that are handed on at a time.
+SEGMENT = 1 << 16
 
 
 def byte_symbols() -> list[str]:
@@ -165,8 +167,9 @@ class Transducer:
         self.buffer: list[int] = []
 
     def push(self, symbols: Iterable[int]) -> Iterator[int]:
-        for s in symbols:
-            self.buffer.append(s)
+        symbols = iter(symbols)
+        while more := [*islice(symbols, self.window - len(self.buffer))]:
+            self.buffer += more
             if len(self.buffer) >= self.window:
                 yield from self._stable()
 
@@ -215,6 +218,8 @@ class Encoder:
 
     WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     SPACE = regex.compile(r"\s+")
+    #: Where a text may be cut: white space to both of the ways to split.
+    CUT = regex.compile(r"[\x20\t\n\r]")
     #: str.split() also splits here, the word pattern doesn't.
     SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -225,16 +230,16 @@ class Encoder:
         self.words = Recent(self.word, cache_words)
         self.chunks = Recent(self.chunk, cache_words)
 
+    def tokens(self, word: str) -> Iterator[int]:
+        """Ids of one word as they become stable."""
+        data, t = word.encode(), self.table
+        machine = Transducer(t)
+        yield from machine.push(chain(map(t.inner.__getitem__, memoryview(data)[:-1]), (t.final[data[-1]],)))
+        yield from machine.finish()
+
     def word(self, word: str) -> bytes:
         """Packed ids (little-endian unsigned 32 bit) of one word."""
-        data, t = word.encode(), self.table
-        symbols = [*map(t.inner.__getitem__, data[:-1]), t.final[data[-1]]]
-        if len(symbols) <= t.lookahead:
-            ids = t.merge(symbols)  # all in one window
-        else:
-            machine = Transducer(t)
-            ids = [*machine.push(symbols), *machine.finish()]
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return b"".join(map(self.bytes_of.__getitem__, self.tokens(word)))
 
     def chunk(self, chunk: str) -> bytes:
         """Packed ids of a stretch without white space."""
@@ -253,10 +258,8 @@ class Encoder:
         known = self.chunks.young
         return [known.get(c) or self.chunks(c) for c in chunks]
 
-    def encode(self, text: str | None) -> bytes:
-        """Packed ids of a text; null counts as empty."""
-        if not text:
-            return b""
+    def part(self, text: str) -> bytes:
+        """Packed ids of a text that begins and ends at white space or its own ends."""
         if "<|" not in text:
             return b"".join(self.plain(text))
         out, at = [], 0
@@ -266,6 +269,42 @@ class Encoder:
             at = m.end()
         return b"".join(out + self.plain(text[at:]))
 
+    def unbroken(self, text: str) -> Iterator[bytes]:
+        """`part` for a long text, word by word."""
+        at = 0
+        for m in chain(self.special.finditer(text), (None,)):
+            plain = text[at:m.start()] if m else text[at:]
+            for chunk in (c[0] for c in regex.finditer(r"\S+", plain)):
+                words = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+                for w in self.WORD.finditer(words):
+                    if len(w[0]) <= SEGMENT:
+                        yield self.word(w[0])
+                    else:
+                        ids = self.tokens(w[0])
+                        while some := [*islice(ids, SEGMENT)]:
+                            yield b"".join(map(self.bytes_of.__getitem__, some))
+            if m:
+                yield struct.pack("<I", self.table.special[m[0]])
+                at = m.end()
+
+    def stream(self, text: str | None) -> Iterator[bytes]:
+        """Packed ids of a text as they come: ``SEGMENT`` characters and a word's rest at a time, and of
+        a longer stretch without white space its words' stable tokens."""
+        at, text = 0, text or ""
+        while at < len(text):
+            cut = self.CUT.search(text, at + SEGMENT)
+            end = cut.start() if cut else len(text)
+            part = text[at:end] if at or cut else text
+            if len(part) <= 2 * SEGMENT:
+                yield self.part(part)
+            else:
+                yield from self.unbroken(part)
+            at = end
+
+    def encode(self, text: str | None) -> bytes:
+        """Packed ids of a text; null counts as empty."""
+        return b"".join(self.stream(text))
+
 
 class Decoder:
     """Ids to text, a block at a time.  ``names=True`` gives what the library's
@@ -339,8 +378,8 @@ def decode(rows: DataFrame, path: str, names: bool = False, id_col: str = "doc_i
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row: the ids of the
-    whole text, digested, and the digest of what the decoder makes of them,
-    without keeping either.  Null texts count as empty."""
+    whole text go to their digest and to the decoder as they become stable, what the decoder makes of
+    them to its own; neither is kept, so beside the text memory doesn't depend on its length.  Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -348,16 +387,18 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for b in batches:
             n, ids_hex, text_hex = [], [], []
             for text in b.column(1).to_pylist():
-                packed = enc.encode(text)
-                digest = hashlib.sha256()
+                count, ids, digest = 0, hashlib.sha256(), hashlib.sha256()
                 machine.begun = False
                 machine.text.reset()
-                for at in range(0, len(packed), 4 * DECODE_BLOCK):
-                    block = packed[at:at + 4 * DECODE_BLOCK]
-                    digest.update(machine.push(struct.unpack(f"<{len(block) // 4}I", block)).encode())
+                for packed in enc.stream(text):
+                    ids.update(packed)
+                    count += len(packed) // 4
+                    for at in range(0, len(packed), 4 * DECODE_BLOCK):
+                        block = packed[at:at + 4 * DECODE_BLOCK]
+                        digest.update(machine.push(struct.unpack(f"<{len(block) // 4}I", block)).encode())
                 digest.update(machine.finish().encode())
-                n.append(len(packed) // 4)
-                ids_hex.append(hashlib.sha256(packed).hexdigest())
+                n.append(count)
+                ids_hex.append(ids.hexdigest())
                 text_hex.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],

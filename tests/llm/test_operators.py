@@ -71,6 +71,31 @@ def test_transducer_is_stable_and_bounded(library):
         assert out + [*machine.finish()] == library.encode(word, add_special_tokens=False).ids
 
 
+def test_every_word_passes_the_transducer_at_constant_memory(library, monkeypatch):
+    import tracemalloc
+
+    enc = bpe.Encoder(tokenizer_path(), cache_words=50)
+    pushed, push = [], bpe.Transducer.push
+    monkeypatch.setattr(bpe.Transducer, "push", lambda self, s: pushed.append(1) or push(self, s))
+    assert enc.encode("one two three") == packed_ids(library.encode("one two three", add_special_tokens=False).ids)
+    assert len(pushed) == 3
+    monkeypatch.setattr(bpe, "SEGMENT", 300)
+    rng = random.Random(9)
+    for text in ("the quick " * 500, "a" * 5000, "ab\x1c" * 700 + "Σς<|endoftext|>" * 90, "é" * 900 + " \u2003x" * 400,
+                 "".join(rng.choice("thein<|>. \n\x1fé'sΣ") for _ in range(6000)), "<|endoftext|>" * 300):
+        assert enc.encode(text) == packed_ids(library.encode(text, add_special_tokens=False).ids)
+    peaks = []
+    for times in (20_000, 80_000):
+        for text in ("theinhe" * times, "some word " * times):
+            list_of = enc.stream(text)
+            tracemalloc.start()
+            for _ in list_of:
+                pass
+            peaks.append(tracemalloc.get_traced_memory()[1] - 2 * len(text))
+            tracemalloc.stop()
+    assert max(peaks) < 3_000_000
+
+
 # --- 1 packing
 def test_packing_places_every_id_once(corpus, docs, library):
     width = 64
@@ -603,6 +628,20 @@ def found_licenses(text):
     return [r[2] for r in licenses.notices(text, *licenses.packers())]
 
 
+def test_compression_decides(monkeypatch):
+    """With compressors that tell nothing no template is ranked, and none is confirmed."""
+    text = "\n\n".join(wording for _, wording in licenses.TEMPLATES[:6])
+    assert sum(x is not None for x in found_licenses(text)) >= 6
+
+    class Blind:
+        def compress(self, data):
+            return b""
+
+    _, templates = licenses.packers()
+    blind = [licenses.Template(t.name, t.words, Blind()) for t in templates]
+    assert all(x[2] is None for x in licenses.notices(text, Blind(), blind))
+
+
 def test_wrapped_templates_are_found():
     around = "the code of a file that one may run " * 20
     assert found_licenses(MIT_TEXT)[0] == "MIT"
