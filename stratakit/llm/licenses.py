@@ -174,14 +174,10 @@ def locate(template: tuple[str, ...], own: list[str], start: int, end: int) -> M
 def identify(block: str, plain: zstandard.ZstdCompressor, templates: list[Template]) -> tuple[str | None, int, list[str], list[str]]:
     """``(license, reduction, missing, extra)`` of a block; the license is None if
     no template in rank order is confirmed, and then the rest is the first one's."""
-    data, own = block.lower().encode(), words(block)
-    alone = len(plain.compress(data))
-    ranked = sorted(((alone - len(t.packer.compress(data)), -k) for k, t in enumerate(templates)), reverse=True)
+    own = words(block)
     first = None
-    for reduction, k in ranked:
+    for reduction, k in ranked(block.lower().encode(), plain, templates):
         t = templates[-k]
-        if reduction <= 0:
-            break
         m = match(t.words, own)
         first = first or (None, reduction, m.missing, m.extra)
         if m.confirms(t.words):
@@ -189,20 +185,32 @@ def identify(block: str, plain: zstandard.ZstdCompressor, templates: list[Templa
     return first or (None, 0, [], [])
 
 
+def ranked(data: bytes, plain: zstandard.ZstdCompressor, templates: list[Template]) -> list[tuple[int, int]]:
+    """``(reduction, -number)`` of the templates that make the text smaller, the best first."""
+    alone = len(plain.compress(data))
+    return sorted(((r, -k) for k, t in enumerate(templates) if (r := alone - len(t.packer.compress(data))) > 0), reverse=True)
+
+
 def _within(text: str, at: list[tuple[int, int]], own: list[str], start: int, end: int,
             plain: zstandard.ZstdCompressor, templates: list[Template]) -> list[tuple[Match, str, int]]:
-    """All confirmed matches in words ``start`` to ``end``, with license and reduction."""
+    """All confirmed matches in words ``start`` to ``end``, with license and reduction: the templates
+    are tried in the order of what they save as dictionaries, the first confirmed one
+    wins (over its own words ranked again, where another may save more), and what lies
+    before and after it is searched in turn."""
+
+    def best(a: int, b: int) -> tuple[Match, str, int] | None:
+        data = text[at[a][0]:at[b - 1][1]].lower().encode()
+        return next(((m, templates[-k].name, reduction) for reduction, k in ranked(data, plain, templates)
+                     if (m := locate(templates[-k].words, own, a, b))), None)
+
     out, parts = [], [(start, end)]
     while parts:
         a, b = parts.pop()
-        fits = [(m, -k) for k, t in enumerate(templates) if (m := locate(t.words, own, a, b))]
-        if not fits:
-            continue
-        data = text[at[min(m.start for m, _ in fits)][0]:at[max(m.end for m, _ in fits) - 1][1]].lower().encode()
-        alone = len(plain.compress(data))
-        reduction, k, m = max(((alone - len(templates[-k].packer.compress(data)), k, m) for m, k in fits), key=lambda x: x[:2])
-        out.append((m, templates[-k].name, reduction))
-        parts += [(a, m.start), (m.end, b)]
+        found = best(a, b) if a < b else None
+        if found:
+            found = best(found[0].start, found[0].end) or found
+            out.append(found)
+            parts += [(a, found[0].start), (found[0].end, b)]
     return sorted(out, key=lambda x: x[0].start)
 
 
