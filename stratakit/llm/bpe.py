@@ -91,6 +91,8 @@ class MergeTable:
             self.rules[u, v] = (rank, w)
             parts[w] = (u, v, rank)
             self.length[w] = self.length[u] + self.length[v]
+        #: Symbols of the longest token.
+        self.longest = max(self.length.values())
         self.packed = {pair: rank << 32 | new for pair, (rank, new) in self.rules.items()}
         self.lookahead = self._lookahead(parts)
         back = {c: b for b, c in enumerate(symbols)}
@@ -163,7 +165,7 @@ class Transducer:
     def __init__(self, table: MergeTable, lookahead: int | None = None):
         self.table = table
         self.lookahead = table.lookahead if lookahead is None else lookahead
-        self.window = 2 * self.lookahead + max(table.length.values())
+        self.window = 2 * self.lookahead + table.longest
         self.buffer: list[int] = []
 
     def push(self, symbols: Iterable[int]) -> Iterator[int]:
