@@ -1,8 +1,9 @@
 """Quality rules with line labelling by a linear-chain conditional random field.
 
 Every line with a word has a set of binary features (`line_features`).  A CRF
-with the labels boilerplate (0) and content (1), trained here on labelled
-documents, scores label sequences; Viterbi decoding labels a document's lines, and
+with the labels boilerplate (0) and content (1) scores label sequences.  It is trained here:
+lines get their labels from what other labelled documents show of such lines and from their own
+document's label (`line_labels`), so one document may have both.  Viterbi decoding labels a document's lines, and
 the share of its word characters on content lines decides whether it stays.  Base rules on
 length and repetition come first.
 """
@@ -25,6 +26,8 @@ SAMPLE_DOCS = 1500
 BATCH_LINES = 1 << 16
 #: Least share of a kept document's word characters on content lines.
 MIN_CONTENT = 0.5
+#: Log odds that a line is of its document's kind, before other documents are asked.
+DOCUMENT_ODDS = 0.5
 
 _SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\v\f\r"
@@ -147,15 +150,52 @@ def unpack(features: np.ndarray) -> np.ndarray:
     return (features[..., None] >> np.arange(len(FEATURES)) & 1).astype(np.float64)
 
 
-def by_length(sequences: list[tuple[list[int], int]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sequences of like length as arrays of line features, padded by 0, and labels."""
+def line_labels(sequences: list[tuple[list[int], list[int], int]], document_odds: float = DOCUMENT_ODDS,
+                min_content: float = MIN_CONTENT) -> list[np.ndarray]:
+    """A label for every line of labelled documents (line features, word characters
+    by line, the document's label).
+
+    A line's evidence is how much more often good documents have lines with its
+    features than bad ones do (log odds over all *other* documents, each of weight one,
+    smoothed by one document a side), plus or minus ``document_odds`` for its own
+    document's label.  So a sound line of a bad document may be content and a menu line
+    of a good one boilerplate.  The document's label still binds the whole: if its
+    content share contradicts it, the lines of least contrary evidence change sides until
+    it does not."""
+    kinds, at = np.unique(np.concatenate([np.asarray(f, dtype=np.int64) for f, _, _ in sequences]), return_inverse=True)
+    ends = np.cumsum([len(f) for f, _, _ in sequences])
+    lines = np.split(at, ends[:-1])
+    seen = np.zeros((2, len(kinds)))
+    for own, (_, _, y) in zip(lines, sequences, strict=True):
+        np.add.at(seen[y], own, 1 / len(own))
+    documents = np.bincount([y for _, _, y in sequences], minlength=2).astype(np.float64)
+    out = []
+    for own, (_, weights, y) in zip(lines, sequences, strict=True):
+        others, rest = seen[:, own].copy(), documents.copy()
+        others[y] -= np.bincount(own, minlength=len(kinds))[own] / len(own)
+        rest[y] -= 1
+        share = (np.maximum(others, 0) + 1) / (rest + 2)[:, None]
+        evidence = np.log(share[1] / share[0]) + (document_odds if y else -document_odds)
+        label = evidence >= 0
+        size = np.asarray(weights, dtype=np.float64)
+        for k in np.argsort(-evidence if y else evidence, kind="stable").tolist():
+            if (size[label].sum() >= min_content * size.sum()) == bool(y):
+                break
+            label[k] = bool(y)
+        out.append(label.astype(np.int8))
+    return out
+
+
+def by_length(sequences: list[tuple[list[int], np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sequences of like length as arrays of line features and line labels, padded by 0."""
     out, batch = [], []
     for f, y in [*sorted(sequences, key=lambda s: len(s[0])), ([], None)]:
         if batch and (y is None or len(f) > 2 * len(batch[0][0]) or len(f) * (len(batch) + 1) > BATCH_LINES):
             x = np.zeros((len(batch), len(batch[-1][0])), dtype=np.int64)
-            for i, (own, _) in enumerate(batch):
-                x[i, :len(own)] = own
-            out.append((x, np.array([label for _, label in batch])))
+            labels = np.zeros_like(x)
+            for i, (own, told) in enumerate(batch):
+                x[i, :len(own)], labels[i, :len(own)] = own, told
+            out.append((x, labels))
             batch = []
         batch.append((f, y))
     return out
@@ -165,10 +205,8 @@ def gradient(x: np.ndarray, y: np.ndarray, theta: np.ndarray) -> np.ndarray:
     """Gradient of the log likelihood, summed over the sequences."""
     on = x > 0  # every line has the feature "always"
     steps, x = x.shape[1], unpack(x)
-    gold = on[..., None] * np.eye(2)[y][:, None, :]
-    want_move = np.zeros((2, 2))
-    for label in (0, 1):
-        want_move[label, label] = (on[:, 1:] & (y == label)[:, None]).sum()
+    gold = on[..., None] * np.eye(2)[y]
+    want_move = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
     score, move = x @ theta[:-2], theta[-2:]
     ahead = np.zeros_like(score)
     ahead[:, 0] = score[:, 0]
@@ -187,15 +225,17 @@ def gradient(x: np.ndarray, y: np.ndarray, theta: np.ndarray) -> np.ndarray:
     return np.concatenate([np.einsum("ntf,ntl->fl", x, gold - p), want_move - got_move])
 
 
-def fit(sequences: list[tuple[list[int], int]], rounds: int = 80, rate: float = 0.2, shrink: float = 1e-3) -> Crf | None:
-    """Maximum conditional likelihood by Adam on the exact gradient (forward and
-    backward sums over batches of sequences).  Each line of a labelled document
-    has the document's label.  None unless both labels occur."""
-    sequences = [(f, y) for f, y in sequences if f]
-    if len({y for _, y in sequences}) < 2:
+def fit(sequences: list[tuple[list[int], list[int], int]], rounds: int = 80, rate: float = 0.2, shrink: float = 1e-3,
+        document_odds: float = DOCUMENT_ODDS, min_content: float = MIN_CONTENT) -> Crf | None:
+    """Maximum conditional likelihood of the `line_labels` by Adam on the exact
+    gradient (forward and backward sums over batches of sequences).  None unless
+    documents of both labels occur."""
+    sequences = [s for s in sequences if len(s[0])]
+    if len({y for _, _, y in sequences}) < 2:
         return None
-    batches = by_length(sequences)
-    total = sum(len(f) for f, _ in sequences)
+    told = line_labels(sequences, document_odds, min_content)
+    batches = by_length([(f, y) for (f, _, _), y in zip(sequences, told, strict=True)])
+    total = sum(len(f) for f, _, _ in sequences)
     theta = np.zeros((len(FEATURES) + 2, 2))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for it in range(1, rounds + 1):
@@ -209,7 +249,9 @@ def fit(sequences: list[tuple[list[int], int]], rounds: int = 80, rate: float =
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
           id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf | None:
     """Fits the CRF on all lines of at most ``sample_docs`` labelled documents,
-    chosen by a hash of their ids; the driver gets their line features."""
+    chosen by a hash of their ids; the driver gets their line features and sizes.
+    Of repeated labels of an id the smaller counts; null ids and labels other than 0
+    and 1 are left out; rows that repeat an id each count, up to twice the sample."""
     chosen = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
               .filter("label IN (0, 1) AND id IS NOT NULL").groupBy("id").agg(F.min("label").alias("label"))
               .orderBy(F.xxhash64("id"), "id").limit(sample_docs))
@@ -217,15 +259,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [facts(t or "").features.tolist() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(own, pa.list_(pa.int64()))],
-                                             ["id", "label", "features"])
+            own = [facts(t or "") for t in b.column("text").to_pylist()]
+            features, weights = ([getattr(f, k).tolist() for f in own] for k in ("features", "weights"))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("label"), *(pa.array(c, pa.list_(pa.int64())) for c in (features, weights))],
+                ["id", "label", "features", "weights"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "label").mapInArrow(
-        run, f"id {kind}, label int, features array<long>")
-    found = rows.orderBy("id", "label", "features").limit(2 * sample_docs).collect()
-    return fit([(r["features"], r["label"]) for r in found])
+        run, f"id {kind}, label int, features array<long>, weights array<long>")
+    found = rows.orderBy("id", "label", "features", "weights").limit(2 * sample_docs).collect()
+    return fit([(r["features"], r["weights"], r["label"]) for r in found])
 
 
 def judge(docs: DataFrame, crf: Crf | None, min_content: float = MIN_CONTENT,

@@ -308,9 +308,10 @@ def test_crf_fits_and_viterbi_is_exact():
     rng = random.Random(6)
     data = [([1 | rng.choice([2, 6]) if y == 0 else 1 | rng.choice([32, 64]) for _ in range(rng.randint(1, 9))], y)
             for y in (0, 1) * 60]
+    data = [(f, [7] * len(f), y) for f, y in data]
     crf = quality.fit(data)
-    assert all((crf.decode(np.array(f)) == y).all() for f, y in data)
-    assert quality.fit([f for f in data if f[1]]) is None and quality.fit([]) is None
+    assert all((crf.decode(np.array(f)) == y).all() for f, _, y in data)
+    assert quality.fit([f for f in data if f[2]]) is None and quality.fit([]) is None
     features = np.array([1, 3, 33, 7, 65])
     score = crf.scores(features)
     best = max(range(32), key=lambda m: sum(score[t, m >> t & 1] for t in range(5))
@@ -331,15 +332,73 @@ def test_quality_learns_from_all_lines(spark, monkeypatch):
     monkeypatch.setattr(quality, "fit", lambda sequences: given.extend(sequences))
     docs = spark.createDataFrame([(i, "a line of words\n" * n) for i, n in enumerate((3, 33, 500))], "doc_id long, text string")
     quality.train(docs, docs.selectExpr("doc_id", "doc_id % 2 AS quality"))
-    assert sorted(len(f) for f, _ in given) == [3, 33, 500]
-    data = [([1 | 2 << k % 9] * n, n % 2) for k, n in enumerate((1, 2, 3, 9, 40, 41, 300))]
+    assert sorted((len(f), len(w), sum(w)) for f, w, _ in given) == [(3, 3, 36), (33, 33, 396), (500, 500, 6000)]
+    data = [([1 | 2 << k % 9] * n, np.arange(n) // 3 % 2) for k, n in enumerate((1, 2, 3, 9, 40, 41, 300))]
     theta = np.linspace(-1, 1, 2 * len(quality.FEATURES) + 4).reshape(-1, 2)
-    one = np.zeros((len(data), 300), dtype=np.int64)
-    for i, (f, _) in enumerate(data):
-        one[i, :len(f)] = f
+    one, told = np.zeros((2, len(data), 300), dtype=np.int64)
+    for i, (f, y) in enumerate(data):
+        one[i, :len(f)], told[i, :len(f)] = f, y
     assert len(quality.by_length(data)) > 2
     assert np.allclose(sum(quality.gradient(x, y, theta) for x, y in quality.by_length(data)),
-                       quality.gradient(one, np.array([y for _, y in data]), theta))
+                       quality.gradient(one, told, theta))
+
+
+def test_gradient_is_the_slope_of_the_likelihood_of_mixed_labels():
+    x, y = np.array([[1, 3, 33, 7], [65, 1, 0, 0]]), np.array([[1, 0, 0, 1], [0, 1, 0, 0]])
+
+    def likelihood(theta):
+        out = 0.0
+        for f, gold in ((x[0], y[0]), (x[1, :2], y[1, :2])):
+            score, n = quality.unpack(f) @ theta[:-2], len(f)
+            paths = {m: sum(score[t, m >> t & 1] for t in range(n)) + sum(theta[-2 + (m >> t & 1), m >> t + 1 & 1] for t in range(n - 1))
+                     for m in range(1 << n)}
+            out += paths[sum(int(b) << t for t, b in enumerate(gold))] - np.log(sum(np.exp(v) for v in paths.values()))
+        return out
+
+    theta = np.random.default_rng(1).normal(size=(len(quality.FEATURES) + 2, 2))
+    slope = np.zeros_like(theta)
+    for at in np.ndindex(theta.shape):
+        step = np.zeros_like(theta)
+        step[at] = 1e-5
+        slope[at] = (likelihood(theta + step) - likelihood(theta - step)) / 2e-5
+    assert np.allclose(quality.gradient(x, y, theta), slope, atol=1e-6)
+
+
+WORDS = "the quiet river runs past old mills and carries leaves into deep seas while tired farmers watch it go by".split()
+
+
+def test_lines_of_one_document_get_both_labels(spark):
+    """Bad documents are menus with some prose, good ones prose with some menu: the
+    lines are told apart, the share lies between 0 and 1 and decides."""
+    rng = random.Random(3)
+
+    def text(k, menus, lines):
+        return "\n".join([f"LOGIN {k} | CART {i} | HELP" for i in range(menus)]
+                         + [" ".join(rng.sample(WORDS, 14)) + "." for _ in range(lines)])
+    rows = [(k, text(k, 30, 3), 0) if k % 2 else (k, text(k, 3, 12), 1) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    crf = quality.train(docs.select("doc_id", "text"), docs.filter("doc_id < 40"))
+    for k, body, y in rows[40:]:
+        f = quality.facts(body)
+        want = [0] * (30 if y == 0 else 3) + [1] * (3 if y == 0 else 12)
+        assert crf.decode(f.features).tolist() == want
+        assert crf.content_share(f) == f.weights[np.array(want) == 1].sum() / f.weights.sum()
+    judged = {r.doc_id: r for r in quality.judge(docs, crf, min_content=0.5).collect()}
+    assert all(0 < r.content_share < 1 for r in judged.values())
+    assert all(r.kept == (not r.base_failed and r.content_share >= 0.5) for r in judged.values())
+    strict = quality.judge(docs, crf, min_content=0.99).filter("kept").count()
+    assert strict == 0 < sum(r.kept for r in judged.values())
+
+
+def test_line_labels_obey_their_document():
+    good, bad = [33, 33, 3], [3, 3, 33]
+    told = quality.line_labels([(good, [9, 9, 9], 1)] * 20 + [(bad, [9, 9, 9], 0)] * 20, 0.5, 0.5)
+    assert all(t.tolist() == [1, 1, 0] for t in told[:20]) and all(t.tolist() == [0, 0, 1] for t in told[20:])
+    # a document whose lines all look like the other kind's: enough of them change sides
+    told = quality.line_labels([(good, [9, 9, 9], 1)] * 20 + [(bad, [9, 9, 9], 0)] * 20 + [([3, 3, 3], [1, 1, 9], 1)], 0.5, 0.5)
+    assert told[-1] @ np.array([1, 1, 9]) >= 5.5
+    # alone of its kind, only its own label speaks
+    assert [t.tolist() for t in quality.line_labels([([1], [5], 1), ([1], [5], 0)], 2.0)] == [[1], [0]]
 
 
 # --- 7 language model
