@@ -372,22 +372,25 @@ def test_lines_of_one_document_get_both_labels(spark):
     lines are told apart, the share lies between 0 and 1 and decides."""
     rng = random.Random(3)
 
-    def text(k, menus, lines):
-        return "\n".join([f"LOGIN {k} | CART {i} | HELP" for i in range(menus)]
+    def text(menus, lines):
+        return "\n".join([" | ".join(rng.sample(WORDS, 6)).upper() for _ in range(menus)]
                          + [" ".join(rng.sample(WORDS, 14)) + "." for _ in range(lines)])
-    rows = [(k, text(k, 30, 3), 0) if k % 2 else (k, text(k, 3, 12), 1) for k in range(10, 90)]
+    rows = [(k, text(30, 3), 0) if k % 2 else (k, text(3, 12), 1) for k in range(10, 90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
     crf = quality.train(docs.select("doc_id", "text"), docs.filter("doc_id < 50"))
-    for k, body, y in rows[40:]:
+    right, lines, mixed = 0, 0, 0
+    for _, body, y in rows[40:]:
         f = quality.facts(body)
-        want = [0] * (30 if y == 0 else 3) + [1] * (3 if y == 0 else 12)
-        assert crf.decode(f.features).tolist() == want
-        assert crf.content_share(f) == f.weights[np.array(want) == 1].sum() / f.weights.sum()
+        got = crf.decode(f.features)
+        right += sum(got == [0] * (30 if y == 0 else 3) + [1] * (3 if y == 0 else 12))
+        lines, mixed = lines + len(got), mixed + (0 < got.mean() < 1)
+        assert crf.content_share(f) == f.weights[got == 1].sum() / f.weights.sum()
+    assert right >= 0.95 * lines and mixed >= 36
     judged = {r.doc_id: r for r in quality.judge(docs, crf, min_content=0.5).collect()}
-    assert {i: r.content_share for i, r in judged.items() if not 0 < r.content_share < 1} == {}
     assert all(r.kept == (not r.base_failed and r.content_share >= 0.5) for r in judged.values())
-    strict = quality.judge(docs, crf, min_content=0.99).filter("kept").count()
-    assert strict == 0 < sum(r.kept for r in judged.values())
+    assert all(judged[i].kept == bool(y) for i, _, y in rows if not judged[i].base_failed)
+    stricter = quality.judge(docs, crf, min_content=0.99).filter("kept").count()
+    assert stricter < sum(r.kept for r in judged.values())
 
 
 def test_line_labels_obey_their_document():
