@@ -9,9 +9,17 @@ says that who reads the term expects the entity:
 over whole documents, against the entity's information IC = -log2 p(entity).  Terms whose
 PMI is at least ``disclosure`` of the IC are spans too, wherever a document with the entity
 has them: removed if no document has them
-without the entity, else generalised to the class of word that they are.  Few joint
-documents say less than many: p(entity | term) is smoothed by ``smoothing`` documents
-with the entity's overall share, so entities of one document count too.
+without the entity, else generalised to the class of word that they are.
+
+How sure the PMI must be depends on what else ties term and entity.  A term spelled like
+the name part of an address (one begins with the other, or the part contains the
+term) is *related*: the estimate itself counts, smoothed by ``smoothing`` documents
+with the entity's overall share, so names of entities of one document go too.  Any other
+term needs repeated evidence: the lower bound (Wilson's, of ``SURE`` standard errors) of
+p(entity | term) takes the estimate's place, and it must be a half or more.  Copies of
+one document are no repetition: documents count by their distinct min-hashes of word
+triples, as the effective number (sum n)^2 / sum n^2, so a word of one document,
+however often copied, isn't taken for personal data, whatever the size of the corpus.
 
 The patterns use possessive quantifiers and look-behinds that change no match but
 keep long runs of one character linear.
@@ -29,6 +37,12 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Share of the entity's information, documents added to a term's.
 DISCLOSURE, SMOOTHING = 0.9, 0.5
+#: Standard errors of the lower bound, least chance of the entity given the term.
+SURE, LIKELY = 1.96, 0.5
+#: Fewest joint documents whose lower bound can be ``LIKELY``: n / (n + SURE^2) at best.
+_FEWEST = 4
+#: Letters that a related term shares with a name part.
+_STEM = 3
 
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -110,13 +124,13 @@ def _terms(text: Column) -> Column:
 
 
 def _holders(spans: DataFrame) -> DataFrame:
-    """``row, entity`` (a struct), distinct.  Entities of the same documents, which
+    """``row, hit, entity`` (a struct), distinct.  Entities of the same documents, which
     have the same terms, count as one: their number of documents and two hashes."""
     each = spans.filter("valid").select("row", F.lower("hit").alias("hit")).distinct()
     sets = each.groupBy("hit").agg(F.struct(
         F.count("*").alias("documents"), F.bit_xor(F.xxhash64("row")).alias("a"),
         F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b")).alias("entity"))
-    return each.join(sets, "hit").select("row", "entity").distinct()
+    return each.join(sets, "hit").select("row", "hit", "entity")
 
 
 def _document_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -124,24 +138,74 @@ def _document_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.explode(_terms(whole_text(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def _min_hash(text: Column) -> Column:
+    """The least hash of the text's word triples (of its words, if it has fewer)."""
+    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]++"), lambda w: w != "")
+    n = F.size(words)
+    triples = F.transform(F.arrays_zip(words.alias("a"), F.slice(words, 2, n).alias("b"), F.slice(words, 3, n).alias("c")),
+                          lambda z: F.xxhash64(z["a"], z["b"], z["c"]))
+    return F.array_min(F.when(n >= 3, F.slice(triples, 1, n - 2)).otherwise(triples))
+
+
+def _related(texts_terms: DataFrame, holders: DataFrame) -> DataFrame:
+    """``row, entity, term, df`` of the row's terms that are spelled like a name part
+    of an address of the row.  Terms and parts meet at three letters of theirs,
+    so a row's terms don't all meet all its addresses."""
+    parts = (holders.filter(F.contains("hit", F.lit("@")))
+             .select("row", "entity", F.explode(F.array_distinct(F.regexp_extract_all(
+                 F.substring_index("hit", "@", 1), F.lit(r"[a-z]{3,}+"), F.lit(0)))).alias("part"))
+             .select("row", "entity", "part", F.explode(F.array_distinct(F.transform(
+                 F.sequence(F.lit(1), F.length("part") - _STEM + 1),
+                 lambda i: F.substr(F.col("part"), i, F.lit(_STEM))))).alias("stem")))
+    met = texts_terms.withColumn("stem", F.substring("term", 1, _STEM)).join(parts, ["row", "stem"])
+    return met.filter(F.col("term").startswith(F.col("part")) | F.contains("part", F.col("term"))).select(
+        "row", "entity", "term", "df").distinct()
+
+
 def revealing_terms(texts: DataFrame, holders: DataFrame, docs: DataFrame, text_col: str = "text",
                     disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
     """``row, term, entirely`` of the terms over the threshold for an entity of their
-    row (``row, text`` and ``row, entity``)."""
+    row (``row, text`` and ``row, hit, entity``)."""
     n = F.lit(docs.count()).cast("double")
-    known = (texts.join(holders.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(F.col("text"))).alias("term"))
-             .join(_document_counts(docs, text_col), "term"))
-    share = F.col("entity.documents") / n
-
-    def over(joint: Column) -> Column:
+    share, spread = F.col("entity.documents") / n, SURE**2
+    threshold = disclosure * F.log2(1 / share)
+    # terms of more documents than any entity of this table can explain are no use and meet nothing
+    useful = holders.agg(F.max(F.greatest(
+        F.col("entity.documents") / LIKELY, (F.col("entity.documents") + smoothing * share) / share / F.pow(1 / share, F.lit(disclosure))))).first()[0]
+    own = write_once(texts.join(holders.select("row").distinct(), "row", "left_semi").select(
+        "row", F.explode(_terms(F.col("text"))).alias("term"))
+        .join(_document_counts(docs, text_col).filter(F.col("df") <= (useful or 0.0) + 1), "term"), "pii-own-terms")
+
+    def near(joint: Column) -> Column:
+        """Whether the smoothed PMI of a related term is over the threshold."""
         pmi = F.log2((joint + smoothing * share) / (F.col("df") + smoothing) / share)
-        return (share < 1) & (pmi >= disclosure * F.log2(1 / share))
-
-    # no more documents can be joint than have the entity or the term
-    pairs = write_once(known.join(holders, "row").filter(over(F.least("df", "entity.documents"))), "pii-pairs")
-    risky = pairs.groupBy("entity", "term").agg(F.count("*").alias("joint"), F.max("df").alias("df")).filter(
-        over(F.col("joint"))).select("entity", "term", (F.col("joint") >= F.col("df")).alias("entirely"))
-    return pairs.join(risky, ["entity", "term"]).groupBy("row", "term").agg(F.max("entirely").alias("entirely"))
+        return (share < 1) & (pmi >= threshold)
+
+    def sure(joint: Column, documents: Column) -> Column:
+        """Whether the PMI's lower bound is, for a rate of joint / df seen in so many documents."""
+        rate = joint / F.col("df")
+        low = ((rate + spread / (2 * documents) - SURE * F.sqrt(rate * (1 - rate) / documents + spread / (4 * documents**2)))
+               / (1 + spread / documents))
+        return (share < 1) & (low >= LIKELY) & (F.log2(low / share) >= threshold)
+
+    # no more documents can be joint than have the entity or the term, nor be independent than have the term
+    most = F.least("df", "entity.documents")
+    frequent = holders.filter(F.col("entity.documents") >= _FEWEST).select("row", "entity").distinct()
+    hashes = texts.join(frequent.select("row").distinct(), "row", "left_semi").select("row", _min_hash(F.col("text")).alias("copy"))
+    other = own.join(frequent.join(hashes, "row"), "row").filter(sure(most, F.col("df"))).select(
+        "row", "entity", "term", "df", "copy", F.lit(False).alias("related"))
+    alike = _related(own, holders).filter(near(most)).select(
+        "row", "entity", "term", "df", F.lit(None).cast("long").alias("copy"), F.lit(True).alias("related"))
+    pairs = write_once(other.unionByName(alike), "pii-pairs")
+    # two steps, so that no task counts all documents of a hot entity
+    by_copy = pairs.groupBy("entity", "term", "related", "copy").agg(F.count("*").alias("n"), F.max("df").alias("df"))
+    counted = by_copy.groupBy("entity", "term", "related").agg(
+        F.sum("n").alias("joint"), F.max("df").alias("df"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
+    joint = F.col("joint")
+    independent = F.col("df") / joint * (joint * joint / F.col("squares"))
+    risky = counted.filter(F.when(F.col("related"), near(joint)).otherwise(sure(joint, independent))).select(
+        "entity", "term", "related", (joint >= F.col("df")).alias("entirely"))
+    return pairs.join(risky, ["entity", "term", "related"]).groupBy("row", "term").agg(F.max("entirely").alias("entirely"))
 
 
 def _occurrences(texts: DataFrame, revealed: DataFrame) -> DataFrame:
@@ -164,7 +228,7 @@ def find(rows: DataFrame, docs: DataFrame, text_col: str = "text",
     each row without base matches.  Counts come from all of ``docs``; ``rows`` is read
     several times, so its numbers must be stored."""
     spans = write_once(_base_spans(write_once(_matches(rows), "pii-matches")), "pii-spans")
-    texts, holders = rows.select("row", "text"), write_once(_holders(spans), "pii-holders")
+    texts, holders = rows.select("row", "text"), write_once(_holders(spans), "pii-holders")  # read several times
     revealed = write_once(revealing_terms(texts, holders, docs, text_col, disclosure, smoothing), "pii-terms")
     added = _occurrences(texts, revealed)
     base = spans.select("row", "doc_id", F.when(F.col("valid"), F.col("kind")).alias("kind"),
