@@ -54,6 +54,27 @@ def gapless_rank(stored: DataFrame, by: list[str], row: str, name: str) -> DataF
             .drop("__rank", "__before", "__part", *(f"__k{i}" for i in range(len(keys)))))
 
 
+#: A group is hot from this share of all rows on, so at most its inverse of them are.
+HOT_SHARE = 1e-3
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot: Column | None = None) -> DataFrame:
+    """``rows`` joined with their group's line of ``groups``; both are stored tables, no key is null, and
+    ``size`` is the group's number of rows, kept as a column.
+
+    Rows of hot groups, of which there are at most 1,000 whatever the data, find
+    their line by broadcast and are never brought to one task; all others are
+    joined by key.  ``hot`` narrows the hot groups further, for lines without a
+    bounded size; those it leaves out are joined by key too."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) > max(HOT_SHARE * total, 1)
+    if hot is not None:
+        is_hot = is_hot & hot
+    few = F.broadcast(groups.filter(is_hot))
+    return rows.join(few, keys).unionByName(
+        rows.join(F.broadcast(groups.filter(is_hot).select(*keys)), keys, "left_anti").join(groups.filter(~is_hot), keys))
+
+
 def keep_rows(docs: DataFrame, decided: DataFrame, digest: Column, id_col: str) -> DataFrame:
     """The rows of ``docs``, with all their columns whatever their names, that
     ``decided`` (``__id``, ``__digest``) names; of several rows with the same

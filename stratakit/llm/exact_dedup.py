@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_once
-from .common import ascii_lower, keep_rows, with_row_number_ids
+from .common import ascii_lower, join_groups, keep_rows, with_row_number_ids
 
 #: Bytes that decide about a cut, mean chunk 2**BITS, shortest and longest chunk.
 WINDOW, BITS, SHORTEST, LONGEST = 8, 12, 1 << 10, 1 << 16
 _BLOCK = 1 << 20
+#: Longest recipe, in bytes, that a hot group is broadcast with: 1,000 of them are 16 MB.
+HOT_RECIPE = 1 << 14
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,9 +137,10 @@ def exact_groups(docs: DataFrame, identify: Identify = identifier,
     read."""
     key = verified_key(docs, identify, text_col)
     rows = write_once(with_row_number_ids(recipes(docs, key, identify, id_col, text_col), "__row"), "recipes")
-    groups = (rows.groupBy("n_bytes", "recipe")
-              .agg(F.max(F.struct("doc_id", "__row")).alias("keep"), F.count("*").alias("group_size")))
-    return rows.join(groups, ["n_bytes", "recipe"]).select(
+    groups = write_once(rows.groupBy("n_bytes", "recipe").agg(
+        F.max(F.struct("doc_id", "__row")).alias("keep"), F.count("*").alias("group_size")), "recipe-groups")
+    short = F.length("recipe") <= HOT_RECIPE
+    return join_groups(rows, groups, ["n_bytes", "recipe"], "group_size", short).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
         (F.col("__row") == F.col("keep.__row")).alias("kept"), "text_sha256")
 

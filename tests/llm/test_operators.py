@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from stratakit.llm import bpe, chat, exact_dedup, licenses, lm, packing, pii, quality, sharding, simhash
+from stratakit.llm.common import join_groups
 from stratakit.llm.queries import tokenizer_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -182,6 +183,19 @@ def test_near_duplicates(corpus, docs):
     assert sum(r.kept for r in got) == len(least)
 
 
+@pytest.mark.parametrize("narrow", [None, "k <> 0", "false"])
+def test_hot_groups_are_joined_like_all_others(spark, narrow):
+    """One group of a third of the rows, one at the bound, many small; and no rows."""
+    sizes = [2000, 6, 7] + [1] * 3000 + [2] * 500
+    rows = spark.createDataFrame([(k, i) for k, n in enumerate(sizes) for i in range(n)], "k long, i long")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("last"))
+    hot = None if narrow is None else F.expr(narrow)
+    got = join_groups(rows, groups, ["k"], "n", hot)
+    assert Counter(map(tuple, got.select("k", "i", "n", "last").collect())) == Counter(
+        (k, i, n, n - 1) for k, n in enumerate(sizes) for i in range(n))
+    assert join_groups(rows.limit(0), groups.limit(0), ["k"], "n", hot).count() == 0
+
+
 @pytest.mark.parametrize("radius", [2, 3])
 def test_crowds_of_near_fingerprints(spark, radius):
     rng, fps = random.Random(radius), set()
