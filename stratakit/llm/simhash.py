@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_once
-from .common import keep_rows, with_row_number_ids
+from .common import join_groups, keep_rows, with_row_number_ids
 
 SEED = 42
 VIEWS = 3
@@ -185,12 +185,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3,
     their component.  An empty table gives no rows; other columns are not read."""
     rows = write_once(with_row_number_ids(fingerprints(docs, words, id_col, text_col), "__row"), "simhash")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
-    least = rows.groupBy("fp").agg(F.min(row).alias("least"))
+    least = rows.groupBy("fp").agg(F.min(row).alias("least"), F.count("*").alias("rows"))
     tree = components(links(rows, radius))
-    rooted = least.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    whole = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    of = rooted.join(whole, "root").select("fp", "first")
-    return rows.join(of, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"),
+    rooted = write_once(least.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp")), "rooted")
+    whole = write_once(rooted.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("fps")), "whole")
+    of = write_once(join_groups(rooted, whole, ["root"], "fps").select("fp", "first", "rows"), "firsts")
+    return join_groups(rows, of, ["fp"], "rows").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"),
                                       (F.col("__row") == F.col("first.__row")).alias("kept"), "digest")
 
 
