@@ -810,6 +810,14 @@ def test_all_licenses_of_a_block_are_found():
 
 
 # --- all
+def test_empty_tables_of_stages_and_labels(spark, empty, docs):
+    assert quality.keep_good(empty, None).count() == simhash.keep_one_of_near(empty).count() == 0
+    no_labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.train(docs, no_labels) is None and quality.train(empty, no_labels) is None
+    odd = spark.createDataFrame([(9, 1), (9, 0), (None, 1), (10, None), (11, 7)], "doc_id long, quality int")
+    assert quality.train(docs, odd) is None  # one label is left: the smaller one of 9
+
+
 def test_empty_tables(spark, empty):
     path = tokenizer_path()
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
