@@ -18,6 +18,7 @@ from ..presets import CLASS_NAMES, DAY_ORDER, MONTH_ABBR, SEASON_ORDER
 from ..session import write_once
 
 R9 = 9  # decimals kept for floats whose summation order differs between engines
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def _lit_table(spark, rows: list[tuple], names: list[str]) -> DataFrame:
@@ -58,25 +59,51 @@ def class_summary(df: DataFrame, class_col: str = "severity",
 
 def numeric_summary(df: DataFrame, columns: list[str], approx: bool = False,
                     accuracy: int = 10_000) -> DataFrame:
-    """count, mean, sample std, min, 25/50/75 % (linear), max per column.
+    """count, mean, sample std, min, 25/50/75 % (linear), max per column; a column without
+    values has count 0 and nulls.
 
-    Exact percentiles keep a value->count map per column, which is tiny for
-    coded columns; ``approx=True`` switches to ``percentile_approx`` for
-    continuous columns at scale.
-    """
+    Exact, also for continuous columns: the rows of every distinct (column, value) are counted,
+    ranged running totals say which positions a value holds, and each percentile takes the
+    values at its two positions, so no task holds more than a range of a column's values.
+    ``approx=True`` takes ``percentile_approx`` in one pass instead."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "column", "value")
+        [], columns, "column", "value").where(F.col("value").isNotNull())
     v = F.col("value")
-    q = (F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy) if approx
-         else F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    out = long.groupBy("column").agg(
-        F.count(v).cast("bigint").alias("count"), F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("__q"),
-        F.max(v).alias("max"))
+    if approx:
+        found = long.groupBy("column").agg(
+            F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+            F.percentile_approx(v, list(QUARTILES), accuracy).alias("__q"), F.max(v).alias("max"))
+    else:
+        found = _exact_summary(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    every = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column"))
+    out = every.join(found, "column", "left")   # one row a column
     return out.select(
-        "column", "count", F.round("mean", R9).alias("mean"), F.round("std", R9).alias("std"),
-        "min", F.col("__q")[0].alias("p25"), F.col("__q")[1].alias("p50"),
-        F.col("__q")[2].alias("p75"), "max")
+        "column", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), F.round("mean", R9).alias("mean"),
+        F.round("std", R9).alias("std"), "min", *[F.col("__q")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(QUARTILES)], "max")
+
+
+def _exact_summary(counted: DataFrame) -> DataFrame:
+    """Moments and quartiles of a table of ``column, value, n``, one row a distinct value."""
+    from .sampling import running_totals
+
+    v, n = F.col("value"), F.col("n")
+    placed = running_totals(counted.withColumn("s", v * n), "value", ["n", "s"], by=["column"], total_suffix="_all")
+    mean, last = F.col("s_all") / F.col("n_all"), F.col("n_all") - 1
+    at = []
+    for i, q in enumerate(QUARTILES):   # positions count from 0; a value holds cum_n - n .. cum_n - 1
+        place = F.lit(q) * last
+        at += [F.max(F.when((F.col("cum_n") - n <= end) & (end < F.col("cum_n")), v)).alias(f"__{side}{i}")
+               for side, end in (("lo", F.floor(place)), ("hi", F.ceil(place)))]
+    g = placed.groupBy("column").agg(
+        F.max("n_all").alias("count"), F.max(mean).alias("mean"), F.sum(n * (v - mean) * (v - mean)).alias("__sq"),
+        F.min(v).alias("min"), F.max(v).alias("max"), *at)
+    quartiles = []
+    for i, q in enumerate(QUARTILES):
+        lo, hi, place = F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.lit(q) * (F.col("count") - 1)
+        # equal ends are taken as they are: a value times its weights need not add up to it
+        quartiles.append(F.when(lo == hi, lo).otherwise(lo * (F.ceil(place) - place) + hi * (place - F.floor(place))))
+    return g.select("column", "count", "mean", F.when(F.col("count") > 1, F.sqrt(F.col("__sq") / (F.col("count") - 1))).alias("std"),
+                    "min", F.array(*quartiles).alias("__q"), "max")
 
 
 # --- C6 ---------------------------------------------------------------------
@@ -86,18 +113,18 @@ def category_by_class(df: DataFrame, features: list[str], class_col: str = "seve
     """Per (feature, level): count, % of all rows, per-class count and share.
 
     Single pass for all features: unpivot -> one group-by with conditional
-    counts.  Null levels and null classes drop out of the crosstab but stay in
-    the denominator (all rows), which is recovered from the grouped table by a
-    window over at most a few hundred cells.
+    counts, stored.  Null levels and null classes drop out of the crosstab but stay in
+    the denominator (all rows): a second aggregate of the stored cells, one row a
+    feature, so the cells of a feature of many levels stay spread over tasks.
     """
     long = unpivot_str(df, features, keep=[class_col])
     c = F.col(class_col)
-    g = long.groupBy("feature", "level").agg(
+    cells = write_once(long.groupBy("feature", "level").agg(
         F.count(F.lit(1)).alias("__all"),
-        *[F.count_if(c == v).alias(f"{v.lower()}_count") for v in classes])
-    total = F.sum("__all").over(Window.partitionBy("feature"))
+        *[F.count_if(c == v).alias(f"{v.lower()}_count") for v in classes]), "cells")
+    totals = cells.groupBy("feature").agg(F.sum("__all").alias("__n"))
     cnt = sum((F.col(f"{v.lower()}_count") for v in classes), F.lit(0))
-    g = g.select("*", total.alias("__n"), cnt.alias("count")).where(
+    g = cells.join(F.broadcast(totals), "feature").withColumn("count", cnt).where(
         F.col("level").isNotNull() & (F.col("count") > 0))
     cols = [F.col("feature"), F.col("level"), F.col("count").cast("bigint").alias("count"),
             (F.col("count") / F.col("__n") * 100).alias("percent_of_cleaned_rows")]

@@ -287,28 +287,33 @@ def fit_multiclass(train: DataFrame, categorical: list[str], numeric: list[str],
 
 # --- E9 ---------------------------------------------------------------------
 
-def fit_ordinal_pair(train: DataFrame, categorical: list[str], numeric: list[str],
-                     params: dict | None = None, forbidden: list[str] = ()
-                     ) -> tuple[PipelineModel, PipelineModel]:
-    """Two balanced binary boosters: P(y <= 1) and P(y = 0)."""
+def fit_binary_pair(design: DataFrame, params: dict | None = None) -> tuple[Model, Model]:
+    """Two balanced binary boosters on an encoded design (``label``, ``features``): P(y <= 1) and P(y = 0)."""
     from .sampling import balanced_weights
 
-    validate_model_inputs([c for c in train.columns if c != "label"], forbidden,
-                          categorical + numeric)
     p = spark_params(params or {})
     models = []
-    for target, cond in (("serious_or_worse", F.col("label").isin(0, 1)),
-                         ("rare", F.col("label") == 0)):
-        t = train.withColumn("__t", cond.cast("int"))
-        t = balanced_weights(t, "__t", "__w").withColumn("__t", F.col("__t").cast("double"))
+    for cond in (F.col("label").isin(0, 1), F.col("label") == 0):
+        t = balanced_weights(design.withColumn("__t", cond.cast("int")), "__t", "__w").withColumn("__t", F.col("__t").cast("double"))
         gbt = GBTClassifier(labelCol="__t", featuresCol="features", weightCol="__w", seed=42)
         for k, v in p.items():
             if gbt.hasParam(k):
                 gbt._set(**{k: v})
-        models.append(make_pipeline(categorical, numeric, gbt).fit(t))
+        models.append(gbt.fit(t))
     return models[0], models[1]
 
 
+def fit_ordinal_pair(train: DataFrame, categorical: list[str], numeric: list[str],
+                     params: dict | None = None, forbidden: list[str] = ()
+                     ) -> tuple[PipelineModel, PipelineModel]:
+    """Two balanced binary boosters: P(y <= 1) and P(y = 0)."""
+    validate_model_inputs([c for c in train.columns if c != "label"], forbidden,
+                          categorical + numeric)
+    encoder = Pipeline(stages=build_preprocessor(categorical, numeric)).fit(train)   # once for both targets
+    serious, rare = fit_binary_pair(encoder.transform(train), params)
+    return PipelineModel([*encoder.stages, serious]), PipelineModel([*encoder.stages, rare])
+
+
 def ordinal_scores(serious: PipelineModel, rare: PipelineModel, df: DataFrame,
                    keep: list[str]) -> DataFrame:
     """Both binary models over one frame, composed into (p0, p1, p2) beside the columns ``keep``: no join."""

@@ -16,7 +16,10 @@ from ..operators.clean import TimeFeatures, target_encode
 from ..operators.learn import PROB_COLS, fit_multiclass, with_probs
 from ..operators.sampling import train_test
 from ..session import ensure_checkpoint_dir
+from ..sources.sinks import scratch_path
+from ..streaming.scoring import run_until, start_scoring
 from . import inputs as I
+from .heldout import Family, HeldOut, fitted_attribution, model_error_analysis
 from .ledger import SearchLedger, finish
 from .oracle_base import with_ctes
 from .q_sampling import QUOTAS, SPLIT
@@ -222,6 +225,82 @@ def q_score_scenarios(spark, d):
     return dec.groupBy("decision").agg(F.count(F.lit(1)).alias("count"))
 
 
+_TEST_ROWS = [("quotas", QUOTAS), ("split", SPLIT), ("test", "SELECT row_index, label FROM split WHERE is_test")]
+
+
+@register("stream_scoring", with_ctes(["model_frame"], """
+  SELECT CAST(row_index % 2 AS INTEGER) AS wave, count(*) AS rows, CAST(0 AS BIGINT) AS repeated,
+         CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS differing
+  FROM test GROUP BY 1""", extra=_TEST_ROWS))
+def q_stream_scoring(spark, d):
+    """E13 as a stream over the test split: one wave of files is scored by a stream that is stopped
+    after its first batch, a second wave arrives, and a new stream goes on from the checkpoint.
+    Per wave: rows, and how many the sink has twice, lacks, or has unlike the batch job's."""
+    model, test = _raw_pipeline(spark, d)
+    home = scratch_path(spark, "stream")
+    source, sink = f"{home}/incoming", f"{home}/scored"
+    arriving = test.drop("label").withColumn("wave", F.pmod(F.col("row_index"), F.lit(2)).cast("int"))
+    reg = spark.createDataFrame([("baseline", "ready", 0.2)], "model_artifact string, status string, threshold double")
+    stream = dict(schema=arriving.schema, model=model, registry=reg, artifact="baseline", sink=sink, keep=["row_index", "wave"],
+                  checkpoint=f"{home}/progress", forbidden=list(L.forbidden), required=RAW_INPUTS)
+    arriving.where("wave = 0").write.mode("append").parquet(source)
+    run_until(start_scoring(spark, source, available_now=False, files_per_batch=1, **stream), 1)
+    arriving.where("wave = 1").write.mode("append").parquet(source)
+    start_scoring(spark, source, **stream).awaitTermination()
+    cells = [*PROB_COLS, "threshold", "decision"]
+    streamed = spark.read.parquet(sink).select("row_index", F.struct(*cells).alias("streamed"))
+    seen = streamed.groupBy("row_index").agg(F.count(F.lit(1)).alias("times"), F.first("streamed").alias("streamed"))
+    batch = Dc.score_scenarios(model, spark.read.schema(arriving.schema).parquet(source), reg, "baseline", list(L.forbidden), RAW_INPUTS,
+                               ["row_index", "wave"])
+    both = batch.select("row_index", "wave", F.struct(*cells).alias("batch")).join(seen, "row_index", "left")
+    return both.groupBy("wave").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("times") > 1).alias("repeated"),
+        F.count_if(F.col("times").isNull()).alias("missing"),
+        F.count_if(~F.col("batch").eqNullSafe(F.col("streamed"))).alias("differing"))
+
+
+#: Six settings, as small as the other queries' here; positions as in the study's comparison.
+FAMILIES = [
+    Family("baseline", "boosted", SMALL, "downsampled", caps={1: 6000, 2: 6000}),
+    Family("weighted", "boosted", SMALL, "weighted"),
+    Family("tuned", "boosted", {**SMALL, "max_depth": 4}, "weighted"),
+    Family("interpolated", "boosted", SMALL, "interpolated", alpha=0.6),
+    Family("joint", "boosted", {**SMALL, "max_depth": 2}, "interpolated", alpha=0.3),
+    Family("ordinal", "ordinal", SMALL),
+]
+
+
+def _held_out(spark, d, families):
+    train, test = _train(spark, d)
+    return HeldOut.fit(train, test, families, categorical=CAT, numeric=NUM, forbidden=list(L.forbidden), row_id="row_index")
+
+
+@register("held_out_comparison")
+def q_held_out_comparison(spark, d):
+    """F14 on fitted models: six families fitted on one design of the training rows, the test split
+    scored by all of them in one plan, metrics of one grouped aggregate."""
+    return E.model_comparison(_held_out(spark, d, FAMILIES).predictions(), [f.name for f in FAMILIES])
+
+
+@register("held_out_support", with_ctes(["model_frame"], """
+  SELECT f.model, CAST(t.label AS INTEGER) AS y, count(*) AS rows, count(*) AS predicted
+  FROM test t CROSS JOIN (VALUES ('interpolated'), ('ordinal')) f(model) GROUP BY 1, 2""", extra=_TEST_ROWS))
+def q_held_out_support(spark, d):
+    """Coverage of the held-out frame: every model has every test row once, with a class in range."""
+    long = _held_out(spark, d, [f for f in FAMILIES if f.name in ("interpolated", "ordinal")]).predictions()
+    return long.groupBy("model", F.col("y").cast("int").alias("y")).agg(
+        F.countDistinct("row_index").alias("rows"), F.count_if(F.col("pred").isin(0, 1, 2)).alias("predicted"))
+
+
+@register("held_out_error_analysis")
+def q_held_out_error_analysis(spark, d):
+    """G7 on a fitted model: its sources ranked by attribution on the test split, the top five with
+    their kinds and class overlaps in the test split."""
+    train, test = _train(spark, d)
+    model = fit_multiclass(train, CAT, NUM, list(L.forbidden), "logistic", None, {"maxIter": 50, "regParam": 0.01})
+    return model_error_analysis(model, test, CAT, NUM, labelled=frozenset(L.label_maps()))
+
+
 @register("permutation_importance")
 def q_permutation_importance(spark, d):
     """G4 (model-agnostic): macro-F1 drop when one source column is replaced
@@ -240,10 +319,5 @@ def q_lr_attribution(spark, d):
     train, test = _train(spark, d)
     model = fit_multiclass(train, CAT, NUM, list(L.forbidden), "logistic", None,
                            {"maxIter": 50, "regParam": 0.01})
-    coef = model.stages[-1].coefficientMatrix.toArray().tolist()
-    feats = G.feature_table_from_model(model, CAT, NUM)
     counts = G.level_counts(test, {c: F.col(c) for c in CAT + NUM})
-    array = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in coef])
-    means = G.linear_means(G.deviations(counts, feats, nulls_as_zero=True),
-                           lambda position, k: F.element_at(F.element_at(array, k + 1), position + 1))
-    return G.attribution_by_source(means, feats)
+    return fitted_attribution(model, counts, CAT, NUM)

@@ -10,6 +10,7 @@ folder, so a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.ml import PipelineModel
@@ -33,9 +34,16 @@ def start_scoring(spark: SparkSession, source: str, schema: T.StructType, model:
                   registry: DataFrame, artifact: str, sink: str, keep: list[str] = (),
                   fmt: str = "parquet", available_now: bool = True,
                   checkpoint: str | None = None, forbidden: list[str] = (),
-                  required: list[str] = ()) -> StreamingQuery:
-    """Score files arriving under ``source`` into ``sink`` (append)."""
-    stream = spark.readStream.schema(schema).parquet(source)
+                  required: list[str] = (), files_per_batch: int | None = None) -> StreamingQuery:
+    """Score files arriving under ``source`` into ``sink`` (append), at most ``files_per_batch`` a batch.
+
+    Started again with the same ``checkpoint`` and ``sink``, it goes on behind the last batch
+    that was committed; the file sink's log leaves out what a stopped batch had written, so
+    every row is in the sink once."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(source)
     out = scored_stream(stream, model, registry, artifact, keep, forbidden, required)
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
     writer = out.writeStream.outputMode("append").option("checkpointLocation", ckpt)
@@ -43,3 +51,18 @@ def start_scoring(spark: SparkSession, source: str, schema: T.StructType, model:
     if fmt == "memory":
         return writer.format("memory").queryName(sink).start()
     return writer.format(fmt).start(sink)
+
+
+def run_until(query: StreamingQuery, batches: int, seconds: float = 600.0) -> int:
+    """Stops ``query`` once it has gone through ``batches`` batches (or has ended, or after
+    ``seconds``) and returns how many there were; an error of the stream is raised here."""
+    end = time.monotonic() + seconds
+    while query.isActive and time.monotonic() < end:
+        progress = query.lastProgress
+        if progress is not None and progress["batchId"] + 1 >= batches:
+            break
+        time.sleep(0.05)
+    query.stop()
+    if query.exception() is not None:
+        raise query.exception()
+    return 0 if query.lastProgress is None else query.lastProgress["batchId"] + 1

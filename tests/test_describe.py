@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from stratakit.operators import describe as D
 
@@ -82,6 +83,26 @@ def test_numeric_summary_matches_pandas_describe(spark):
     assert r.std == pytest.approx(d["std"], abs=1e-9)
 
 
+def test_numeric_summary_of_continuous_values_gaps_and_ties(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rng.normal(size=3001).round(6), "b": rng.integers(0, 3, 3001).astype(float)})
+    pdf.loc[::7, "a"] = None
+    pdf.loc[1000:2000, "b"] = 2.0   # a third of all rows is one value
+    rows = [tuple(None if pd.isna(x) else float(x) for x in r) for r in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "a double, b double").withColumn("c", F.lit(None).cast("double")).repartition(7)
+    got = {r["column"]: r for r in D.numeric_summary(df, ["a", "b", "c"]).collect()}
+    for name in ("a", "b"):
+        d, r = pdf[name].describe(), got[name]
+        assert r["count"] == d["count"] and (r["min"], r["max"]) == (d["min"], d["max"])
+        assert [r.p25, r.p50, r.p75] == pytest.approx([d["25%"], d["50%"], d["75%"]], abs=1e-12)
+        assert (r["mean"], r["std"]) == pytest.approx((d["mean"], d["std"]), abs=1e-9)
+    assert tuple(got["c"])[1:] == (0,) + (None,) * 7
+    one = D.numeric_summary(spark.createDataFrame([(4.0,), (None,)], "a double"), ["a"]).first()
+    assert tuple(one)[1:] == (1, 4.0, None, 4.0, 4.0, 4.0, 4.0, 4.0)
+    empty = D.numeric_summary(spark.createDataFrame([], "a double"), ["a"]).first()
+    assert tuple(empty)[1:] == (0,) + (None,) * 7
+
+
 def test_histogram_edges_follow_numpy(spark):
     vals = [0.1, 0.35, 2.0, 7.7, 9.9]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
