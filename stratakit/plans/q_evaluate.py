@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.expressions import argmax3, ordinal_probabilities, threshold_decision
 from ..operators import decide as Dc
 from ..operators import evaluate as E
-from ..operators.sampling import stratified_kfold
 from . import inputs as I
 from .oracle_base import with_ctes
 from .registry import register
@@ -90,11 +89,6 @@ LONG_SQL = f"""
 
 # --- Spark helpers ------------------------------------------------------------
 
-def _folds(spark, d, k=5):
-    mf = I.model_frame(spark, d).select("row_index", "label")
-    return stratified_kfold(mf, "label", "row_index", k=k).select("row_index", "fold")
-
-
 def _long(spark, d):
     s = I.scores(spark, d)
     arg = s.select(F.lit("argmax").alias("model"), "row_index", "y",
@@ -107,9 +101,9 @@ def _long(spark, d):
     return arg.unionByName(thr).unionByName(orde)
 
 
-def _fold_rows(spark, d, k=5, slug="surrogate_argmax", model="Surrogate argmax"):
-    sc = I.scored(spark, d).join(_folds(spark, d, k), "row_index")
-    sc = sc.withColumn("slug", F.lit(slug)).withColumn("model", F.lit(model))
+def _fold_rows(scores, slug="surrogate_argmax", model="Surrogate argmax"):
+    """Metrics a fold of the argmax of `inputs.fold_scores`."""
+    sc = scores.withColumn("pred", argmax3("p0", "p1", "p2")).withColumn("slug", F.lit(slug)).withColumn("model", F.lit(model))
     return E.fold_rows(sc, "y", "pred")
 
 
@@ -196,7 +190,7 @@ def q_select_threshold(spark, d):
 @register("fold_rows", with_ctes(["scored", "model_frame"], _fold_rows_sql(
     5, "surrogate_argmax", "Surrogate argmax"), extra=[("folds5", FOLDS_SQL.format(k=5))]))
 def q_fold_rows(spark, d):
-    return _fold_rows(spark, d)
+    return _fold_rows(I.fold_scores(I.labelled(spark, d)))
 
 
 _MELT_FOLD = " UNION ALL ".join(f"SELECT slug, '{m}' AS metric, {m} AS value FROM fr"
@@ -209,7 +203,7 @@ _MELT_FOLD = " UNION ALL ".join(f"SELECT slug, '{m}' AS metric, {m} AS value FRO
     extra=[("folds5", FOLDS_SQL.format(k=5)), ("fr", _fold_rows_sql(5, "surrogate_argmax",
                                                                       "Surrogate argmax"))]))
 def q_fold_summary(spark, d):
-    return E.fold_summary(_fold_rows(spark, d))
+    return E.fold_summary(_fold_rows(I.fold_scores(I.labelled(spark, d))))
 
 
 _CAND_SRC = " UNION ALL ".join(
@@ -225,7 +219,7 @@ _CAND_SUMMARY = f"""
 
 
 def _candidate_rows(spark, d):
-    s = I.scores(spark, d).join(_folds(spark, d), "row_index")
+    s = I.fold_scores(I.labelled(spark, d))
     parts = [s.select(F.lit(float(a)).alias("alpha"), "y", "fold",
                       threshold_decision("p0", "p1", "p2", a).alias("pred")) for a in ALPHAS]
     long = parts[0]
@@ -322,9 +316,10 @@ def q_metric_melt(spark, d):
             + _fold_rows_sql(5, "surrogate_copy", "Surrogate copy")),
            ("new", _fold_rows_sql(3, "surrogate_argmax", "Surrogate argmax"))]))
 def q_upsert(spark, d):
-    cur = _fold_rows(spark, d).unionByName(
-        _fold_rows(spark, d, slug="surrogate_copy", model="Surrogate copy"))
-    new = _fold_rows(spark, d, k=3)
+    rows = I.labelled(spark, d)
+    five, three = I.fold_scores(rows), I.fold_scores(rows, k=3)
+    cur = _fold_rows(five).unionByName(_fold_rows(five, slug="surrogate_copy", model="Surrogate copy"))
+    new = _fold_rows(three)
     return E.upsert_by_key(cur, new, "slug")
 
 
