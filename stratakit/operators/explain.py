@@ -376,23 +376,23 @@ def permutation_importance(model, df: DataFrame, sources: list[str], row_id: str
     deterministic derangement (row of rank r takes the values of rank r+1,
     ranks from the md5 order key - partition independent).
 
-    One shuffle join to pair each row with its partner, then all variants
+    One shuffle join to pair each row with its partner, stored, then all variants
     (base + one per source / group) are scored by a single ``transform``
     and evaluated by one grouped metrics job."""
     from ..functions.expressions import argmax3
     from .evaluate import class_metrics
     from .learn import PROB_COLS, with_probs
-    from .sampling import exact_rank, group_counts
+    from .sampling import exact_rank
 
     groups = dict(groups or {})
     variants = {s: [s] for s in sources}
     variants.update(groups)
     cols = sorted({c for cs in variants.values() for c in cs})
-    n = group_counts(df, None)[None]
-    ranked = exact_rank(df, row_id, None, seed, "__r")
+    ranked = write_once(exact_rank(df, row_id, None, seed, "__r"), "ranked")
+    n = ranked.count()
     partner = ranked.select(F.pmod(F.col("__r"), F.lit(n)).alias("__pr"),
                             *[F.col(c).alias(f"__p_{c}") for c in cols])
-    paired = ranked.join(partner, F.col("__r") - 1 == F.col("__pr")).drop("__r", "__pr")
+    paired = write_once(ranked.join(partner, F.col("__r") - 1 == F.col("__pr")).drop("__r", "__pr"), "paired")
     base_cols = [c for c in paired.columns if not c.startswith("__p_")]
     parts = [paired.select(F.lit("<none>").alias("__variant"), *base_cols)]
     for name, cs in variants.items():
