@@ -190,9 +190,9 @@ FOLD_METRICS = ("macro_f1", "accuracy",
 
 
 def fold_rows(df: DataFrame, y: str = "y", pred: str = "pred", slug: str = "slug",
-              fold: str = "fold", model: str = "model") -> DataFrame:
+              fold: str = "fold", model: str = "model", count_col: str | None = None) -> DataFrame:
     """One flat row per (model, slug, fold): the 11 metrics + identifiers."""
-    m = class_metrics(df, y, pred, [model, slug, fold])
+    m = class_metrics(df, y, pred, [model, slug, fold], count_col)
     return m.select(model, slug, F.col(fold).cast("int").alias("fold"),
                     *[F.col(c) for c in FOLD_METRICS])
 

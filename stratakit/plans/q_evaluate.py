@@ -101,10 +101,15 @@ def _long(spark, d):
     return arg.unionByName(thr).unionByName(orde)
 
 
-def _fold_rows(scores, slug="surrogate_argmax", model="Surrogate argmax"):
-    """Metrics a fold of the argmax of `inputs.fold_scores`."""
-    sc = scores.withColumn("pred", argmax3("p0", "p1", "p2")).withColumn("slug", F.lit(slug)).withColumn("model", F.lit(model))
-    return E.fold_rows(sc, "y", "pred")
+def _argmax_counts(spark, d, folds):
+    """`inputs.fold_counts` of the argmax."""
+    return I.fold_counts(I.labelled(spark, d), folds, {"pred": argmax3("p0", "p1", "p2")})
+
+
+def _fold_rows(counts, fold="fold", slug="surrogate_argmax", model="Surrogate argmax"):
+    """Metrics a ``fold`` of `_argmax_counts`."""
+    told = counts.withColumn("fold", F.col(fold)).withColumn("slug", F.lit(slug)).withColumn("model", F.lit(model))
+    return E.fold_rows(told, "y", "pred", count_col="n")
 
 
 def _fold_rows_sql(k: int, slug: str, model: str) -> str:
@@ -190,7 +195,7 @@ def q_select_threshold(spark, d):
 @register("fold_rows", with_ctes(["scored", "model_frame"], _fold_rows_sql(
     5, "surrogate_argmax", "Surrogate argmax"), extra=[("folds5", FOLDS_SQL.format(k=5))]))
 def q_fold_rows(spark, d):
-    return _fold_rows(I.fold_scores(I.labelled(spark, d)))
+    return _fold_rows(_argmax_counts(spark, d, {"fold": 5}))
 
 
 _MELT_FOLD = " UNION ALL ".join(f"SELECT slug, '{m}' AS metric, {m} AS value FROM fr"
@@ -203,7 +208,7 @@ _MELT_FOLD = " UNION ALL ".join(f"SELECT slug, '{m}' AS metric, {m} AS value FRO
     extra=[("folds5", FOLDS_SQL.format(k=5)), ("fr", _fold_rows_sql(5, "surrogate_argmax",
                                                                       "Surrogate argmax"))]))
 def q_fold_summary(spark, d):
-    return E.fold_summary(_fold_rows(I.fold_scores(I.labelled(spark, d))))
+    return E.fold_summary(_fold_rows(_argmax_counts(spark, d, {"fold": 5})))
 
 
 _CAND_SRC = " UNION ALL ".join(
@@ -219,13 +224,11 @@ _CAND_SUMMARY = f"""
 
 
 def _candidate_rows(spark, d):
-    s = I.fold_scores(I.labelled(spark, d))
-    parts = [s.select(F.lit(float(a)).alias("alpha"), "y", "fold",
-                      threshold_decision("p0", "p1", "p2", a).alias("pred")) for a in ALPHAS]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    return E.class_metrics(long, "y", "pred", ["alpha", "fold"])
+    counts = I.fold_counts(I.labelled(spark, d), {"fold": 5},
+                           {f"pred{i}": threshold_decision("p0", "p1", "p2", a) for i, a in enumerate(ALPHAS)})
+    told = [F.struct(F.lit(float(a)).alias("alpha"), F.col(f"pred{i}").alias("pred")) for i, a in enumerate(ALPHAS)]
+    long = counts.select("y", "fold", "n", F.inline(F.array(*told)))
+    return E.class_metrics(long, "y", "pred", ["alpha", "fold"], "n")
 
 
 @register("candidate_summary", with_ctes(["scores", "model_frame"], _CAND_SUMMARY,
@@ -316,10 +319,9 @@ def q_metric_melt(spark, d):
             + _fold_rows_sql(5, "surrogate_copy", "Surrogate copy")),
            ("new", _fold_rows_sql(3, "surrogate_argmax", "Surrogate argmax"))]))
 def q_upsert(spark, d):
-    rows = I.labelled(spark, d)
-    five, three = I.fold_scores(rows), I.fold_scores(rows, k=3)
-    cur = _fold_rows(five).unionByName(_fold_rows(five, slug="surrogate_copy", model="Surrogate copy"))
-    new = _fold_rows(three)
+    counts = _argmax_counts(spark, d, {"fold5": 5, "fold3": 3})
+    cur = _fold_rows(counts, "fold5").unionByName(_fold_rows(counts, "fold5", slug="surrogate_copy", model="Surrogate copy"))
+    new = _fold_rows(counts, "fold3")
     return E.upsert_by_key(cur, new, "slug")
 
 
