@@ -20,6 +20,10 @@ from ..sources.sinks import scratch_path
 from ..sources.store import StoredTable
 
 
+#: What the ledger adds to a candidate's fold rows.
+LEDGER_COLUMNS = ("key", "stage", "candidate", "order", "alpha", "settings")
+
+
 def digest(value) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()[:20]
 
