@@ -258,7 +258,10 @@ class Encoder:
         apart = any(c in text for c in self.SEPARATORS)
         chunks = self.SPACE.split(text) if apart else text.split()
         known = self.chunks.young
-        return [known.get(c) or self.chunks(c) for c in chunks]
+        found = [*map(known.get, chunks)]
+        if None not in found:
+            return found
+        return [known.get(c) or self.chunks(c) if f is None else f for c, f in zip(chunks, found)]
 
     def part(self, text: str) -> bytes:
         """Packed ids of a text that begins and ends at white space or its own ends."""

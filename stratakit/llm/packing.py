@@ -39,7 +39,8 @@ class LibraryEncoder(Encoder):
 
     def word(self, word: str) -> bytes:
         seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
-        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(seen)])
+        tokens, packed = self.model.tokenize(seen), self.bytes_of
+        return packed[tokens[0].id] if len(tokens) == 1 else b"".join([packed[t.id] for t in tokens])
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
