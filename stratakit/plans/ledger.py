@@ -84,11 +84,11 @@ def finish(frame: DataFrame, winner: dict, *, ledger: SearchLedger, slug: str, n
 
     spark = frame.sparkSession
     settings = candidate_settings(winner["entry"], cv)
-    best = None
+    best, shared = None, {}
     if fresh_folds is None:
         folds = searched
     else:
-        folds, oof = cross_validate(frame, k=fresh_folds, slug=slug, name=name, collect_oof=with_threshold, **settings)
+        folds, oof = cross_validate(frame, k=fresh_folds, slug=slug, name=name, collect_oof=with_threshold, shared=shared, **settings)
         key = ledger.key("validation", winner["entry"], {"slug": slug, "k": fresh_folds})
         ledger.record(key, "validation", winner["entry"], folds)
         folds = ledger.rows([key])
@@ -100,7 +100,7 @@ def finish(frame: DataFrame, winner: dict, *, ledger: SearchLedger, slug: str, n
     wanted = {k: settings[k] for k in ("categorical", "numeric", "forbidden", "row_id", "label", "kind", "params", "balance",
                                        "alpha", "caps", "pre_stages") if k in settings}
     model_path = f"{ledger.path}/models/{slug}-{uuid.uuid4().hex}"
-    refit(frame, **wanted).write().save(model_path)
+    refit(frame, pooled=shared.get("pooled"), **wanted).write().save(model_path)
     entry = spark.createDataFrame(
         [(artifact, "ready" if best else "saved", best and float(best["threshold"]), model_path,
           "out-of-fold training scores" if best else None, json.dumps(winner, sort_keys=True, default=str))],

@@ -88,7 +88,7 @@ def test_scores_are_the_models_scores(spark):
 
 
 def test_parts_of_a_level_grow_the_same_trees(spark, monkeypatch):
-    kw = dict(k=3, kind="forest", params=FOREST, balance="weighted", **CV)
+    kw = dict(k=3, kind="forest", params=FOREST, balance="weighted", shared={}, **CV)
     whole = sorted(training.cross_validate(_rows(spark), **kw)[0].collect())
     monkeypatch.setattr(forests, "MOST_CELLS", 1)
     assert sorted(training.cross_validate(_rows(spark), **kw)[0].collect()) == whole
@@ -96,7 +96,7 @@ def test_parts_of_a_level_grow_the_same_trees(spark, monkeypatch):
 
 def test_inputs_of_many_values_are_left_to_the_trainer(spark, fits):
     rows = _rows(spark).withColumn("x", F.col("row_id") * 0.5)
-    kept, _ = training.cross_validate(rows, k=3, kind="forest", params=FOREST, **CV)
+    kept, _ = training.cross_validate(rows, k=3, kind="forest", params=FOREST, shared={}, **CV)
     assert sum(r.validation_rows for r in kept.collect()) == 900 and fits["fits"] == 9
     summary, _ = training.search(rows, [{"order": 0, "numTrees": 2}], rule="first", key_cols=["order"], kind="forest", params=FOREST, **CV)
     assert summary.count() == 1 and fits["fits"] == 15
